@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, private_data, secrets
 
-QUERIES = {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+QUERIES = {
+    "op6_private_data": private_data.op6_private_data,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
