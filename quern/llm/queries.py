@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, private_data, secrets
+from . import exact_dedup, private_data, quality, secrets
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op6_private_data": private_data.op6_private_data,
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
