@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, private_data, quality, secrets
+from . import exact_dedup, language, private_data, quality, secrets
 
 QUERIES = {
+    "op4_language": language.op4_language,
     "op1_quality": quality.op1_quality,
     "op6_private_data": private_data.op6_private_data,
     "op7_secrets": secrets.op7_secrets,
