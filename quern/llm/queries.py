@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, private_data, quality, secrets
+from . import byte_bpe, exact_dedup, language, private_data, quality, secrets
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_language": language.op4_language,
     "op1_quality": quality.op1_quality,
     "op6_private_data": private_data.op6_private_data,
