@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language, private_data, quality, secrets
+from . import byte_bpe, exact_dedup, language, packing, private_data, quality, secrets
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_language": language.op4_language,
     "op1_quality": quality.op1_quality,
+    "op5_packing": packing.op5_packing,
     "op6_private_data": private_data.op6_private_data,
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
