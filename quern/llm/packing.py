@@ -42,27 +42,42 @@ def _tokenizer(vocabulary: str) -> Tokenizer:
     return found
 
 
+def _units(word: bytes) -> tuple[bytes, bytes]:
+    """A word's lower-cased stem and the punctuation after it, which the tokenizer always splits from a letter."""
+    low = word.lower()
+    stem = low.rstrip(b".,!")
+    if len(stem) < len(low) and stem and stem.decode()[-1].lower().isalpha():
+        return stem, low[len(stem) :]
+    return low, b""
+
+
 class Encoder:
     """The tokenizer with a memory for words: no token of this vocabulary spans ASCII white space, so a text's ids are its words' ids."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.tokenizer = _tokenizer(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.units.clear()
         parts = [t.split() for t in texts]
         new = list(set().union(*parts) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, got))
+        split = [_units(w) for w in new]
+        units = list({u for pair in split for u in pair} - self.units.keys())
+        for i in range(0, len(units), 20_000):
+            some = units[i : i + 20_000]
+            got = self.tokenizer.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)
+            self.units.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, got))
+        self.known.update((w, self.units[a] + self.units[b]) for w, (a, b) in zip(new, split))
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for w in new:
             if len(w) > LONGEST:
-                del self.known[w]
+                self.known.pop(w)
+                self.units.pop(_units(w)[0], None)
         return out
 
 
