@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language, packing, private_data, quality, secrets
+from . import byte_bpe, exact_dedup, language, packing, private_data, quality, secrets, warc
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_warc": warc.op3_warc,
     "op4_language": language.op4_language,
     "op1_quality": quality.op1_quality,
     "op5_packing": packing.op5_packing,
@@ -13,4 +14,4 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op3_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
