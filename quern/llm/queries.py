@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language, packing, private_data, quality, secrets, warc
+from . import byte_bpe, exact_dedup, jaccard_join, language, packing, private_data, quality, secrets, warc
 
 QUERIES = {
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_warc": warc.op3_warc,
     "op4_language": language.op4_language,
