@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, jaccard_join, language, packing, private_data, quality, secrets, warc
+from . import byte_bpe, exact_dedup, jaccard_join, language, lm_score, packing, private_data, quality, secrets, warc
 
 QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
@@ -14,5 +14,6 @@ QUERIES = {
     "op6_private_data": private_data.op6_private_data,
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_lm_score": lm_score.op9_lm_score,
 }
 ORACLES = {"op3_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
