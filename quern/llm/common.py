@@ -42,6 +42,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(saved_rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Saved rows, marked for broadcast if they are few; beyond that the join shuffles."""
+    return F.broadcast(saved_rows) if saved_rows.limit(most + 1).count() <= most else saved_rows
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

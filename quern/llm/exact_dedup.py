@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, small, table
 
 #: A digest is frequent when at least one of so many rows has it; no more than this many digests can be.
 HOT_SHARE = 16_384
@@ -106,14 +106,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; one row of each group, also of rows that repeat an id."""
-    _, _, winners = _winners(docs, id_col, text_col)
+    rows, _, winners = _winners(docs, id_col, text_col)
+    top = rows.select(*_KEY, _rank(F.col("q_chars"), F.col("q_id")).alias("q_rank")).join(winners.withColumnRenamed("q_rank", "q_best"), _KEY)
+    gone = saved(top.where("q_rank != q_best").select("q_sha", "q_rank").distinct())
     text = F.col(text_col)
-    norm = normalised(text)
     marked = docs.withColumns(
-        {"q_sha": F.sha2(norm.cast("binary"), 256), "q_rank": _rank(F.coalesce(F.length(text), F.lit(0)), F.col(id_col).cast("long"))}
+        {"q_sha": F.sha2(normalised(text).cast("binary"), 256), "q_rank": _rank(F.coalesce(F.length(text), F.lit(0)), F.col(id_col).cast("long"))}
     )
-    keep = winners.select("q_sha", "q_rank")
-    return marked.join(keep, ["q_sha", "q_rank"], "left_semi").dropDuplicates(["q_sha", "q_rank"]).select(*docs.columns)
+    kept = marked.join(small(gone), ["q_sha", "q_rank"], "left_anti")
+    if top.where("q_rank = q_best").groupBy("q_sha", "q_rank").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["q_sha", "q_rank"])  # rows that repeat the id, too
+    return kept.select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

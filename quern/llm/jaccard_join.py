@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, saved, table, utf8
+from .common import mapped, pieces, saved, small, table, utf8
 
 WIDTH = 5
 PERCENT = 80
@@ -229,17 +229,20 @@ def _items(blobs: list[bytes]) -> np.ndarray:
     return found[np.argsort(found["h"])]
 
 
-_POSTING = "anchor binary, token long, sig binary, n long, unlinked boolean, central double"
+#: rest: shingles of the difference set from this one on; weight and leader as in ``Threshold.prefix``.
+_POSTING = "anchor binary, token long, sig binary, rest long, weight long, leader long, unlinked boolean, central double"
+_POSTING_KINDS = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+_POSTING_NAMES = ["anchor", "token", "sig", "rest", "weight", "leader", "unlinked", "central"]
 
 
-def _postings(anchor: bytes, sig: bytes, n: int, tokens: np.ndarray, keys: np.ndarray, alone: int, weight: int, leader: int, t: Threshold) -> list[tuple]:
+def _postings(anchor: bytes, sig: bytes, tokens: np.ndarray, keys: np.ndarray, alone: int, weight: int, leader: int, t: Threshold) -> list[tuple]:
     """The prefix of one difference set. ``alone``: its shingles that no other class has, the first of the order."""
     p, unlinked = t.prefix(len(tokens) + alone, weight, leader)
     if p <= alone:
         return []
     order = np.lexsort((tokens, keys))[: p - alone]
     central = float(keys.sum()) / (len(tokens) + alone)
-    return [(anchor, x, sig, n, unlinked, central) for x in tokens[order].view(np.int64).tolist()]
+    return [(anchor, x, sig, len(tokens) - i, weight, leader, unlinked, central) for i, x in enumerate(tokens[order].view(np.int64).tolist())]
 
 
 def _first_postings(survivors: DataFrame, t: Threshold) -> DataFrame:
@@ -248,10 +251,9 @@ def _first_postings(survivors: DataFrame, t: Threshold) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 own = _items(r["items"])
-                rows += _postings(b"", r["sig"], r["n"], own["h"], own["df"].astype(np.int64), r["n"] - len(own), t.a * r["n"], 0, t)
+                rows += _postings(b"", r["sig"], own["h"], own["df"].astype(np.int64), r["n"] - len(own), t.a * r["n"], 0, t)
             if rows:
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["anchor", "token", "sig", "n", "unlinked", "central"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _POSTING_KINDS)], names=_POSTING_NAMES)
 
         return step
 
@@ -261,21 +263,28 @@ def _first_postings(survivors: DataFrame, t: Threshold) -> DataFrame:
 def _candidates(postings: DataFrame, most: int, t: Threshold) -> DataFrame:
     """x, y, star: pairs to compare. Of large buckets the leader (x) with each member, of the others every pair."""
     key = ["anchor", "token"]
+    # What two members can still share from their first common shingle on must reach what their weights ask for; the
+    # lightest member of the bucket asks for the least.
+    asked = lambda w, v, leader: w + v - (t.b - t.a) * leader
+    lightest = postings.groupBy(*key).agg(F.min("weight").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
+    able = postings.join(lightest, key).where(F.col("rest") * t.s >= asked(F.col("weight"), F.col("least"), F.col("leader"))).drop("least")
     buckets = (
-        postings.groupBy(*key)
-        .agg(F.count("*").alias("members"), F.max("unlinked").alias("some"), F.max_by("sig", F.struct("central", "sig")).alias("leader"))
+        able.groupBy(*key)
+        .agg(F.count("*").alias("members"), F.max("unlinked").alias("some"), F.max_by("sig", F.struct("central", "sig")).alias("head"))
         .where("members > 1 and some")
         .drop("some")
     )
-    member = postings.join(buckets, key)
-    star = member.where((F.col("members") > most) & (F.col("sig") != F.col("leader"))).select(F.col("leader").alias("x"), F.col("sig").alias("y")).distinct().withColumn("star", F.lit(True))
+    member = able.join(buckets, key)
+    star = member.where((F.col("members") > most) & (F.col("sig") != F.col("head"))).select(F.col("head").alias("x"), F.col("sig").alias("y")).distinct().withColumn("star", F.lit(True))
     if most < 2:
         return star
-    # Many buckets have the same members: each set of members once, then its pairs, of which there are fewer than most ** 2 / 2.
-    groups = member.where(F.col("members") <= most).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("sig", "n", "unlinked"))).alias("group")).select("group").distinct()
-    pairs = groups.select(F.explode(F.flatten(F.transform("group", lambda p, i: F.transform(F.slice("group", i + 2, F.size("group")), lambda q: F.struct(p.alias("p"), q.alias("q"))))))).select("col.p", "col.q")
-    near = F.least("p.n", "q.n") * t.b >= F.greatest("p.n", "q.n") * t.a
-    direct = pairs.where((F.col("p.unlinked") | F.col("q.unlinked")) & near).select(F.col("p.sig").alias("x"), F.col("q.sig").alias("y")).distinct().withColumn("star", F.lit(False))
+    # A bucket of a bounded size: every pair of it.
+    groups = member.where(F.col("members") <= most).groupBy(*key).agg(F.collect_list(F.struct("sig", "rest", "weight", "leader", "unlinked")).alias("found"))
+    group = F.sort_array("found")
+    can = lambda p, q: (p["unlinked"] | q["unlinked"]) & (F.least(p["rest"], q["rest"]) * t.s >= asked(p["weight"], q["weight"], p["leader"]))
+    pair = lambda p, q: F.struct(p["sig"].alias("x"), q["sig"].alias("y"))
+    pairs = F.flatten(F.transform("group", lambda p, i: F.transform(F.filter(F.slice("group", i + 2, F.size("group")), lambda q: can(p, q)), lambda q: pair(p, q))))
+    direct = groups.select(group.alias("group")).select(F.explode(pairs).alias("pair")).select("pair.x", "pair.y").distinct().withColumn("star", F.lit(False))
     return star.unionByName(direct)
 
 
@@ -294,7 +303,7 @@ def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame
                         last, x = r["x"], _items(r["i_x"])
                     y = _items(r["i_y"])
                     _, in_x, in_y = np.intersect1d(x["h"], y["h"], assume_unique=True, return_indices=True)
-                    rows.append((None, None, r["x"], r["n_x"], t.linked(len(in_x), r["n_x"], r["n_y"]), None, r["y"]))
+                    rows.append((None, None, r["x"], None, None, None, t.linked(len(in_x), r["n_x"], r["n_y"]), None, r["y"]))
                     if not r["star"]:
                         continue
                     gone, more = np.ones(len(x), bool), np.ones(len(y), bool)
@@ -308,9 +317,8 @@ def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame
                     keys = np.concatenate([top - gone["df"].astype(np.int64), np.full(lone, top), more["df"].astype(np.int64)])
                     weight = t.b * (len(gone) + lone) + t.a * (len(more) + alone)
                     if len(tokens) + alone:
-                        rows += [(*p, None) for p in _postings(r["x"], r["y"], r["n_y"], tokens, keys, alone, weight, r["n_x"], t)]
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.float64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["anchor", "token", "sig", "n", "unlinked", "central", "other"])
+                        rows += [(*p, None) for p in _postings(r["x"], r["y"], tokens, keys, alone, weight, r["n_x"], t)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (*_POSTING_KINDS, pa.binary()))], names=[*_POSTING_NAMES, "other"])
 
         return step
 
@@ -373,8 +381,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, whose id is the least of its component; rows without an id stay."""
-    gone = jaccard_components(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = saved(jaccard_components(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
