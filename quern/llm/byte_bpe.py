@@ -17,6 +17,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 from .common import mapped, pieces, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces that one recursive query contracts, and that a partition remembers.
-ROUND, REMEMBERED = 50_000, 600_000
+#: Distinct pieces that one recursive query contracts, and that a Python worker
+#: remembers from task to task.
+ROUND, REMEMBERED = 50_000, 800_000
 #: ``\s`` of the tokenizer's pattern engine (Unicode White_Space); Python's own differs at U+001C to U+001F.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -120,7 +122,8 @@ class Codec:
     def encode(self, texts: list[str]) -> list[str]:
         """For each text its ids as decimals joined by commas."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            # pieces that came first are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         parts = [self.split(t) for t in texts]
         self._learn(list(set().union(*parts) - self.known.keys()))
         return [",".join(map(self.known.__getitem__, p)) for p in parts]
@@ -137,6 +140,11 @@ class Codec:
         return out
 
 
+@lru_cache(maxsize=1)
+def _codec(vocabulary: str) -> Codec:
+    return Codec(vocabulary)
+
+
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per input row: doc_id, ids (little-endian 32-bit), n_tokens, ids_sha256, decoded (the bytes), decoded_sha256.
 
@@ -145,7 +153,7 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     """
 
     def make():
-        codec = Codec(vocabulary)
+        codec = _codec(vocabulary)
 
         def step(batch: pa.RecordBatch):
             for part in pieces(batch, "text", 2 << 20):

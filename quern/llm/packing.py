@@ -11,7 +11,10 @@ one). The pieces are then numbered within their length, in salted groups, and lo
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -26,8 +29,8 @@ from .common import mapped, pieces, saved, table, utf8
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
-#: Distinct words that a partition remembers, and the longest word that it does.
-REMEMBERED, LONGEST = 500_000, 64
+#: Distinct words that a Python worker remembers from task to task, and the longest word that it does.
+REMEMBERED, LONGEST = 800_000, 64
 #: Rows that share a salt within a length, about.
 ROWS_PER_SALT = 500_000
 
@@ -42,45 +45,69 @@ def _tokenizer(vocabulary: str) -> Tokenizer:
     return found
 
 
-def _units(word: bytes) -> tuple[bytes, bytes]:
-    """A word's lower-cased stem and the punctuation after it, which the tokenizer always splits from a letter."""
-    low = word.lower()
-    stem = low.rstrip(b".,!")
-    if len(stem) < len(low) and stem and stem.decode()[-1].lower().isalpha():
-        return stem, low[len(stem) :]
-    return low, b""
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+_MARKS = frozenset(b".,!")
 
 
 class Encoder:
-    """The tokenizer with a memory for words: no token of this vocabulary spans ASCII white space, so a text's ids are its words' ids."""
+    """The tokenizer with a memory for words.
+
+    No token of this vocabulary spans ASCII white space, so a text's ids are its words' ids. Capital letters are as small
+    ones to it, and it always splits marks after a letter off; so a word is its lower-cased stem and the marks.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.tokenizer = _tokenizer(vocabulary)
         self.known: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, plain, made = self.known, set(), []
+        for word in words:
+            low = word.lower()
+            if low[-1] in _MARKS and (stem := low.rstrip(b".,!")) and stem.decode()[-1].lower().isalpha():
+                made.append((word, stem, low[len(stem) :]))
+                plain.add(stem)
+                plain.add(made[-1][2])
+            else:
+                plain.add(low)
+                if low != word:
+                    made.append((word, low, b""))
+        new = [w for w in plain if w not in known]
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            known.update(zip(some, [_bytes(e.ids) for e in got]))
+        known[b""] = b""
+        for word, stem, marks in made:
+            known[word] = known[stem] + known[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.units.clear()
+            # words that came first are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         parts = [t.split() for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        split = [_units(w) for w in new]
-        units = list({u for pair in split for u in pair} - self.units.keys())
-        for i in range(0, len(units), 20_000):
-            some = units[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)
-            self.units.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, got))
-        self.known.update((w, self.units[a] + self.units[b]) for w, (a, b) in zip(new, split))
+        new = set().union(*parts)
+        new.difference_update(self.known)
+        self._learn(new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > LONGEST:
-                self.known.pop(w)
-                self.units.pop(_units(w)[0], None)
+        for w in [w for w in new if len(w) > LONGEST]:
+            for own in (w, w.lower(), w.lower().rstrip(b".,!")):
+                self.known.pop(own, None)
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A text's ids are followed by the id ``END``.
 
@@ -88,7 +115,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     """
 
     def make():
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         end = np.array([END], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch):
