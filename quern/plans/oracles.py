@@ -123,7 +123,7 @@ pick{k} AS (SELECT part, x[1] AS doc_idx, x[2] AS rules FROM ({pick(f"counts{k}"
 set1 AS (SELECT p.* FROM parted p JOIN seed USING (part, doc_idx)), {counted(1, "set1")},
 -- a seed that is picked again counts twice: the second copy gets a number of its own
 set2 AS (SELECT * FROM set1 UNION ALL SELECT p.part, p.doc_idx + 1000000000, p.label, p.pos, p.item FROM parted p JOIN pick1 USING (part, doc_idx)), {counted(2, "set2")}
-SELECT part, 0 AS step, doc_idx, NULL::BIGINT AS rules FROM seed
+SELECT part, 0 AS step, doc_idx, 0::BIGINT AS rules FROM seed
 UNION ALL SELECT part, 1, doc_idx, rules FROM pick1
 UNION ALL SELECT a.part, 2, a.doc_idx, a.rules FROM pick2 a JOIN pick1 b USING (part) WHERE a.doc_idx != b.doc_idx"""
 

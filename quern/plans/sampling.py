@@ -4,7 +4,8 @@ Every partition starts with its most representative document, the seed, which do
 the last chosen document to the statistics, counts the rules of every document against them, and takes the document with
 the fewest (then with the smaller df sum, then the greater number). A document that was taken before ends the partition.
 
-One Spark job a round serves all partitions. A chosen document changes only the statistics of its own subsets, so a
+Where every partition has at most ``local_documents`` documents (a checked count), a partition's rounds run in one task,
+which saves a job for each round. Beyond that one Spark job a round serves all partitions. A chosen document changes only the statistics of its own subsets, so a
 round sends the executors the changed rule counts of those subsets (a few hundred for each partition), and every
 document adds up the changes among the items it shares with the chosen one: no shuffle but the final minimum.
 """
@@ -15,6 +16,7 @@ import tempfile
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,49 @@ class _Statistics:
         return changed
 
 
-def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001, min_sup: int = 1, max_rule_size: int = 4, classes: int = 2, rounds: int | None = None) -> DataFrame:
-    """part, step, doc_idx, rules, repeated: the documents in the order they were taken; step 0 is the seed (rules null).
+_PICKS = "part int, step int, doc_idx int, rules long, repeated boolean"
+#: Documents of a partition whose rounds may run in one task.
+LOCAL_DOCUMENTS = 20_000
+
+
+def _partition_rounds(rows: pd.DataFrame, statistics: _Statistics, rounds: int | None) -> list[tuple]:
+    """(step, doc_idx, rules, repeated) of one partition of checked size."""
+    docs = {r.doc_idx: (sorted(r.items), int(r.label), int(r.df_sum)) for r in rows.itertuples(index=False, name="Row")}
+    holders: dict[str, list[int]] = {}
+    for doc, (items, _, _) in docs.items():
+        for x in items:
+            holders.setdefault(x, []).append(doc)
+    counts = dict.fromkeys(docs, 0)
+    pick = max(docs, key=lambda d: (docs[d][2], d))
+    out, taken = [(0, pick, 0, False)], set()
+    while rounds is None or len(out) <= rounds:
+        items, label, _ = docs[pick]
+        changed = {tuple(s): d for s, d in statistics.add(items, label)}
+        shared: dict[int, list[str]] = {}
+        for x in items:
+            for doc in holders[x]:
+                shared.setdefault(doc, []).append(x)
+        for doc, own in shared.items():
+            counts[doc] += sum(changed.get(s, 0) for k in statistics.sizes for s in combinations(own, k))
+        pick = min(docs, key=lambda d: (counts[d], docs[d][2], -d))
+        out.append((len(out), pick, counts[pick], pick in taken))
+        if pick in taken:
+            break
+        taken.add(pick)
+    return out
+
+
+def _local(rows: DataFrame, new_statistics, rounds: int | None) -> DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_partition_rounds(frame, new_statistics(), rounds), columns=["step", "doc_idx", "rules", "repeated"])
+        found.insert(0, "part", frame["part"].iloc[0])
+        return found
+
+    return rows.groupBy("part").applyInPandas(run, _PICKS)
+
+
+def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001, min_sup: int = 1, max_rule_size: int = 4, classes: int = 2, rounds: int | None = None, local_documents: int = LOCAL_DOCUMENTS) -> DataFrame:
+    """part, step, doc_idx, rules, repeated: the documents in the order they were taken; step 0 is the seed.
 
     ``docs`` has part, doc_idx, label, items; ``sums`` part, doc_idx, df_sum. The last row of a converged partition has
     ``repeated``: the document whose second choice ended it, which is not taken again. ``rounds`` stops early.
@@ -68,9 +111,12 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
     spark: SparkSession = docs.sparkSession
     sizes = antecedents(max_rule_size)
     state = _saved(docs.join(sums, ["part", "doc_idx"]).select("part", "doc_idx", "label", F.sort_array("items").alias("items"), "df_sum", F.lit(0).cast("long").alias("rules")))
+    largest = state.groupBy("part").count().agg(F.max("count")).first()[0]
+    if largest is None or largest <= local_documents:
+        return _local(state.drop("rules"), lambda: _Statistics(sizes, min_conf, min_sup, classes), rounds)
     row = F.struct("doc_idx", "label", "items", "rules")
     picks = {r["part"]: r["x"] for r in state.groupBy("part").agg(F.max_by(row, F.struct("df_sum", "doc_idx")).alias("x")).collect()}
-    out = [(part, 0, x["doc_idx"], None, False) for part, x in sorted(picks.items())]
+    out = [(part, 0, x["doc_idx"], 0, False) for part, x in sorted(picks.items())]
     taken: dict[int, set[int]] = {part: set() for part in picks}
     known = {part: _Statistics(sizes, min_conf, min_sup, classes) for part in picks}
     step = 0
@@ -95,7 +141,7 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
                 picks[part] = x
         if len(picks) < len(best):
             state = state.where(F.col("part").isin(*picks)) if picks else state
-    return spark.createDataFrame(out, "part int, step int, doc_idx int, rules long, repeated boolean")
+    return spark.createDataFrame(out, _PICKS)
 
 
 def partition_summary(picks: DataFrame) -> DataFrame:
