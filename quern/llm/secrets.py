@@ -28,7 +28,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % WINDOW)
 _CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+\Z")), ("alnum", re.compile(r"[A-Za-z0-9]+\Z")))
 #: Strings that look random but are not secrets.
 _ALLOWED = re.compile(
