@@ -387,3 +387,29 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS found FROM d
+), classes AS (
+  SELECT min(doc_id) AS low, found FROM s WHERE len(found) > 0 GROUP BY found
+), each AS (
+  SELECT low, len(found) AS n, unnest(found) AS g FROM classes
+), links AS (
+  SELECT a.low AS x, b.low AS y FROM each a JOIN each b ON a.g = b.g AND a.low < b.low
+  GROUP BY a.low, b.low, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT low AS node, low AS root FROM classes
+  UNION
+  SELECT r.node, e.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) e ON e.x = r.root
+), lowest AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.found) AS n_shingles, coalesce(l.root, s.doc_id) AS component_id
+FROM s LEFT JOIN classes c ON s.found = c.found LEFT JOIN lowest l ON l.node = c.low
+"""

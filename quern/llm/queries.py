@@ -16,4 +16,4 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_lm_score": lm_score.op9_lm_score,
 }
-ORACLES = {"op3_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op3_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
