@@ -26,6 +26,7 @@ A text's set holds its distinct shingles of ``WIDTH`` words (64-bit hashes). Two
 from __future__ import annotations
 
 import hashlib
+import struct
 from math import gcd
 from zlib import crc32
 
@@ -39,8 +40,9 @@ from .common import mapped, pieces, saved, small, table, utf8
 
 WIDTH = 5
 PERCENT = 80
-#: Shingles that one fragment should hold, about; the number of fragments follows the input.
+#: Shingles that one fragment should hold, about; the number of fragments follows the input, from ``FRAGMENTS`` on.
 FRAGMENT_SHINGLES = 2_000_000
+FRAGMENTS = 64
 #: In round r of step 4, buckets of at most so many times 2**r members are compared pair by pair.
 PAIRWISE = 8
 
@@ -200,8 +202,8 @@ def _fragment(blobs: list[bytes]) -> tuple[list[bytes], list[int], list[int], li
     return sig, n[who].tolist(), (ends - first).tolist(), [items[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
 
 
-def _shared(segments: DataFrame, fragments: int) -> DataFrame:
-    """sig, n, k (shared shingles in a fragment), items (their hashes and document frequencies)."""
+def _shared(segments: DataFrame, fragments: int, parts: int) -> DataFrame:
+    """dest, blob: of one fragment, the classes of one destination with their shared shingles."""
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -209,18 +211,35 @@ def _shared(segments: DataFrame, fragments: int) -> DataFrame:
             for name, blob in zip(batch.column("fragment").to_pylist(), batch.column("blob").to_pylist()):
                 held.setdefault(name, []).append(blob)
         for name in sorted(held):
-            sig, n, k, items = _fragment(held.pop(name))
-            for at in range(0, len(sig), 20_000):
-                to = at + 20_000
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at:to], pa.binary()), pa.array(n[at:to], pa.int64()), pa.array(k[at:to], pa.int64()), pa.array(items[at:to], pa.binary())], names=["sig", "n", "k", "items"])
+            out: dict[int, list[bytes]] = {}
+            for sig, n, k, items in zip(*_fragment(held.pop(name))):
+                out.setdefault(crc32(sig) % parts, []).append(sig + struct.pack("<II", n, k) + items)
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int32()), pa.array([b"".join(x) for x in out.values()], pa.binary())], names=["dest", "blob"])
 
-    return segments.repartition(fragments, "fragment").mapInArrow(run, "sig binary, n long, k long, items binary")
+    return segments.repartition(fragments, "fragment").mapInArrow(run, "dest int, blob binary")
 
 
-def _survivors(shared: DataFrame, t: Threshold) -> DataFrame:
+def _survivors(shared: DataFrame, parts: int, t: Threshold) -> DataFrame:
     """sig, n, items: the classes that share enough of their set to have a partner."""
-    whole = shared.groupBy("sig").agg(F.max("n").alias("n"), F.sum("k").alias("k"), F.collect_list("items").alias("items"))
-    return whole.where(F.col("k") * t.b >= F.col("n") * t.a).select("sig", "n", "items")
+
+    def run(batches):
+        held: dict[bytes, list] = {}
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                at = 0
+                while at < len(blob):
+                    sig, (n, k) = blob[at : at + 16], struct.unpack_from("<II", blob, at + 16)
+                    at += 16 + 8
+                    own = held.setdefault(sig, [n, 0])
+                    own[1] += k
+                    own.append(blob[at : at + k * _ITEM.itemsize])
+                    at += k * _ITEM.itemsize
+        rows = [(sig, own[0], own[2:]) for sig, own in held.items() if own[1] * t.b >= own[0] * t.a]
+        for at in range(0, len(rows), 2_000):
+            sig, n, items = zip(*rows[at : at + 2_000])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.binary()))], names=["sig", "n", "items"])
+
+    return shared.repartition(parts, "dest").mapInArrow(run, "sig binary, n long, items array<binary>")
 
 
 def _items(blobs: list[bytes]) -> np.ndarray:
@@ -354,9 +373,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = saved(_sets(own, width))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fragments = max(parts, -(-total // FRAGMENT_SHINGLES))
+    fragments = max(FRAGMENTS, parts, -(-total // FRAGMENT_SHINGLES))
     named = own.where("doc_id is not null")
-    survivors = saved(_survivors(_shared(_segments(named, width, fragments), fragments), t))
+    survivors = saved(_survivors(_shared(_segments(named, width, fragments), fragments, parts), parts, t))
 
     links = None
     postings = _first_postings(survivors, t)
