@@ -55,7 +55,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -136,7 +136,7 @@ def _segments(docs: DataFrame, width: int, fragments: int) -> DataFrame:
         sent: set[bytes] = set()
 
         def step(batch: pa.RecordBatch):
-            for part in pieces(batch, "text", 16 << 20):
+            for part in pieces(batch, "text"):
                 sigs, sets = [], []
                 for text in utf8(part.column("text")):
                     found = shingles(text, words, width)
