@@ -1,16 +1,16 @@
 """Language-model scores: a hidden Markov model trained by Baum-Welch, next to an add-one unigram model.
 
 Tokens are the words of a text in lower case (A-Z only) and one end token. All counts are exact, over every training
-row, with any number of distinct words:
+row, with any number of distinct words, and every word has emissions of its own in each state:
 
-* the *head*, at most ``HEAD`` frequent words, has numbers; its counts are vectors that add up. Which words are in the
-  head is read off a bounded sample (``SAMPLE_DOCS``) and changes only the cost and the model's resolution, no count;
-* all other words, the *tail*, go to fragments by their hash. A fragment counts its words over all rows and answers
-  each text with its sum of log10(count + 1) and its number of known words.
+* the *head*, the ``HEAD`` most frequent words of all training rows, has numbers; its counts are vectors that add up;
+* all other words, the *tail*, go to fragments by their hash. A fragment numbers its words, sums their counts over all
+  rows and answers each piece of text with the sums of the piece's words: the plain counts first, then, after every
+  round, the expected counts of all states but the last, which has the rest of the plain count.
 
-The hidden states emit head words, the end token and one class for the tail; a tail word has the probability of the
-class times its add-one share of the tail. Baum-Welch counts are summed over partitions, all training rows in each of
-``ROUNDS`` rounds. The score is the exact likelihood of the whole text by the scaled forward recursion.
+So the size of the head changes only the cost. Words that no training row has share one add-one count. Baum-Welch counts
+are summed over partitions, all training rows in each of ``ROUNDS`` rounds. The score is the exact likelihood of the
+whole text by the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -21,49 +21,31 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import fold, mapped, pieces, saved, table, utf8
+from .common import fold, pieces, saved, table, utf8
 from .hmm import Counts, Hmm, log_likelihood
 
-#: Words with numbers of their own, at most. A fixed size, whatever the input.
+#: Words with numbers of their own, at most. A fixed size, whatever the input; it changes the cost, not the result.
 HEAD = 1 << 17
-#: Texts that the head is chosen from, at most: those with the smallest hash of their id.
-SAMPLE_DOCS = 10_000
 STATES = 4
 ROUNDS = 2
 #: Text bytes whose tail words one fragment should get, about.
 FRAGMENT_BYTES = 64 << 20
+#: Text bytes of a piece, about, and of the pieces of one task.
+PIECE_BYTES = 4 << 20
+TASK_BYTES = 32 << 20
+#: Tokens of the texts that advance together, about.
+TOGETHER = 300_000
 #: Token numbers in one slice of the summed counts.
 SLICE = 2048
-END, TAIL = 0, 1
+END = 0
 
 
-class Vocabulary:
-    """Numbers of the head words; the end token is 0 and every other word 1."""
-
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        self.size = len(words) + 2
-
-    def encoder(self):
-        number = {w: i + 2 for i, w in enumerate(self.words)}.get
-
-        def encode(text: bytes) -> tuple[list[bytes], np.ndarray]:
-            words = text.lower().split()
-            ids = np.ones(len(words) + 1, np.int64)
-            ids[:-1] = np.fromiter((number(w, TAIL) for w in words), np.int64, len(words))
-            ids[-1] = END
-            return words, ids
-
-        return encode
-
-
-def _head(docs: DataFrame, most: int, sample_docs: int) -> list[bytes]:
-    picked = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+def _head(train: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words of all rows and their counts."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -72,14 +54,21 @@ def _head(docs: DataFrame, most: int, sample_docs: int) -> list[bytes]:
                 for text in utf8(part.column("text")):
                     seen.update(text.lower().split())
                 if len(seen) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
                     seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text").mapInArrow(run, "word binary, n long")
-    # words seen once in the sample are left to the tail
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r["word"]) for r in top.toLocalIterator()]
+    counts = train.select("text").mapInArrow(run, "word binary, n long")
+    top = [(bytes(r["word"]), r["n"]) for r in counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).toLocalIterator()]
+    return [w for w, _ in top], np.array([n for _, n in top], float)
+
+
+def _packed(raw: bytes) -> bytes:
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _raw(blob: bytes) -> bytes:
+    return pa.decompress(blob[4:], int(np.frombuffer(blob, "<u4", 1)[0]), "zstd", asbytes=True)
 
 
 def _sliced(total: np.ndarray) -> list[tuple[int, bytes]]:
@@ -87,186 +76,267 @@ def _sliced(total: np.ndarray) -> list[tuple[int, bytes]]:
     out = []
     rows = np.flatnonzero(total.any(1))
     for own in np.split(rows, np.flatnonzero(np.diff(rows // SLICE)) + 1) if len(rows) else []:
-        out.append((int(own[0]) // SLICE, np.uint32(len(own)).tobytes() + (own % SLICE).astype("<u4").tobytes() + total[own].astype("<f8").tobytes()))
+        out.append((int(own[0]) // SLICE, np.uint32(len(own)).tobytes() + (own % SLICE).astype("<u4").tobytes() + total[own].astype("<f4").tobytes()))
     return out
 
 
-def _added(blobs: list[bytes], width: int) -> bytes:
-    total = np.zeros((SLICE, width))
-    for blob in blobs:
-        n = int(np.frombuffer(blob, "<u4", 1)[0])
-        total[np.frombuffer(blob, "<u4", n, 4)] += np.frombuffer(blob, "<f8", -1, 4 + 4 * n).reshape(n, width)
-    return _sliced(total)[0][1] if total.any() else np.uint32(0).tobytes()
+def _add(total: np.ndarray, blob: bytes) -> None:
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    total[np.frombuffer(blob, "<u4", n, 4)] += np.frombuffer(blob, "<f4", -1, 4 + 4 * n).reshape(n, -1)
 
 
-def _summed(rows: DataFrame, width: int, size: int) -> np.ndarray:
-    """The sum of sliced matrices (columns slice, blob) of all tasks; the result has the fixed size of the model."""
+def _encoded(docs: DataFrame, words, fragments: int) -> DataFrame:
+    """kind 0: a piece of texts (key, doc_ids, blob); kind 1: its distinct tail words of a fragment and their training counts.
 
-    def run(batches):
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for name, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist()):
-                own = held.setdefault(name, [])
-                own.append(blob)
-                if len(own) >= 64:
-                    held[name] = [_added(own, width)]
-        done = [(name, _added(own, width)) for name, own in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())], names=["slice", "blob"])
-
-    total = np.zeros((-(-size // SLICE) * SLICE, width))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for r in rows.repartition(parts, "slice").mapInArrow(run, "slice int, blob binary").toLocalIterator():
-        n = int(np.frombuffer(r["blob"], "<u4", 1)[0])
-        own = np.frombuffer(r["blob"], "<u4", n, 4)
-        total[own + r["slice"] * SLICE] += np.frombuffer(r["blob"], "<f8", -1, 4 + 4 * n).reshape(n, width)
-    return total[:size]
-
-
-def _tallied(docs: DataFrame, vocabulary, fragments: int) -> DataFrame:
-    """kind 0: (slice, blob) of head counts; kind 1: (fragment, blob) of the tail words of a piece, with its name."""
+    Token numbers are 0 for the end token, then the head, then the tail words of the piece, fragment by fragment.
+    """
 
     def run(batches):
-        encode = vocabulary.value.encoder()
-        counts = np.zeros((vocabulary.value.size, 1))
-        partition, piece = TaskContext.get().partitionId(), 0
+        number = {w: i + 1 for i, w in enumerate(words.value)}.get
+        size = len(words.value) + 1
+        key = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in pieces(batch, "text"):
-                words_of: list[list[bytes]] = [[] for _ in range(fragments)]
-                docs_of: list[list[int]] = [[] for _ in range(fragments)]
+            for part in pieces(batch, "text", PIECE_BYTES):
+                local: dict[bytes, int] = {}
                 train = np.array(part.column("train").to_pylist(), bool)
-                names = []
-                for i, text in enumerate(utf8(part.column("text"))):
-                    names.append(xxhash.xxh3_128_digest(text))
-                    words, ids = encode(text)
-                    if train[i]:
-                        np.add.at(counts[:, 0], ids, 1)
-                    for j in np.flatnonzero(ids[:-1] == TAIL).tolist():
-                        at = crc32(words[j]) % fragments
-                        words_of[at].append(words[j])
-                        docs_of[at].append(i)
-                blobs = []
-                for at in range(fragments):
-                    if at == piece % fragments or words_of[at]:
-                        # one fragment, another for each piece, also carries the names of the texts
-                        own = b"".join(names) if at == piece % fragments else b""
-                        head = np.array([partition, piece, len(names), len(docs_of[at]), len(own)], "<u4")
-                        blobs.append((at, head.tobytes() + train.tobytes() + np.array(docs_of[at], "<u4").tobytes() + own + b" ".join(words_of[at])))
-                piece += 1
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(blobs), pa.int32()), pa.array([a for a, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["kind", "slice", "blob"])
-        own = _sliced(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(own), pa.int32()), pa.array([a for a, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names=["kind", "slice", "blob"])
-
-    return docs.select("text", "train").mapInArrow(run, "kind int, slice int, blob binary")
-
-
-def _unpacked(blob: bytes) -> tuple[tuple[int, int, int], np.ndarray, np.ndarray, bytes, list[bytes]]:
-    partition, piece, docs, entries, names = (int(x) for x in np.frombuffer(blob, "<u4", 5))
-    at = 20 + docs
-    train = np.frombuffer(blob, bool, docs, 20)
-    owner = np.frombuffer(blob, "<u4", entries, at)
-    at += 4 * entries
-    return (partition, piece, docs), train, owner, blob[at : at + names], blob[at + names :].split(b" ") if entries else []
-
-
-def _answered(tallied: DataFrame, fragments: int) -> DataFrame:
-    """Fragments count their words; one row for each piece: partition, piece, blob of its texts' sums. Row -1: totals."""
+                flat, lens = [], []
+                for text in utf8(part.column("text")):
+                    own = [number(w) or local.setdefault(w, size + len(local)) for w in text.lower().split()]
+                    flat.append(np.array([*own, END], np.int64))
+                    lens.append(len(own) + 1)
+                ids, tail = np.concatenate(flat), list(local)
+                hashes = np.fromiter((crc32(w) for w in tail), np.int64, len(tail))
+                at = hashes % fragments
+                order = np.argsort(at, kind="stable")
+                place = np.empty(len(tail), np.int64)
+                place[order] = np.arange(len(tail))
+                ids[ids >= size] = size + place[ids[ids >= size] - size]
+                n = np.bincount(ids[np.repeat(train, lens)], minlength=size + len(tail))[size:].astype("<u4")
+                names, first = np.unique(at[order], return_index=True)
+                bounds = np.append(first, len(tail))
+                head = np.array([len(lens), len(tail), len(names)], "<u4")
+                blob = head.tobytes() + np.concatenate([names, np.diff(bounds), lens, ids]).astype("<u4").tobytes() + train.tobytes() + (hashes[order] % STATES).astype("u1").tobytes()
+                rows = [(0, key, None, part.column("doc_id").to_pylist(), _packed(blob))]
+                for name, a, b in zip(names.tolist(), bounds, bounds[1:]):
+                    rows.append((1, key, name, None, _packed(np.uint32(b - a).tobytes() + n[a:b].tobytes() + b" ".join(tail[i] for i in order[a:b]))))
+                key += 1
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "key", "fragment", "doc_ids", "blob"])
+
+    return docs.mapInArrow(run, "kind int, key long, fragment int, doc_ids array<long>, blob binary")
+
+
+class _Piece:
+    """One row of kind 0, with the answers of the fragments to it."""
+
+    def __init__(self, blob: bytes, size: int):
+        blob = _raw(blob)
+        docs, self.tail, names = (int(x) for x in np.frombuffer(blob, "<u4", 3))
+        at = 12
+        self.fragments, count, self.lens = (np.frombuffer(blob, "<u4", n, at + 4 * k).astype(np.int64) for n, k in ((names, 0), (names, names), (docs, 2 * names)))
+        at += 8 * names + 4 * docs
+        self.bounds = np.append(0, np.cumsum(count))
+        self.flat = np.frombuffer(blob, "<u4", int(self.lens.sum()), at).astype(np.int64)
+        at += 4 * len(self.flat)
+        self.train = np.frombuffer(blob, bool, docs, at)
+        self.lean = np.frombuffer(blob, "u1", self.tail, at + docs)
+        self.size = size
+
+    def blocks(self, picked: np.ndarray):
+        """Token numbers of the picked texts, some ``TOGETHER`` at a time."""
+        own, held = [], 0
+        for yes, ids in zip(picked.tolist(), np.split(self.flat, np.cumsum(self.lens)[:-1])):
+            if yes:
+                if own and held + len(ids) > TOGETHER:
+                    yield own
+                    own, held = [], 0
+                own.append(ids)
+                held += len(ids)
+        if own:
+            yield own
+
+    def answered(self, answers: list[dict] | None, kind: str, width: int) -> np.ndarray:
+        """tail words x width"""
+        out = np.zeros((self.tail, width), kind)
+        found = {x["fragment"]: x["blob"] for x in answers or []}
+        for name, a, b in zip(self.fragments.tolist(), self.bounds, self.bounds[1:]):
+            out[a:b] = np.frombuffer(found[name], kind).reshape(width, b - a).T
+        return out
+
+
+def _numbered(asked: DataFrame, fragments: int) -> DataFrame:
+    """Fragments number the words that the pieces name and sum their counts; key, fragment, blob of (number, count) a word.
+
+    Key -1: the number of words that have a count, the sum of counts, and the add-one counts by the states words lean to.
+    """
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, dict[int, bytes]] = {}
         for batch in batches:
-            for name, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist()):
-                held.setdefault(name, []).append(blob)
-        total = tokens = 0
+            for name, key, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "key", "blob"))):
+                held.setdefault(name, {})[key] = blob
+        total = np.zeros(2 + STATES)
         for name in sorted(held):
-            counts: dict[bytes, int] = {}
-            for blob in held[name]:
-                _, train, owner, _, words = _unpacked(blob)
-                for w, yes in zip(words, train[owner].tolist()):
-                    if yes:
-                        counts[w] = counts.get(w, 0) + 1
-            total += len(counts)
-            tokens += sum(counts.values())
-            rows = []
-            for blob in held.pop(name):
-                (partition, piece, docs), _, owner, names, words = _unpacked(blob)
-                c = np.fromiter((counts.get(w, 0) for w in words), np.int64, len(words))
-                sums = np.stack([np.bincount(owner, minlength=docs), np.bincount(owner, c > 0, docs), np.bincount(owner, np.log10(c + 1.0), docs)])
-                rows.append((partition, piece, names, sums.astype("<f8").tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            for at in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 500]), kinds)], names=["part", "piece", "names", "sums"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([total, tokens], "<f8").tobytes()], pa.binary())], names=["part", "piece", "names", "sums"])
-
-    return tallied.where("kind = 1").repartition(fragments, "slice").mapInArrow(run, "part int, piece int, names binary, sums binary")
-
-
-def _tails(answers: DataFrame) -> DataFrame:
-    """name (digest of a text), tail_tokens, tail_known, tail_log (sum of log10(count + 1)); one row for each text."""
+            number: dict[bytes, int] = {}
+            index, counts = {}, []
+            for key, blob in sorted(held.pop(name).items()):
+                raw = _raw(blob)
+                n = int(np.frombuffer(raw, "<u4", 1)[0])
+                index[key] = np.array([number.setdefault(w, len(number)) for w in raw[4 + 4 * n :].split(b" ")], np.int64)
+                counts.append(np.frombuffer(raw, "<u4", n, 4))
+            sums = np.bincount(np.concatenate(list(index.values())), np.concatenate(counts), len(number)).astype(np.int64)
+            seen = sums > 0
+            leans = np.fromiter((crc32(w) % STATES for w in number), np.int64, len(number))
+            total += [seen.sum(), sums.sum(), *np.bincount(leans[seen], sums[seen] + 1, STATES)]
+            keys = list(index)
+            for at in range(0, len(keys), 100):
+                own = keys[at : at + 100]
+                blobs = [np.stack([index[k], sums[index[k]]]).astype("<u4").tobytes() for k in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([name] * len(own), pa.int32()), pa.array(blobs, pa.binary())], names=["key", "fragment", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["key", "fragment", "blob"])
+
+    return asked.select("fragment", "key", "blob").repartition(fragments, "fragment").mapInArrow(run, "key long, fragment int, blob binary")
+
+
+def _answered(sent: DataFrame, fragments: int) -> DataFrame:
+    """Fragments sum the expected counts that pieces send (numbers, then counts) and answer with the sums of their words.
+
+    Rows of key -1 are slices of the head's counts; they are summed by slice.
+    """
 
     def run(batches):
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, dict[int, bytes]] = {}
+        heads: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, piece, names, sums in zip(*(c.to_pylist() for c in batch.columns)):
-                own = held.setdefault((part, piece), [b"", 0.0])
-                own[0] = names or own[0]
-                own[1] = own[1] + np.frombuffer(sums, "<f8").reshape(3, -1)
-        for names, sums in held.values():
-            each = [names[i : i + 16] for i in range(0, len(names), 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], names=["name", "tail_tokens", "tail_known", "tail_log"])
+            for name, key, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "key", "blob"))):
+                if key < 0:
+                    _add(heads.setdefault(name, np.zeros((SLICE, STATES))), blob)
+                else:
+                    held.setdefault(name, {})[key] = blob
+        names = ["key", "fragment", "blob"]
+        for name, total in heads.items():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([name], pa.int32()), pa.array([_sliced(total)[0][1]], pa.binary())], names=names)
+        for name in sorted(held):
+            own = sorted(held.pop(name).items())
+            words = [len(blob) // (4 * STATES) for _, blob in own]
+            index = [np.frombuffer(blob, "<u4", n) for (_, blob), n in zip(own, words)]
+            sums = np.zeros((max(int(x.max()) for x in index) + 1, STATES - 1))
+            for (_, blob), at, n in zip(own, index, words):
+                sums[at] += np.frombuffer(blob, "<f4", -1, 4 * n).reshape(n, STATES - 1)
+            for at in range(0, len(own), 100):
+                some = range(at, min(at + 100, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in some], pa.int64()), pa.array([name] * len(some), pa.int32()), pa.array([sums[index[i]].T.astype("<f4").tobytes() for i in some], pa.binary())], names=names)
+
+    return sent.repartition(fragments, "fragment").mapInArrow(run, "key long, fragment int, blob binary")
+
 
-    parts = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = answers.where("part >= 0").repartition(parts, "part", "piece").mapInArrow(run, "name binary, tail_tokens long, tail_known long, tail_log double")
-    return rows.groupBy("name").agg(*(F.max(c).alias(c) for c in ("tail_tokens", "tail_known", "tail_log")))
+def _by_piece(answers: DataFrame, name: str, parts: int) -> DataFrame:
+    """One row for each piece."""
+    return answers.where("key >= 0").repartition(parts, "key").groupBy("key").agg(F.collect_list(F.struct("fragment", "blob")).alias(name))
 
 
 class Trained:
     """The unigram totals, the head's counts and the hidden Markov model; of a fixed size."""
 
-    def __init__(self, vocabulary: Vocabulary, counts: np.ndarray, tail_types: int, tail_tokens: int):
-        self.vocabulary, self.counts = vocabulary, counts
-        self.tokens = int(counts[END] + counts[2:].sum()) + tail_tokens
-        self.types = int((counts[END] > 0) + (counts[2:] > 0).sum()) + tail_types
-        #: log10 of the denominator of a tail word's share of the tail
-        self.tail_size = math.log10(tail_tokens + tail_types + 1)
-        self.log_of = np.log10(counts + 1.0)
-        self.log_of[TAIL] = 0.0
-        self.known = counts > 0
-        self.known[TAIL] = False
-        smooth = counts + 1.0
-        self.unigram = smooth / smooth.sum()
-        # states start out with preferences for words by frequency band and hash, and like to stay
-        k = np.arange(STATES)
-        lean = np.array([crc32(w) % STATES for w in (b"", b"*", *vocabulary.words)])
-        emit = self.unigram[None, :] * np.where(lean[None, :] == k[:, None], 3.0, 1.0)
-        move = np.full((STATES, STATES), 0.4 / STATES) + 0.6 * np.eye(STATES)
-        self.model = Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
-
-    def improve(self, counts: Counts) -> None:
+    def __init__(self, words: list[bytes], counts: np.ndarray, tail: np.ndarray):
+        self.counts, self.size = counts, len(counts)
+        types, tokens, mass = int(tail[0]), int(tail[1]), tail[2:]
+        self.tokens = int(counts.sum()) + tokens
+        self.types = int((counts > 0).sum()) + types
+        #: words with emissions: those seen, the end token (always) and one for all words that were not seen
+        self.space = len(words) + types + 2
+        self.lean = np.array([crc32(w) % STATES for w in (b"", *words)])
+        self.leaning = True
+        # states start out with preferences for words by their hash, and like to stay
+        self.below = self._leaning(counts, self.lean).sum(0) + mass.sum() + 2 * mass + 1
+        self.start = np.full(STATES, 1 / STATES)
+        self.move = np.full((STATES, STATES), 0.4 / STATES) + 0.6 * np.eye(STATES)
+        self.of_head = self.emissions(counts, None, self.lean)
+
+    def _leaning(self, n: np.ndarray, lean: np.ndarray) -> np.ndarray:
+        return (n + 1)[:, None] * np.where((lean[:, None] == np.arange(STATES)) & (n > 0)[:, None], 3.0, 1.0)
+
+    def emissions(self, n: np.ndarray, expected: np.ndarray | None, lean: np.ndarray) -> np.ndarray:
+        """Words x states, from counts (before the first round) or expected counts by state."""
+        top = self._leaning(n, lean) if self.leaning else expected + self.share
+        return (top / self.below).astype(np.float32)
+
+    def improve(self, counts: Counts, tail_visits: np.ndarray) -> None:
         # add one for every word, shared out over the states by how often they are visited
-        visits = counts.emit.sum(0) + 1e-9
-        emit = counts.emit.T + (visits / visits.sum())[:, None]
+        visits = counts.emit.sum(0) + tail_visits + 1e-9
+        self.share = visits / visits.sum()
+        self.leaning, self.below = False, visits + self.share * self.space
         move, start = counts.move + 0.1, counts.start + 0.1
-        self.model = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        self.start, self.move = start / start.sum(), move / move.sum(1, keepdims=True)
+        self.of_head = self.emissions(self.counts, counts.emit, self.lean)
 
+    def hmm(self, piece: _Piece, n: np.ndarray, answers: list[dict] | None) -> Hmm:
+        """The model over the head and the tail words of a piece."""
+        expected = None
+        if not self.leaning:
+            own = piece.answered(answers, "<f4", STATES - 1).astype(float)
+            expected = np.column_stack([own, np.maximum(n - own.sum(1), 0)])
+        return Hmm(self.start, self.move, np.concatenate([self.of_head, self.emissions(n, expected, piece.lean)]).T)
 
-def _expected(docs: DataFrame, shared) -> DataFrame:
-    """Baum-Welch counts of every task, sliced; the last slice holds first states and moves."""
+
+def _expected(joined: DataFrame, shared) -> DataFrame:
+    """Baum-Welch counts. Key -1: those of a task's head, sliced (fragment is the slice; the last one holds first states,
+    moves and visits of tail words); other keys: those of a piece's tail words, by fragment."""
 
     def run(batches):
         trained: Trained = shared.value
-        encode, size = trained.vocabulary.encoder(), trained.vocabulary.size
-        counts = Counts(STATES, size)
+        size = trained.size
+        all_counts, tail_visits = Counts(STATES, size), np.zeros(STATES)
+        names = ["key", "fragment", "blob"]
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
-                counts.add(trained.model, [encode(t)[1] for t in utf8(part.column("text"))])
-        extra = np.concatenate([counts.move, counts.start[None], np.full((1, STATES), counts.log)])
-        own = _sliced(counts.emit) + [(-(-size // SLICE) + k, b) for k, b in _sliced(extra)]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names=["slice", "blob"])
+            for i in range(batch.num_rows):
+                key, blob, plain, state = (batch.column(c)[i].as_py() for c in ("key", "blob", "plain", "state"))
+                piece = _Piece(blob, size)
+                number, n = piece.answered(plain, "<u4", 2).T
+                model = trained.hmm(piece, n.astype(float), state)
+                counts = Counts(STATES, size + piece.tail)
+                for block in piece.blocks(piece.train):
+                    counts.add(model, block)
+                all_counts.emit += counts.emit[:size]
+                all_counts.move += counts.move
+                all_counts.start += counts.start
+                all_counts.log += counts.log
+                tail_visits += counts.emit[size:].sum(0)
+                own = counts.emit[size:, :-1].astype("<f4")
+                blobs = [number[a:b].tobytes() + own[a:b].tobytes() for a, b in zip(piece.bounds, piece.bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(blobs), pa.int64()), pa.array(piece.fragments.tolist(), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        extra = np.concatenate([all_counts.move, all_counts.start[None], tail_visits[None], np.full((1, STATES), all_counts.log)])
+        own = _sliced(all_counts.emit) + [(-(-size // SLICE) + k, b) for k, b in _sliced(extra)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(own), pa.int64()), pa.array([a for a, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names=names)
+
+    return joined.select("key", "blob", "plain", "state").mapInArrow(run, "key long, fragment int, blob binary")
+
+
+def _scored(joined: DataFrame, shared) -> DataFrame:
+    def run(batches):
+        trained: Trained = shared.value
+        per_token = math.log10(trained.tokens + trained.types + 1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blob, plain, state, doc_ids = (batch.column(c)[i].as_py() for c in ("blob", "plain", "state", "doc_ids"))
+                piece = _Piece(blob, trained.size)
+                n = piece.answered(plain, "<u4", 2)[:, 1].astype(float)
+                model = trained.hmm(piece, n, state)
+                found = np.concatenate([log_likelihood(model, block) for block in piece.blocks(np.ones(len(piece.lens), bool))])
+                seen = np.concatenate([trained.counts, n])[piece.flat]
+                first = np.cumsum(piece.lens) - piece.lens
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_ids, pa.int64()), pa.array(~piece.train), pa.array(piece.lens), pa.array(np.add.reduceat((seen > 0).astype(np.int64), first)),
+                        pa.array(np.add.reduceat(np.log10(seen + 1.0), first) - piece.lens * per_token), pa.array(found / math.log(10)),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                )
 
-    return docs.select("text").mapInArrow(run, "slice int, blob binary")
+    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
+def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, held_out (not ``among``), n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts have the end token only. Ids may be null or repeat. Without a training row every count is 0
@@ -274,56 +344,30 @@ def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), among.alias("train"))
-    vocabulary = Vocabulary(_head(own, head, sample_docs))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FRAGMENT_BYTES)
-    known = spark.sparkContext.broadcast(vocabulary)
-    tallied = _tallied(own, known, fragments)
-    counts = _summed(tallied.where("kind = 0").select("slice", "blob"), 1, vocabulary.size)[:, 0]
-    answers = saved(_answered(tallied, fragments))
-    types = tokens = 0
-    for r in answers.where("part = -1").groupBy().agg(F.collect_list("sums").alias("x")).collect():
-        for x in r["x"]:
-            a, b = np.frombuffer(x, "<f8")
-            types, tokens = types + int(a), tokens + int(b)
-    trained = Trained(vocabulary, counts, types, tokens)
-    slices = -(-vocabulary.size // SLICE)
+    words, counts = _head(own.where("train"), head)
+    size, ends = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fragments, parts = max(parts, size // FRAGMENT_BYTES), max(parts, size // TASK_BYTES)
+    encoded = saved(_encoded(own, spark.sparkContext.broadcast(words), fragments))
+    texts = encoded.where("kind = 0").select("key", "doc_ids", "blob").repartition(parts, "key")
+    plain = saved(_numbered(encoded.where("kind = 1"), fragments))
+    tail = sum((np.frombuffer(r["blob"], "<f8") for r in plain.where("key < 0").toLocalIterator()), np.zeros(2 + STATES))
+    trained = Trained(words, np.append(float(ends), counts), tail)
+    with_plain = texts.join(_by_piece(plain, "plain", parts), "key", "left")
+    joined = with_plain.withColumn("state", F.lit(None).cast("array<struct<fragment:int,blob:binary>>"))
+    slices = -(-trained.size // SLICE)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(trained)
-        total = _summed(_expected(own.where("train"), shared), STATES, (slices + 1) * SLICE)
-        found = Counts(STATES, vocabulary.size)
-        extra = total[slices * SLICE :]
-        found.emit, found.move, found.start = total[: vocabulary.size], extra[:STATES], extra[STATES]
-        trained.improve(found)
-    shared = spark.sparkContext.broadcast(trained)
-
-    def make():
-        model: Trained = shared.value
-        encode = model.vocabulary.encoder()
-        per_token = math.log10(model.tokens + model.types + 1)
-
-        def step(batch: pa.RecordBatch):
-            for part in pieces(batch, "text", 2 << 20):
-                texts = utf8(part.column("text"))
-                ids = [encode(t)[1] for t in texts]
-                n = np.array([len(x) for x in ids])
-                flat, first = np.concatenate(ids), np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array([not x for x in part.column("train").to_pylist()], pa.bool_()),
-                        pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(n, pa.int64()),
-                        pa.array(np.add.reduceat(model.known[flat].astype(np.int64), first)), pa.array(np.add.reduceat(model.log_of[flat], first) - n * per_token),
-                        pa.array(log_likelihood(model.model, ids) / math.log(10) - np.add.reduceat((flat == TAIL).astype(np.int64), first) * model.tail_size),
-                    ],
-                    names=["doc_id", "held_out", "name", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-        return step
-
-    scored = mapped(own, make, "doc_id long, held_out boolean, name binary, n_tokens long, n_known long, base_score double, score double")
-    return scored.join(_tails(answers), "name").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("tail_known")).alias("n_known"), F.lit(trained.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("tail_log")).alias("base_score"), (F.col("score") + F.col("tail_log")).alias("score"),
+        state = saved(_answered(_expected(joined, spark.sparkContext.broadcast(trained)), fragments))
+        total = np.zeros((slices + 1, SLICE, STATES))
+        for r in state.where("key < 0").toLocalIterator():
+            _add(total[r["fragment"]], r["blob"])
+        found = Counts(STATES, trained.size)
+        found.emit, (found.move, start, visits) = total[:-1].reshape(-1, STATES)[: trained.size], np.split(total[-1, : STATES + 2], [STATES, STATES + 1])
+        found.start = start[0]
+        joined = with_plain.join(_by_piece(state, "state", parts), "key", "left")
+        trained.improve(found, visits[0])
+    return _scored(joined, spark.sparkContext.broadcast(trained)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

@@ -278,3 +278,28 @@ def test_lm_score(docs, rows, empty, head):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     if head == 1000:
         assert lm_score.train_and_score(empty, F.lit(True)).count() == 0
+
+
+def test_lm_score_words_of_all_training_rows(spark, docs, rows):
+    """Which words have numbers changes no score, and each word has emissions of its own by state."""
+    train = lm_score.fold(F.col("doc_id"), 7) != 2
+    small, large = (sorted((r["n_tokens"], r["score"], r["doc_id"] or -1) for r in lm_score.train_and_score(docs, train, head=head).collect()) for head in (4, 1000))
+    assert len(small) == len(rows) and np.allclose([x[1] for x in small], [x[1] for x in large], rtol=1e-4)
+    # brute force: a model over every word of the training rows, and one class for the others
+    texts = [[w.encode().lower() for w in _words(r[1])] + [b""] for r in rows]
+    trains = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2 for r in rows]
+    c = Counter(w for t, yes in zip(texts, trains) if yes for w in t)
+    number = {w: i for i, w in enumerate(sorted(c))}
+    ids = [np.array([number.get(w, len(c)) for w in t]) for t in texts]
+    k, n = np.arange(4), np.array([c[w] for w in sorted(c)] + [0])
+    lean = np.array([zlib.crc32(w) % 4 for w in sorted(c)] + [-1])
+    emit = (n + 1) * np.where(lean == k[:, None], 3.0, 1.0)
+    model = hmm.Hmm(np.full(4, 0.25), np.full((4, 4), 0.1) + 0.6 * np.eye(4), emit / emit.sum(1, keepdims=True))
+    for _ in range(2):
+        found = hmm.Counts(4, len(n))
+        found.add(model, [x for x, yes in zip(ids, trains) if yes])
+        emit = found.emit.T + (found.emit.sum(0) / found.emit.sum())[:, None]
+        move, start = found.move + 0.1, found.start + 0.1
+        model = hmm.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    want = sorted((len(x), y / math.log(10), r[0] or -1) for x, y, r in zip(ids, hmm.log_likelihood(model, ids), rows))
+    assert np.allclose([x[1] for x in small], [x[1] for x in want], rtol=1e-4)
