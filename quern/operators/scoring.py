@@ -21,7 +21,8 @@ def lazy_rules(train: DataFrame, test: DataFrame, sizes: range, min_conf: float
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(f"n_c{c}").alias("n_c")) for c in range(classes))))
     rules = found.select("itemset", "size", "n", each.alias("x")).where(((F.col("size") == 1) | (F.col("n") >= min_sup)) & reaches(F.col("x.n_c"), F.col("n"), min_conf)).select("itemset", "x.label", (F.col("x.n_c") / F.col("n")).alias("conf"))
     own = itemsets(test.select("test_idx", F.sort_array("items").alias("items")), sizes)
-    matched = own.join(rules, "itemset").groupBy("test_idx", "label").agg(F.count("*").alias("n_rules"), F.sum("conf").alias("sum_conf"))
+    # sizes after explode are guessed too low: neither side may be broadcast
+    matched = own.join(rules.hint("merge"), "itemset").groupBy("test_idx", "label").agg(F.count("*").alias("n_rules"), F.sum("conf").alias("sum_conf"))
     grid = test.select("test_idx", F.explode(F.array(*(F.lit(c) for c in range(classes)))).alias("label"))
     return grid.join(matched, ["test_idx", "label"], "left").select("test_idx", "label", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("sum_conf", F.lit(0.0)).alias("sum_conf"))
 

@@ -29,6 +29,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def whole_too(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Register ``f`` as its SQL has it, over a part of the table, and as NAME_whole over all of it (``whole``)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, True)
+
+    QUERIES[f"{f.__name__}_whole"] = run
+    return query(f)
+
+
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_idx", "label", F.size("items").alias("n_items"), F.array_join("items", " ").alias("items_text"))
 
@@ -291,81 +301,81 @@ def reduced_set_lines(spark, sf_dir):
     return T.to_lines(_reduced(spark, sf_dir))
 
 
-def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test documents over the positions of the first partition; every fifth document is a test."""
-    docs = I.part_documents(_parted(spark, sf_dir).where("part = 0"))
+def _split(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Training and test documents over all positions, or those of the first partition; every fifth document is a test."""
+    docs = I.part_documents(_parted(spark, sf_dir, 1) if whole else _parted(spark, sf_dir).where("part = 0"))
     test = docs.where(F.col("doc_idx") % 5 == 0).select((F.col("doc_idx") / 5).cast("int").alias("test_idx"), "label", "items")
     return docs.where(F.col("doc_idx") % 5 != 0), test
 
 
-def _lazy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _lazy(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(test documents, their rules, scores of the classes)."""
-    train, test = _split(spark, sf_dir)
-    rules = S.lazy_rules(train, test, LAZY_SIZES)
+    train, test = _split(spark, sf_dir, whole)
+    rules = S.lazy_rules(train, test, SIZES if whole else LAZY_SIZES)
     return test, rules, S.class_scores(rules)
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test, rules, scores = _lazy(spark, sf_dir)
+def _predicted(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    test, rules, scores = _lazy(spark, sf_dir, whole)
     return S.predictions(test, rules, S.ordered_labels(scores))
 
 
-@query
-def lazy_rules(spark, sf_dir):
-    return _lazy(spark, sf_dir)[1].withColumn("sum_conf", F.round("sum_conf", 6))
+@whole_too
+def lazy_rules(spark, sf_dir, whole=False):
+    return _lazy(spark, sf_dir, whole)[1].withColumn("sum_conf", F.round("sum_conf", 6))
 
 
-@query
-def class_scores(spark, sf_dir):
-    return _lazy(spark, sf_dir)[2].withColumn("score", F.round("score", 6))
+@whole_too
+def class_scores(spark, sf_dir, whole=False):
+    return _lazy(spark, sf_dir, whole)[2].withColumn("score", F.round("score", 6))
 
 
-@query
-def ordered_labels(spark, sf_dir):
-    return S.ordered_labels(_lazy(spark, sf_dir)[2])
+@whole_too
+def ordered_labels(spark, sf_dir, whole=False):
+    return S.ordered_labels(_lazy(spark, sf_dir, whole)[2])
 
 
-@query
-def lazy_predictions(spark, sf_dir):
-    return _predicted(spark, sf_dir)
+@whole_too
+def lazy_predictions(spark, sf_dir, whole=False):
+    return _predicted(spark, sf_dir, whole)
 
 
-@query
-def ranking_score(spark, sf_dir):
-    return S.ranking_score(_lazy(spark, sf_dir)[2]).withColumn("value", F.round("value", 6))
+@whole_too
+def ranking_score(spark, sf_dir, whole=False):
+    return S.ranking_score(_lazy(spark, sf_dir, whole)[2]).withColumn("value", F.round("value", 6))
 
 
-@query
-def prediction_entropy(spark, sf_dir):
-    return S.prediction_entropy(_lazy(spark, sf_dir)[2]).withColumn("value", F.round("value", 6))
+@whole_too
+def prediction_entropy(spark, sf_dir, whole=False):
+    return S.prediction_entropy(_lazy(spark, sf_dir, whole)[2]).withColumn("value", F.round("value", 6))
 
 
-@query
-def prediction_lines(spark, sf_dir):
-    test, rules, scores = _lazy(spark, sf_dir)
+@whole_too
+def prediction_lines(spark, sf_dir, whole=False):
+    test, rules, scores = _lazy(spark, sf_dir, whole)
     return S.prediction_lines(S.predictions(test, rules, S.ordered_labels(scores)), S.ranking_score(scores), S.prediction_entropy(scores))
 
 
-@query
-def eval_counts(spark, sf_dir):
-    return S.eval_counts(_predicted(spark, sf_dir))
+@whole_too
+def eval_counts(spark, sf_dir, whole=False):
+    return S.eval_counts(_predicted(spark, sf_dir, whole))
 
 
-@query
-def eval_per_class(spark, sf_dir):
-    found = S.eval_per_class(S.eval_counts(_predicted(spark, sf_dir)))
+@whole_too
+def eval_per_class(spark, sf_dir, whole=False):
+    found = S.eval_per_class(S.eval_counts(_predicted(spark, sf_dir, whole)))
     return found.select("label", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
 
 
-@query
-def eval_summary(spark, sf_dir):
-    found = S.eval_summary(S.eval_counts(_predicted(spark, sf_dir)))
+@whole_too
+def eval_summary(spark, sf_dir, whole=False):
+    found = S.eval_summary(S.eval_counts(_predicted(spark, sf_dir, whole)))
     return found.select(*(F.round(c, 6).alias(c) for c in ("acc", "macro_f1")))
 
 
-@query
-def eval_running(spark, sf_dir):
-    found = S.eval_running(_predicted(spark, sf_dir))
+@whole_too
+def eval_running(spark, sf_dir, whole=False):
+    found = S.eval_running(_predicted(spark, sf_dir, whole))
     return found.select("seq", *(F.round(c, 6).alias(c) for c in ("acc", "macro_f1")))
 
 
