@@ -54,8 +54,13 @@ def _parted(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> D
     return I.feature_partitions(T.tx_embeddings(spark, sf_dir), I.feature_order(spark), partitions)
 
 
-def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.part_documents(_parted(spark, sf_dir).where(F.col("doc_idx") < CHOSEN))
+def _first(parted: DataFrame, whole: bool) -> DataFrame:
+    """The chosen documents: all, as selective sampling takes them on the embeddings, or the first ``CHOSEN``."""
+    return parted if whole else parted.where(F.col("doc_idx") < CHOSEN)
+
+
+def _chosen(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    return I.part_documents(_first(_parted(spark, sf_dir), whole))
 
 
 def _sums(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> DataFrame:
@@ -63,9 +68,9 @@ def _sums(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> Dat
     return I.doc_df_sum(I.feature_partitions(long, I.feature_order(spark), partitions), I.item_df(long))
 
 
-def _counts(spark: SparkSession, sf_dir: str, sizes: range = SIZES, min_conf: float = MIN_CONF, min_sup: int = MIN_SUP) -> DataFrame:
-    """Rule counts of all documents against the first ``CHOSEN``, over antecedents of ``sizes``."""
-    found = R.supports(_chosen(spark, sf_dir), range(1, sizes.stop))
+def _counts(spark: SparkSession, sf_dir: str, whole: bool, sizes: range = SIZES, min_conf: float = MIN_CONF, min_sup: int = MIN_SUP) -> DataFrame:
+    """Rule counts of all documents against the chosen ones, over antecedents of ``sizes``."""
+    found = R.supports(_chosen(spark, sf_dir, whole), range(1, sizes.stop))
     return R.rule_counts(I.part_documents(_parted(spark, sf_dir)), found, sizes, min_conf, min_sup)
 
 
@@ -187,77 +192,77 @@ def most_representative_orders(spark, sf_dir):
     return I.most_representative(I.doc_df_sum(long.withColumn("part", F.lit(0)), I.item_df(long)))
 
 
-@query
-def current_items(spark, sf_dir):
+@whole_too
+def current_items(spark, sf_dir, whole=False):
     parted = _parted(spark, sf_dir)
-    return I.current_items(parted, parted.where(F.col("doc_idx") < CHOSEN))
+    return I.current_items(parted, _first(parted, whole))
 
 
-@query
-def project_on_current(spark, sf_dir):
+@whole_too
+def project_on_current(spark, sf_dir, whole=False):
     parted = _parted(spark, sf_dir)
-    cut = I.project_on(parted, I.current_items(parted, parted.where(F.col("doc_idx") < CHOSEN)))
+    cut = I.project_on(parted, I.current_items(parted, _first(parted, whole)))
     return cut.groupBy("part", "doc_idx").agg(F.count("*").alias("n_projected"))
 
 
-def _itemsets(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    found = R.supports(_chosen(spark, sf_dir), range(size, size + 1))
+def _itemsets(spark: SparkSession, sf_dir: str, whole: bool, size: int) -> DataFrame:
+    found = R.supports(_chosen(spark, sf_dir, whole), range(size, size + 1))
     return found.select("part", *(F.col("itemset")[i].alias("abc"[i]) for i in range(size)), "n", "n_c0", "n_c1")
 
 
-@query
-def itemsets2_support(spark, sf_dir):
-    return _itemsets(spark, sf_dir, 2)
+@whole_too
+def itemsets2_support(spark, sf_dir, whole=False):
+    return _itemsets(spark, sf_dir, whole, 2)
 
 
-@query
-def itemsets3_support(spark, sf_dir):
-    return _itemsets(spark, sf_dir, 3)
+@whole_too
+def itemsets3_support(spark, sf_dir, whole=False):
+    return _itemsets(spark, sf_dir, whole, 3)
 
 
-@query
-def rules_size2(spark, sf_dir):
-    return R.rules_size2(R.supports(_chosen(spark, sf_dir), range(1, 2)))
+@whole_too
+def rules_size2(spark, sf_dir, whole=False):
+    return R.rules_size2(R.supports(_chosen(spark, sf_dir, whole), range(1, 2)))
 
 
-@query
-def rule_count_size2(spark, sf_dir):
-    return _counts(spark, sf_dir, range(1, 2))
+@whole_too
+def rule_count_size2(spark, sf_dir, whole=False):
+    return _counts(spark, sf_dir, whole, range(1, 2))
 
 
-@query
-def rule_count_size3(spark, sf_dir):
-    return _counts(spark, sf_dir, range(2, 3))
+@whole_too
+def rule_count_size3(spark, sf_dir, whole=False):
+    return _counts(spark, sf_dir, whole, range(2, 3))
 
 
-@query
-def rule_count_size4(spark, sf_dir):
-    return _counts(spark, sf_dir, range(3, 4))
+@whole_too
+def rule_count_size4(spark, sf_dir, whole=False):
+    return _counts(spark, sf_dir, whole, range(3, 4))
 
 
-@query
-def rule_counts(spark, sf_dir):
-    return _counts(spark, sf_dir)
+@whole_too
+def rule_counts(spark, sf_dir, whole=False):
+    return _counts(spark, sf_dir, whole)
 
 
-@query
-def rules_min_conf(spark, sf_dir):
-    return _counts(spark, sf_dir, min_conf=0.5)
+@whole_too
+def rules_min_conf(spark, sf_dir, whole=False):
+    return _counts(spark, sf_dir, whole, min_conf=0.5)
 
 
-@query
-def rules_min_sup(spark, sf_dir):
-    return _counts(spark, sf_dir, min_sup=3)
+@whole_too
+def rules_min_sup(spark, sf_dir, whole=False):
+    return _counts(spark, sf_dir, whole, min_sup=3)
 
 
-@query
-def least_representative(spark, sf_dir):
-    return R.least_representative(_counts(spark, sf_dir), _sums(spark, sf_dir))
+@whole_too
+def least_representative(spark, sf_dir, whole=False):
+    return R.least_representative(_counts(spark, sf_dir, whole), _sums(spark, sf_dir))
 
 
-@query
-def bitmap_support(spark, sf_dir):
-    return R.bitmap_support(_chosen(spark, sf_dir))
+@whole_too
+def bitmap_support(spark, sf_dir, whole=False):
+    return R.bitmap_support(_chosen(spark, sf_dir, whole))
 
 
 def _sampled(spark: SparkSession, sf_dir: str, rounds: int | None = None) -> DataFrame:
