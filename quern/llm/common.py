@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,27 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the one set on its context.
 
-    Only where that setting is missing (tests on one machine) a temporary folder takes its place.
+    Where neither is set, one process (``local[...]``, as in tests) gets a temporary folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if current := context.getCheckpointDir():
         return current.rsplit("/", 1)[0]
-    own = "file://" + tempfile.mkdtemp(prefix="quern-checkpoints-")
-    context.setCheckpointDir(own)
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-checkpoints-"))
     return context.getCheckpointDir().rsplit("/", 1)[0]
 
 
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    shared_dir(spark)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def saved_in_place(df: DataFrame) -> DataFrame:
+    """``saved`` that keeps the partitioning of ``df``, so a join on its key need not shuffle it again.
+
+    A plan under adaptive execution does not tell its partitioning; it is off while this one is planned.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return saved(df)
+    finally:
+        conf.set(name, before)
+
+
+def partition_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For every partition of ``repartition(parts, <long column>)`` the least number from 0 on that goes there.
+
+    Deals numbered work evenly: the hash of consecutive numbers would give some partitions several and others none.
+    """
+    found: dict[int, int] = {}
+    size = 16 * parts
+    while len(found) < parts:
+        rows = spark.range(size).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part")).groupBy("part").agg(F.min("id").alias("least"))
+        found = {r["part"]: r["least"] for r in rows.collect()}
+        size *= 2
+    return [found[k] for k in range(parts)]
+
+
 #: Rows of a few numbers each that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -68,10 +97,20 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable
         step = make()
         for batch in batches:
             yield from step(batch)
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Give freed memory back at the end of a task; workers live on and would hold it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in ``column``, one row at least; bounds a step's memory."""
     start, held = 0, 0

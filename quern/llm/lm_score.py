@@ -25,17 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import fold, pieces, saved, table, utf8
+from .common import fold, partition_keys, pieces, released, saved, saved_in_place, table, utf8
 from .hmm import Counts, Hmm, log_likelihood
 
 #: Words with numbers of their own, at most. A fixed size, whatever the input; it changes the cost, not the result.
 HEAD = 1 << 17
 STATES = 4
 ROUNDS = 2
-#: Text bytes whose tail words one fragment should get, about.
-FRAGMENT_BYTES = 64 << 20
-#: Text bytes of a piece, about, and of the pieces of one task.
-PIECE_BYTES = 4 << 20
+#: Text bytes of a piece, about, and of the pieces of one task; there are as many fragments as tasks.
+PIECE_BYTES = 8 << 20
 TASK_BYTES = 32 << 20
 #: Tokens of the texts that advance together, about.
 TOGETHER = 300_000
@@ -72,28 +70,39 @@ def _raw(blob: bytes) -> bytes:
 
 
 def _sliced(total: np.ndarray) -> list[tuple[int, bytes]]:
-    """(slice, blob) of the rows of a count matrix that are not zero: their numbers within the slice, then their values."""
+    """(slice, blob) of the rows of a count matrix that are not zero: their numbers within the slice (left out where all
+    rows are there), then their values."""
     out = []
     rows = np.flatnonzero(total.any(1))
     for own in np.split(rows, np.flatnonzero(np.diff(rows // SLICE)) + 1) if len(rows) else []:
-        out.append((int(own[0]) // SLICE, np.uint32(len(own)).tobytes() + (own % SLICE).astype("<u4").tobytes() + total[own].astype("<f4").tobytes()))
+        at = int(own[0]) // SLICE
+        if 4 * len(own) > 3 * SLICE:
+            own = np.arange(at * SLICE, min((at + 1) * SLICE, len(total)))
+        named = (own % SLICE).astype("<u4") if len(own) < SLICE else np.zeros(0, "<u4")
+        out.append((at, np.uint32(len(own)).tobytes() + named.tobytes() + total[own].astype("<f4").tobytes()))
     return out
 
 
 def _add(total: np.ndarray, blob: bytes) -> None:
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    total[np.frombuffer(blob, "<u4", n, 4)] += np.frombuffer(blob, "<f4", -1, 4 + 4 * n).reshape(n, -1)
+    if n == SLICE:
+        total += np.frombuffer(blob, "<f4", -1, 4).reshape(n, -1)
+    else:
+        total[np.frombuffer(blob, "<u4", n, 4)] += np.frombuffer(blob, "<f4", -1, 4 + 4 * n).reshape(n, -1)
 
 
-def _encoded(docs: DataFrame, words, fragments: int) -> DataFrame:
+def _encoded(docs: DataFrame, words, deal: list[int]) -> DataFrame:
     """kind 0: a piece of texts (key, doc_ids, blob); kind 1: its distinct tail words of a fragment and their training counts.
 
+    Rows are dealt by ``key``: a number of the piece's own for kind 0, ``deal[fragment]`` for kind 1 (``piece`` is the piece).
+
     Token numbers are 0 for the end token, then the head, then the tail words of the piece, fragment by fragment.
     """
 
     def run(batches):
         number = {w: i + 1 for i, w in enumerate(words.value)}.get
         size = len(words.value) + 1
+        fragments = len(deal)
         key = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch, "text", PIECE_BYTES):
@@ -116,14 +125,17 @@ def _encoded(docs: DataFrame, words, fragments: int) -> DataFrame:
                 bounds = np.append(first, len(tail))
                 head = np.array([len(lens), len(tail), len(names)], "<u4")
                 blob = head.tobytes() + np.concatenate([names, np.diff(bounds), lens, ids]).astype("<u4").tobytes() + train.tobytes() + (hashes[order] % STATES).astype("u1").tobytes()
-                rows = [(0, key, None, part.column("doc_id").to_pylist(), _packed(blob))]
+                rows = [(0, key, None, None, part.column("doc_id").to_pylist(), _packed(blob))]
                 for name, a, b in zip(names.tolist(), bounds, bounds[1:]):
-                    rows.append((1, key, name, None, _packed(np.uint32(b - a).tobytes() + n[a:b].tobytes() + b" ".join(tail[i] for i in order[a:b]))))
+                    rows.append((1, deal[name], key, name, None, _packed(np.uint32(b - a).tobytes() + n[a:b].tobytes() + b" ".join(tail[i] for i in order[a:b]))))
                 key += 1
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "key", "fragment", "doc_ids", "blob"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                columns = list(zip(*rows))
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 64], k) for x, k in zip(columns, kinds)], names=["kind", "key", "piece", "fragment", "doc_ids", "blob"])
+        released()
 
-    return docs.mapInArrow(run, "kind int, key long, fragment int, doc_ids array<long>, blob binary")
+    return docs.mapInArrow(run, "kind int, key long, piece long, fragment int, doc_ids array<long>, blob binary")
 
 
 class _Piece:
@@ -164,7 +176,7 @@ class _Piece:
         return out
 
 
-def _numbered(asked: DataFrame, fragments: int) -> DataFrame:
+def _numbered(asked: DataFrame) -> DataFrame:
     """Fragments number the words that the pieces name and sum their counts; key, fragment, blob of (number, count) a word.
 
     Key -1: the number of words that have a count, the sum of counts, and the add-one counts by the states words lean to.
@@ -173,7 +185,7 @@ def _numbered(asked: DataFrame, fragments: int) -> DataFrame:
     def run(batches):
         held: dict[int, dict[int, bytes]] = {}
         for batch in batches:
-            for name, key, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "key", "blob"))):
+            for name, key, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "piece", "blob"))):
                 held.setdefault(name, {})[key] = blob
         total = np.zeros(2 + STATES)
         for name in sorted(held):
@@ -195,10 +207,10 @@ def _numbered(asked: DataFrame, fragments: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([name] * len(own), pa.int32()), pa.array(blobs, pa.binary())], names=["key", "fragment", "blob"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["key", "fragment", "blob"])
 
-    return asked.select("fragment", "key", "blob").repartition(fragments, "fragment").mapInArrow(run, "key long, fragment int, blob binary")
+    return asked.select("fragment", "piece", "blob").mapInArrow(run, "key long, fragment int, blob binary")
 
 
-def _answered(sent: DataFrame, fragments: int) -> DataFrame:
+def _answered(sent: DataFrame, parts: int) -> DataFrame:
     """Fragments sum the expected counts that pieces send (numbers, then counts) and answer with the sums of their words.
 
     Rows of key -1 are slices of the head's counts; they are summed by slice.
@@ -210,7 +222,7 @@ def _answered(sent: DataFrame, fragments: int) -> DataFrame:
         for batch in batches:
             for name, key, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "key", "blob"))):
                 if key < 0:
-                    _add(heads.setdefault(name, np.zeros((SLICE, STATES))), blob)
+                    _add(heads.setdefault(name, np.zeros((SLICE, STATES - 1))), blob)
                 else:
                     held.setdefault(name, {})[key] = blob
         names = ["key", "fragment", "blob"]
@@ -227,12 +239,12 @@ def _answered(sent: DataFrame, fragments: int) -> DataFrame:
                 some = range(at, min(at + 100, len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in some], pa.int64()), pa.array([name] * len(some), pa.int32()), pa.array([sums[index[i]].T.astype("<f4").tobytes() for i in some], pa.binary())], names=names)
 
-    return sent.repartition(fragments, "fragment").mapInArrow(run, "key long, fragment int, blob binary")
+    return sent.repartition(parts, "dest").select("key", "fragment", "blob").mapInArrow(run, "key long, fragment int, blob binary")
 
 
 def _by_piece(answers: DataFrame, name: str, parts: int) -> DataFrame:
     """One row for each piece."""
-    return answers.where("key >= 0").repartition(parts, "key").groupBy("key").agg(F.collect_list(F.struct("fragment", "blob")).alias(name))
+    return answers.where("key >= 0").repartition(parts, "key").groupBy("key").agg(F.collect_list(F.struct("fragment", "blob")).alias(name)).hint("merge")
 
 
 class Trained:
@@ -262,6 +274,8 @@ class Trained:
         return (top / self.below).astype(np.float32)
 
     def improve(self, counts: Counts, tail_visits: np.ndarray) -> None:
+        # the last state has the rest of the plain count
+        counts.emit[:, -1] = np.maximum(self.counts - counts.emit[:, :-1].sum(1), 0)
         # add one for every word, shared out over the states by how often they are visited
         visits = counts.emit.sum(0) + tail_visits + 1e-9
         self.share = visits / visits.sum()
@@ -279,15 +293,21 @@ class Trained:
         return Hmm(self.start, self.move, np.concatenate([self.of_head, self.emissions(n, expected, piece.lean)]).T)
 
 
-def _expected(joined: DataFrame, shared) -> DataFrame:
-    """Baum-Welch counts. Key -1: those of a task's head, sliced (fragment is the slice; the last one holds first states,
-    moves and visits of tail words); other keys: those of a piece's tail words, by fragment."""
+def _expected(joined: DataFrame, shared, deal: list[int]) -> DataFrame:
+    """Baum-Welch counts of all states but the last. Key -1: those of a task's head, sliced (fragment is the slice; the last
+    one holds moves, first states, visits of tail words and the likelihood); other keys: those of a piece's tail words, by
+    fragment. ``dest`` deals the rows."""
 
     def run(batches):
         trained: Trained = shared.value
         size = trained.size
         all_counts, tail_visits = Counts(STATES, size), np.zeros(STATES)
-        names = ["key", "fragment", "blob"]
+        names = ["dest", "key", "fragment", "blob"]
+
+        def rows_of(keys: list[int], fragments: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+            dest = [deal[x % len(deal)] for x in fragments]
+            return pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 key, blob, plain, state = (batch.column(c)[i].as_py() for c in ("key", "blob", "plain", "state"))
@@ -304,12 +324,14 @@ def _expected(joined: DataFrame, shared) -> DataFrame:
                 tail_visits += counts.emit[size:].sum(0)
                 own = counts.emit[size:, :-1].astype("<f4")
                 blobs = [number[a:b].tobytes() + own[a:b].tobytes() for a, b in zip(piece.bounds, piece.bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(blobs), pa.int64()), pa.array(piece.fragments.tolist(), pa.int32()), pa.array(blobs, pa.binary())], names=names)
-        extra = np.concatenate([all_counts.move, all_counts.start[None], tail_visits[None], np.full((1, STATES), all_counts.log)])
-        own = _sliced(all_counts.emit) + [(-(-size // SLICE) + k, b) for k, b in _sliced(extra)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(own), pa.int64()), pa.array([a for a, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names=names)
+                yield rows_of([key] * len(blobs), piece.fragments.tolist(), blobs)
+        extra = np.concatenate([all_counts.move.ravel(), all_counts.start, tail_visits, [all_counts.log]])
+        extra = np.append(extra, np.zeros(-len(extra) % (STATES - 1))).reshape(-1, STATES - 1)
+        own = _sliced(all_counts.emit[:, :-1]) + [(-(-size // SLICE) + k, b) for k, b in _sliced(extra)]
+        yield rows_of([-1] * len(own), [x for x, _ in own], [x for _, x in own])
+        released()
 
-    return joined.select("key", "blob", "plain", "state").mapInArrow(run, "key long, fragment int, blob binary")
+    return joined.select("key", "blob", "plain", "state").mapInArrow(run, "dest long, key long, fragment int, blob binary")
 
 
 def _scored(joined: DataFrame, shared) -> DataFrame:
@@ -346,26 +368,28 @@ def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), among.alias("train"))
     words, counts = _head(own.where("train"), head)
     size, ends = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fragments, parts = max(parts, size // FRAGMENT_BYTES), max(parts, size // TASK_BYTES)
-    encoded = saved(_encoded(own, spark.sparkContext.broadcast(words), fragments))
-    texts = encoded.where("kind = 0").select("key", "doc_ids", "blob").repartition(parts, "key")
-    plain = saved(_numbered(encoded.where("kind = 1"), fragments))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    deal = partition_keys(spark, parts)
+    # one shuffle puts pieces and fragments in place; the checkpoint keeps the partitioning, so no round moves the texts
+    placed = saved_in_place(_encoded(own, spark.sparkContext.broadcast(words), deal).repartition(parts, "key"))
+    plain = saved(_numbered(placed.where("kind = 1")))
     tail = sum((np.frombuffer(r["blob"], "<f8") for r in plain.where("key < 0").toLocalIterator()), np.zeros(2 + STATES))
     trained = Trained(words, np.append(float(ends), counts), tail)
-    with_plain = texts.join(_by_piece(plain, "plain", parts), "key", "left")
+    with_plain = placed.where("kind = 0").select("key", "doc_ids", "blob").join(saved_in_place(_by_piece(plain, "plain", parts)).hint("merge"), "key", "left")
+    del plain
     joined = with_plain.withColumn("state", F.lit(None).cast("array<struct<fragment:int,blob:binary>>"))
     slices = -(-trained.size // SLICE)
     for _ in range(rounds):
-        state = saved(_answered(_expected(joined, spark.sparkContext.broadcast(trained)), fragments))
-        total = np.zeros((slices + 1, SLICE, STATES))
+        state = saved(_answered(_expected(joined, spark.sparkContext.broadcast(trained), deal), parts))
+        total = np.zeros((slices + 1, SLICE, STATES - 1))
         for r in state.where("key < 0").toLocalIterator():
             _add(total[r["fragment"]], r["blob"])
         found = Counts(STATES, trained.size)
-        found.emit, (found.move, start, visits) = total[:-1].reshape(-1, STATES)[: trained.size], np.split(total[-1, : STATES + 2], [STATES, STATES + 1])
-        found.start = start[0]
+        found.emit[:, :-1] = total[:-1].reshape(-1, STATES - 1)[: trained.size]
+        move, found.start, visits, _log = np.split(total[-1].ravel()[: STATES * (STATES + 2) + 1], [STATES * STATES, STATES * (STATES + 1), STATES * (STATES + 2)])
+        found.move = move.reshape(STATES, STATES)
         joined = with_plain.join(_by_piece(state, "state", parts), "key", "left")
-        trained.improve(found, visits[0])
+        trained.improve(found, visits)
     return _scored(joined, spark.sparkContext.broadcast(trained)).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
