@@ -36,18 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, saved, small, table, utf8
+from .common import mapped, partition_keys, pieces, released, saved, small, table, utf8
+from .exact_dedup import HOT_SHARE
 
 WIDTH = 5
 PERCENT = 80
-#: Shingles that one fragment should hold, about; the number of fragments follows the input, from ``FRAGMENTS`` on.
+#: Shingles that one fragment should hold, about; the number of fragments follows the input.
 FRAGMENT_SHINGLES = 2_000_000
-FRAGMENTS = 64
+#: Pairs of one leader that meet its set in one task.
+STAR_PAIRS = 2_000
 #: In round r of step 4, buckets of at most so many times 2**r members are compared pair by pair.
 PAIRWISE = 8
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_SEGMENT = np.dtype([("sig", "S16"), ("n", "<u4"), ("k", "<u4")])
+_SEGMENT = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("k", "<u4")])
 _ITEM = np.dtype([("h", "<u8"), ("df", "<u2")])
 
 
@@ -109,29 +111,34 @@ class Threshold:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), sig (digest of the set; null if empty)."""
+    """doc_id, n (size of the set), sig (digest of the set; null if empty), text_sha (SHA-256 of the text)."""
 
     def make():
         words = _Words()
 
         def step(batch: pa.RecordBatch):
             for part in pieces(batch, "text"):
-                n, sig = [], []
+                n, sig, sha = [], [], []
                 for text in utf8(part.column("text")):
                     found = shingles(text, words, width)
                     n.append(len(found))
                     sig.append(signature(found) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
+                    sha.append(hashlib.sha256(text).digest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sha, pa.binary())], names=["doc_id", "n", "sig", "text_sha"])
 
         return step
 
-    return mapped(docs, make, "doc_id long, n long, sig binary")
+    return mapped(docs, make, "doc_id long, n long, sig binary, text_sha binary")
 
 
-def _segments(docs: DataFrame, width: int, fragments: int) -> DataFrame:
-    """fragment, blob: the segments of some classes in one fragment of the hash order. A map task sends a class once."""
+def _segments(docs: DataFrame, width: int, deal: list[int]) -> DataFrame:
+    """dest, fragment, blob: the segments of some classes in one fragment of the hash order. A map task sends a class once.
+
+    ``deal`` has the number that ``repartition`` sends to the task of each fragment.
+    """
 
     def make():
+        fragments = len(deal)
         words = _Words()
         sent: set[bytes] = set()
 
@@ -158,52 +165,58 @@ def _segments(docs: DataFrame, width: int, fragments: int) -> DataFrame:
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
                     who, first, k = np.unique(owner[lo:hi], return_index=True, return_counts=True)
                     head = np.zeros(len(who), _SEGMENT)
-                    head["sig"] = np.frombuffer(b"".join(sigs[i] for i in who.tolist()), "S16")
+                    head["a"], head["b"] = np.frombuffer(b"".join(sigs[i] for i in who.tolist()), "<u8").reshape(-1, 2).T
                     head["n"], head["k"] = n[who], k
                     names.append(int(at[lo]))
                     blobs.append(np.uint32(len(who)).tobytes() + head.tobytes() + every[lo:hi].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["fragment", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([deal[x] for x in names], pa.int64()), pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["dest", "fragment", "blob"])
 
         return step
 
-    return mapped(docs, make, "fragment int, blob binary")
+    return mapped(docs, make, "dest long, fragment int, blob binary")
 
 
-def _fragment(blobs: list[bytes]) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
-    """sig, n, shared, items of every class with a shared shingle in the fragment."""
+def _fragment(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class heads, where ``k`` counts the shared shingles; items of the classes, one after the other; where each begins).
+
+    Only classes with a shared shingle in the fragment. ``blobs`` is emptied on the way.
+    """
     heads, hashes = [], []
-    for blob in blobs:
+    while blobs:
+        blob = blobs.pop()
         m = int(np.frombuffer(blob, "<u4", 1)[0])
         heads.append(np.frombuffer(blob, _SEGMENT, m, 4))
         hashes.append(np.frombuffer(blob, "<u8", -1, 4 + m * _SEGMENT.itemsize))
     head, every = np.concatenate(heads), np.concatenate(hashes)
-    # the digests as two numbers each
-    raw = np.frombuffer(head.tobytes(), np.dtype([("a", "<u8"), ("b", "<u8"), ("rest", "V8")]))
-    order = np.lexsort((raw["b"], raw["a"]))
-    new = np.ones(len(order), bool)
-    new[1:] = (raw["a"][order][1:] != raw["a"][order][:-1]) | (raw["b"][order][1:] != raw["b"][order][:-1])
+    heads, hashes = [], []
+    order = np.lexsort((head["b"], head["a"]))
+    own = head[order]
     keep = np.zeros(len(order), bool)
-    keep[order[new]] = True  # the segment of a class may come from several tasks
-    kept = np.repeat(keep, head["k"])
-    every, k, n = every[kept], head["k"][keep], head["n"][keep]
-    names = np.flatnonzero(keep)
-    owner = np.repeat(np.arange(len(k)), k)
-    _, where, df = np.unique(every, return_inverse=True, return_counts=True)
-    df = df[where]
-    shared = df > 1
-    every, owner, df = every[shared], owner[shared], np.minimum(df[shared], 65535)
-    items = np.zeros(len(every), _ITEM)
-    items["h"], items["df"] = every, df
-    who, first = np.unique(owner, return_index=True)
-    ends = np.append(first[1:], len(owner))
-    size = _SEGMENT.itemsize
-    bytes_of = head.tobytes()
-    sig = [bytes_of[i * size : i * size + 16] for i in names[who].tolist()]
-    return sig, n[who].tolist(), (ends - first).tolist(), [items[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
-
-
-def _shared(segments: DataFrame, fragments: int, parts: int) -> DataFrame:
+    # the segment of a class may come from several tasks
+    keep[order[np.append(True, (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1]))]] = True
+    every, head = every[np.repeat(keep, head["k"])], head[keep]
+    owner = np.repeat(np.arange(len(head), dtype=np.int32), head["k"])
+    order = np.argsort(every)
+    sorted_ = every[order]
+    starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    del sorted_
+    df = np.diff(np.append(starts, len(order)))
+    many = df > 1
+    at = order[np.repeat(many, df)]  # shared shingles only
+    df = np.repeat(np.minimum(df[many], 65535), df[many])
+    back = np.argsort(at)
+    at, df = at[back], df[back]
+    items = np.zeros(len(at), _ITEM)
+    items["h"], items["df"] = every[at], df
+    who, first = np.unique(owner[at], return_index=True)
+    head = head[who]
+    head["k"] = np.diff(np.append(first, len(at)))
+    return head, items, first
+
+
+def _shared(segments: DataFrame, deal: list[int]) -> DataFrame:
     """dest, blob: of one fragment, the classes of one destination with their shared shingles."""
+    parts = len(deal)
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -211,12 +224,21 @@ def _shared(segments: DataFrame, fragments: int, parts: int) -> DataFrame:
             for name, blob in zip(batch.column("fragment").to_pylist(), batch.column("blob").to_pylist()):
                 held.setdefault(name, []).append(blob)
         for name in sorted(held):
-            out: dict[int, list[bytes]] = {}
-            for sig, n, k, items in zip(*_fragment(held.pop(name))):
-                out.setdefault(crc32(sig) % parts, []).append(sig + struct.pack("<II", n, k) + items)
-            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int32()), pa.array([b"".join(x) for x in out.values()], pa.binary())], names=["dest", "blob"])
-
-    return segments.repartition(fragments, "fragment").mapInArrow(run, "dest int, blob binary")
+            head, items, first = _fragment(held.pop(name))
+            to = (head["a"] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            names, begin = np.unique(to[order], return_index=True)
+            raw, heads, size = items.tobytes(), head.tobytes(), _SEGMENT.itemsize
+            cuts, width = np.append(first, len(items)).tolist(), _ITEM.itemsize
+            groups = np.split(order, begin[1:])
+            for some in range(0, len(names), 64):
+                blobs = []
+                for own in groups[some : some + 64]:
+                    blobs.append(b"".join(x for i in own.tolist() for x in (heads[i * size : (i + 1) * size], raw[cuts[i] * width : cuts[i + 1] * width])))
+                yield pa.RecordBatch.from_arrays([pa.array([deal[x] for x in names[some : some + 64].tolist()], pa.int64()), pa.array(blobs, pa.binary())], names=["dest", "blob"])
+        released()
+
+    return segments.repartition(parts, "dest").select("fragment", "blob").mapInArrow(run, "dest long, blob binary")
 
 
 def _survivors(shared: DataFrame, parts: int, t: Threshold) -> DataFrame:
@@ -235,9 +257,11 @@ def _survivors(shared: DataFrame, parts: int, t: Threshold) -> DataFrame:
                     own.append(blob[at : at + k * _ITEM.itemsize])
                     at += k * _ITEM.itemsize
         rows = [(sig, own[0], own[2:]) for sig, own in held.items() if own[1] * t.b >= own[0] * t.a]
+        held.clear()
         for at in range(0, len(rows), 2_000):
             sig, n, items = zip(*rows[at : at + 2_000])
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.binary()))], names=["sig", "n", "items"])
+        released()
 
     return shared.repartition(parts, "dest").mapInArrow(run, "sig binary, n long, items array<binary>")
 
@@ -309,9 +333,15 @@ def _candidates(postings: DataFrame, most: int, t: Threshold) -> DataFrame:
 
 def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame:
     """For every pair a row with ``linked``; for every star pair also the postings of the member's differences."""
-    both = pairs.join(survivors.select(F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("items").alias("i_y")), "y").join(
-        survivors.select(F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("items").alias("i_x")), "x"
-    )
+    # a leader's pairs are dealt to one task for every STAR_PAIRS of them, and its set is sent to each
+    pairs = saved(pairs)
+    deals = small(saved(pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR_PAIRS).cast("int").alias("deals")).where("deals > 1")))
+    dealt = lambda rows: rows.join(deals, "x", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    leaders = dealt(survivors.select(F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("items").alias("i_x")))
+    leaders = leaders.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    members = dealt(pairs).withColumn("deal", F.pmod(F.hash("y"), F.col("deals"))).drop("deals")
+    members = members.join(survivors.select(F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("items").alias("i_y")), "y")
+    both = members.join(leaders, ["x", "deal"]).drop("deal")
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -344,38 +374,43 @@ def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame
     return mapped(both, make, _POSTING + ", other binary")
 
 
+def _skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of the saved ``left`` with ``right``, in which ``on`` is unique. Rows of ``left`` with a frequent value
+    meet their partner in the map task; at most ``HOT_SHARE`` values can be frequent, which bounds the broadcast."""
+    least = max(1_000, left.count() // HOT_SHARE)
+    hot = saved(left.groupBy(on).agg(F.count("*").alias("q_n")).where(F.col("q_n") >= least).select(on))
+    if not hot.limit(1).count():
+        return left.join(right, on, how)
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    of_hot = right.join(F.broadcast(hot), on, "left_semi")
+    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(of_hot), on, how))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: for every node of the links (x, y) the least node of its component."""
     edges = saved(links.select("x", "y").union(links.select("y", "x")).distinct())
     label = saved(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"))
     while True:
-        near = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(near, "node").select("node", F.least("root", "near").alias("next"), "root")
+        near = _skew_join(edges, label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
+        step = saved(label.join(near, "node").select("node", F.least("root", "near").alias("next"), "root"))
         # pointer jumping: the root of the root
         jump = label.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = saved(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")))
+        new = saved(_skew_join(step, jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         label = new.select("node", "root")
         if not moved:
             return label
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Texts without words (null, empty) have an empty set and are linked with nothing. Rows without an id have a null
-    component and link nothing. Rows that repeat an id are compared like others. Other columns are ignored; an empty
-    table gives an empty result.
-    """
+def _resolved(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(sets as ``_sets`` makes them, root of every class that has a partner: sig, root) for ``docs`` (doc_id, text)."""
     t = Threshold(percent)
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = saved(_sets(own, width))
+    sets = saved(_sets(docs, width))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fragments = max(FRAGMENTS, parts, -(-total // FRAGMENT_SHINGLES))
-    named = own.where("doc_id is not null")
-    survivors = saved(_survivors(_shared(_segments(named, width, fragments), fragments, parts), parts, t))
+    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
+    deal = partition_keys(spark, fragments)
+    survivors = saved(_survivors(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal), fragments, t))
 
     links = None
     postings = _first_postings(survivors, t)
@@ -389,19 +424,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if postings.limit(1).count() == 0:
             break
         most = PAIRWISE if most == 1 else 2 * most
-    roots = components(links)
-    classes = sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    of_linked = classes.join(roots.withColumnRenamed("node", "sig"), "sig")
-    lows = of_linked.groupBy("root").agg(F.min("low").alias("least"))
-    named_by = classes.join(of_linked.select("sig", "root").join(lows, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "low").alias("component_id"))
+    return sets, components(links).withColumnRenamed("node", "sig")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Texts without words (null, empty) have an empty set and are linked with nothing. Rows without an id have a null
+    component and link nothing. Rows that repeat an id are compared like others. Other columns are ignored; an empty
+    table gives an empty result.
+    """
+    sets, roots = _resolved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent, width)
+    named = saved(sets.where("sig is not null and doc_id is not null").select("sig", "doc_id", "n"))
+    named_by = _named(named.select("sig", F.col("doc_id").alias("first")), roots)
+    named = _skew_join(named, named_by, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     alone = sets.where("sig is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return sets.where("sig is not null and doc_id is not null").join(named_by, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    return named.unionByName(alone)
+
+
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """sig and the least ``first`` of its component, for the classes with a partner and those of several rows; a class of one
+    row without a partner is a component of its own. ``rows`` has sig and first."""
+    classes = rows.groupBy("sig").agg(F.min("first").alias("first"), F.count("*").alias("members"))
+    linked = saved(classes.join(roots, "sig").select("sig", "root", "first"))
+    firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
+    copies = classes.where("members > 1").join(roots, "sig", "left_anti").select("sig", "first")
+    return saved(_skew_join(linked.drop("first"), firsts, "root").select("sig", "first").unionByName(copies))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose id is the least of its component; rows without an id stay."""
-    gone = saved(jaccard_components(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, with their columns, of which one stays in every component: that with the least id.
+
+    Rows are told apart by id and whole text: of rows with the least id of a component and different texts that with the
+    least digest stays, and of equal rows one. Rows without an id or without words stay. Columns may have any names.
+    """
+    sets, roots = _resolved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), PERCENT, WIDTH)
+    row = F.struct("doc_id", "sig", "text_sha")
+    rows = saved(sets.where("sig is not null and doc_id is not null").select("sig", "doc_id", "text_sha"))
+    met = _skew_join(rows, _named(rows.select("sig", row.alias("first")), roots), "sig", "left").where("first is not null")
+    met = met.select(F.col("doc_id").alias("q_id"), F.col("text_sha").alias("q_sha"), (row != F.col("first")).alias("q_gone"))
+    met = saved(met.groupBy("q_id", "q_sha").agg(F.max("q_gone").alias("q_gone"), F.count("*").alias("q_n")))
+    marks = ["q_id", "q_sha"]
+    # the columns of docs travel in a struct, so their names cannot clash
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
+    every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row"), F.col(f"`{id_col}`").cast("long").alias("q_id"), sha.alias("q_sha"))
+    kept = every.join(small(met.where("q_gone").select(*marks)), marks, "left_anti")
+    again = met.where("not q_gone and q_n > 1").select(*marks)
+    if again.limit(1).count():  # equal rows
+        again = small(again)
+        kept = kept.join(again, marks, "left_anti").unionByName(kept.join(again, marks, "left_semi").dropDuplicates(marks))
+    return kept.select("q_row.*")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
