@@ -29,8 +29,10 @@ from .common import mapped, pieces, saved, table, utf8
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
-#: Distinct words that a Python worker remembers from task to task, and the longest word that it does.
-REMEMBERED, LONGEST = 800_000, 64
+#: Bytes that the words take which a Python worker remembers from task to task, about, and the longest such word.
+REMEMBERED, LONGEST = 64 << 20, 64
+#: Bytes that an entry takes beside its contents: two bytes objects and their place in a dict.
+ENTRY = 130
 #: Rows that share a salt within a length, about.
 ROWS_PER_SALT = 500_000
 
@@ -65,6 +67,7 @@ class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY):
         self.tokenizer = _tokenizer(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: set[bytes]) -> None:
         known, plain, made = self.known, set(), []
@@ -89,17 +92,19 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            # words that came first are the frequent ones
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         parts = [t.split() for t in texts]
         new = set().union(*parts)
         new.difference_update(self.known)
+        before = len(self.known)
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for w in [w for w in new if len(w) > LONGEST]:
             for own in (w, w.lower(), w.lower().rstrip(b".,!")):
                 self.known.pop(own, None)
+        self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(self.known.items(), before, None))
+        while self.held > REMEMBERED:  # words that came first are the frequent ones: the last go
+            w, ids = self.known.popitem()
+            self.held -= len(w) + len(ids) + ENTRY
         return out
 
 
@@ -120,14 +125,19 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
         def step(batch: pa.RecordBatch):
             for part in pieces(batch, "text"):
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(utf8(part.column("text")))):
+                found = encoder.encode(utf8(part.column("text")))
+                crc, n = array("q"), np.empty(len(found), np.int64)
+                for i, ids in enumerate(found):
                     ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, k, at // 4, len(own) // 4, crc32(own)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    n[i], view = len(ids) // 4, memoryview(ids)
+                    crc.extend(crc32(view[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity))
+                del found
+                per = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), per)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+                start = number * capacity
+                columns = [number.astype(np.int32), start, np.minimum(capacity, n[row] - start), np.frombuffer(crc, np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *map(pa.array, columns)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
         return step
 
