@@ -80,6 +80,22 @@ def small(saved_rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(saved_rows) if saved_rows.limit(most + 1).count() <= most else saved_rows
 
 
+#: A value is frequent when at least one of so many rows has it; no more than this many values can be.
+HOT_SHARE = 16_384
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of the saved ``left`` with ``right``, in which ``on`` is unique. Rows of ``left`` with a frequent value
+    meet their partner in the map task; at most ``HOT_SHARE`` values can be frequent, which bounds the broadcast."""
+    least = max(1_000, left.count() // HOT_SHARE)
+    hot = saved(left.groupBy(on).agg(F.count("*").alias("q_n")).where(F.col("q_n") >= least).select(on))
+    if not hot.limit(1).count():
+        return left.join(right, on, how)
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    of_hot = right.join(F.broadcast(hot), on, "left_semi")
+    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(of_hot), on, how))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

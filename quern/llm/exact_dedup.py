@@ -22,10 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, table
+from .common import HOT_SHARE, saved, small, table
 
-#: A digest is frequent when at least one of so many rows has it; no more than this many digests can be.
-HOT_SHARE = 16_384
 #: Parts into which a frequent group is dealt before its winners meet.
 SALTS = 32
 

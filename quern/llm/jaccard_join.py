@@ -36,8 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, partition_keys, pieces, released, saved, small, table, utf8
-from .exact_dedup import HOT_SHARE
+from .common import mapped, partition_keys, pieces, released, saved, skew_join, small, table, utf8
 
 WIDTH = 5
 PERCENT = 80
@@ -374,28 +373,16 @@ def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame
     return mapped(both, make, _POSTING + ", other binary")
 
 
-def _skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Inner or left join of the saved ``left`` with ``right``, in which ``on`` is unique. Rows of ``left`` with a frequent value
-    meet their partner in the map task; at most ``HOT_SHARE`` values can be frequent, which bounds the broadcast."""
-    least = max(1_000, left.count() // HOT_SHARE)
-    hot = saved(left.groupBy(on).agg(F.count("*").alias("q_n")).where(F.col("q_n") >= least).select(on))
-    if not hot.limit(1).count():
-        return left.join(right, on, how)
-    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    of_hot = right.join(F.broadcast(hot), on, "left_semi")
-    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(of_hot), on, how))
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, root: for every node of the links (x, y) the least node of its component."""
     edges = saved(links.select("x", "y").union(links.select("y", "x")).distinct())
     label = saved(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"))
     while True:
-        near = _skew_join(edges, label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
+        near = skew_join(edges, label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         step = saved(label.join(near, "node").select("node", F.least("root", "near").alias("next"), "root"))
         # pointer jumping: the root of the root
         jump = label.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = saved(_skew_join(step, jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")))
+        new = saved(skew_join(step, jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         label = new.select("node", "root")
         if not moved:
@@ -437,7 +424,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets, roots = _resolved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent, width)
     named = saved(sets.where("sig is not null and doc_id is not null").select("sig", "doc_id", "n"))
     named_by = _named(named.select("sig", F.col("doc_id").alias("first")), roots)
-    named = _skew_join(named, named_by, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    named = skew_join(named, named_by, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     alone = sets.where("sig is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone)
 
@@ -449,7 +436,7 @@ def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     linked = saved(classes.join(roots, "sig").select("sig", "root", "first"))
     firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
     copies = classes.where("members > 1").join(roots, "sig", "left_anti").select("sig", "first")
-    return saved(_skew_join(linked.drop("first"), firsts, "root").select("sig", "first").unionByName(copies))
+    return saved(skew_join(linked.drop("first"), firsts, "root").select("sig", "first").unionByName(copies))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -461,7 +448,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets, roots = _resolved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), PERCENT, WIDTH)
     row = F.struct("doc_id", "sig", "text_sha")
     rows = saved(sets.where("sig is not null and doc_id is not null").select("sig", "doc_id", "text_sha"))
-    met = _skew_join(rows, _named(rows.select("sig", row.alias("first")), roots), "sig", "left").where("first is not null")
+    met = skew_join(rows, _named(rows.select("sig", row.alias("first")), roots), "sig", "left").where("first is not null")
     met = met.select(F.col("doc_id").alias("q_id"), F.col("text_sha").alias("q_sha"), (row != F.col("first")).alias("q_gone"))
     met = saved(met.groupBy("q_id", "q_sha").agg(F.max("q_gone").alias("q_gone"), F.count("*").alias("q_n")))
     marks = ["q_id", "q_sha"]

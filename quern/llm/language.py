@@ -3,8 +3,10 @@
 A text is a vector of hashed n-grams of one, two and three code points of its lower-cased letters (words set off by
 spaces), weighted by TF-IDF (damped counts times the inverse document frequency over all training texts) and scaled
 to length one. Every language has several centroids, found by spherical k-means on a bounded sample of its texts; the
-nearest centroid by cosine names the language. A text farther from its centroid than any usual text of the language is
-rejected (column ``rejected``); texts without a letter are ``und`` and rejected too.
+nearest centroid by cosine names the language. A text much farther from its centroid than usual texts of the language is
+rejected (column ``rejected``; see ``REJECT_QUANTILE``); texts without a letter are ``und`` and rejected too.
+
+Every learned language has centroids, 128 KB of them: the model grows with the number of languages, not of texts.
 """
 
 from __future__ import annotations
@@ -12,28 +14,30 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mapped, pieces, table
+from .common import fold, mapped, pieces, saved, small, table
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
 #: Labelled texts of each language that its centroids are clustered on, at most.
 MOST_PER_LANGUAGE = 512
-#: Languages that get centroids, at most: those with the most training texts.
-MOST_LANGUAGES = 256
-#: A text is rejected when its cosine is under this share of the lowest usual cosine of the language.
-REJECT_SHARE = 0.25
+#: A text is rejected when its cosine is under this share of this quantile of the cosines of the sample of its language.
+REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.7
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_ASCII_LETTERS = re.compile(r"[^a-z]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def words_of(text: str | None) -> str:
-    """Lower-cased letters; everything between words becomes one space. Empty if the text has no letter."""
-    out = _NOT_LETTERS.sub(" ", (text or "").lower())
+    """Lower-cased letters and their marks; everything between words becomes one space. Empty if the text has no letter."""
+    text = (text or "").lower()
+    out = (_NOT_ASCII_LETTERS if text.isascii() else _NOT_LETTERS).sub(" ", text)
     return out if any(map(str.isalpha, out)) else ""
 
 
@@ -92,68 +96,65 @@ class Model:
         return self.langs[best], score, score < self.least[self.langs[best]]
 
 
-def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str, among: Column | None) -> DataFrame:
-    rows = docs if among is None else docs.where(among)
-    return rows.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("q_lang")).where("q_lang is not null")
+def _fitted(idf: np.ndarray, share: float):
+    """The centroids of one language, from the sample of its texts: lang, number, centroid, least cosine that is not rejected."""
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((len(frame), BUCKETS), np.float32)
+        for row, (i, n) in zip(x, sorted(zip(frame["i"], frame["n"]))):
+            at = np.frombuffer(i, "<u2")
+            row[at] = np.frombuffer(n, "<u4")
+            row[:] = weighted(row, idf)
+        c = clustered(x)
+        least = share * float(np.quantile((x @ c.T).max(1), REJECT_QUANTILE))
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "number": range(len(c)), "centroid": [v.astype("<f4").tobytes() for v in c], "least": least})
 
-def train(docs: DataFrame, among: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the rows of ``docs`` where ``among`` holds and the language is not null.
+    return run
 
-    Document frequencies cover all of these rows. Centroids come from at most ``MOST_PER_LANGUAGE`` texts a language
-    (one for each remainder of the hash of the id) of at most ``MOST_LANGUAGES`` languages.
-    """
-    rows = _training(docs, id_col, text_col, lang_col, among)
 
-    def tally():
-        total = np.zeros(BUCKETS + 1, np.int64)
+def train(docs: DataFrame, among: Column | None = None, text_col: str = "text", lang_col: str = "lang", reject_share: float = REJECT_SHARE) -> Model:
+    """Learn from the rows of ``docs`` where ``among`` holds and the language is not null; from text and language only.
 
-        def run(batches):
-            for batch in batches:
-                for part in pieces(batch, "text"):
-                    for text in part.column("text").to_pylist():
-                        if words := words_of(text):
-                            total[np.unique(hashed(words))] += 1
-                            total[BUCKETS] += 1
-            i = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i], pa.int64())], names=["bucket", "n"])
+    Document frequencies cover all of these rows. The centroids of a language come from at most ``MOST_PER_LANGUAGE`` of its
+    different texts (one for each remainder of the hash of the text). Texts without a letter teach nothing; without any
+    other text the model predicts ``und``.
+    """
+    rows = (docs if among is None else docs.where(among)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
 
-        return run
+    def run(batches):
+        total = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    if words := words_of(text):
+                        total[np.unique(hashed(words))] += 1
+                        total[BUCKETS] += 1
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i], pa.int64())], names=["bucket", "n"])
 
     df = np.zeros(BUCKETS + 1)
-    for r in rows.select("text").mapInArrow(lambda batches: tally()(batches), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
-    top = rows.groupBy("q_lang").count().orderBy(F.desc("count"), "q_lang").limit(MOST_LANGUAGES).select("q_lang")
-    h = F.xxhash64("q_id")
-    picked = rows.select("q_id", "q_lang").join(F.broadcast(top), "q_lang").groupBy("q_lang", F.pmod(h, F.lit(MOST_PER_LANGUAGE)).alias("q_part")).agg(F.min_by("q_id", F.struct(h, F.col("q_id"))).alias("q_id"))
+    named = rows.withColumn("h", F.xxhash64("text"))
+    picked = saved(named.groupBy("lang", F.pmod("h", F.lit(MOST_PER_LANGUAGE)).alias("part")).agg(F.min("h").alias("h")).drop("part"))
+    texts = named.join(small(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def vectors():
         def step(batch: pa.RecordBatch):
             for part in pieces(batch, "text"):
-                found = [counts(words_of(t)) for t in part.column("text").to_pylist()]
-                pairs = [(np.flatnonzero(n), n) for n in found]
-                yield pa.RecordBatch.from_arrays([part.column("q_lang"), pa.array([i.astype("<u2").tobytes() for i, _ in pairs], pa.binary()), pa.array([n[i].astype("<u4").tobytes() for i, n in pairs], pa.binary())], names=["q_lang", "i", "n"])
+                found = [counts(words) if (words := words_of(t)) else None for t in part.column("text").to_pylist()]
+                own = part.filter(pa.array([n is not None for n in found], pa.bool_())).column("lang")
+                pairs = [(np.flatnonzero(n), n) for n in found if n is not None]
+                yield pa.RecordBatch.from_arrays([own, pa.array([i.astype("<u2").tobytes() for i, _ in pairs], pa.binary()), pa.array([n[i].astype("<u4").tobytes() for i, n in pairs], pa.binary())], names=["lang", "i", "n"])
 
         return step
 
-    sample: dict[str, list[np.ndarray]] = {}
-    for r in mapped(rows.join(F.broadcast(picked.select("q_id", "q_lang")), ["q_id", "q_lang"]), vectors, "q_lang string, i binary, n binary").toLocalIterator():
-        i = np.frombuffer(r["i"], "<u2")
-        if len(i) and len(kept := sample.setdefault(r["q_lang"], [])) < 4 * MOST_PER_LANGUAGE:
-            v = np.zeros(BUCKETS)
-            v[i] = np.frombuffer(r["n"], "<u4")
-            kept.append(weighted(v, idf))
-    centroids, langs, least = [], [], {}
-    for lang in sorted(sample):
-        x = np.stack(sample.pop(lang))
-        x = x[np.lexsort(x[:, :64].T)]
-        c = clustered(x)
-        centroids += list(c)
-        langs += [lang] * len(c)
-        least[lang] = REJECT_SHARE * float((x @ c.T).max(1).min())
-    return Model(idf, np.stack(centroids) if centroids else np.zeros((0, BUCKETS)), langs, least)
+    fitted = mapped(texts.select("lang", "text"), vectors, "lang string, i binary, n binary").groupBy("lang").applyInPandas(_fitted(idf, reject_share), "lang string, number int, centroid binary, least double")
+    found = sorted(fitted.toLocalIterator(), key=lambda r: (r["lang"], r["number"]))
+    centroids = np.stack([np.frombuffer(r["centroid"], "<f4") for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
+    return Model(idf, centroids, [r["lang"] for r in found], {r["lang"]: r["least"] for r in found})
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

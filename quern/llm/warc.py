@@ -1,10 +1,12 @@
 """WARC writer and reader: deterministic sharded archives.
 
-Writing: equal payloads are found by digest (the row with the largest id carries the payload, the others revisit it),
-the records are range-sorted by id, and every range partition writes gzip members into files that roll at a compressed
-size. Headers, dates, record ids and digests are made anew from the row alone, so a task that runs twice writes the same
-bytes. Files get temporary names, are renamed when complete, and count only once the manifest names them; the manifest
-of the archive is renamed into place last.
+Writing: equal payloads are found by digest (the row with the largest id carries the payload, the others revisit it). A
+histogram of the payload bytes over the range of ids cuts it into shards; a stretch of ids that holds more (a frequent id,
+or rows without one) is dealt out by digest. Every shard is sorted by id and written as gzip members into files that roll
+at a compressed size. Shards follow from the rows alone, not from partitions or the session, and headers, dates, record
+ids and digests from the row: a task that runs twice and a writer on another cluster write the same files. Files get
+temporary names, are renamed when complete, and count only once the manifest names them; the manifest of the archive is
+renamed into place last.
 
 Files go through ``pyarrow.fs`` to the folder that driver and executors share.
 """
@@ -20,14 +22,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import mapped, shared_dir, table
+from .common import mapped, partition_keys, released, saved, shared_dir, skew_join, small, table
 
 #: Compressed bytes at which a file is closed.
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a shard, about, and of a record without them.
+SHARD_BYTES, RECORD_BYTES = 64 << 20, 512
+#: Stretches of ids in the histogram for every shard that the bytes would fill.
+STRETCHES = 4
 #: Payloads of fewer bytes are never replaced by a revisit record.
 LEAST_BYTES = 0
 #: Date of all records; the input has none, and the clock would make two runs differ.
@@ -81,18 +87,22 @@ def _member(data: bytes) -> bytes:
 
 
 class _Files:
-    """The files of one partition: written under temporary names, renamed when complete."""
+    """The files of some shards, one after the other: written under temporary names, renamed when complete."""
 
-    def __init__(self, root: str, partition: int, attempt: int, roll_bytes: int):
+    def __init__(self, root: str, attempt: int, roll_bytes: int):
         self.fs, self.root = pafs.FileSystem.from_uri(root)
-        self.partition, self.attempt, self.roll = partition, attempt, roll_bytes
+        self.attempt, self.roll = attempt, roll_bytes
         self.done: list[tuple[str, int, int, str]] = []
-        self.out = None
+        self.out = self.shard = None
 
-    def write(self, data: bytes) -> None:
+    def write(self, shard: str, data: bytes) -> None:
         member = _member(data)
+        if shard != self.shard:
+            self.close()
+            self.shard, self.files = shard, 0
         if self.out is None:
-            self.name = f"part-{self.partition:06d}-{len(self.done):05d}.warc.gz"
+            self.name = f"part-{shard}-{self.files:05d}.warc.gz"
+            self.files += 1
             self.out = self.fs.open_output_stream(f"{self.root}/{self.name}.tmp-{self.attempt}", compression=None)
             self.size = self.records = 0
             self.sha = hashlib.sha256()
@@ -116,31 +126,65 @@ class _Files:
             self.out = None
 
 
+def _shards(narrow: DataFrame) -> tuple[list[tuple[int, int, int]], Column]:
+    """((stretch, shard, slots) of every stretch of ids that has rows, by stretch; the stretch of a row).
+
+    Stretches are joined into shards of about ``SHARD_BYTES``; one that holds more is a shard of several slots. Rows without
+    an id are in stretch -1.
+    """
+    weight = F.sum(F.col("n_bytes") + RECORD_BYTES)
+    least, most, total = narrow.agg(F.min("page_id"), F.max("page_id"), weight).first()
+    wanted = STRETCHES * -(-(total or 0) // SHARD_BYTES)
+    width = 1 if least is None else -(-(most - least + 1) // max(1, wanted))
+    # decimals: the range of ids may exceed a long
+    number = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(least or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+    stretch = F.coalesce(number, F.lit(-1).cast("long"))
+    out: list[tuple[int, int, int]] = []
+    shard, held = -1, SHARD_BYTES
+    for at, size in sorted(tuple(r) for r in narrow.groupBy(stretch.alias("stretch")).agg(weight).collect()):
+        slots = -(-size // SHARD_BYTES)
+        if slots > 1 or at == -1 or held + size > SHARD_BYTES:
+            shard, held = shard + 1, 0
+        out.append((at, shard, slots))
+        held = SHARD_BYTES if slots > 1 or at == -1 else held + size
+    return out, stretch
+
+
 def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write one record per row under the URI ``root`` and return the manifest: file, records, bytes, sha256.
 
     A null body is an empty payload. A row without an id is always a response. Of rows that repeat id and payload the
     first is the response (or revisits the larger id), the others revisit it. Other columns are ignored; an empty table
-    makes a manifest without files.
+    makes a manifest without files. Equal rows are written by one task.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("body")).withColumn("sha", F.sha2("body", 256))
-    narrow = rows.where(F.col("page_id").isNotNull() & (F.length("body") >= least_bytes)).select("page_id", "url", "sha")
-    top = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.max(F.struct("page_id", "url"))["url"].alias("refers_url"), F.count("*").alias("n")).where("n > 1")
-    revisits = narrow.select("page_id", "sha").distinct().join(top, "sha").select("page_id", "sha", "refers_to", "refers_url")
+    narrow = saved(rows.select("page_id", "url", "sha", F.octet_length("body").alias("n_bytes")))
+    own = saved(narrow.where(F.col("page_id").isNotNull() & (F.col("n_bytes") >= least_bytes)).select("page_id", "url", "sha"))
+    top = own.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.max(F.struct("page_id", "url"))["url"].alias("refers_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = skew_join(own.select("page_id", "sha"), saved(top), "sha").distinct()
     # Directions to revisit travel in the same shuffle as the rows, ahead of the row that they are for.
     both = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "sha", "refers_to", "refers_url", F.lit(0).alias("kind")).unionByName(
         rows.select("page_id", "url", "body", "sha", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"), F.lit(1).alias("kind"))
     )
-    parts = max(1, pages.rdd.getNumPartitions())
-    # rows without an id are dealt out by their payload
-    ranged = both.repartitionByRange(parts, "page_id", F.when(F.col("page_id").isNull(), F.col("sha"))).sortWithinPartitions("page_id", "kind", "sha", "url")
+    shards, stretch = _shards(narrow)
+    firsts: dict[int, int] = {}
+    parts = 0
+    for _, shard, slots in shards:
+        if shard not in firsts:
+            firsts[shard] = parts
+            parts += slots
+    deal = partition_keys(spark, max(1, parts))
+    dealt = [(at, shard, deal[firsts[shard] : firsts[shard] + slots]) for at, shard, slots in shards]
+    slot = F.pmod(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"), F.size("dests")).cast("int")
+    placed = both.withColumn("stretch", stretch).join(small(spark.createDataFrame(dealt, "stretch long, shard int, dests array<long>")), "stretch").withColumn("slot", slot)
+    placed = placed.withColumn("dest", F.get("dests", F.col("slot"))).drop("stretch", "dests").repartition(max(1, parts), "dest").sortWithinPartitions("shard", "slot", "page_id", "kind", "sha", "url")
     fs, path = pafs.FileSystem.from_uri(root)
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        files = _Files(root, context.partitionId(), context.taskAttemptId(), roll_bytes)
+        files = _Files(root, context.taskAttemptId(), roll_bytes)
         current, told, seen = None, {}, set()
         for batch in batches:
             for start in range(0, batch.num_rows, 64):  # few payloads at a time
@@ -151,14 +195,15 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
                         told[r["sha"]] = (r["refers_to"], r["refers_url"])
                         continue
                     to, at = told.get(r["sha"], (None, None))
-                    if to == current and r["sha"] not in seen:
+                    if to is not None and to == current and r["sha"] not in seen:
                         to = at = None
-                    seen.add(r["sha"])
-                    files.write(record(r["page_id"], r["url"], r["body"], to, at))
+                        seen.add(r["sha"])
+                    files.write(f"{r['shard']:06d}-{r['slot']:04d}", record(r["page_id"], r["url"], r["body"], to, at))
         files.close()
+        released()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in files.done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "records", "bytes", "sha256"])
 
-    files = sorted(tuple(r) for r in ranged.mapInArrow(run, _MANIFEST).collect())
+    files = sorted(tuple(r) for r in placed.mapInArrow(run, _MANIFEST).collect())
     with fs.open_output_stream(f"{path}/manifest.json.tmp", compression=None) as out:
         out.write(json.dumps([dict(zip(("file", "records", "bytes", "sha256"), x)) for x in files]).encode())
     fs.move(f"{path}/manifest.json.tmp", f"{path}/manifest.json")
