@@ -4,11 +4,11 @@ A text's set holds its distinct shingles of ``WIDTH`` words (64-bit hashes). Two
 ``100 * |x & y| >= percent * |x | y|``. Texts with the same set are one class; only classes are joined, named by a
 128-bit digest of the set.
 
-1. The global order of shingles (by hash) is cut into fragments. A map task sends every fragment the segments of its
-   classes, each class once. A fragment counts in how many classes each of its shingles occurs and tells every class
-   which of its shingles are shared.
+1. The global order of shingles (by hash) is cut into fragments. A piece of the texts numbers its classes and sends every
+   fragment their segments, each class of a task once. A fragment counts in how many segments each of its shingles occurs
+   and tells every piece which shingles of which class are shared (those of a class that several tasks have always are).
 2. The partial counts are summed per class. A class that shares less than ``percent`` of its set has no partner and is
-   done: only the others, the survivors, go on.
+   done: only the others, the survivors, go on, each once.
 3. Survivors are joined by prefixes of the order (document frequency, hash). A bucket (the survivors with one prefix
    shingle) is not expanded into pairs: its most central member, the leader, is compared with the others.
 4. Members of a bucket that are linked to the leader are in one component. The other pairs of the bucket are found
@@ -26,7 +26,7 @@ A text's set holds its distinct shingles of ``WIDTH`` words (64-bit hashes). Two
 from __future__ import annotations
 
 import hashlib
-import struct
+from collections.abc import Iterator
 from math import gcd
 from zlib import crc32
 
@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from .common import mapped, partition_keys, pieces, released, saved, skew_join, small, table, utf8
+from .common import mapped, partition_keys, pieces, released, saved, saved_in_place, skew_join, small, table, utf8
 
 WIDTH = 5
 PERCENT = 80
@@ -48,7 +49,6 @@ STAR_PAIRS = 2_000
 PAIRWISE = 8
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_SEGMENT = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("k", "<u4")])
 _ITEM = np.dtype([("h", "<u8"), ("df", "<u2")])
 
 
@@ -130,18 +130,39 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs, make, "doc_id long, n long, sig binary, text_sha binary")
 
 
+_SENT = "dest long, fragment int, piece long, blob binary"
+#: In place of a fragment: the digests and sizes of a piece's classes.
+_CLASSES = -1
+
+
+def _sent(dest: list[int], fragment: list[int], piece: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(fragment, pa.int32()), pa.array(piece, pa.int64()), pa.array(blobs, pa.binary())], names=["dest", "fragment", "piece", "blob"])
+
+
+def _listed(number: np.ndarray, k: np.ndarray, items: np.ndarray) -> bytes:
+    """Classes (rising numbers), how many items each has, and the items."""
+    head = pa.compress(np.concatenate([np.diff(number, prepend=0), k]).astype("<u4").tobytes(), "lz4", asbytes=True)
+    return np.array([len(number), len(head)], "<u4").tobytes() + head + items.tobytes()
+
+
+def _unlisted(blob: bytes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, size = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    head = np.frombuffer(pa.decompress(blob[8 : 8 + size], 8 * m, "lz4", asbytes=True), "<u4")
+    return np.cumsum(head[:m]), head[m:], np.frombuffer(blob, kind, -1, 8 + size)
+
+
 def _segments(docs: DataFrame, width: int, deal: list[int]) -> DataFrame:
-    """dest, fragment, blob: the segments of some classes in one fragment of the hash order. A map task sends a class once.
+    """dest, fragment, piece, blob: the segments of a piece's classes in one fragment of the hash order.
 
     ``deal`` has the number that ``repartition`` sends to the task of each fragment.
     """
 
-    def make():
+    def run(batches):
         fragments = len(deal)
         words = _Words()
         sent: set[bytes] = set()
-
-        def step(batch: pa.RecordBatch):
+        piece = TaskContext.get().partitionId() << 32
+        for batch in batches:
             for part in pieces(batch, "text"):
                 sigs, sets = [], []
                 for text in utf8(part.column("text")):
@@ -154,47 +175,40 @@ def _segments(docs: DataFrame, width: int, deal: list[int]) -> DataFrame:
                     continue
                 n = np.array([len(x) for x in sets])
                 every = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets)), n)
+                del sets
+                owner = np.repeat(np.arange(len(n)), n)
                 # high 32 bits of the hash, scaled: fragments are ranges of the order
                 at = ((every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 every, owner, at = every[order], owner[order], at[order]
-                cuts = np.flatnonzero(np.diff(at)) + 1
-                names, blobs = [], []
-                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-                    who, first, k = np.unique(owner[lo:hi], return_index=True, return_counts=True)
-                    head = np.zeros(len(who), _SEGMENT)
-                    head["a"], head["b"] = np.frombuffer(b"".join(sigs[i] for i in who.tolist()), "<u8").reshape(-1, 2).T
-                    head["n"], head["k"] = n[who], k
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                dest, names, blobs = [deal[piece % fragments]], [_CLASSES], [b"".join(sigs) + n.astype("<u4").tobytes()]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    who, k = np.unique(owner[lo:hi], return_counts=True)
                     names.append(int(at[lo]))
-                    blobs.append(np.uint32(len(who)).tobytes() + head.tobytes() + every[lo:hi].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([deal[x] for x in names], pa.int64()), pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["dest", "fragment", "blob"])
-
-        return step
-
-    return mapped(docs, make, "dest long, fragment int, blob binary")
-
-
-def _fragment(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class heads, where ``k`` counts the shared shingles; items of the classes, one after the other; where each begins).
+                    dest.append(deal[names[-1]])
+                    blobs.append(_listed(who, k, every[lo:hi]))
+                for i in range(0, len(names), 256):
+                    yield _sent(dest[i : i + 256], names[i : i + 256], [piece] * len(names[i : i + 256]), blobs[i : i + 256])
+                piece += 1
+        released()
 
-    Only classes with a shared shingle in the fragment. ``blobs`` is emptied on the way.
-    """
-    heads, hashes = [], []
-    while blobs:
-        blob = blobs.pop()
-        m = int(np.frombuffer(blob, "<u4", 1)[0])
-        heads.append(np.frombuffer(blob, _SEGMENT, m, 4))
-        hashes.append(np.frombuffer(blob, "<u8", -1, 4 + m * _SEGMENT.itemsize))
-    head, every = np.concatenate(heads), np.concatenate(hashes)
-    heads, hashes = [], []
-    order = np.lexsort((head["b"], head["a"]))
-    own = head[order]
-    keep = np.zeros(len(order), bool)
-    # the segment of a class may come from several tasks
-    keep[order[np.append(True, (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1]))]] = True
-    every, head = every[np.repeat(keep, head["k"])], head[keep]
-    owner = np.repeat(np.arange(len(head), dtype=np.int32), head["k"])
+    return docs.select("text").mapInArrow(run, _SENT)
+
+
+def _fragment(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """piece, blob: the classes of every piece that have shared shingles in the fragment, with these. Empties ``held``."""
+    names, numbers, counts, hashes = [], [], [], []
+    while held:
+        piece, blob = held.pop()
+        number, k, own = _unlisted(blob, "<u8")
+        names.append(piece)
+        numbers.append(number)
+        counts.append(k)
+        hashes.append(own)
+    sizes = np.array([len(x) for x in hashes])
+    every = np.concatenate(hashes)
+    del hashes
     order = np.argsort(every)
     sorted_ = every[order]
     starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
@@ -202,73 +216,74 @@ def _fragment(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     df = np.diff(np.append(starts, len(order)))
     many = df > 1
     at = order[np.repeat(many, df)]  # shared shingles only
+    del order
     df = np.repeat(np.minimum(df[many], 65535), df[many])
     back = np.argsort(at)
     at, df = at[back], df[back]
     items = np.zeros(len(at), _ITEM)
     items["h"], items["df"] = every[at], df
-    who, first = np.unique(owner[at], return_index=True)
-    head = head[who]
-    head["k"] = np.diff(np.append(first, len(at)))
-    return head, items, first
+    del every
+    cuts = np.searchsorted(at, np.append(0, np.cumsum(sizes)))
+    begin = np.cumsum(sizes) - sizes
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        if hi > lo:
+            own = np.repeat(numbers[i], counts[i])[at[lo:hi] - begin[i]]
+            who, k = np.unique(own, return_counts=True)
+            yield names[i], _listed(who, k, items[lo:hi])
 
 
 def _shared(segments: DataFrame, deal: list[int]) -> DataFrame:
-    """dest, blob: of one fragment, the classes of one destination with their shared shingles."""
-    parts = len(deal)
+    """dest, fragment, piece, blob: the shared shingles of a piece's classes in one fragment; the classes pass through."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for name, blob in zip(batch.column("fragment").to_pylist(), batch.column("blob").to_pylist()):
-                held.setdefault(name, []).append(blob)
+            for name, piece, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "piece", "blob"))):
+                if name == _CLASSES:
+                    yield _sent([deal[piece % len(deal)]], [name], [piece], [blob])
+                else:
+                    held.setdefault(name, []).append((piece, blob))
         for name in sorted(held):
-            head, items, first = _fragment(held.pop(name))
-            to = (head["a"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            names, begin = np.unique(to[order], return_index=True)
-            raw, heads, size = items.tobytes(), head.tobytes(), _SEGMENT.itemsize
-            cuts, width = np.append(first, len(items)).tolist(), _ITEM.itemsize
-            groups = np.split(order, begin[1:])
-            for some in range(0, len(names), 64):
-                blobs = []
-                for own in groups[some : some + 64]:
-                    blobs.append(b"".join(x for i in own.tolist() for x in (heads[i * size : (i + 1) * size], raw[cuts[i] * width : cuts[i + 1] * width])))
-                yield pa.RecordBatch.from_arrays([pa.array([deal[x] for x in names[some : some + 64].tolist()], pa.int64()), pa.array(blobs, pa.binary())], names=["dest", "blob"])
+            for piece, blob in _fragment(held.pop(name)):
+                yield _sent([deal[piece % len(deal)]], [name], [piece], [blob])
         released()
 
-    return segments.repartition(parts, "dest").select("fragment", "blob").mapInArrow(run, "dest long, blob binary")
+    return segments.repartition(len(deal), "dest").select("fragment", "piece", "blob").mapInArrow(run, _SENT)
 
 
-def _survivors(shared: DataFrame, parts: int, t: Threshold) -> DataFrame:
-    """sig, n, items: the classes that share enough of their set to have a partner."""
+def _survivors(shared: DataFrame, deal: list[int], t: Threshold) -> DataFrame:
+    """sig, n, items (by hash): the classes that share enough of their set to have a partner."""
 
     def run(batches):
-        held: dict[bytes, list] = {}
+        classes: dict[int, bytes] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                at = 0
-                while at < len(blob):
-                    sig, (n, k) = blob[at : at + 16], struct.unpack_from("<II", blob, at + 16)
-                    at += 16 + 8
-                    own = held.setdefault(sig, [n, 0])
-                    own[1] += k
-                    own.append(blob[at : at + k * _ITEM.itemsize])
-                    at += k * _ITEM.itemsize
-        rows = [(sig, own[0], own[2:]) for sig, own in held.items() if own[1] * t.b >= own[0] * t.a]
-        held.clear()
-        for at in range(0, len(rows), 2_000):
-            sig, n, items = zip(*rows[at : at + 2_000])
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.binary()))], names=["sig", "n", "items"])
+            for name, piece, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "piece", "blob"))):
+                if name == _CLASSES:
+                    classes[piece] = blob
+                else:
+                    held.setdefault(piece, []).append(blob)
+        for piece in sorted(held):
+            own = classes.pop(piece)
+            m = len(own) // 20
+            n = np.frombuffer(own, "<u4", m, 16 * m).astype(np.int64)
+            found = [_unlisted(blob, _ITEM) for blob in held.pop(piece)]
+            number, items = np.concatenate([np.repeat(x, k) for x, k, _ in found]), np.concatenate([x for *_, x in found])
+            del found
+            stays = np.bincount(number, minlength=m) * t.b >= n * t.a
+            mine = stays[number]
+            number, items = number[mine], items[mine]
+            order = np.lexsort((items["h"], number))
+            number, items = number[order], items[order]
+            who, first = np.unique(number, return_index=True)
+            raw, cuts, width = items.tobytes(), np.append(first, len(items)).tolist(), _ITEM.itemsize
+            for at in range(0, len(who), 1_000):
+                some = who[at : at + 1_000].tolist()
+                blobs = [raw[a * width : b * width] for a, b in zip(cuts[at : at + len(some)], cuts[at + 1 : at + 1 + len(some)])]
+                yield pa.RecordBatch.from_arrays([pa.array([own[16 * i : 16 * i + 16] for i in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array(blobs, pa.binary())], names=["sig", "n", "items"])
         released()
 
-    return shared.repartition(parts, "dest").mapInArrow(run, "sig binary, n long, items array<binary>")
-
-
-def _items(blobs: list[bytes]) -> np.ndarray:
-    """The items of a class by hash."""
-    found = np.frombuffer(b"".join(blobs), _ITEM)
-    return found[np.argsort(found["h"])]
+    return shared.repartition(len(deal), "dest").select("fragment", "piece", "blob").mapInArrow(run, "sig binary, n long, items binary")
 
 
 #: rest: shingles of the difference set from this one on; weight and leader as in ``Threshold.prefix``.
@@ -292,7 +307,7 @@ def _first_postings(survivors: DataFrame, t: Threshold) -> DataFrame:
         def step(batch: pa.RecordBatch):
             rows = []
             for r in batch.to_pylist():
-                own = _items(r["items"])
+                own = np.frombuffer(r["items"], _ITEM)
                 rows += _postings(b"", r["sig"], own["h"], own["df"].astype(np.int64), r["n"] - len(own), t.a * r["n"], 0, t)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _POSTING_KINDS)], names=_POSTING_NAMES)
@@ -332,15 +347,20 @@ def _candidates(postings: DataFrame, most: int, t: Threshold) -> DataFrame:
 
 def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame:
     """For every pair a row with ``linked``; for every star pair also the postings of the member's differences."""
-    # a leader's pairs are dealt to one task for every STAR_PAIRS of them, and its set is sent to each
     pairs = saved(pairs)
-    deals = small(saved(pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR_PAIRS).cast("int").alias("deals")).where("deals > 1")))
-    dealt = lambda rows: rows.join(deals, "x", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-    leaders = dealt(survivors.select(F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("items").alias("i_x")))
-    leaders = leaders.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
-    members = dealt(pairs).withColumn("deal", F.pmod(F.hash("y"), F.col("deals"))).drop("deals")
-    members = members.join(survivors.select(F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("items").alias("i_y")), "y")
-    both = members.join(leaders, ["x", "deal"]).drop("deal")
+    of_x = survivors.select(F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("items").alias("i_x")).hint("merge")
+    of_y = survivors.select(F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("items").alias("i_y")).hint("merge")
+    # the pairs of a frequent leader are dealt out, STAR_PAIRS to a task, and its set is sent to each
+    deals = saved(pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR_PAIRS).cast("int").alias("deals")).where("deals > 1"))
+    columns = ["x", "y", "star", "n_x", "i_x", "n_y", "i_y"]
+    if deals.limit(1).count():
+        deals = small(deals)
+        many = pairs.join(deals, "x").withColumn("deal", F.pmod(F.hash("y"), F.col("deals"))).drop("deals").join(of_y, "y")
+        sent = of_x.join(deals, "x").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+        few = pairs.join(deals, "x", "left_anti").join(of_y, "y").join(of_x, "x")
+        both = few.select(*columns).unionByName(many.join(sent, ["x", "deal"]).select(*columns))
+    else:
+        both = pairs.join(of_y, "y").join(of_x, "x").select(*columns)
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -348,8 +368,8 @@ def _compared(pairs: DataFrame, survivors: DataFrame, t: Threshold) -> DataFrame
                 rows, last, x = [], None, None
                 for r in batch.slice(at, 500).to_pylist():
                     if r["x"] != last:
-                        last, x = r["x"], _items(r["i_x"])
-                    y = _items(r["i_y"])
+                        last, x = r["x"], np.frombuffer(r["i_x"], _ITEM)
+                    y = np.frombuffer(r["i_y"], _ITEM)
                     _, in_x, in_y = np.intersect1d(x["h"], y["h"], assume_unique=True, return_indices=True)
                     rows.append((None, None, r["x"], None, None, None, t.linked(len(in_x), r["n_x"], r["n_y"]), None, r["y"]))
                     if not r["star"]:
@@ -397,7 +417,9 @@ def _resolved(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Dat
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
     deal = partition_keys(spark, fragments)
-    survivors = saved(_survivors(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal), fragments, t))
+    found = _survivors(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal), deal, t)
+    # placed by sig, once: the joins of every round find them there
+    survivors = saved_in_place(found.repartition(fragments, "sig").dropDuplicates(["sig"]))
 
     links = None
     postings = _first_postings(survivors, t)
