@@ -10,25 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a group is cut into.
-RANGES = 32
+#: Rows of a range, about; there are ``LEAST_RANGES`` at least.
+ROWS_PER_RANGE, LEAST_RANGES = 500_000, 32
 
 
-def row_numbers(df: DataFrame, out: str, order: list[str], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def row_numbers(df: DataFrame, out: str, order: list[str], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """``df`` with the 0-based row number ``out`` (and the group's size in ``out_size``), by ``order`` within ``by``.
 
-    The first order column must be numeric and not null, and the order must be total for a unique result.
+    The first order column must be numeric and not null, and the order must be total for a unique result. The number of
+    ranges follows the number of rows. Other columns may have any names.
     """
     by = by or []
-    cuts = sorted(set(df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.01)))
-    bucket = sum((F.when(F.col(order[0]) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    cut = df.withColumn("_range", bucket)
-    sizes = cut.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    within = Window.partitionBy(*by, F.lit(0)).orderBy("_range")
-    offsets = sizes.select(*by, "_range", (F.sum("_n").over(within) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by, F.lit(0))).alias(f"{out}_size"))
+    ranges = ranges or max(LEAST_RANGES, df.count() // ROWS_PER_RANGE)
+    cuts = sorted(set(df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))))
+    mark = "_" * (1 + max(map(len, df.columns)))  # no column begins so
+    cut, n, before, number = (mark + x for x in ("range", "n", "before", "own"))
+    rows = df.withColumn(cut, F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order[0]).cast("double"))) if cuts else F.lit(0))
+    sizes = rows.groupBy(*by, cut).agg(F.count("*").alias(n))
+    within = Window.partitionBy(*by, F.lit(0)).orderBy(cut)
     # ranges x groups rows
-    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1
-    return cut.withColumn("_own", own).join(offsets, [*by, "_range"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    offsets = sizes.select(*by, cut, (F.sum(n).over(within) - F.col(n)).alias(before), F.sum(n).over(Window.partitionBy(*by, F.lit(0))).alias(f"{out}_size"))
+    own = F.row_number().over(Window.partitionBy(*by, cut).orderBy(*order)) - 1
+    return rows.withColumn(number, own).join(offsets, [*by, cut]).withColumn(out, F.col(before) + F.col(number)).drop(cut, number, before)
 
 
 def ntile(number: Column, size: Column, n: int) -> Column:

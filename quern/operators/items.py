@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import row_numbers
+from ..functions.tokens import is_class, tokens
 
 
 def item_dictionary(long: DataFrame, classes: int = 2) -> DataFrame:
@@ -24,13 +25,27 @@ def decode(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:
     return encoded.join(dictionary, "item_id").select("doc_idx", "label", "pos", "item")
 
 
-def inverted_lists(long: DataFrame) -> DataFrame:
-    """item, n, first_doc, last_doc, doc_list: documents numbered from 1, joined by commas. A list is as long as its item is frequent."""
-    return long.groupBy("item").agg(F.count("*").alias("n"), (F.min("doc_idx") + 1).alias("first_doc"), (F.max("doc_idx") + 1).alias("last_doc"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_idx")), lambda x: (x + 1).cast("string")), ",").alias("doc_list"))
+#: Documents whose numbers one row of the inverted lists covers.
+BLOCK = 1 << 16
 
 
-def class_counts(long: DataFrame) -> DataFrame:
-    return long.select("doc_idx", "label").distinct().groupBy("label").agg(F.count("*").alias("n"))
+def inverted_lists(long: DataFrame, block: int = BLOCK) -> DataFrame:
+    """item, block, n, first_doc, last_doc, doc_list: documents numbered from 1, joined by commas.
+
+    A list is cut into blocks of ``block`` consecutive documents, so no row grows with the number of documents.
+    """
+    return long.groupBy("item", F.floor(F.col("doc_idx") / block).cast("int").alias("block")).agg(F.count("*").alias("n"), (F.min("doc_idx") + 1).alias("first_doc"), (F.max("doc_idx") + 1).alias("last_doc"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_idx")), lambda x: (x + 1).cast("string")), ",").alias("doc_list"))
+
+
+def class_counts(docs: DataFrame) -> DataFrame:
+    """label, n over documents (doc_idx, label), those without items included."""
+    return docs.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def class_token_counts(lines: DataFrame) -> DataFrame:
+    """label, n: class tokens of the lines; one that a line repeats counts every time."""
+    found = lines.select(F.explode(F.filter(F.slice(tokens(F.col("line")), 2, 1 << 30), lambda t: is_class(t))).alias("token"))
+    return found.groupBy(F.substring("token", 7, 9).cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
 def item_df(long: DataFrame) -> DataFrame:
@@ -51,14 +66,29 @@ def feature_partitions(long: DataFrame, order: DataFrame, partitions: int) -> Da
     return long.join(F.broadcast(order), "pos").select((F.col("rank") % partitions).alias("part"), "doc_idx", "label", "pos", "item")
 
 
-def part_documents(parted: DataFrame) -> DataFrame:
-    """part, doc_idx, label, items (sorted)."""
-    return parted.groupBy("part", "doc_idx", "label").agg(F.sort_array(F.collect_list("item")).alias("items"))
+def in_every_part(docs: DataFrame, partitions: int) -> DataFrame:
+    """part and the columns of ``docs``, for every partition: a document may have no item in some of them."""
+    return docs.select(F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("part"), *docs.columns)
 
 
-def doc_df_sum(parted: DataFrame, df: DataFrame) -> DataFrame:
-    """part, doc_idx, df_sum: the document frequencies (over all items) of the partition's items of a document."""
-    return parted.join(df, "item").groupBy("part", "doc_idx").agg(F.sum("df").alias("df_sum"))
+def part_documents(parted: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """part, doc_idx, label, items (sorted). With ``every`` (part, doc_idx, label) documents without items there have none."""
+    found = parted.groupBy("part", "doc_idx", "label").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    if every is None:
+        return found
+    both = every.select("part", "doc_idx", "label").join(found.drop("label"), ["part", "doc_idx"], "left")
+    return both.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
+def doc_df_sum(parted: DataFrame, df: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """part, doc_idx, df_sum: the document frequencies (over all items) of the partition's items of a document.
+
+    With ``every`` (part, doc_idx) documents without items there have the sum 0.
+    """
+    found = parted.join(df, "item").groupBy("part", "doc_idx").agg(F.sum("df").alias("df_sum"))
+    if every is None:
+        return found
+    return every.select("part", "doc_idx").join(found, ["part", "doc_idx"], "left").withColumn("df_sum", F.coalesce("df_sum", F.lit(0).cast("long")))
 
 
 def most_representative(sums: DataFrame) -> DataFrame:
@@ -74,3 +104,9 @@ def current_items(parted: DataFrame, chosen: DataFrame) -> DataFrame:
 def project_on(parted: DataFrame, current: DataFrame) -> DataFrame:
     """The rows of ``parted`` whose item is current in its partition."""
     return parted.join(current, ["part", "item"], "left_semi")
+
+
+def projected_sizes(parted: DataFrame, current: DataFrame, every: DataFrame) -> DataFrame:
+    """part, doc_idx, n_projected: the current items of every document of ``every`` (part, doc_idx), 0 included."""
+    found = project_on(parted, current).groupBy("part", "doc_idx").agg(F.count("*").alias("n_projected"))
+    return every.select("part", "doc_idx").join(found, ["part", "doc_idx"], "left").withColumn("n_projected", F.coalesce("n_projected", F.lit(0).cast("long")))

@@ -66,12 +66,11 @@ def least_representative(counts: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def bitmap_support(chosen: DataFrame) -> DataFrame:
-    """part, a, b, n by bitmaps: per item an array of 64-bit words over the chosen documents, and-ed and counted."""
-    docs = chosen.select("part", "doc_idx").distinct()
-    slots = docs.groupBy("part").agg(F.sort_array(F.collect_list("doc_idx")).alias("order"))
-    at = chosen.join(slots, "part").select("part", F.explode("items").alias("item"), (F.array_position("order", F.col("doc_idx")) - 1).cast("int").alias("slot"), F.size("order").alias("m"))
-    words = F.transform(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / 64).cast("int")), lambda w: F.aggregate(F.filter("slots", lambda s: F.floor(s / 64).cast("int") == w), F.lit(0).cast("long"), lambda acc, s: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s % 64))))
-    maps = at.groupBy("part", "item", "m").agg(F.collect_list("slot").alias("slots")).select("part", "item", words.alias("words"))
-    left, right = maps.select("part", F.col("item").alias("a"), F.col("words").alias("x")), maps.select("part", F.col("item").alias("b"), F.col("words").alias("y"))
-    both = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, k: s + k)
-    return left.join(right, "part").where("a < b").select("part", "a", "b", both.cast("long").alias("n")).where("n > 0")
+    """part, a, b, n by bitmaps: 64-bit words over the numbered chosen documents, one row a word, and-ed and counted."""
+    word, bit = F.shiftright("doc_idx", 6), F.col("doc_idx").bitwiseAND(63)
+    each = chosen.select("part", F.explode("items").alias("item"), word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bits"))
+    words = each.groupBy("part", "word", "item").agg(F.bit_or("bits").alias("bits"))
+    left = words.select("part", "word", F.col("item").alias("a"), F.col("bits").alias("x"))
+    right = words.select("part", "word", F.col("item").alias("b"), F.col("bits").alias("y"))
+    both = left.join(right, ["part", "word"]).where("a < b").select("part", "a", "b", F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long").alias("k"))
+    return both.where("k > 0").groupBy("part", "a", "b").agg(F.sum("k").alias("n"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from .queries import CHOSEN, MIN_CONF, MIN_SUP, PARTITIONS
+from .queries import MIN_CONF, MIN_SUP, PARTITIONS, SPARSE_PARTITIONS, STOP
 
 _TILE = "(ntile(10) OVER (ORDER BY {0}, doc_id) - 1)"
 
 
-def _sets(of: str) -> str:
-    """Subsets of one to three items of the rows of ``of`` (part, doc_idx, label, item)."""
+def _sets(of: str, kind: str = "VARCHAR") -> str:
+    """Subsets of one to three items of the rows of ``of`` (part, doc_idx, label, item); '' or 0 stands for no item."""
     join = lambda a, b: f"{b}.part = {a}.part AND {b}.doc_idx = {a}.doc_idx AND {b}.item > {a}.item"
+    none = "''" if kind == "VARCHAR" else "0"
     return f"""
-  SELECT part, doc_idx, label, 1 AS size, item AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c FROM {of}
-  UNION ALL SELECT x.part, x.doc_idx, x.label, 2, x.item, y.item, NULL::VARCHAR FROM {of} x JOIN {of} y ON {join('x', 'y')}
+  SELECT part, doc_idx, label, 1 AS size, item AS a, {none} AS b, {none} AS c FROM {of}
+  UNION ALL SELECT x.part, x.doc_idx, x.label, 2, x.item, y.item, {none} FROM {of} x JOIN {of} y ON {join('x', 'y')}
   UNION ALL SELECT x.part, x.doc_idx, x.label, 3, x.item, y.item, z.item FROM {of} x JOIN {of} y ON {join('x', 'y')} JOIN {of} z ON {join('y', 'z')}"""
 
 
@@ -22,7 +23,7 @@ def _rules(of: str, min_conf: float = MIN_CONF, min_sup: int = MIN_SUP) -> str:
 
 
 _SUPPORT = "SELECT part, size, a, b, c, count(*) AS n, count(*) FILTER (label = 0) AS n_c0, count(*) FILTER (label = 1) AS n_c1 FROM {0} GROUP BY ALL"
-_MATCH = "r.part = s.part AND r.size = s.size AND r.a = s.a AND r.b IS NOT DISTINCT FROM s.b AND r.c IS NOT DISTINCT FROM s.c"
+_MATCH = "r.part = s.part AND r.size = s.size AND r.a = s.a AND r.b = s.b AND r.c = s.c"
 
 
 def _count(rules: str, where: str = "true") -> str:
@@ -40,12 +41,9 @@ forder AS (SELECT row_number() OVER (ORDER BY (pos * 37) % 65) - 1 AS rank, pos
 parted AS (SELECT rank % {PARTITIONS} AS part, doc_idx, label, pos, item FROM tx JOIN forder USING (pos)),
 df AS (SELECT item, count(*) AS df FROM tx GROUP BY item),
 sums AS (SELECT part, doc_idx, sum(df)::BIGINT AS df_sum FROM parted JOIN df USING (item) GROUP BY ALL),
-chosen AS (SELECT * FROM parted WHERE doc_idx < {CHOSEN}),
-cut AS (SELECT * FROM parted SEMI JOIN chosen USING (part, item)),
-of_chosen AS ({_sets("chosen")}),
-support AS ({_SUPPORT.format("of_chosen")}),
+every AS ({_sets("parted")}),
+support AS ({_SUPPORT.format("every")}),
 rules AS ({_rules("support")}),
-every AS ({_sets("cut")}),
 orders_docs AS (
   SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INT AS doc_idx, (o_orderstatus = 'F')::INT AS label,
     ['prio=' || o_orderpriority, 'month=' || month(o_orderdate), 'seg=' || c_mktsegment, 'nation=' || n_name] AS items
@@ -61,13 +59,19 @@ document_docs AS (
     ['lang=' || lang, 'source=' || source, 'nchars=' || {_TILE.format("n_chars")}, 'words=' || {_TILE.format("spaces")}, 'lines=' || least(9, ends)] AS items
   FROM document_rows
 ),
--- lazy classification over the positions of the first partition
-lazy_docs AS (SELECT 0 AS part, doc_idx, label, item FROM parted WHERE part = 0),
-lazy_sets AS (SELECT * FROM ({_sets("lazy_docs")}) WHERE size < 3),
-lazy_support AS (SELECT * FROM ({_SUPPORT.format("(SELECT * FROM lazy_sets WHERE doc_idx % 5 != 0)")})),
+sparse_docs AS (
+  SELECT doc_idx, label, list_filter(items, lambda x: x NOT IN ('lang=en', 'lines=0') AND NOT regexp_matches(x, '^(nchars|words)=[0-4]$')) AS items FROM document_docs
+),
+-- lazy classification over all positions; items by number, which is all that the joins need
+numbers AS (SELECT item, row_number() OVER (ORDER BY item)::INT AS id FROM df),
+lazy_docs AS (SELECT 0 AS part, doc_idx, label, id AS item FROM tx JOIN numbers USING (item)),
+lazy_sets AS ({_sets("lazy_docs", "INT")}),
+lazy_support AS (
+  SELECT size, a, b, c, count(*) AS n, count(*) FILTER (label = 0) AS n_c0, count(*) FILTER (label = 1) AS n_c1 FROM lazy_sets WHERE doc_idx % 5 != 0 GROUP BY ALL
+),
 lazy_found AS (
   SELECT s.doc_idx // 5 AS test_idx, l.label, n, CASE l.label WHEN 0 THEN n_c0 ELSE n_c1 END AS n_c
-  FROM lazy_sets s JOIN lazy_support r ON {_MATCH} CROSS JOIN (SELECT unnest([0, 1]) AS label) l WHERE s.doc_idx % 5 = 0
+  FROM lazy_sets s JOIN lazy_support r USING (size, a, b, c) CROSS JOIN (SELECT unnest([0, 1]) AS label) l WHERE s.doc_idx % 5 = 0
 ),
 tests AS (SELECT DISTINCT doc_idx // 5 AS test_idx, label FROM lazy_docs WHERE doc_idx % 5 = 0),
 lazy AS (
@@ -112,10 +116,9 @@ def _rounds() -> str:
         match = _MATCH
         return f"""
 of{k} AS ({_sets(of)}), support{k} AS ({_SUPPORT.format(f"of{k}")}), rules{k} AS ({_rules(f"support{k}")}),
-cut{k} AS (SELECT * FROM parted SEMI JOIN {of} USING (part, item)), every{k} AS ({_sets(f"cut{k}")}),
 counts{k} AS (
   SELECT p.part, p.doc_idx, coalesce(m.rules, 0)::BIGINT AS rules FROM (SELECT DISTINCT part, doc_idx FROM parted) p
-  LEFT JOIN (SELECT s.part, s.doc_idx, sum(k) AS rules FROM every{k} s JOIN rules{k} r ON {match} GROUP BY ALL) m USING (part, doc_idx)
+  LEFT JOIN (SELECT s.part, s.doc_idx, sum(k) AS rules FROM every s JOIN rules{k} r ON {match} GROUP BY ALL) m USING (part, doc_idx)
 ),
 pick{k} AS (SELECT part, x[1] AS doc_idx, x[2] AS rules FROM ({pick(f"counts{k}")}))"""
 
@@ -128,6 +131,46 @@ UNION ALL SELECT part, 1, doc_idx, rules FROM pick1
 UNION ALL SELECT a.part, 2, a.doc_idx, a.rules FROM pick2 a JOIN pick1 b USING (part) WHERE a.doc_idx != b.doc_idx"""
 
 
+def _sparse(partitions: int = SPARSE_PARTITIONS) -> str:
+    """The sparse documents by partition, as parts of a WITH."""
+    return f""", sparse_tx AS (SELECT doc_idx, label, generate_subscripts(items, 1) AS pos, unnest(items) AS item FROM sparse_docs),
+sparse_part AS (SELECT ((pos - 1) % {partitions})::INT AS part, doc_idx, label, item FROM sparse_tx),
+sparse_every AS (SELECT part::INT AS part, doc_idx, label FROM sparse_docs CROSS JOIN (SELECT unnest(range({partitions})) AS part)),
+sparse_df AS (SELECT item, count(*) AS df FROM sparse_tx GROUP BY item),
+sparse_sums AS (SELECT e.part, e.doc_idx, coalesce(sum(df), 0)::BIGINT AS df_sum FROM sparse_every e LEFT JOIN sparse_part p ON p.part = e.part AND p.doc_idx = e.doc_idx LEFT JOIN sparse_df d ON d.item = p.item GROUP BY ALL),
+sparse_seed AS (SELECT part, arg_max(doc_idx, (df_sum, doc_idx)) AS doc_idx FROM sparse_sums GROUP BY part),
+sparse_current AS (SELECT DISTINCT part, item FROM sparse_part SEMI JOIN sparse_seed USING (part, doc_idx))"""
+
+
+def _run(of: str, sums: str) -> str:
+    """The whole sampling over ``of`` (part, doc_idx, label, item) with the sums ``sums``: run, one row for each round."""
+    passing = lambda c: f"((n_c{c} / n)::FLOAT >= {MIN_CONF}::FLOAT)::INT"
+    return f""", of_run AS ({_sets(of)}),
+run(part, step, doc_idx, rules, repeated) USING KEY (part, step) AS (
+  SELECT part, 0, arg_max(doc_idx, (df_sum, doc_idx)), 0::BIGINT, false FROM {sums} GROUP BY part
+  UNION ALL (
+    WITH latest AS (SELECT part, step FROM run WHERE NOT repeated),
+    taken AS (SELECT r.part, r.step, r.doc_idx FROM recurring.run r JOIN latest USING (part)),
+    found AS (
+      SELECT s.part, s.size, s.a, s.b, s.c, count(*) AS n, count(*) FILTER (label = 0) AS n_c0, count(*) FILTER (label = 1) AS n_c1
+      FROM taken t JOIN of_run s ON s.part = t.part AND s.doc_idx = t.doc_idx GROUP BY ALL
+    ),
+    valid AS (SELECT part, size, a, b, c, {passing(0)} + {passing(1)} AS k FROM found WHERE size = 1 OR n >= {MIN_SUP}),
+    counts AS (SELECT s.part, s.doc_idx, sum(k)::BIGINT AS rules FROM of_run s JOIN valid r ON {_MATCH} GROUP BY ALL),
+    pick AS (
+      SELECT e.part, arg_min((e.doc_idx, coalesce(c.rules, 0)), (coalesce(c.rules, 0), df_sum, -e.doc_idx)) AS x
+      FROM {sums} e JOIN latest ON latest.part = e.part LEFT JOIN counts c ON c.part = e.part AND c.doc_idx = e.doc_idx GROUP BY e.part
+    ),
+    before AS (SELECT DISTINCT part, doc_idx FROM taken WHERE step > 0)
+    SELECT p.part, l.step + 1, p.x[1], p.x[2], b.part IS NOT NULL
+    FROM pick p JOIN latest l ON l.part = p.part LEFT JOIN before b ON b.part = p.part AND b.doc_idx = p.x[1]
+  )
+)"""
+
+
+_SPARSE_RUN = _sparse() + _run("sparse_part", "sparse_sums")
+_REDUCED = _SPARSE_RUN + ", reduced AS (SELECT * FROM sparse_docs SEMI JOIN (SELECT doc_idx FROM run WHERE NOT repeated) USING (doc_idx))\n"
+
 _NUMBER = "CASE WHEN {0} IS NULL THEN 'nan' ELSE printf('%.6f', {0}) END"
 
 _QUERIES = {
@@ -140,10 +183,14 @@ SELECT doc_idx, doc_idx + 1 AS qid, generate_subscripts(t, 1) - 1 AS pos, unnest
     "dedup_items": "SELECT doc_idx, n_items + 1 AS n_before, n_items AS n_after FROM wide",
     "item_dictionary": "SELECT item, row_number() OVER (ORDER BY f) + 1 AS item_id FROM (SELECT item, min((doc_idx, pos)) AS f FROM tx GROUP BY item)",
     "encode_decode": "SELECT doc_idx, label, pos, item FROM tx",
-    "inverted_lists": "SELECT item, count(*) AS n, min(doc_idx) + 1 AS first_doc, max(doc_idx) + 1 AS last_doc, string_agg((doc_idx + 1)::VARCHAR, ',' ORDER BY doc_idx) AS doc_list FROM tx GROUP BY item",
+    "inverted_lists": "SELECT item, doc_idx // 65536 AS block, count(*) AS n, min(doc_idx) + 1 AS first_doc, max(doc_idx) + 1 AS last_doc, string_agg((doc_idx + 1)::VARCHAR, ',' ORDER BY doc_idx) AS doc_list FROM tx GROUP BY ALL",
     "class_counts": "SELECT label, count(*) AS n FROM docs GROUP BY label",
     "class_counts_orders": "SELECT label, count(*) AS n FROM orders_docs GROUP BY label",
+    "class_counts_sparse": "SELECT label, count(*) AS n FROM sparse_docs GROUP BY label",
+    "class_token_counts": "SELECT label, sum(CASE WHEN doc_idx % 7 = 0 THEN 2 ELSE 1 END)::BIGINT AS n FROM docs GROUP BY label",
     "scan_test": "SELECT doc_idx // 5 AS test_idx, label, string_agg(item, ' ' ORDER BY item) AS items_text FROM tx WHERE doc_idx % 5 = 0 GROUP BY ALL",
+    "scan_test_stop": f"SELECT doc_idx // 5 AS test_idx, label, string_agg(item, ' ' ORDER BY item) AS items_text FROM tx WHERE doc_idx % 5 = 0 AND doc_idx < {STOP} GROUP BY ALL",
+    "text_round_trip": "SELECT doc_idx, doc_idx + 1 AS qid, label, n_items, items_text FROM wide",
     "line_count": "SELECT count(*) AS n FROM docs",
     "validate_bounds": """SELECT 'lines' AS "check", count(*) <= 1200 AS ok FROM docs UNION ALL SELECT 'features', max(n_items) <= 65 FROM wide UNION ALL SELECT 'items', count(*) <= 651 FROM df""",
     "feature_order": "SELECT rank, pos FROM forder",
@@ -151,11 +198,15 @@ SELECT doc_idx, doc_idx + 1 AS qid, generate_subscripts(t, 1) - 1 AS pos, unnest
     "item_df": "SELECT item, df FROM df",
     "item_df_orders": "SELECT item, count(*) AS df FROM orders_tx GROUP BY item",
     "doc_df_sum": "SELECT part, doc_idx, df_sum FROM sums",
+    "doc_df_sum_sparse": _sparse() + " SELECT part, doc_idx, df_sum FROM sparse_sums",
     "most_representative": "SELECT part, x[1] AS doc_idx, x[2] AS df_sum FROM (SELECT part, arg_max((doc_idx, df_sum), (df_sum, doc_idx)) AS x FROM sums GROUP BY part)",
     "most_representative_orders": """, f AS (SELECT item, count(*) AS df FROM orders_tx GROUP BY item), s AS (SELECT doc_idx, sum(df)::BIGINT AS df_sum FROM orders_tx JOIN f USING (item) GROUP BY doc_idx)
 SELECT 0 AS part, x[1] AS doc_idx, x[2] AS df_sum FROM (SELECT arg_max((doc_idx, df_sum), (df_sum, doc_idx)) AS x FROM s)""",
-    "current_items": "SELECT DISTINCT part, item FROM chosen",
-    "project_on_current": "SELECT part, doc_idx, count(*) AS n_projected FROM cut GROUP BY ALL",
+    "current_items": "SELECT DISTINCT part, item FROM parted",
+    "current_items_sparse": _sparse() + " SELECT part, item FROM sparse_current",
+    "project_on_current": "SELECT part, doc_idx, count(*) AS n_projected FROM parted GROUP BY ALL",
+    "project_on_current_sparse": _sparse()
+    + " SELECT e.part, e.doc_idx, count(c.item) AS n_projected FROM sparse_every e LEFT JOIN sparse_part p ON p.part = e.part AND p.doc_idx = e.doc_idx LEFT JOIN sparse_current c ON c.part = p.part AND c.item = p.item GROUP BY ALL",
     "itemsets2_support": "SELECT part, a, b, n, n_c0, n_c1 FROM support WHERE size = 2",
     "itemsets3_support": "SELECT part, a, b, c, n, n_c0, n_c1 FROM support WHERE size = 3",
     "rules_size2": "SELECT part, a AS item, 0 AS label, n, n_c0 AS n_c, round(n_c0 / n, 6) AS conf FROM support WHERE size = 1 UNION ALL SELECT part, a, 1, n, n_c1, round(n_c1 / n, 6) FROM support WHERE size = 1",
@@ -168,6 +219,11 @@ SELECT 0 AS part, x[1] AS doc_idx, x[2] AS df_sum FROM (SELECT arg_max((doc_idx,
     "least_representative": f", found AS ({_count('rules')}) SELECT part, x[1] AS doc_idx, x[2] AS rules, x[3] AS df_sum FROM (SELECT part, arg_min((doc_idx, rules, df_sum), (rules, df_sum, -doc_idx)) AS x FROM found JOIN sums USING (part, doc_idx) GROUP BY part)",
     "bitmap_support": "SELECT part, a, b, n FROM support WHERE size = 2",
     "sampling_step_k": _rounds(),
+    "selective_sampling_sparse": _SPARSE_RUN + " SELECT part, step, doc_idx, rules, repeated FROM run",
+    "selective_sampling_p1": _sparse(1) + _run("sparse_part", "sparse_sums") + " SELECT part, step, doc_idx, rules, repeated FROM run",
+    "partition_summaries": _SPARSE_RUN + " SELECT part, count(*) FILTER (NOT repeated) AS iterations, max(doc_idx) FILTER (repeated) AS repeated_idx FROM run GROUP BY part",
+    "reduced_documents": _REDUCED + "SELECT doc_idx, label FROM reduced",
+    "reduced_set_lines": _REDUCED + "SELECT doc_idx, (doc_idx + 1) || ' CLASS=' || label || ' ' || array_to_string(list_transform(items, lambda x: x || ' '), '') AS line FROM reduced ORDER BY doc_idx",
     "lazy_rules": "SELECT test_idx, label, n_rules, round(sum_conf, 6) AS sum_conf FROM lazy",
     "class_scores": "SELECT test_idx, label, round(score, 6) AS score FROM scores",
     "ordered_labels": """, o AS (SELECT test_idx, label, row_number() OVER (PARTITION BY test_idx ORDER BY score DESC NULLS LAST, label) - 1 AS rank, score FROM scores)

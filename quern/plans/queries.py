@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,14 @@ from ..operators import items as I
 from ..operators import rules as R
 from ..operators import scoring as S
 from ..sources import transactions as T
+from ..sources.storage import saved, shared_dir
 from .sampling import partition_summary, reduced_set, selective_sampling
 
-PARTITIONS = 5
-CHOSEN = 20
+PARTITIONS, SPARSE_PARTITIONS = 5, 2
 MIN_CONF, MIN_SUP, MAX_SIZE = 0.001, 1, 4
 SIZES = R.antecedents(MAX_SIZE)
-LAZY_SIZES = range(1, 3)
+#: Test line whose id ``scan_test_stop`` makes 0.
+STOP = 300
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,16 +31,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def whole_too(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Register ``f`` as its SQL has it, over a part of the table, and as NAME_whole over all of it (``whole``)."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, True)
-
-    QUERIES[f"{f.__name__}_whole"] = run
-    return query(f)
-
-
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_idx", "label", F.size("items").alias("n_items"), F.array_join("items", " ").alias("items_text"))
 
@@ -51,27 +43,34 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parted(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> DataFrame:
-    return I.feature_partitions(T.tx_embeddings(spark, sf_dir), I.feature_order(spark), partitions)
+    """The embeddings by feature partition, saved: most queries read them more than once."""
+    return saved(I.feature_partitions(T.tx_embeddings(spark, sf_dir), I.feature_order(spark), partitions))
 
 
-def _first(parted: DataFrame, whole: bool) -> DataFrame:
-    """The chosen documents: all, as selective sampling takes them on the embeddings, or the first ``CHOSEN``."""
-    return parted if whole else parted.where(F.col("doc_idx") < CHOSEN)
+def _df(parted: DataFrame) -> DataFrame:
+    """Document frequencies; each item is in one partition only."""
+    return I.item_df(parted)
 
 
-def _chosen(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    return I.part_documents(_first(_parted(spark, sf_dir), whole))
+def _counts(parted: DataFrame, sizes: range = SIZES, min_conf: float = MIN_CONF, min_sup: int = MIN_SUP) -> DataFrame:
+    """Rule counts of all documents against all, which selective sampling takes on the embeddings."""
+    docs = I.part_documents(parted)
+    return R.rule_counts(docs, R.supports(docs, range(1, sizes.stop)), sizes, min_conf, min_sup)
 
 
-def _sums(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> DataFrame:
-    long = T.tx_embeddings(spark, sf_dir)
-    return I.doc_df_sum(I.feature_partitions(long, I.feature_order(spark), partitions), I.item_df(long))
+class _Sparse:
+    """The sparse documents by partition: ``every`` (part, doc_idx, label), ``parted``, ``sums`` and ``docs``."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, partitions: int = SPARSE_PARTITIONS):
+        self.wide = saved(T.sparse_documents(spark, sf_dir))
+        long = T.doc_items(self.wide)
+        self.parted = long.select(((F.col("pos") - 1) % partitions).alias("part"), "doc_idx", "label", "pos", "item")
+        self.every = I.in_every_part(self.wide.select("doc_idx", "label"), partitions)
+        self.docs = I.part_documents(self.parted, self.every)
+        self.sums = I.doc_df_sum(self.parted, I.item_df(long), self.every)
 
-def _counts(spark: SparkSession, sf_dir: str, whole: bool, sizes: range = SIZES, min_conf: float = MIN_CONF, min_sup: int = MIN_SUP) -> DataFrame:
-    """Rule counts of all documents against the chosen ones, over antecedents of ``sizes``."""
-    found = R.supports(_chosen(spark, sf_dir, whole), range(1, sizes.stop))
-    return R.rule_counts(I.part_documents(_parted(spark, sf_dir)), found, sizes, min_conf, min_sup)
+    def sampled(self) -> DataFrame:
+        return selective_sampling(self.docs, self.sums, MIN_CONF, MIN_SUP, MAX_SIZE)
 
 
 @query
@@ -126,12 +125,25 @@ def inverted_lists(spark, sf_dir):
 
 @query
 def class_counts(spark, sf_dir):
-    return I.class_counts(T.tx_embeddings(spark, sf_dir))
+    return I.class_counts(T.embedding_rows(spark, sf_dir))
 
 
 @query
 def class_counts_orders(spark, sf_dir):
-    return I.class_counts(T.tx_orders(spark, sf_dir))
+    return I.class_counts(T.order_rows(spark, sf_dir))
+
+
+@query
+def class_counts_sparse(spark, sf_dir):
+    """Documents without items count, too."""
+    return I.class_counts(T.sparse_documents(spark, sf_dir))
+
+
+@query
+def class_token_counts(spark, sf_dir):
+    """Every seventh line names its class twice, and both count."""
+    twice = F.when(F.col("line_no") % 7 == 0, F.concat(F.lit(" "), F.regexp_extract("line", "CLASS=[01]", 0))).otherwise("")
+    return I.class_token_counts(_lines(spark, sf_dir).withColumn("line", F.concat("line", twice)))
 
 
 @query
@@ -140,6 +152,22 @@ def scan_test(spark, sf_dir):
     return found.select("test_idx", "label", F.array_join("items", " ").alias("items_text"))
 
 
+@query
+def scan_test_stop(spark, sf_dir):
+    """Reading stops at the line whose id is 0."""
+    lines = _lines(spark, sf_dir).where(F.col("line_no") % 5 == 0)
+    found = T.parse_test(lines.withColumn("line", F.when(F.col("line_no") == STOP, F.regexp_replace("line", "^[0-9]+", "0")).otherwise(F.col("line"))))
+    return found.select("test_idx", "label", F.array_join("items", " ").alias("items_text"))
+
+
+@query
+def text_round_trip(spark, sf_dir):
+    """Lines written as text files and read back."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    T.write_lines(_lines(spark, sf_dir), path, "line_no")
+    return T.read_training(spark, path).select("doc_idx", "qid", "label", F.size("items").alias("n_items"), F.array_join("items", " ").alias("items_text"))
+
+
 @query
 def line_count(spark, sf_dir):
     return _lines(spark, sf_dir).agg(F.count("*").alias("n"))
@@ -178,12 +206,19 @@ def item_df_orders(spark, sf_dir):
 
 @query
 def doc_df_sum(spark, sf_dir):
-    return _sums(spark, sf_dir)
+    parted = _parted(spark, sf_dir)
+    return I.doc_df_sum(parted, _df(parted))
+
+
+@query
+def doc_df_sum_sparse(spark, sf_dir):
+    return _Sparse(spark, sf_dir).sums
 
 
 @query
 def most_representative(spark, sf_dir):
-    return I.most_representative(_sums(spark, sf_dir))
+    parted = _parted(spark, sf_dir)
+    return I.most_representative(I.doc_df_sum(parted, _df(parted)))
 
 
 @query
@@ -192,108 +227,129 @@ def most_representative_orders(spark, sf_dir):
     return I.most_representative(I.doc_df_sum(long.withColumn("part", F.lit(0)), I.item_df(long)))
 
 
-@whole_too
-def current_items(spark, sf_dir, whole=False):
+@query
+def current_items(spark, sf_dir):
     parted = _parted(spark, sf_dir)
-    return I.current_items(parted, _first(parted, whole))
+    return I.current_items(parted, parted)
+
+
+@query
+def current_items_sparse(spark, sf_dir):
+    """The items of the seeds."""
+    found = _Sparse(spark, sf_dir)
+    return I.current_items(found.parted, I.most_representative(found.sums))
 
 
-@whole_too
-def project_on_current(spark, sf_dir, whole=False):
+@query
+def project_on_current(spark, sf_dir):
     parted = _parted(spark, sf_dir)
-    cut = I.project_on(parted, I.current_items(parted, _first(parted, whole)))
-    return cut.groupBy("part", "doc_idx").agg(F.count("*").alias("n_projected"))
+    return I.projected_sizes(parted, I.current_items(parted, parted), parted.select("part", "doc_idx").distinct())
+
 
+@query
+def project_on_current_sparse(spark, sf_dir):
+    """On the items of the seeds; documents that have none of them count 0."""
+    found = _Sparse(spark, sf_dir)
+    return I.projected_sizes(found.parted, I.current_items(found.parted, I.most_representative(found.sums)), found.every)
 
-def _itemsets(spark: SparkSession, sf_dir: str, whole: bool, size: int) -> DataFrame:
-    found = R.supports(_chosen(spark, sf_dir, whole), range(size, size + 1))
+
+def _itemsets(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    found = R.supports(I.part_documents(_parted(spark, sf_dir)), range(size, size + 1))
     return found.select("part", *(F.col("itemset")[i].alias("abc"[i]) for i in range(size)), "n", "n_c0", "n_c1")
 
 
-@whole_too
-def itemsets2_support(spark, sf_dir, whole=False):
-    return _itemsets(spark, sf_dir, whole, 2)
+@query
+def itemsets2_support(spark, sf_dir):
+    return _itemsets(spark, sf_dir, 2)
 
 
-@whole_too
-def itemsets3_support(spark, sf_dir, whole=False):
-    return _itemsets(spark, sf_dir, whole, 3)
+@query
+def itemsets3_support(spark, sf_dir):
+    return _itemsets(spark, sf_dir, 3)
 
 
-@whole_too
-def rules_size2(spark, sf_dir, whole=False):
-    return R.rules_size2(R.supports(_chosen(spark, sf_dir, whole), range(1, 2)))
+@query
+def rules_size2(spark, sf_dir):
+    return R.rules_size2(R.supports(I.part_documents(_parted(spark, sf_dir)), range(1, 2)))
 
 
-@whole_too
-def rule_count_size2(spark, sf_dir, whole=False):
-    return _counts(spark, sf_dir, whole, range(1, 2))
+@query
+def rule_count_size2(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir), range(1, 2))
 
 
-@whole_too
-def rule_count_size3(spark, sf_dir, whole=False):
-    return _counts(spark, sf_dir, whole, range(2, 3))
+@query
+def rule_count_size3(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir), range(2, 3))
 
 
-@whole_too
-def rule_count_size4(spark, sf_dir, whole=False):
-    return _counts(spark, sf_dir, whole, range(3, 4))
+@query
+def rule_count_size4(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir), range(3, 4))
 
 
-@whole_too
-def rule_counts(spark, sf_dir, whole=False):
-    return _counts(spark, sf_dir, whole)
+@query
+def rule_counts(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir))
 
 
-@whole_too
-def rules_min_conf(spark, sf_dir, whole=False):
-    return _counts(spark, sf_dir, whole, min_conf=0.5)
+@query
+def rules_min_conf(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir), min_conf=0.5)
 
 
-@whole_too
-def rules_min_sup(spark, sf_dir, whole=False):
-    return _counts(spark, sf_dir, whole, min_sup=3)
+@query
+def rules_min_sup(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir), min_sup=3)
 
 
-@whole_too
-def least_representative(spark, sf_dir, whole=False):
-    return R.least_representative(_counts(spark, sf_dir, whole), _sums(spark, sf_dir))
+@query
+def least_representative(spark, sf_dir):
+    parted = _parted(spark, sf_dir)
+    return R.least_representative(_counts(parted), I.doc_df_sum(parted, _df(parted)))
 
 
-@whole_too
-def bitmap_support(spark, sf_dir, whole=False):
-    return R.bitmap_support(_chosen(spark, sf_dir, whole))
+@query
+def bitmap_support(spark, sf_dir):
+    return R.bitmap_support(I.part_documents(_parted(spark, sf_dir)))
 
 
 def _sampled(spark: SparkSession, sf_dir: str, rounds: int | None = None) -> DataFrame:
-    return selective_sampling(I.part_documents(_parted(spark, sf_dir)), _sums(spark, sf_dir), MIN_CONF, MIN_SUP, MAX_SIZE, rounds=rounds)
+    parted = _parted(spark, sf_dir)
+    return selective_sampling(I.part_documents(parted), I.doc_df_sum(parted, _df(parted)), MIN_CONF, MIN_SUP, MAX_SIZE, rounds=rounds)
 
 
 @query
 def sampling_step_k(spark, sf_dir):
+    """The seed and two rounds."""
     return _sampled(spark, sf_dir, 2).where("not repeated").select("part", "step", "doc_idx", "rules")
 
 
 @query
 def selective_sampling_run(spark, sf_dir):
+    """Over the embeddings, which are all taken: 500 rounds a partition, for which SQL needs minutes; it has none."""
     return _sampled(spark, sf_dir).where("not repeated").select("part", "step", "doc_idx")
 
 
+@query
+def selective_sampling_sparse(spark, sf_dir):
+    return _Sparse(spark, sf_dir).sampled().select("part", "step", "doc_idx", "rules", "repeated")
+
+
 @query
 def selective_sampling_p1(spark, sf_dir):
-    """One partition over the six best positions."""
-    long = T.tx_embeddings(spark, sf_dir)
-    parted = I.feature_partitions(long, I.feature_order(spark).where("rank < 6"), 1)
-    return selective_sampling(I.part_documents(parted), I.doc_df_sum(parted, I.item_df(long))).where("not repeated").select("part", "step", "doc_idx")
+    """One partition over all positions."""
+    return _Sparse(spark, sf_dir, 1).sampled().select("part", "step", "doc_idx", "rules", "repeated")
 
 
 @query
 def partition_summaries(spark, sf_dir):
-    return partition_summary(_sampled(spark, sf_dir))
+    return partition_summary(_Sparse(spark, sf_dir).sampled())
 
 
 def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.documents(T.tx_embeddings(spark, sf_dir)).join(F.broadcast(reduced_set(_sampled(spark, sf_dir))), "doc_idx")
+    found = _Sparse(spark, sf_dir)
+    return found.wide.join(reduced_set(found.sampled()), "doc_idx")
 
 
 @query
@@ -303,84 +359,85 @@ def reduced_documents(spark, sf_dir):
 
 @query
 def reduced_set_lines(spark, sf_dir):
-    return T.to_lines(_reduced(spark, sf_dir))
+    """In the order of the rows."""
+    return T.to_lines(_reduced(spark, sf_dir)).orderBy("doc_idx")
 
 
-def _split(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """Training and test documents over all positions, or those of the first partition; every fifth document is a test."""
-    docs = I.part_documents(_parted(spark, sf_dir, 1) if whole else _parted(spark, sf_dir).where("part = 0"))
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test documents over all positions; every fifth document is a test."""
+    docs = saved(T.documents(T.tx_embeddings(spark, sf_dir)))
     test = docs.where(F.col("doc_idx") % 5 == 0).select((F.col("doc_idx") / 5).cast("int").alias("test_idx"), "label", "items")
     return docs.where(F.col("doc_idx") % 5 != 0), test
 
 
-def _lazy(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _lazy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(test documents, their rules, scores of the classes)."""
-    train, test = _split(spark, sf_dir, whole)
-    rules = S.lazy_rules(train, test, SIZES if whole else LAZY_SIZES)
+    train, test = _split(spark, sf_dir)
+    rules = saved(S.lazy_rules(train, test, SIZES))
     return test, rules, S.class_scores(rules)
 
 
-def _predicted(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    test, rules, scores = _lazy(spark, sf_dir, whole)
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, rules, scores = _lazy(spark, sf_dir)
     return S.predictions(test, rules, S.ordered_labels(scores))
 
 
-@whole_too
-def lazy_rules(spark, sf_dir, whole=False):
-    return _lazy(spark, sf_dir, whole)[1].withColumn("sum_conf", F.round("sum_conf", 6))
+@query
+def lazy_rules(spark, sf_dir):
+    return _lazy(spark, sf_dir)[1].withColumn("sum_conf", F.round("sum_conf", 6))
 
 
-@whole_too
-def class_scores(spark, sf_dir, whole=False):
-    return _lazy(spark, sf_dir, whole)[2].withColumn("score", F.round("score", 6))
+@query
+def class_scores(spark, sf_dir):
+    return _lazy(spark, sf_dir)[2].withColumn("score", F.round("score", 6))
 
 
-@whole_too
-def ordered_labels(spark, sf_dir, whole=False):
-    return S.ordered_labels(_lazy(spark, sf_dir, whole)[2])
+@query
+def ordered_labels(spark, sf_dir):
+    return S.ordered_labels(_lazy(spark, sf_dir)[2])
 
 
-@whole_too
-def lazy_predictions(spark, sf_dir, whole=False):
-    return _predicted(spark, sf_dir, whole)
+@query
+def lazy_predictions(spark, sf_dir):
+    return _predicted(spark, sf_dir)
 
 
-@whole_too
-def ranking_score(spark, sf_dir, whole=False):
-    return S.ranking_score(_lazy(spark, sf_dir, whole)[2]).withColumn("value", F.round("value", 6))
+@query
+def ranking_score(spark, sf_dir):
+    return S.ranking_score(_lazy(spark, sf_dir)[2]).withColumn("value", F.round("value", 6))
 
 
-@whole_too
-def prediction_entropy(spark, sf_dir, whole=False):
-    return S.prediction_entropy(_lazy(spark, sf_dir, whole)[2]).withColumn("value", F.round("value", 6))
+@query
+def prediction_entropy(spark, sf_dir):
+    return S.prediction_entropy(_lazy(spark, sf_dir)[2]).withColumn("value", F.round("value", 6))
 
 
-@whole_too
-def prediction_lines(spark, sf_dir, whole=False):
-    test, rules, scores = _lazy(spark, sf_dir, whole)
+@query
+def prediction_lines(spark, sf_dir):
+    test, rules, scores = _lazy(spark, sf_dir)
     return S.prediction_lines(S.predictions(test, rules, S.ordered_labels(scores)), S.ranking_score(scores), S.prediction_entropy(scores))
 
 
-@whole_too
-def eval_counts(spark, sf_dir, whole=False):
-    return S.eval_counts(_predicted(spark, sf_dir, whole))
+@query
+def eval_counts(spark, sf_dir):
+    return S.eval_counts(_predicted(spark, sf_dir))
 
 
-@whole_too
-def eval_per_class(spark, sf_dir, whole=False):
-    found = S.eval_per_class(S.eval_counts(_predicted(spark, sf_dir, whole)))
+@query
+def eval_per_class(spark, sf_dir):
+    found = S.eval_per_class(S.eval_counts(_predicted(spark, sf_dir)))
     return found.select("label", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
 
 
-@whole_too
-def eval_summary(spark, sf_dir, whole=False):
-    found = S.eval_summary(S.eval_counts(_predicted(spark, sf_dir, whole)))
+@query
+def eval_summary(spark, sf_dir):
+    found = S.eval_summary(S.eval_counts(_predicted(spark, sf_dir)))
     return found.select(*(F.round(c, 6).alias(c) for c in ("acc", "macro_f1")))
 
 
-@whole_too
-def eval_running(spark, sf_dir, whole=False):
-    found = S.eval_running(_predicted(spark, sf_dir, whole))
+@query
+def eval_running(spark, sf_dir):
+    found = S.eval_running(_predicted(spark, sf_dir))
     return found.select("seq", *(F.round(c, 6).alias(c) for c in ("acc", "macro_f1")))
 
 

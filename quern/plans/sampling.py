@@ -5,14 +5,14 @@ the last chosen document to the statistics, counts the rules of every document a
 the fewest (then with the smaller df sum, then the greater number). A document that was taken before ends the partition.
 
 Where every partition has at most ``local_documents`` documents (a checked count), a partition's rounds run in one task,
-which saves a job for each round. Beyond that one Spark job a round serves all partitions. A chosen document changes only the statistics of its own subsets, so a
-round sends the executors the changed rule counts of those subsets (a few hundred for each partition), and every
+which saves a job for each round. Beyond that one Spark job a round serves all partitions; both give the same picks. The
+statistics of the chosen documents are then on the driver: they grow with the reduced set, which is small where sampling
+is of use, not with the input. A chosen document changes only the statistics of its own subsets, so a round sends the executors the changed rule counts of those subsets (a few hundred for each partition), and every
 document adds up the changes among the items it shares with the chosen one: no shuffle but the final minimum.
 """
 
 from __future__ import annotations
 
-import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -22,18 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions.combinatorics import subsets
 from ..operators.rules import antecedents
+from ..sources.storage import saved
 
 #: Rounds after which the running counts are written, which cuts the lineage.
 SAVE_EVERY = 6
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-sampling-"))
-    return df.checkpoint(eager=True)
-
-
 class _Statistics:
     """Counts of the itemsets of the chosen documents of one partition; as large as the chosen set, not the input."""
 
@@ -110,7 +104,7 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
     """
     spark: SparkSession = docs.sparkSession
     sizes = antecedents(max_rule_size)
-    state = _saved(docs.join(sums, ["part", "doc_idx"]).select("part", "doc_idx", "label", F.sort_array("items").alias("items"), "df_sum", F.lit(0).cast("long").alias("rules")))
+    state = saved(docs.join(sums, ["part", "doc_idx"]).select("part", "doc_idx", "label", F.sort_array("items").alias("items"), "df_sum", F.lit(0).cast("long").alias("rules")))
     largest = state.groupBy("part").count().agg(F.max("count")).first()[0]
     if largest is None or largest <= local_documents:
         return _local(state.drop("rules"), lambda: _Statistics(sizes, min_conf, min_sup, classes), rounds)
@@ -130,7 +124,7 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
         delta = F.aggregate(mine, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(F.try_element_at("change", x), F.lit(0)))
         state = state.join(sent, "part").withColumn("_own", own).withColumn("rules", F.col("rules") + delta).drop("_own", "new", "change")
         if step % SAVE_EVERY == 0:
-            state = _saved(state)
+            state = saved(state)
         best = state.groupBy("part").agg(F.min_by(row, F.struct(F.col("rules"), F.col("df_sum"), -F.col("doc_idx"))).alias("x")).collect()
         picks = {}
         for part, x in sorted((r["part"], r["x"]) for r in best):

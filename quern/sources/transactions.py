@@ -17,13 +17,13 @@ BINS = 10
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0, blank lines counted) and line of a text file or folder."""
-    lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
-    part, own = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    sizes = lines.groupBy(part.alias("_part")).count()
-    # one row per input partition
-    before = sizes.select("_part", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("count")).alias("_before"))
-    return lines.withColumn("_part", part).join(before, "_part").select((F.col("_before") + own).alias("line_no"), "line")
+    """line_no (from 0, blank lines counted) and line of a text file or folder; files follow each other by path."""
+    lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start")
+    block = ["file_path", "file_block_start"]
+    # a task reads the lines of a block one after the other; one row per block
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = sizes.select(*block, "first", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(*block)) - F.col("n")).alias("before"))
+    return lines.join(before, block).select((F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "line")
 
 
 def parse_training(lines: DataFrame) -> DataFrame:
@@ -78,16 +78,22 @@ def documents(long: DataFrame) -> DataFrame:
     return long.groupBy("doc_idx", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
 
 
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_idx, vec_id, label (even or odd), embedding of ``embeddings``."""
+    rows = row_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "doc_idx", ["vec_id"])
+    return rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), "vec_id", (F.col("label") % 2).alias("label"), "embedding")
+
+
 def tx_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long form over ``embeddings``: position d is dimension d, its item the ten-tile of the value; label is even or odd."""
-    rows = row_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "doc_idx", ["vec_id"]).select(F.col("doc_idx").cast("int").alias("doc_idx"), "vec_id", (F.col("label") % 2).alias("label"), "embedding")
+    rows = embedding_rows(spark, sf_dir)
     each = rows.select("doc_idx", "vec_id", "label", F.posexplode("embedding").alias("pos", "v")).withColumn("pos", F.col("pos") + 1)
     bins = row_numbers(each, "n", ["v", "vec_id"], by=["pos"])
     return bins.select("doc_idx", "label", "pos", F.concat(F.lit("f"), F.col("pos").cast("string"), F.lit("="), ntile(F.col("n"), F.col("n_size"), BINS).cast("string")).alias("item"))
 
 
-def tx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long form over labelled ``documents``: language, source, length, number of spaces and of line ends; label is the quality."""
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide form over labelled ``documents``: language, source, length, number of spaces and of line ends; label is the quality."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = F.col("text")
     rows = read("documents").join(read("labels"), "doc_id").select(
@@ -101,13 +107,29 @@ def tx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"), F.concat(F.lit("nchars="), tile("a")),
         F.concat(F.lit("words="), tile("b")), F.concat(F.lit("lines="), F.least(F.lit(9), F.col("ends")).cast("string")),
     )
-    return doc_items(rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), "label", found.alias("items")))
+    return rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), "label", found.alias("items"))
 
 
-def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long form over ``orders``: priority, month, the customer's segment and nation; label is status F."""
+def tx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form of ``document_rows``."""
+    return doc_items(document_rows(spark, sf_dir))
+
+
+def sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_rows`` without the usual items, so documents have from no to five items."""
+    usual = lambda x: x.isin("lang=en", "lines=0") | x.rlike("^(nchars|words)=[0-4]$")
+    return document_rows(spark, sf_dir).withColumn("items", F.filter("items", lambda x: ~usual(x)))
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide form over ``orders``: priority, month, the customer's segment and nation; label is status F."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = row_numbers(rows, "doc_idx", ["o_orderkey"])
     found = F.array(F.concat(F.lit("prio="), "o_orderpriority"), F.concat(F.lit("month="), F.month("o_orderdate").cast("string")), F.concat(F.lit("seg="), "c_mktsegment"), F.concat(F.lit("nation="), "n_name"))
-    return doc_items(rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), found.alias("items")))
+    return rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), found.alias("items"))
+
+
+def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form of ``order_rows``."""
+    return doc_items(order_rows(spark, sf_dir))

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["feature_partitions", "rule_counts", "sampling_step_k", "lazy_predictions", "scan_transactions_orders"])
+@pytest.mark.parametrize("name", ["feature_partitions", "rule_counts", "sampling_step_k", "selective_sampling_sparse", "project_on_current_sparse", "text_round_trip", "scan_test_stop", "class_token_counts", "lazy_predictions", "scan_transactions_orders"])
 def test_query_equals_sql(spark, name):
     import __spark_entry__ as entry
 

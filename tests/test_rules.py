@@ -1,6 +1,7 @@
 """Goldens traced by hand, and properties."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,48 @@ def test_seed_is_counted_twice(spark, tmp_path, local):
     assert reduced_set(picks).count() == 1
 
 
+def test_distributed_rounds_equal_local_ones(spark):
+    """Both ways to run the rounds, over documents of which some have no item in a partition."""
+    rng = random.Random(8)
+    rows = [(part, d, rng.randint(0, 1), sorted({f"{rng.choice('abcdef')}{rng.randint(0, 3)}" for _ in range(rng.choice([0, 2, 4, 5][1 - part :]))})) for part in (0, 1) for d in range(220)]
+    docs = spark.createDataFrame(rows, "part int, doc_idx int, label int, items array<string>")
+    sums = docs.select("part", "doc_idx", F.size("items").cast("long").alias("df_sum"))
+    runs = [selective_sampling(docs, sums, rounds=14, local_documents=most) for most in (0, 1000)]
+    both = [sorted(map(tuple, run.collect())) for run in runs]
+    assert both[0] == both[1] and len(both[0]) > 10 and (1, 0) in {(r[0], r[3]) for r in both[0][-2:]}
+
+
+def test_documents_without_items(spark):
+    docs = spark.createDataFrame([(0, 1, ["a", "b"]), (1, 0, []), (2, 0, ["a"])], "doc_idx int, label int, items array<string>")
+    long = T.doc_items(docs)
+    parted = long.withColumn("part", F.col("pos") - 1)
+    every = I.in_every_part(docs.select("doc_idx", "label"), 2)
+    assert sorted((r["part"], r["doc_idx"], r["items"]) for r in I.part_documents(parted, every).collect()) == [(0, 0, ["a"]), (0, 1, []), (0, 2, ["a"]), (1, 0, ["b"]), (1, 1, []), (1, 2, [])]
+    assert sorted(tuple(r) for r in I.doc_df_sum(parted, I.item_df(long), every).collect()) == [(0, 0, 2), (0, 1, 0), (0, 2, 2), (1, 0, 1), (1, 1, 0), (1, 2, 0)]
+    seeds = I.most_representative(I.doc_df_sum(parted, I.item_df(long), every))
+    sizes = I.projected_sizes(parted, I.current_items(parted, seeds), every)
+    assert sorted(tuple(r) for r in sizes.collect()) == [(0, 0, 1), (0, 1, 0), (0, 2, 1), (1, 0, 1), (1, 1, 0), (1, 2, 0)]
+    assert {r["label"]: r["n"] for r in I.class_counts(docs).collect()} == {0: 2, 1: 1}
+    lines = spark.createDataFrame([(0, "1 CLASS=1 a CLASS=1"), (1, "2 CLASS=0 CLASS=1 b")], "line_no long, line string")
+    assert {r["label"]: r["n"] for r in I.class_token_counts(lines).collect()} == {0: 1, 1: 3}
+    blocks = I.inverted_lists(spark.createDataFrame([(k, 0, 1, "x") for k in range(5)], "doc_idx int, label int, pos int, item string"), block=2)
+    assert sorted((r["block"], r["doc_list"]) for r in blocks.collect()) == [(0, "1,2"), (1, "3,4"), (2, "5")]
+
+
+def test_lazy_rules_packed_or_not(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(d, rng.randint(0, 1), sorted({f"{c}{rng.randint(0, 2)}" for c in "abcdef" if rng.random() < 0.8})) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_idx int, label int, items array<string>")
+    test = docs.where("doc_idx < 9").select(F.col("doc_idx").alias("test_idx"), "label", F.array_union("items", F.array(F.lit("unseen"))).alias("items"))
+    train = docs.where("doc_idx >= 9")
+    for sizes in (range(1, 4), range(1, 3), range(1, 2)):
+        runs = []
+        for bits in (21, 0):
+            monkeypatch.setattr(S, "_BITS", bits)
+            runs.append(sorted((r[0], r[1], r[2], round(r[3], 6)) for r in S.lazy_rules(train, test, sizes, 0.4, 2).collect()))
+        assert runs[0] == runs[1] and len(runs[0]) == 18
+
+
 def test_thresholds(spark):
     rows = spark.createDataFrame([(1, 1000), (1, 1001), (0, 0), (0, 5)], "c long, n long")
     assert [r[0] for r in rows.select(R.reaches(F.col("c"), F.col("n"), 0.001)).collect()] == [True, False, False, False]
@@ -93,6 +136,8 @@ def test_numbers(spark):
     assert [r[0] for r in primes(spark, 30).collect()] == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
     rows = row_numbers(spark.range(37).select((F.col("id") * 7 % 37).alias("x")), "n", ["x"])
     assert all(r["x"] == r["n"] for r in rows.collect())
+    clash = row_numbers(spark.range(9).select(*(F.col("id").alias(c) for c in ("x", "_range", "_n", "_before", "_own", "n_"))), "n", ["x"], ranges=3)
+    assert all(r["x"] == r["n"] == r["_range"] == r["_own"] for r in clash.collect()) and clash.columns[-2:] == ["n_size", "n"]
     tiles = [r[0] for r in rows.orderBy("n").select(ntile(F.col("n"), F.col("n_size"), 10)).collect()]
     assert tiles == [min(t for t in range(10) if n < sum(4 if k < 7 else 3 for k in range(t + 1))) for n in range(37)]
 
@@ -103,6 +148,11 @@ def test_readers(spark, tmp_path):
     rows = [tuple(r) for r in T.read_training(spark, str(path)).orderBy("doc_idx").collect()]
     assert rows == [(0, 5, 1, ["b", "a"]), (1, 0, 0, ["c"]), (2, 6, 0, ["d"])]
     assert [tuple(r) for r in T.read_test(spark, str(path)).collect()] == [(0, 1, ["a", "b"])]
+    # files follow each other by path, whatever their sizes
+    (tmp_path / "many").mkdir()
+    for k, n in enumerate((1, 40, 3)):
+        (tmp_path / "many" / f"{k}.txt").write_text("".join(f"{100 * k + i + 1} CLASS=0 x{'y' * 50}\n" for i in range(n)))
+    assert [r["qid"] for r in T.read_training(spark, str(tmp_path / "many")).orderBy("doc_idx").collect()] == [1, *range(101, 141), 201, 202, 203]
     order = tmp_path / "o.txt"
     order.write_text("3 1\n2 ")
     assert [tuple(r) for r in T.read_feature_order(spark, str(order)).collect()] == [(0, 3), (1, 1), (2, 2)]

@@ -38,14 +38,14 @@ def test_lazy_rules(spark, sf_dir, documents):
             for c in (0, 1):
                 conf = [counts[c][s] / (counts[0][s] + counts[1][s]) for s in _sets(items) if counts[c][s]]
                 want[d // 5, c] = len(conf), round(sum(conf), 4)
-    got = {(r["test_idx"], r["label"]): (r["n_rules"], round(r["sum_conf"], 4)) for r in QUERIES["lazy_rules_whole"](spark, sf_dir).collect()}
+    got = {(r["test_idx"], r["label"]): (r["n_rules"], round(r["sum_conf"], 4)) for r in QUERIES["lazy_rules"](spark, sf_dir).collect()}
     assert got == want
-    rules = {r["test_idx"]: r["rules"] for r in QUERIES["lazy_predictions_whole"](spark, sf_dir).collect()}
+    rules = {r["test_idx"]: r["rules"] for r in QUERIES["lazy_predictions"](spark, sf_dir).collect()}
     assert rules == {t: want[t, 0][0] + want[t, 1][0] for t, c in want if c == 0}
 
 
 def test_rule_counts(spark, sf_dir, documents):
-    """All 25 documents are chosen, not the first 20."""
+    """All documents are chosen."""
     pos = {p: r for r, p in enumerate(sorted(range(1, 65), key=lambda p: p * 37 % 65))}
     part = {(d, k): sorted(x for x in items if pos[int(x[1 : x.index("=")])] % 5 == k) for d, (_, items) in documents.items() for k in range(5)}
     counts = {(k, s): [0, 0] for (d, k), items in part.items() for s in _sets(items)}
@@ -53,9 +53,9 @@ def test_rule_counts(spark, sf_dir, documents):
         for s in _sets(items):
             counts[k, s][documents[d][0]] += 1
     rules = {(k, d): sum((n > 0) for s in _sets(items) for n in counts[k, s]) for (d, k), items in part.items()}
-    assert {(r["part"], r["doc_idx"]): r["rules"] for r in QUERIES["rule_counts_whole"](spark, sf_dir).collect()} == rules
+    assert {(r["part"], r["doc_idx"]): r["rules"] for r in QUERIES["rule_counts"](spark, sf_dir).collect()} == rules
     for size in (2, 3):
-        got = {(r["part"], tuple(r[x] for x in "abc"[:size])): (r["n_c0"], r["n_c1"]) for r in QUERIES[f"itemsets{size}_support_whole"](spark, sf_dir).collect()}
+        got = {(r["part"], tuple(r[x] for x in "abc"[:size])): (r["n_c0"], r["n_c1"]) for r in QUERIES[f"itemsets{size}_support"](spark, sf_dir).collect()}
         assert got == {key: tuple(n) for key, n in counts.items() if len(key[1]) == size}
-    assert {(r["part"], r["a"], r["b"]): r["n"] for r in QUERIES["bitmap_support_whole"](spark, sf_dir).collect()} == {(k, *s): sum(n) for (k, s), n in counts.items() if len(s) == 2}
-    assert all(r["n_projected"] == len(part[r["doc_idx"], r["part"]]) for r in QUERIES["project_on_current_whole"](spark, sf_dir).collect())
+    assert {(r["part"], r["a"], r["b"]): r["n"] for r in QUERIES["bitmap_support"](spark, sf_dir).collect()} == {(k, *s): sum(n) for (k, s), n in counts.items() if len(s) == 2}
+    assert all(r["n_projected"] == len(part[r["doc_idx"], r["part"]]) for r in QUERIES["project_on_current"](spark, sf_dir).collect())
