@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -57,6 +58,15 @@ def saved_in_place(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which may be hours apart, while executors' disks fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partition_keys(spark: SparkSession, parts: int) -> list[int]:
     """For every partition of ``repartition(parts, <long column>)`` the least number from 0 on that goes there.
 

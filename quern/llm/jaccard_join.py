@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import mapped, partition_keys, pieces, released, saved, saved_in_place, skew_join, small, table, utf8
+from .common import forget, mapped, partition_keys, pieces, released, saved, saved_in_place, skew_join, small, table, utf8
 
 WIDTH = 5
 PERCENT = 80
 #: Shingles that one fragment should hold, about; the number of fragments follows the input.
 FRAGMENT_SHINGLES = 2_000_000
 #: Pairs of one leader that meet its set in one task.
-STAR_PAIRS = 2_000
+STAR_PAIRS = 250
 #: In round r of step 4, buckets of at most so many times 2**r members are compared pair by pair.
 PAIRWISE = 8
 
@@ -417,9 +417,9 @@ def _resolved(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Dat
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
     deal = partition_keys(spark, fragments)
-    found = _survivors(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal), deal, t)
     # placed by sig, once: the joins of every round find them there
-    survivors = saved_in_place(found.repartition(fragments, "sig").dropDuplicates(["sig"]))
+    survivors = saved_in_place(_survivors(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal), deal, t).repartition(fragments, "sig").dropDuplicates(["sig"]))
+    forget(spark)
 
     links = None
     postings = _first_postings(survivors, t)
@@ -427,8 +427,10 @@ def _resolved(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Dat
     while True:
         pairs = _candidates(postings, most, t)
         out = saved(_compared(pairs, survivors, t))
-        found = out.where("other is not null and unlinked").select(F.col("sig").alias("x"), F.col("other").alias("y"))
+        found = saved(out.where("other is not null and unlinked").select(F.col("sig").alias("x"), F.col("other").alias("y")))
         links = found if links is None else links.union(found)
+        del pairs
+        forget(spark)
         postings = out.where("token is not null").drop("other")
         if postings.limit(1).count() == 0:
             break
