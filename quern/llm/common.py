@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import saved, shared_dir
+
+__all__ = ["CONTINUATION", "HOT_SHARE", "SPACE", "fold", "forget", "mapped", "partition_keys", "pieces", "released", "saved", "saved_in_place", "shared_dir", "skew_join", "small", "table", "utf8"]
+
 #: Bytes that separate words: space and U+0009 to U+000D. ``bytes.split()`` splits at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
 #: UTF-8 continuation bytes; a text has as many code points as it has other bytes.
@@ -22,28 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the one set on its context.
-
-    Where neither is set, one process (``local[...]``, as in tests) gets a temporary folder; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    if found := context.getConf().get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if current := context.getCheckpointDir():
-        return current.rsplit("/", 1)[0]
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-checkpoints-"))
-    return context.getCheckpointDir().rsplit("/", 1)[0]
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: cuts lineage and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def saved_in_place(df: DataFrame) -> DataFrame:
     """``saved`` that keeps the partitioning of ``df``, so a join on its key need not shuffle it again.
 

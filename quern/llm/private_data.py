@@ -139,15 +139,22 @@ def private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return mapped(own, make, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
 
 
-def without_private_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns; every span found in a text is replaced. A null text stays null."""
+def without_private_data(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with its columns; every span found in a text is replaced. A null text stays null.
+
+    ``length_col`` names a long column that has the code points of the text, which are counted anew where it is not null.
+    """
     names = docs.columns
 
     def make():
         def step(batch: pa.RecordBatch):
             for part in pieces(batch, text_col):
                 texts = [t if t is None else redacted(t, find(t)) for t in part.column(text_col).to_pylist()]
-                yield part.set_column(names.index(text_col), text_col, pa.array(texts, pa.string()))
+                part = part.set_column(names.index(text_col), text_col, pa.array(texts, pa.string()))
+                if length_col is not None:
+                    sizes = [n if n is None or t is None else len(t) for n, t in zip(part.column(length_col).to_pylist(), texts)]
+                    part = part.set_column(names.index(length_col), length_col, pa.array(sizes, pa.int64()))
+                yield part
 
         return step
 

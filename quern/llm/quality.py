@@ -1,7 +1,7 @@
-"""Quality rules: hashed word and character n-gram logistic regression, calibrated, against a fixed threshold.
+"""Quality rules: hashed word and character n-gram logistic regression, calibrated, against fixed thresholds.
 
 Base counts come first (see ``base_counts``); a row that fails them is not kept. Every other row is kept when the
-calibrated probability of good quality reaches ``KEEP_AT``. The regression is fitted on a bounded sample of labelled
+calibrated probability of good quality reaches ``KEEP_AT``, and its band is the number of ``THRESHOLDS`` that it reaches. The regression is fitted on a bounded sample of labelled
 rows (``most_rows``); scoring covers every row, in Arrow batches, over whole texts.
 
 Features: words, pairs of adjacent words and windows of four code points of the lower-cased text, each family hashed
@@ -26,6 +26,7 @@ FAMILIES = ("word", "pair", "char")
 #: Labelled rows that the regression is fitted on, at most: those with the smallest hash of their id.
 MOST_ROWS = 3_000
 KEEP_AT = 0.35
+THRESHOLDS = (KEEP_AT, 0.65, 0.9)
 MIN_WORDS = 10
 #: Words in repeated windows, percent of all words, that a kept text may have.
 MOST_REPEATED = 20
@@ -207,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """One row per input row: doc_id, the base counts, base_failed, kept, probability.
+    """One row per input row: doc_id, the base counts, base_failed, kept, probability, band.
 
     A null text has no words and fails. Ids may be null or repeat; other columns are ignored.
     """
@@ -221,14 +222,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     counts = base_counts(text, words)
                     bad = failed(len(words), counts[3])
                     p = model.probability(text)
-                    rows.append((len(words), *counts, bad, not bad and p >= keep_at, p))
-                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"])
+                    rows.append((len(words), *counts, bad, not bad and p >= keep_at, p, sum(p >= x for x in THRESHOLDS)))
+                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability", "band"])
 
         return step
 
     own = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    return mapped(own, make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return mapped(own, make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double, band int")
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

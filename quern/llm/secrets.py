@@ -1,10 +1,11 @@
 """Secret scan: sliding-window Shannon entropy over candidate strings, with an allow-list.
 
-Base kinds are patterns: assign (group 2 of an assignment to a telling name), access (AKIA keys) and hex runs.
-The method adds ``entropy``: every candidate string (a run of token characters) is put into a character class, a
-window slides over it, and the entropy of the window is kept up to date from the counts of the character that enters
-and the one that leaves. A candidate whose best window reaches the threshold of its class is reported unless the
-allow-list knows it. Positions are code points, ends are exclusive.
+Base kinds are patterns: assign (the whole assignment to a telling name), access (AKIA keys) and hex runs.
+The method adds ``entropy``: every candidate string (a run of ``LEAST`` or more token characters) is put into a character
+class, a window of ``WINDOW`` characters (of all, if it has fewer) slides over it, and the entropy of the window is kept up
+to date from the counts of the character that enters and the one that leaves. A candidate whose best window reaches the
+threshold of its class is reported unless the allow-list knows it; for shorter windows the threshold falls with the
+logarithm of their width. Positions are code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import mapped, pieces, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 BASE = KINDS[:3]
-WINDOW = 20
+WINDOW, LEAST = 20, 16
 #: Bits a character that the best window of a candidate must reach, by its class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 
@@ -28,12 +29,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % WINDOW)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 _CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+\Z")), ("alnum", re.compile(r"[A-Za-z0-9]+\Z")))
 #: Strings that look random but are not secrets.
 _ALLOWED = re.compile(
-    r"""[A-Za-z]+(?:[-_/][A-Za-z]+)*\Z                          # words, joined words, paths
-      | [0-9]+(?:[-_/][0-9]+)*\Z                                # numbers and dates
+    r"""[0-9]+(?:[-_/][0-9]+)*\Z                                # numbers and dates
       | [0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z  # UUIDs
       | .*(?:example|placeholder|changeme|xxxxx|redacted)       # placeholders
       | (.)\1+\Z                                                # one repeated character
@@ -41,6 +41,16 @@ _ALLOWED = re.compile(
     """,
     re.VERBOSE | re.IGNORECASE | re.ASCII,
 )
+_LETTERS = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*\Z")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def allowed(s: str) -> bool:
+    """Whether the allow-list knows a candidate: one of its patterns, or letters only in parts (``oneWord``, ``ONE_WORD``) of
+    three and more on average, as words have."""
+    return bool(_ALLOWED.match(s)) or bool(_LETTERS.match(s)) and 3 * len(_PARTS.findall(s)) <= len(s)
+
+
 _C_LOG_C = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
@@ -78,10 +88,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out += [(m.start(), 2, m.end()) for m in _HEX_LONG.finditer(text)]
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if _ALLOWED.match(s) or not any(c in "0123456789" for c in s):
+        if allowed(s):
             continue
         kind = next((k for k, p in _CLASSES if p.match(s)), "base64")
-        if best_entropy(s) >= THRESHOLDS[kind]:
+        if best_entropy(s) >= THRESHOLDS[kind] * math.log2(min(len(s), WINDOW)) / math.log2(WINDOW):
             out.append((m.start(), 3, m.end()))
     return [(a, b, KINDS[k]) for a, k, b in sorted(out)]
 

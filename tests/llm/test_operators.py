@@ -70,6 +70,31 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.deduplicated(empty).count() == 0
 
 
+CLASHES = ["q_sha", "q_rank", "q_row", "q_id", "q_norm", "q_own", "q_hot", "q_salt", "sig", "x", "n", "items", "first", "text_sha", "dest", "key", "kind"]
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like internal ones come back as they were, and rows that share an id are told apart by their text."""
+    base, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(2, base), (5, base), (5, other), (5, other), (7, base.replace("w30 ", "edit ")), (None, base), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in CLASHES)) for k, r in enumerate(rows)], f"doc_id long, text string, {', '.join(f'{c} string' for c in CLASHES)}").repartition(3)
+    for found, want in ((exact_dedup.deduplicated(docs), {(2, base), (5, other), (7, rows[4][1]), (9, None)}), (jaccard_join.one_of_each(docs), {(2, base), (5, other), (None, base), (9, None), (9, "")})):
+        got = [tuple(r) for r in found.collect()]
+        assert found.columns == docs.columns and len(got) == len(want)
+        assert {(r[0], r[1] or None) for r in got} == {(a, b or None) for a, b in want}
+        for r in got:
+            k = int(r[2].removeprefix("q_sha"))
+            assert r[:2] == rows[k] and r[2:] == tuple(f"{c}{k}" for c in CLASHES)
+
+
+def test_exact_dedup_when_texts_share_digests(docs, rows, monkeypatch):
+    want = Counter(tuple(r) for r in exact_dedup.exact_duplicates(docs).drop("text_sha256").collect())
+    monkeypatch.setattr(exact_dedup, "_digests", lambda text: [F.lit("same").alias("q_sha"), F.lit(1).cast("long").alias("q_check"), F.length(text).alias("q_length")])
+    assert Counter(tuple(r) for r in exact_dedup.exact_duplicates(docs).drop("text_sha256").collect()) == want
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert Counter(norm(r["text"]) for r in exact_dedup.deduplicated(docs).collect()) == Counter({norm(r[1]) for r in rows})
+
+
 def _brute_components(rows):
     sets = []
     for r in rows:
@@ -131,6 +156,8 @@ def test_private_data(docs, rows, empty):
     assert out[122]["n_email"] == 2 and out[122]["n_card"] == 1 and "url:" in out[122]["spans"] and "[EMAIL]" in out[122]["redacted"]
     assert private_data.private_data(docs).count() == len(rows) and private_data.private_data(empty).count() == 0
     clean = private_data.without_private_data(docs)
+    counted = private_data.without_private_data(docs, length_col="n_chars").where("text is not null")
+    assert counted.where("n_chars != length(text)").count() == 0 and clean.where("n_chars != length(text)").count() == 1
     assert clean.columns == docs.columns and clean.where("text is null").count() == 1 and "@c.de" not in clean.where("doc_id = 122").first()["text"]
 
 
@@ -139,6 +166,27 @@ def test_secrets(docs, rows, empty):
     assert (found[123]["n_assign"], found[123]["n_access"], found[123]["n_hex"], found[123]["n_entropy"]) == (2, 1, 1, 1)
     assert found[124]["n_assign"] == 0 and found[0]["spans"] == ""
     assert secrets.secrets(empty).count() == 0
+    # base spans and entropy against their definitions
+    rng = random.Random(6)
+    parts = ["password", "Token", "api_key", "apikey", "SECRET", "=", ": ", '"', "'", " ", "AKIA", "deadbeef01", "ABCDEFGH12345678", "x9", "é", "getUserNameFromTable", "QwErTyUiOpAsDfGh", "-", "/", "zZ8"]
+    texts = [r[1] or "" for r in rows] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    for t in texts:
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", t):
+            w = min(20, len(m[0]))
+            best = max(-sum(n / w * math.log2(n / w) for n in Counter(m[0][i : i + w]).values()) for i in range(len(m[0]) - w + 1))
+            least = 3.0 if re.fullmatch(r"[0-9A-Fa-f]+", m[0]) else 3.6 if re.fullmatch(r"[A-Za-z0-9]+", m[0]) else 3.8
+            if not secrets.allowed(m[0]) and best >= least * math.log2(w) / math.log2(20) - 1e-12:
+                want.append((m.start(), 3, m.end()))
+        assert [(a, secrets.KINDS.index(k), b) for a, b, k in secrets.find(t)] == sorted(want), t
+    for r in secrets.secrets(docs).collect():
+        own = secrets.find(next(x[1] for x in rows if x[0] == r["doc_id"]) or "") if r["doc_id"] is not None else None
+        if own is not None:
+            assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in own)
+            assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in own if k != "entropy").encode()).hexdigest()
+    assert secrets.allowed("path/to/some/name") and secrets.allowed("getUserNameFromTable") and not secrets.allowed("QwErTyUiOpAsDfGh")
     for s in ("abcabcabcabcabcabcabcabc", "a1b2c3d4e5f6g7h8i9j0k1l2m3", "aaaaaaaaaaaaaaaaaaaaaaaab", "ab"):
         width = min(20, len(s))
         windows = [s[i : i + width] for i in range(len(s) - width + 1)]
@@ -152,6 +200,7 @@ def test_quality(spark, docs, rows, empty):
     known = spark.createDataFrame([(a, b) for a, b, _ in more], "doc_id long, text string")
     labels = spark.createDataFrame([(a, c) for a, _, c in more] + [(None, 1), (5, None)], "doc_id long, quality int")
     model = quality.train(known, labels)
+    assert {(r["probability"] >= 0.35, r["band"]) for r in quality.score(known, model).collect()} <= {(False, 0), (True, 1), (True, 2), (True, 3)}
     hits = [(r["probability"] > 0.5) == bool(more[r["doc_id"]][2]) for r in quality.score(known, model).collect()]
     assert sum(hits) >= 0.95 * len(hits)
     for r in quality.score(docs, model).where("doc_id is not null").collect():
@@ -162,6 +211,24 @@ def test_quality(spark, docs, rows, empty):
         lines = [x for x in text.split("\n") if _words(x)]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w)) and (not r["kept"] or not r["base_failed"])
+        # the margin from every n-gram, one at a time
+        low, family = text.encode().lower(), []
+        words_, points = [zlib.crc32(x) for x in low.split()], [ord(c) for c in low.decode()]
+        family.append(words_)
+        family.append([(a * 0x9E3779B1 & 0xFFFFFFFF) ^ b for a, b in zip(words_, words_[1:])])
+        grams_ = []
+        for i in range(len(points) - 3):
+            h = 0
+            for c in points[i : i + 4]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            grams_.append(h)
+        family.append(grams_)
+        margin = model.bias
+        for k, hs in enumerate(family):
+            at = [k * quality.BUCKETS + ((h * 0x85EBCA6B & 0xFFFFFFFF) >> 17) for h in hs]
+            margin += float(np.mean([float(model.weights[i]) for i in at])) if at else 0.0
+        p = 1 / (1 + math.exp(-max(-50.0, min(50.0, model.a * margin + model.b))))
+        assert abs(p - r["probability"]) < 1e-6 and (abs(p - 0.35) < 1e-6 or r["kept"] == (p >= 0.35 and not r["base_failed"]))
     w = [str(rng.randrange(4)).encode() for _ in range(300)]
     assert quality.repeated_words(w) == quality._repeats_by_rank(w)
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
@@ -178,6 +245,71 @@ def test_language(docs, rows, empty):
     assert language.predict(empty, language.train(empty)).count() == 0
 
 
+def test_language_against_brute_force(spark, docs, rows):
+    """Document frequencies, vectors, cosines, the nearest centroid and rejection, one n-gram at a time."""
+    train = ~language.held_out(F.col("doc_id"))
+    model = language.train(docs, train)
+    learned = [r for r in rows if r[2] and zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 4 != 2]
+
+    def grams(text):
+        own = re.sub(r"[^a-zéа-яſ]+", " ", (text or "").lower()).strip()
+        if not any(map(str.isalpha, own)):
+            return Counter()
+        found, p = Counter(), f" {own} "
+        for i in range(1, len(p) - 1):
+            two = (ord(p[i - 1]) * 0x9E3779B1 & 0xFFFFFFFF) ^ (ord(p[i]) + 1)
+            three = (two * 0x85EBCA6B & 0xFFFFFFFF) ^ (ord(p[i + 1]) + 2)
+            found.update((h & 0xFFFFFFFF) >> 19 for h in (ord(p[i]) * 0xC2B2AE35, two * 0x27D4EB2F, three * 0x165667B1))
+        return found
+
+    df = Counter(b for r in learned for b in grams(r[1]))
+    n = sum(bool(grams(r[1])) for r in learned)
+    idf = {b: math.log((1 + n) / (1 + df[b])) + 1 for b in range(language.BUCKETS)}
+    assert np.allclose(model.idf, [idf[b] for b in range(language.BUCKETS)], rtol=1e-5)
+
+    def vector(text):
+        v = np.zeros(language.BUCKETS)
+        for b, k in grams(text).items():
+            v[b] = math.log1p(k) * idf[b]
+        return v / (np.linalg.norm(v) or 1)
+
+    for lang in ("en", "fr"):
+        texts = {r[1] for r in learned if r[2] == lang and grams(r[1])}
+        x = np.stack([vector(t) for t in texts])
+        own = model.centroids.T[[k for k, l in enumerate(model.langs) if l == lang]]
+        assert len(own) == 4 and np.allclose(np.linalg.norm(own, axis=1), 1, atol=1e-3)
+        near = (x @ own.T).argmax(1)
+        for k in range(4):  # a fixed point of k-means
+            mean = x[near == k].mean(0)
+            assert np.allclose(own[k], mean / np.linalg.norm(mean), atol=2e-2)
+        assert abs(model.least[lang] - 0.7 * np.quantile((x @ own.T).max(1), 0.01)) < 1e-3
+    for r in language.predict(docs, model).collect():
+        if r["doc_id"] is None:
+            continue
+        text = next(x[1] for x in rows if x[0] == r["doc_id"])
+        near = model.centroids.T @ vector(text)
+        best = model.langs[int(near.argmax())] if grams(text) else "und"
+        assert (r["lang_pred"], r["rejected"]) == (best, best == "und" or near.max() < model.least[best]) and abs(r["score"] - max(0, near.max() if grams(text) else 0)) < 1e-4
+
+
+def test_language_rejects_unseen_languages(spark):
+    """Every learned language has centroids, however many there are; a language that is not learned is rejected."""
+    rng = random.Random(12)
+    letters = {f"l{k:03d}": rng.sample("abcdefghijklmnopqrstuvwxyz", 9) for k in range(300)}
+    prose = lambda own: " ".join("".join(rng.choices(own, weights=range(9, 0, -1), k=rng.randint(2, 7))) for _ in range(40))
+    docs = spark.createDataFrame([(prose(own), lang) for lang, own in letters.items() for _ in range(3)], "text string, lang string")
+    model = language.train(docs)
+    assert len(set(model.langs)) == 300
+    other = [" ".join("".join(rng.choices("абвгдежзий", k=5)) for _ in range(40)) for _ in range(20)]
+    assert all(model.predict(t)[2] for t in other)
+    assert words_kept("हिन्दी ไทยเก่า e\u0301") == "हिन्दी ไทยเก่า e\u0301"
+
+
+def words_kept(text):
+    """Vowel signs and accents are parts of words."""
+    return language.words_of(text)
+
+
 def test_byte_bpe(docs, rows, empty):
     import public_tokenizers
     import tiktoken
@@ -190,6 +322,27 @@ def test_byte_bpe(docs, rows, empty):
         ids = own.encode_ordinary(r[1] or "")
         want[r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
     assert got == want and byte_bpe.coded(empty).count() == 0
+    # pieces of any length, of one script and of several
+    rng = random.Random(7)
+    long = ["a" * 5000, "x" * 100_001, "abc" * 4000, "你好" * 2000, " " * 7000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))]
+    long += ["".join(rng.choice("abéñя你好界ไทย") for _ in range(3000)), "".join(rng.choice("!?=-*/()") for _ in range(3000))]
+    long += ["".join(rng.choice("ab") for _ in range(rng.randint(500, 900))) for _ in range(60)]
+    for text, ids in zip(long, codec.encode(long)):
+        assert ids == ",".join(map(str, own.encode_ordinary(text)))
+    assert byte_bpe.ordered(byte_bpe.VOCABULARY) and not any(len(w) > byte_bpe.LONGEST for w in codec.known)
+
+
+def test_byte_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 20_000)
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    codec, encoder, rng = byte_bpe.Codec(), packing.Encoder(), random.Random(1)
+    fresh = byte_bpe.Codec()
+    for _ in range(5):
+        texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(10_000)}." for _ in range(300))]
+        assert codec.encode(texts) == fresh.encode(texts)
+        assert encoder.encode([texts[0].encode()])[0] == np.array(encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+        for own, entry in ((codec, byte_bpe.ENTRY), (encoder, packing.ENTRY)):
+            assert own.held == sum(len(w) + len(x) + entry for w, x in own.known.items()) <= 20_000
 
 
 def test_packing(docs, rows, empty):
@@ -217,6 +370,40 @@ def test_packing(docs, rows, empty):
     assert packing.plan(counts, 10) == [([6, 2, 2], 1), ([3], 1)]
 
 
+def _brute_bins(lengths, capacity):
+    """Best-two-fit over a list of documents, one bin at a time."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        while (fits := [x for x in left if x <= gap]) and gap:
+            own.append(fits[0])
+            left.remove(fits[0])
+            gap -= fits[0]
+        if gap and len(own) > 1:
+            small = own[-1]
+            pool = sorted([*left, small], reverse=True)
+            sums = {pool[i] + pool[j] for i in range(len(pool)) for j in range(i + 1, len(pool)) if small < pool[i] + pool[j] <= gap + small}
+            if sums:
+                top = max(sums)
+                i, j = next((i, j) for i in range(len(pool)) for j in range(i + 1, len(pool)) if pool[i] + pool[j] == top)
+                own[-1:] = [pool[i], pool[j]]
+                left = [x for k, x in enumerate(pool) if k not in (i, j)]
+        bins.append(sum(own))
+    return sorted(bins)
+
+
+def test_packing_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        capacity = rng.choice([10, 30, 64])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 40))]
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        bins = packing.plan(counts, capacity)
+        assert Counter(x for own, times in bins for _ in range(times) for x in own) == Counter(lengths)
+        assert all(sum(own) <= capacity for own, _ in bins)
+        assert sorted(sum(own) for own, times in bins for _ in range(times)) == _brute_bins(lengths, capacity)
+
+
 def test_warc_shards(spark, tmp_path, monkeypatch):
     """Many shards: a frequent id, rows without an id, and ids at both ends of the range are split; a text comes back whole."""
     monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
@@ -300,6 +487,19 @@ def test_lm_score(docs, rows, empty, head):
         assert lm_score.train_and_score(empty, F.lit(True)).count() == 0
 
 
+def test_lm_score_learns_from_training_rows_only(spark, docs, rows):
+    """Other held-out texts change no score."""
+    trains = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
+    changed = [(r[0], r[1] if trains(r[0]) else " ".join(f"new{k % 7}" for k in range(50 + k % 9)), *r[2:]) for k, r in enumerate(rows)]
+    other = spark.createDataFrame(changed, SCHEMA).repartition(2)
+    for head in (4, 1000):
+        runs = []
+        for table in (docs, other):
+            found = lm_score.train_and_score(table, lm_score.fold(F.col("doc_id"), 7) != 2, head=head).where("not held_out").collect()
+            runs.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["score"], r["base_score"], r["train_tokens"]) for r in found))
+        assert len(runs[0]) == sum(trains(r[0]) for r in rows) and np.allclose(runs[0], runs[1], rtol=1e-5)
+
+
 def test_lm_score_words_of_all_training_rows(spark, docs, rows):
     """Which words have numbers changes no score, and each word has emissions of its own by state."""
     train = lm_score.fold(F.col("doc_id"), 7) != 2

@@ -1,5 +1,7 @@
 """The stages on a small table: each keeps what it should, and the columns."""
 
+import random
+
 import corpus_pipeline
 
 
@@ -23,5 +25,34 @@ def test_stages(spark, tmp_path):
     assert set(seen[1]) == ids - {0, 4, 5}
     assert set(seen[2]) == ids - {0, 2, 4, 5}
     assert set(seen[3]) == set(seen[2]) == set(seen[4]) and "[EMAIL]" in seen[3][3]["text"]
+    assert seen[3][3]["n_chars"] == len(seen[3][3]["text"])
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in run.collect()} == set(seen[4])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, q_row int, key string"
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, repeated ids, equal rows, a very long text and clashing columns go through all stages."""
+    words = "the of and to in is that it was for on are with as his they at be this from".split()
+    text = lambda k, n: " ".join(rng.choice(words) + rng.choice(["", "ing"]) for rng in [random.Random(k)] for _ in range(n))
+    rows = [(k, text(k, 60 + k), "en") for k in range(30)] + [(3, text(3, 63), "en"), (3, text(41, 50), "en"), (None, text(42, 50), None), (None, None, None), (50, None, "en"), (51, "", "en")]
+    rows += [(60, " ".join(f"{w}{i % 999}" for i, w in enumerate(words * 3000)), "en"), (61, "x" * 40_000, "en"), (62, "дом стол окно " * 30, "en"), (63, "1.2.3.4 " * 40, None)]
+    docs = spark.createDataFrame([(i, t, lang, None, None if t is None else len(t), "s", 1, "k") for i, t, lang in rows], SCHEMA)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, str(tmp_path))
+        found.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    left = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/3").collect()]
+    assert sorted(x for x in left if x is not None and x < 30) == sorted([*range(30), 3]) and None in left and 60 in left and not {50, 51, 63} & set(left)
+    assert {r["doc_id"] for r in docs.collect()} == set(left)
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() == 0
