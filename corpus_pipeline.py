@@ -14,27 +14,31 @@ from quern.llm.common import saved, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go."""
+    """Documents that the language model rejects go: those far from every learned language, and texts without a letter
+    (null and empty ones, too). Repeated rows are judged alike; without a row nothing is learned and nothing stays."""
     return language.accepted(docs, language.train(docs, ~language.held_out(F.col("doc_id"))))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts the longest, then the one with the smallest id stays; of rows that are equal in these, too, any one.
+    Null and empty texts are one group. An empty table stays empty."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays; of several with that id the one with the
+    smallest digest. Texts without words and rows without an id stay. An empty table stays empty."""
     return jaccard_join.one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
-    return private_data.without_private_data(docs)
+    """Personal data in the texts is replaced by its kind, and ``n_chars`` counts the new text. Null texts stay null."""
+    return private_data.without_private_data(docs, length_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its place in the training sequences."""
+    """Every document gets its place in the training sequences; a null or empty text is one token. Ids may be null or
+    repeat. An empty table gives no piece."""
     return packing.packed(packing.tokenized(docs))
 
 
