@@ -49,7 +49,9 @@ STAR_PAIRS = 250
 PAIRWISE = 8
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_ITEM = np.dtype([("h", "<u8"), ("df", "<u2")])
+#: A shingle and its document frequency, which only orders shingles: above ``MOST_DF`` it does so no more.
+_ITEM = np.dtype([("h", "<u8"), ("df", "u1")])
+MOST_DF = 255
 
 
 class _Words(dict):
@@ -217,7 +219,7 @@ def _fragment(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     many = df > 1
     at = order[np.repeat(many, df)]  # shared shingles only
     del order
-    df = np.repeat(np.minimum(df[many], 65535), df[many])
+    df = np.repeat(np.minimum(df[many], MOST_DF), df[many])
     back = np.argsort(at)
     at, df = at[back], df[back]
     items = np.zeros(len(at), _ITEM)
@@ -418,7 +420,10 @@ def _resolved(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Dat
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
     deal = partition_keys(spark, fragments)
     # placed by sig, once: the joins of every round find them there
-    survivors = saved_in_place(_survivors(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal), deal, t).repartition(fragments, "sig").dropDuplicates(["sig"]))
+    shared = saved(_shared(_segments(docs.where("doc_id is not null"), width, deal), deal))
+    forget(spark)  # the segments are the largest shuffle
+    survivors = saved_in_place(_survivors(shared, deal, t).repartition(fragments, "sig").dropDuplicates(["sig"]))
+    del shared
     forget(spark)
 
     links = None
