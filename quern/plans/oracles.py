@@ -222,6 +222,13 @@ SELECT 0 AS part, x[1] AS doc_idx, x[2] AS df_sum FROM (SELECT arg_max((doc_idx,
     "selective_sampling_sparse": _SPARSE_RUN + " SELECT part, step, doc_idx, rules, repeated FROM run",
     "selective_sampling_p1": _sparse(1) + _run("sparse_part", "sparse_sums") + " SELECT part, step, doc_idx, rules, repeated FROM run",
     "partition_summaries": _SPARSE_RUN + " SELECT part, count(*) FILTER (NOT repeated) AS iterations, max(doc_idx) FILTER (repeated) AS repeated_idx FROM run GROUP BY part",
+    "run_diagnostics": _SPARSE_RUN
+    + """ SELECT 'documents' AS metric, part, count(*) AS value FROM sparse_every GROUP BY part
+UNION ALL SELECT 'items', e.part, count(p.item) FROM (SELECT DISTINCT part FROM sparse_every) e LEFT JOIN sparse_part p ON p.part = e.part GROUP BY e.part
+UNION ALL SELECT 'rounds', part, max(step)::BIGINT FROM run GROUP BY part
+UNION ALL SELECT 'taken', part, count(DISTINCT doc_idx) FROM run WHERE NOT repeated GROUP BY part
+UNION ALL SELECT 'documents', -1, count(*) FROM sparse_docs
+UNION ALL SELECT 'reduced', -1, count(DISTINCT doc_idx) FROM run WHERE NOT repeated""",
     "reduced_documents": _REDUCED + "SELECT doc_idx, label FROM reduced",
     "reduced_set_lines": _REDUCED + "SELECT doc_idx, (doc_idx + 1) || ' CLASS=' || label || ' ' || array_to_string(list_transform(items, lambda x: x || ' '), '') AS line FROM reduced ORDER BY doc_idx",
     "lazy_rules": "SELECT test_idx, label, n_rules, round(sum_conf, 6) AS sum_conf FROM lazy",

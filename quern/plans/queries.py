@@ -15,7 +15,7 @@ from ..operators import rules as R
 from ..operators import scoring as S
 from ..sources import transactions as T
 from ..sources.storage import saved, shared_dir
-from .sampling import partition_summary, reduced_set, selective_sampling
+from .sampling import diagnostics, partition_summary, reduced_set, selective_sampling
 
 PARTITIONS, SPARSE_PARTITIONS = 5, 2
 MIN_CONF, MIN_SUP, MAX_SIZE = 0.001, 1, 4
@@ -148,6 +148,7 @@ def class_token_counts(spark, sf_dir):
 
 @query
 def scan_test(spark, sf_dir):
+    """Every fifth document is a test line, here and in the lazy queries."""
     found = T.parse_test(_lines(spark, sf_dir).where(F.col("line_no") % 5 == 0))
     return found.select("test_idx", "label", F.array_join("items", " ").alias("items_text"))
 
@@ -347,6 +348,12 @@ def partition_summaries(spark, sf_dir):
     return partition_summary(_Sparse(spark, sf_dir).sampled())
 
 
+@query
+def run_diagnostics(spark, sf_dir):
+    found = _Sparse(spark, sf_dir)
+    return diagnostics(found.docs, saved(found.sampled()))
+
+
 def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _Sparse(spark, sf_dir)
     return found.wide.join(reduced_set(found.sampled()), "doc_idx")

@@ -13,6 +13,8 @@ document adds up the changes among the items it shares with the chosen one: no s
 
 from __future__ import annotations
 
+import logging
+import time
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +26,8 @@ from ..functions.combinatorics import subsets
 from ..operators.rules import antecedents
 from ..sources.storage import saved
 
+log = logging.getLogger(__name__)
+
 #: Rounds after which the running counts are written, which cuts the lineage.
 SAVE_EVERY = 6
 
@@ -106,6 +110,7 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
     sizes = antecedents(max_rule_size)
     state = saved(docs.join(sums, ["part", "doc_idx"]).select("part", "doc_idx", "label", F.sort_array("items").alias("items"), "df_sum", F.lit(0).cast("long").alias("rules")))
     largest = state.groupBy("part").count().agg(F.max("count")).first()[0]
+    log.info("%s documents in the largest partition", largest)
     if largest is None or largest <= local_documents:
         return _local(state.drop("rules"), lambda: _Statistics(sizes, min_conf, min_sup, classes), rounds)
     row = F.struct("doc_idx", "label", "items", "rules")
@@ -113,7 +118,7 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
     out = [(part, 0, x["doc_idx"], 0, False) for part, x in sorted(picks.items())]
     taken: dict[int, set[int]] = {part: set() for part in picks}
     known = {part: _Statistics(sizes, min_conf, min_sup, classes) for part in picks}
-    step = 0
+    step, began = 0, time.monotonic()
     while picks and (rounds is None or step < rounds):
         step += 1
         changed = [(part, list(x["items"]), known[part].add(list(x["items"]), x["label"])) for part, x in picks.items()]
@@ -129,6 +134,8 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
         picks = {}
         for part, x in sorted((r["part"], r["x"]) for r in best):
             again = x["doc_idx"] in taken[part]
+            if again:
+                log.info("partition %s converged after %s rounds, %.1f s", part, step, time.monotonic() - began)
             out.append((part, step, x["doc_idx"], x["rules"], again))
             if not again:
                 taken[part].add(x["doc_idx"])
@@ -143,6 +150,16 @@ def partition_summary(picks: DataFrame) -> DataFrame:
     return picks.groupBy("part").agg(F.count_if(~F.col("repeated")).alias("iterations"), F.max(F.when(F.col("repeated"), F.col("doc_idx"))).alias("repeated_idx"))
 
 
+def diagnostics(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """metric, part, value of a run over ``docs`` (part, doc_idx, label, items): documents, items and rounds of every partition,
+    documents taken there, and (part -1) all documents and the size of the reduced set."""
+    metric = lambda name, rows, value: rows.groupBy("part").agg(value.cast("long").alias("value")).select(F.lit(name).alias("metric"), "part", "value")
+    every = lambda name, rows: rows.select(F.lit(-1).alias("part"), "doc_idx").transform(lambda x: metric(name, x, F.count_distinct("doc_idx")))
+    taken = picks.where(~F.col("repeated"))
+    out = metric("documents", docs, F.count("*")).unionByName(metric("items", docs, F.sum(F.size("items")))).unionByName(metric("rounds", picks, F.max("step")))
+    return out.unionByName(metric("taken", taken, F.count_distinct("doc_idx"))).unionByName(every("documents", docs)).unionByName(every("reduced", taken))
+
+
 def reduced_set(picks: DataFrame) -> DataFrame:
     """doc_idx: the documents taken in any partition, each once."""
     return picks.where(~F.col("repeated")).select("doc_idx").distinct()
