@@ -4,6 +4,9 @@ A sequence is cut into chunks of ``STEP`` tokens. The product of the chunk's tra
 forward vector from its start to its end, so all chunks of all sequences advance together and the exact likelihood of a
 sequence follows by chaining its few chunk products. Every product and vector is rescaled; the logarithms of the scales
 are kept.
+
+Longer sequences than ``SEGMENT`` go segment by segment, forward first, which keeps one vector for each segment, then
+backward; memory does not follow the length of a sequence.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 STEP = 64
+#: Tokens of a sequence that are held at once, at most.
+SEGMENT = 1 << 18
 #: Steps between rescalings of a chunk product; 16 emissions of 1e-15 stay within the range of a double.
 RESCALE = 16
 
@@ -25,9 +30,12 @@ class Hmm:
 
 
 class _Chunks:
-    """Chunks of some non-empty sequences, by falling length, with the products of their matrices."""
+    """Chunks of some non-empty sequences, by falling length, with the products of their matrices.
+
+    Not ``opening``: the sequences go on from earlier tokens.
+    """
 
-    def __init__(self, model: Hmm, sequences: list[np.ndarray]):
+    def __init__(self, model: Hmm, sequences: list[np.ndarray], opening: bool = True):
         self.model, k = model, model.k
         n = np.array([len(s) for s in sequences])
         per = -(-n // STEP)
@@ -42,7 +50,7 @@ class _Chunks:
         self.lane[by_size] = np.arange(len(size))
         self.first = first[self.order]
         self.size, begin = size[by_size], begin[by_size]
-        self.opening = number[by_size] == 0
+        self.opening = (number[by_size] == 0) & opening
         flat = np.concatenate(sequences)
         self.active = [int(np.searchsorted(-self.size, -t, "left")) for t in range(STEP)]  # lanes longer than t
         self.tokens = [flat[begin[:m] + t] for t, m in enumerate(self.active)]
@@ -70,11 +78,17 @@ class _Chunks:
         m = int(np.searchsorted(-self.per, -c, "left"))
         return m, self.lane[self.first[:m] + c]
 
-    def forward(self) -> tuple[np.ndarray, np.ndarray]:
-        """(natural log-likelihood of each sequence, forward vector before each lane)."""
+    def forward(self, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(natural log-likelihood of each sequence, forward vector before each lane, forward vector at the end).
+
+        ``first``: the forward vector that the sequences go on from.
+        """
         k = self.model.k
         vector = np.zeros((len(self.per), k))
-        vector[:, 0] = 1  # the opening product has equal rows
+        if first is None:
+            vector[:, 0] = 1  # the opening product has equal rows
+        else:
+            vector[:] = first
         total = np.zeros(len(self.per))
         before = np.empty((len(self.size), k))
         for c in range(int(self.per[0])):
@@ -86,24 +100,47 @@ class _Chunks:
             total[:m] += np.log(z) + self.scale[lane]
         out = np.empty(len(total))
         out[self.order] = total
-        return out, before
+        return out, before, vector
 
-    def backward(self) -> np.ndarray:
-        """Backward vector after each lane."""
+    def backward(self, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(backward vector after each lane, backward vector before the sequences); ``last``: the one after their end."""
         k = self.model.k
         vector = np.ones((len(self.per), k))
+        if last is not None:
+            vector[:] = last
         after = np.empty((len(self.size), k))
         for c in range(int(self.per[0]) - 1, -1, -1):
             m, lane = self.lanes(c)
             after[lane] = vector[:m]
             v = (self.product[lane] @ vector[:m, :, None])[:, :, 0]
             vector[:m] = v / v.sum(1, keepdims=True)
-        return after
+        return after, vector
 
 
 def log_likelihood(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of the exact probability of each (non-empty) sequence."""
-    return _Chunks(model, sequences).forward()[0]
+    out = np.empty(len(sequences))
+    short = [i for i, s in enumerate(sequences) if len(s) <= SEGMENT]
+    if short:
+        out[short] = _Chunks(model, [sequences[i] for i in short]).forward()[0]
+    for i, s in enumerate(sequences):
+        if len(s) > SEGMENT:
+            out[i] = _entries(model, s)[1]
+    return out
+
+
+def _segments(s: np.ndarray) -> list[np.ndarray]:
+    return np.split(s, range(SEGMENT, len(s), SEGMENT))
+
+
+def _entries(model: Hmm, s: np.ndarray) -> tuple[list[np.ndarray | None], float]:
+    """(the forward vector that each segment of a long sequence goes on from, natural log-likelihood)."""
+    first, firsts, log = None, [], 0.0
+    for k, own in enumerate(_segments(s)):
+        firsts.append(first)
+        total, _, first = _Chunks(model, [own], k == 0).forward(first)
+        log += float(total[0])
+    return firsts, log
 
 
 class Counts:
@@ -113,10 +150,20 @@ class Counts:
         self.start, self.move, self.emit, self.log = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
 
     def add(self, model: Hmm, sequences: list[np.ndarray]) -> None:
-        c = _Chunks(model, sequences)
-        total, before = c.forward()
+        if short := [s for s in sequences if len(s) <= SEGMENT]:
+            self._add(_Chunks(model, short))
+        for s in sequences:
+            if len(s) > SEGMENT:
+                last = None
+                for k, (own, first) in reversed(list(enumerate(zip(_segments(s), _entries(model, s)[0])))):
+                    last = self._add(_Chunks(model, [own], k == 0), first, last)
+
+    def _add(self, c: _Chunks, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """The backward vector before the sequences."""
+        model = c.model
+        total, before, _ = c.forward(first)
         self.log += float(total.sum())
-        beta = c.backward()
+        beta, begin = c.backward(last)
         alphas, a = [], before.copy()
         for t, (m, own) in enumerate(zip(c.active, c.tokens)):
             if not m:
@@ -146,3 +193,4 @@ class Counts:
         gamma, tokens = np.concatenate(seen), np.concatenate(tokens)
         for k in range(model.k):
             self.emit[:, k] += np.bincount(tokens, gamma[:, k], len(self.emit))
+        return begin

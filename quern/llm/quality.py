@@ -11,7 +11,9 @@ to ``BUCKETS`` buckets and scaled to relative frequencies, so long and short tex
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -31,14 +33,30 @@ MIN_WORDS = 10
 #: Words in repeated windows, percent of all words, that a kept text may have.
 MOST_REPEATED = 20
 WINDOW = 5
+_GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _SYMBOLS = b"#*$%&|<>"
-_LONG = 200_000
+#: Bytes of a text from which on it is read in blocks of that size, which bounds memory.
+BLOCK = 1 << 20
 
 
-def _repeats_by_rank(words: list[bytes]) -> int:
-    """``repeated_words`` for very long texts: windows are named by exact ranks in arrays instead of tuples."""
+def blocks(text: bytes) -> Iterator[bytes]:
+    """A text in blocks that end with white space; a word is never cut."""
+    start = 0
+    while len(text) - start > BLOCK:
+        found = _GAP.search(text, start + BLOCK)
+        if found is None:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    yield text[start:]
+
+
+def _repeats_by_rank(parts: Iterable[list[bytes]]) -> tuple[int, int]:
+    """(words, ``repeated_words``) of very long texts: windows are named by exact ranks in arrays instead of tuples."""
     ids: dict[bytes, int] = {}
-    one = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+    one = np.concatenate([np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)) for words in parts])
+    if len(one) <= WINDOW:
+        return len(one), 0
 
     def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
@@ -47,18 +65,16 @@ def _repeats_by_rank(words: list[bytes]) -> int:
     four = joined(two[:-2], two[2:])
     five = joined(four[:-1], one[4:])
     again = np.flatnonzero(np.bincount(five)[five] > 1)
-    marks = np.zeros(len(words) + 1, np.int64)
+    marks = np.zeros(len(one) + 1, np.int64)
     np.add.at(marks, again, 1)
     np.add.at(marks, again + WINDOW, -1)
-    return int((np.cumsum(marks)[:-1] > 0).sum())
+    return len(one), int((np.cumsum(marks)[:-1] > 0).sum())
 
 
 def repeated_words(words: list[bytes]) -> int:
     """Words in windows of ``WINDOW`` words that occur twice or more in the text, the first occurrence included."""
     if len(words) <= WINDOW:
         return 0
-    if len(words) > _LONG:
-        return _repeats_by_rank(words)
     windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
     if len(set(windows)) == len(windows):
         return 0
@@ -71,40 +87,53 @@ def repeated_words(words: list[bytes]) -> int:
     return n
 
 
-def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
-    """word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words of a UTF-8 text."""
+def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words of a UTF-8 text."""
+    if len(text) > BLOCK:
+        n, again = _repeats_by_rank(map(bytes.split, blocks(text)))
+    else:
+        n, again = len(words := text.split()), repeated_words(words)
     chars = len(text.translate(None, SPACE + CONTINUATION))
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
-    return chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return n, chars, symbols, len(lines) - len(set(lines)), again
 
 
 def failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MOST_REPEATED * n_words
 
 
-def hashed(text: bytes, words: list[bytes] | None = None) -> list[np.ndarray]:
-    """The bucket of every n-gram of the text, one array for each family (empty where the text is too short)."""
+def hashed(text: bytes, word: np.ndarray, points: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The bucket of every n-gram of the text, one array for each family (empty where the text is too short), and what the
+    next block of the text goes on from. ``word`` and ``points`` come from the block before."""
     text = text.lower()
-    word = np.fromiter(map(crc32, text.split()), np.uint32, -1)
+    own = np.fromiter(map(crc32, text.split()), np.uint32, -1)
+    word = np.append(word, own)
     pair = word[:-1] * np.uint32(0x9E3779B1) ^ word[1:]
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    points = np.append(points, np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32))
     char = np.zeros(max(0, len(points) - 3), np.uint32)
     for k in range(4 if len(char) else 0):
         char = char * np.uint32(0x01000193) ^ points[k : len(points) - 3 + k]
     shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
-    return [(x * np.uint32(0x85EBCA6B)) >> shift for x in (word, pair, char)]
+    return [(x * np.uint32(0x85EBCA6B)) >> shift for x in (own, pair, char)], word[-1:], points[-3:]
+
+
+def _hashed_blocks(text: bytes) -> Iterator[list[np.ndarray]]:
+    word = points = np.zeros(0, np.uint32)
+    for block in blocks(text):
+        found, word, points = hashed(block, word, points)
+        yield found
 
 
 def _features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values): relative frequencies of the buckets, families one after the other."""
-    indices, values = [], []
-    for k, h in enumerate(hashed(text)):
-        if len(h):
-            i, n = np.unique(h, return_counts=True)
-            indices.append(i.astype(np.int64) + k * BUCKETS)
-            values.append(n / len(h))
-    return (np.concatenate(indices), np.concatenate(values)) if indices else (np.zeros(0, np.int64), np.zeros(0))
+    counts = np.zeros((len(FAMILIES), BUCKETS))
+    for found in _hashed_blocks(text):
+        for k, h in enumerate(found):
+            counts[k] += np.bincount(h, minlength=BUCKETS)
+    counts /= np.maximum(counts.sum(1, keepdims=True), 1)
+    index = np.flatnonzero(counts)
+    return index, counts.ravel()[index]
 
 
 class Model:
@@ -114,11 +143,12 @@ class Model:
         self.weights, self.bias, self.a, self.b = weights.astype(np.float32), bias, a, b
 
     def margin(self, text: bytes) -> float:
-        total = self.bias
-        for k, h in enumerate(hashed(text)):
-            if len(h):
-                total += float(self.weights[k * BUCKETS + h].mean(dtype=np.float64))
-        return total
+        sums, n = [0.0] * len(FAMILIES), [0] * len(FAMILIES)
+        for found in _hashed_blocks(text):
+            for k, h in enumerate(found):
+                sums[k] += float(self.weights[k * BUCKETS + h].sum(dtype=np.float64))
+                n[k] += len(h)
+        return self.bias + sum(s / m for s, m in zip(sums, n) if m)
 
     def probability(self, text: bytes) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a * self.margin(text) + self.b))))
@@ -218,11 +248,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in pieces(batch, "text"):
                 rows = []
                 for text in utf8(part.column("text")):
-                    words = text.split()
-                    counts = base_counts(text, words)
-                    bad = failed(len(words), counts[3])
+                    counts = base_counts(text)
+                    bad = failed(counts[0], counts[-1])
                     p = model.probability(text)
-                    rows.append((len(words), *counts, bad, not bad and p >= keep_at, p, sum(p >= x for x in THRESHOLDS)))
+                    rows.append((*counts, bad, not bad and p >= keep_at, p, sum(p >= x for x in THRESHOLDS)))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability", "band"])
 

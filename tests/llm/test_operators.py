@@ -153,6 +153,10 @@ def test_private_data(docs, rows, empty):
         assert got["card"] == [s for s, d in card if 16 <= len(d) <= 19 and luhn(d)]
         assert got["phone"] == [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     out = {r["doc_id"]: r for r in private_data.private_data(docs).collect()}
+    for r in rows:
+        if r[0] is not None:
+            own = private_data.find(r[1] or "")
+            assert out[r[0]]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in ("email", "ip", "card", "phone") for a, b in own[k]).encode()).hexdigest()
     assert out[122]["n_email"] == 2 and out[122]["n_card"] == 1 and "url:" in out[122]["spans"] and "[EMAIL]" in out[122]["redacted"]
     assert private_data.private_data(docs).count() == len(rows) and private_data.private_data(empty).count() == 0
     clean = private_data.without_private_data(docs)
@@ -194,7 +198,7 @@ def test_secrets(docs, rows, empty):
         assert abs(secrets.best_entropy(s) - want) < 1e-9
 
 
-def test_quality(spark, docs, rows, empty):
+def test_quality(spark, docs, rows, empty, monkeypatch):
     rng = random.Random(2)
     more = [(k, _prose(rng, WORDS, 80) if k % 2 else " ".join(x.upper() + "!!" for x in _prose(rng, WORDS, 80).split()), k % 2) for k in range(200)]
     known = spark.createDataFrame([(a, b) for a, b, _ in more], "doc_id long, text string")
@@ -230,7 +234,14 @@ def test_quality(spark, docs, rows, empty):
         p = 1 / (1 + math.exp(-max(-50.0, min(50.0, model.a * margin + model.b))))
         assert abs(p - r["probability"]) < 1e-6 and (abs(p - 0.35) < 1e-6 or r["kept"] == (p >= 0.35 and not r["base_failed"]))
     w = [str(rng.randrange(4)).encode() for _ in range(300)]
-    assert quality.repeated_words(w) == quality._repeats_by_rank(w)
+    assert (len(w), quality.repeated_words(w)) == quality._repeats_by_rank([w[:7], [], w[7:]])
+    # a long text in blocks
+    text = ((_prose(rng, WORDS, 400) + "\n  é ü\n") * 3).encode()
+    whole = quality.base_counts(text), quality._features(text), model.margin(text)
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    assert b"".join(quality.blocks(text)) == text and len(list(quality.blocks(text))) > 20
+    assert quality.base_counts(text) == whole[0] and np.allclose(quality._features(text)[1], whole[1][1]) and abs(model.margin(text) - whole[2]) < 1e-9
+    assert quality.base_counts(b"x" * 200) == (1, 200, 0, 0, 0) and quality.base_counts(b" " * 200)[0] == 0
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
 
 
@@ -445,7 +456,9 @@ def test_warc(spark, tmp_path, roll):
     assert warc.write(pages.limit(0), root).count() == 0 and warc.read(spark, root).count() == 0
 
 
-def test_hmm():
+@pytest.mark.parametrize("segment", [1 << 18, 50])
+def test_hmm(monkeypatch, segment):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
     rng = np.random.default_rng(1)
     some = lambda *s: (x := rng.random(s) + 0.05) / x.sum(-1, keepdims=True)
     model = hmm.Hmm(some(3), some(3, 3), some(3, 20))
@@ -464,7 +477,8 @@ def test_hmm():
             if t:
                 want.move += np.outer(alpha[t - 1], emit[:, s[t]] * beta) * model.move / alpha[-1].sum()
                 beta = model.move @ (emit[:, s[t]] * beta)
-    assert np.allclose(counts.emit, want.emit) and np.allclose(counts.move, want.move)
+    assert np.allclose(counts.emit, want.emit) and np.allclose(counts.move, want.move) and abs(counts.start.sum() - len(texts)) < 1e-9
+    assert abs(counts.log - hmm.log_likelihood(model, texts).sum()) < 1e-8
 
 
 @pytest.mark.parametrize("head", [4, 1000])
