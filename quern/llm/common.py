@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import saved, shared_dir
+from ..sources import storage
+from ..sources.storage import shared_dir
 
 __all__ = ["CONTINUATION", "HOT_SHARE", "SPACE", "fold", "forget", "mapped", "partition_keys", "pieces", "released", "saved", "saved_in_place", "shared_dir", "skew_join", "small", "table", "utf8"]
 
@@ -25,18 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch while a step is saved. Rows with blobs are large, and both sides hold whole batches.
+BATCH_ROWS = 1_000
+
+
+def saved(df: DataFrame, **settings: str) -> DataFrame:
+    """``storage.saved`` with small Arrow batches; ``settings`` of the session hold while the step runs."""
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)} | settings
+    before = {name: conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            conf.set(name, value)
+        return storage.saved(df)
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+
+
 def saved_in_place(df: DataFrame) -> DataFrame:
     """``saved`` that keeps the partitioning of ``df``, so a join on its key need not shuffle it again.
 
     A plan under adaptive execution does not tell its partitioning; it is off while this one is planned.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return saved(df)
-    finally:
-        conf.set(name, before)
+    return saved(df, **{"spark.sql.adaptive.enabled": "false"})
 
 
 def forget(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Bytes that the words take which a Python worker remembers from task to task, about, and the longest such word.
-REMEMBERED, LONGEST = 64 << 20, 64
+REMEMBERED, LONGEST = 56 << 20, 64
 #: Bytes that an entry takes beside its contents: two bytes objects and their place in a dict.
 ENTRY = 130
 #: Rows that share a salt within a length, about.
@@ -82,8 +82,8 @@ class Encoder:
                 if low != word:
                     made.append((word, low, b""))
         new = [w for w in plain if w not in known]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        for i in range(0, len(new), 2_000):
+            some = new[i : i + 2_000]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             known.update(zip(some, [_bytes(e.ids) for e in got]))
         known[b""] = b""
@@ -124,7 +124,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         end = np.array([END], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch):
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 found = encoder.encode(utf8(part.column("text")))
                 crc, n = array("q"), np.empty(len(found), np.int64)
                 for i, ids in enumerate(found):
