@@ -45,8 +45,9 @@ PERCENT = 80
 FRAGMENT_SHINGLES = 2_000_000
 #: Pairs of one leader that meet its set in one task.
 STAR_PAIRS = 250
-#: In round r of step 4, buckets of at most so many times 2**r members are compared pair by pair.
-PAIRWISE = 8
+#: In round r of step 4, buckets of at most so many times 2**r members are compared pair by pair, and never larger ones than
+#: the second number; larger buckets have a leader, who leaves them, in every round.
+PAIRWISE, MOST_PAIRWISE = 8, 256
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: A shingle and its document frequency, which only orders shingles: above ``MOST_DF`` it does so no more.
@@ -439,7 +440,7 @@ def _resolved(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Dat
         postings = out.where("token is not null").drop("other")
         if postings.limit(1).count() == 0:
             break
-        most = PAIRWISE if most == 1 else 2 * most
+        most = PAIRWISE if most == 1 else min(2 * most, MOST_PAIRWISE)
     return sets, components(links).withColumnRenamed("node", "sig")
 
 
