@@ -219,14 +219,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[str]:
         """For each text its ids as decimals joined by commas."""
         parts = [self.split(t) for t in texts]
-        new = set().union(*parts)
-        new.difference_update(self.known)
+        new = {w for w in set().union(*parts) if w not in self.known}
         before = len(self.known)
         self._learn(list(new))
         out = [",".join(map(self.known.__getitem__, p)) for p in parts]
         for word in [w for w in new if len(w) > LONGEST]:
             del self.known[word]
-        self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(self.known.items(), before, None))
+        # from the end on: a dict keeps the order of insertion
+        self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(reversed(self.known.items()), len(self.known) - before))
         while self.held > REMEMBERED:  # pieces that came first are the frequent ones: the last go
             w, ids = self.known.popitem()
             self.held -= len(w) + len(ids) + ENTRY

@@ -30,7 +30,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Bytes that the words take which a Python worker remembers from task to task, about, and the longest such word.
-REMEMBERED, LONGEST = 56 << 20, 64
+REMEMBERED, LONGEST = 104 << 20, 64
 #: Bytes that an entry takes beside its contents: two bytes objects and their place in a dict.
 ENTRY = 130
 #: Rows that share a salt within a length, about.
@@ -82,8 +82,8 @@ class Encoder:
                 if low != word:
                     made.append((word, low, b""))
         new = [w for w in plain if w not in known]
-        for i in range(0, len(new), 2_000):
-            some = new[i : i + 2_000]
+        for i in range(0, len(new), 5_000):
+            some = new[i : i + 5_000]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             known.update(zip(some, [_bytes(e.ids) for e in got]))
         known[b""] = b""
@@ -93,15 +93,15 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
         parts = [t.split() for t in texts]
-        new = set().union(*parts)
-        new.difference_update(self.known)
+        new = {w for w in set().union(*parts) if w not in self.known}
         before = len(self.known)
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for w in [w for w in new if len(w) > LONGEST]:
             for own in (w, w.lower(), w.lower().rstrip(b".,!")):
                 self.known.pop(own, None)
-        self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(self.known.items(), before, None))
+        # from the end on: a dict keeps the order of insertion
+        self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(reversed(self.known.items()), len(self.known) - before))
         while self.held > REMEMBERED:  # words that came first are the frequent ones: the last go
             w, ids = self.known.popitem()
             self.held -= len(w) + len(ids) + ENTRY
@@ -124,7 +124,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         end = np.array([END], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch):
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 found = encoder.encode(utf8(part.column("text")))
                 crc, n = array("q"), np.empty(len(found), np.int64)
                 for i, ids in enumerate(found):
