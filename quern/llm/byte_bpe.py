@@ -227,9 +227,10 @@ class Codec:
             del self.known[word]
         # from the end on: a dict keeps the order of insertion
         self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(reversed(self.known.items()), len(self.known) - before))
-        while self.held > REMEMBERED:  # pieces that came first are the frequent ones: the last go
-            w, ids = self.known.popitem()
-            self.held -= len(w) + len(ids) + ENTRY
+        if self.held > REMEMBERED:  # pieces that came first are the frequent ones: the last half goes, which leaves room for others
+            while self.held > REMEMBERED // 2:
+                w, ids = self.known.popitem()
+                self.held -= len(w) + len(ids) + ENTRY
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
