@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import sys
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 from zlib import crc32
@@ -30,7 +31,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Bytes that the words take which a Python worker remembers from task to task, about, and the longest such word.
-REMEMBERED, LONGEST = 104 << 20, 64
+REMEMBERED, LONGEST = 64 << 20, 64
 #: Bytes that an entry takes beside its contents: two bytes objects and their place in a dict.
 ENTRY = 130
 #: Rows that share a salt within a length, about.
@@ -54,14 +55,21 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_MARKS = frozenset(b".,!")
+#: ASCII marks but the apostrophe, which may begin a token with letters.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_IS_MARK = frozenset(_MARKS)
+
+
+def _groups(words: list[bytes], size: int) -> Iterator[list[bytes]]:
+    return (words[i : i + size] for i in range(0, len(words), size))
 
 
 class Encoder:
     """The tokenizer with a memory for words.
 
     No token of this vocabulary spans ASCII white space, so a text's ids are its words' ids. Capital letters are as small
-    ones to it, and it always splits marks after a letter off; so a word is its lower-cased stem and the marks.
+    ones to it, and it always splits marks after a letter off, as one run; so a word is its lower-cased stem and the marks.
+    Stems of ASCII letters are one word to it each, so many of them are encoded as one text.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -73,7 +81,7 @@ class Encoder:
         known, plain, made = self.known, set(), []
         for word in words:
             low = word.lower()
-            if low[-1] in _MARKS and (stem := low.rstrip(b".,!")) and stem.decode()[-1].lower().isalpha():
+            if low[-1] in _IS_MARK and (stem := low.rstrip(_MARKS)) and (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode()[-1].lower().isalpha()):
                 made.append((word, stem, low[len(stem) :]))
                 plain.add(stem)
                 plain.add(made[-1][2])
@@ -81,6 +89,13 @@ class Encoder:
                 plain.add(low)
                 if low != word:
                     made.append((word, low, b""))
+        for some in _groups([w for w in plain if w not in known and w.isalpha()], 500):
+            got = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            ids, place = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(ids)]
+            if len(cuts) == len(some) + 1:
+                raw = ids.tobytes()
+                known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, cuts, cuts[1:]))
         new = [w for w in plain if w not in known]
         for i in range(0, len(new), 5_000):
             some = new[i : i + 5_000]
@@ -98,7 +113,7 @@ class Encoder:
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for w in [w for w in new if len(w) > LONGEST]:
-            for own in (w, w.lower(), w.lower().rstrip(b".,!")):
+            for own in (w, w.lower(), w.lower().rstrip(_MARKS)):
                 self.known.pop(own, None)
         # from the end on: a dict keeps the order of insertion
         self.held += sum(len(w) + len(ids) + ENTRY for w, ids in islice(reversed(self.known.items()), len(self.known) - before))

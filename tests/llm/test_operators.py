@@ -374,6 +374,12 @@ def test_packing(docs, rows, empty):
         assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:])) and sum(own[-1]) <= 2048
     assert len(bins) <= -(-sum(r["length"] for r in got) // 2048) + 1
     assert packing.packed(packing.tokenized(empty)).count() == 0
+    # words with marks, capitals, apostrophes and other scripts, as the tokenizer has them
+    rng, encoder = random.Random(11), packing.Encoder()
+    some = [*WORDS, *MOTS, "é", "ſ", "ΑΣ", "İ", "日本", "'s", "'re", "'", "’", "7", "x" * 150, *"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~", "\u0301", "\u0338", "½", "\x85", "\u2028", "A"]
+    texts = [" ".join("".join(rng.choice(some) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
     # the greedy fill leaves a gap of 1; two documents that fit it exactly take the place of the smallest
     counts = np.zeros(11, int)
     for x in (6, 3, 2, 2):
