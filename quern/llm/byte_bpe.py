@@ -42,7 +42,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 ROUND, ROUND_BYTES = 50_000, 500_000
 #: Bytes that the pieces take which a Python worker remembers from task to task, about; what an entry takes beside its
 #: contents; and the longest such piece.
-REMEMBERED, ENTRY, LONGEST = 96 << 20, 160, 64
+REMEMBERED, ENTRY, LONGEST = 144 << 20, 160, 64
 #: Bytes of a piece that is cut, and of its chunks.
 LONG, CHUNK = 512, 64
 #: ``\s`` of the tokenizer's pattern engine (Unicode White_Space); Python's own differs at U+001C to U+001F.
