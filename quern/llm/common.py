@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources import storage
 from ..sources.storage import shared_dir
 
-__all__ = ["CONTINUATION", "HOT_SHARE", "SPACE", "fold", "forget", "mapped", "partition_keys", "pieces", "released", "saved", "saved_in_place", "shared_dir", "skew_join", "small", "table", "utf8"]
+__all__ = ["CONTINUATION", "HOT_SHARE", "SPACE", "fold", "forget", "mapped", "partition_keys", "pieces", "released", "saved", "saved_in_place", "settings", "shared_dir", "skew_join", "small", "table", "utf8"]
 
 #: Bytes that separate words: space and U+0009 to U+000D. ``bytes.split()`` splits at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -30,18 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 1_000
 
 
-def saved(df: DataFrame, **settings: str) -> DataFrame:
-    """``storage.saved`` with small Arrow batches; ``settings`` of the session hold while the step runs."""
-    conf = df.sparkSession.conf
-    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)} | settings
-    before = {name: conf.get(name) for name in settings}
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings are these while the block runs."""
+    before = {name: spark.conf.get(name) for name in values}
     try:
-        for name, value in settings.items():
-            conf.set(name, value)
-        return storage.saved(df)
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
     finally:
         for name, value in before.items():
-            conf.set(name, value)
+            spark.conf.set(name, value)
+
+
+def saved(df: DataFrame, **more: str) -> DataFrame:
+    """``storage.saved`` with small Arrow batches; the settings ``more`` of the session hold while the step runs."""
+    with settings(df.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)} | more):
+        return storage.saved(df)
 
 
 def saved_in_place(df: DataFrame) -> DataFrame:
