@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language, lm_score, packing, private_data, quality, secrets, vector_codes, warc
+from . import alignment, byte_bpe, decontaminate, exact_dedup, jaccard_join, language, lm_score, packing, private_data, quality, secrets, vector_codes, warc
 
 QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
@@ -17,5 +17,6 @@ QUERIES = {
     "op9_lm_score": lm_score.op9_lm_score,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {"op3_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_decontaminate": decontaminate.ORACLE_SQL}
