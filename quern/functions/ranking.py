@@ -1,8 +1,7 @@
 """Dense numbers and n-tiles without a single-task window.
 
-A window without partitions sorts the whole table in one task. Here quantiles of the leading order column, estimated
-once, cut every group into ranges; ranges are numbered in parallel, and the sizes of earlier ranges are added. The
-result is the exact row number whatever the quantiles were.
+A window without partitions sorts the whole table in one task. Here the rows are dealt out by ranges of the whole order,
+sorted there, and saved; a row's number is its place in its range plus the sizes of the ranges before.
 """
 
 from __future__ import annotations
@@ -10,28 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a range, about; there are ``LEAST_RANGES`` at least.
-ROWS_PER_RANGE, LEAST_RANGES = 500_000, 32
+from ..sources.storage import saved
+
+#: Bits of a place in a range; the others are the number of the range.
+_PLACE = 33
 
 
 def row_numbers(df: DataFrame, out: str, order: list[str], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """``df`` with the 0-based row number ``out`` (and the group's size in ``out_size``), by ``order`` within ``by``.
+    """``df`` with the size of its group, ``out_size``, and the 0-based row number ``out``, by ``order`` within ``by``.
 
-    The first order column must be numeric and not null, and the order must be total for a unique result. The number of
-    ranges follows the number of rows. Other columns may have any names.
+    The order must be total for a unique result; nulls come first. There are as many ranges as ``spark.sql.shuffle.partitions``
+    says. Other columns may have any names. Rows are saved once, with the columns of ``df``.
     """
     by = by or []
-    ranges = ranges or max(LEAST_RANGES, df.count() // ROWS_PER_RANGE)
-    cuts = sorted(set(df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))))
     mark = "_" * (1 + max(map(len, df.columns)))  # no column begins so
-    cut, n, before, number = (mark + x for x in ("range", "n", "before", "own"))
-    rows = df.withColumn(cut, F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order[0]).cast("double"))) if cuts else F.lit(0))
-    sizes = rows.groupBy(*by, cut).agg(F.count("*").alias(n))
-    within = Window.partitionBy(*by, F.lit(0)).orderBy(cut)
-    # ranges x groups rows
-    offsets = sizes.select(*by, cut, (F.sum(n).over(within) - F.col(n)).alias(before), F.sum(n).over(Window.partitionBy(*by, F.lit(0))).alias(f"{out}_size"))
-    own = F.row_number().over(Window.partitionBy(*by, cut).orderBy(*order)) - 1
-    return rows.withColumn(number, own).join(offsets, [*by, cut]).withColumn(out, F.col(before) + F.col(number)).drop(cut, number, before)
+    place, cut, n, first, before = (mark + x for x in ("place", "range", "n", "first", "before"))
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *by, *order).sortWithinPartitions(*by, *order)
+    rows = saved(dealt.withColumn(place, F.monotonically_increasing_id())).withColumn(cut, F.shiftright(place, _PLACE))
+    sizes = rows.groupBy(*by, cut).agg(F.count("*").alias(n), F.min(place).alias(first))
+    # one row for each group and range that it has rows in
+    within = Window.partitionBy(*by or [F.lit(0)])
+    offsets = sizes.select(*by, cut, first, (F.sum(n).over(within.orderBy(cut)) - F.col(n)).alias(before), F.sum(n).over(within).alias(f"{out}_size"))
+    met = rows.join(offsets if by else F.broadcast(offsets), [*by, cut])
+    return met.select(*df.columns, f"{out}_size", (F.col(before) + F.col(place) - F.col(first)).alias(out))
 
 
 def ntile(number: Column, size: Column, n: int) -> Column:

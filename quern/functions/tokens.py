@@ -29,4 +29,4 @@ def class_label(found: Column, last: bool = True, classes: int = 2) -> Column:
 
 def items(found: Column, classes: int = 2) -> Column:
     """The distinct items after the id, in order of first appearance, without class tokens."""
-    return F.array_distinct(F.filter(F.slice(found, 2, 1_000_000), lambda t: ~is_class(t, classes)))
+    return F.array_distinct(F.filter(F.slice(found, 2, 1 << 30), lambda t: ~is_class(t, classes)))

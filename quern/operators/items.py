@@ -12,8 +12,7 @@ from ..functions.tokens import is_class, tokens
 def item_dictionary(long: DataFrame, classes: int = 2) -> DataFrame:
     """item, item_id: dense ids by first appearance, after the ids of the classes."""
     first = long.groupBy("item").agg(F.min(F.struct("doc_idx", "pos")).alias("first"))
-    key = (F.col("first.doc_idx").cast("long") * (1 << 20) + F.col("first.pos")).alias("key")
-    return row_numbers(first.select("item", key), "n", ["key"]).select("item", (F.col("n") + classes).cast("int").alias("item_id"))
+    return row_numbers(first.select("item", "first.*"), "n", ["doc_idx", "pos"]).select("item", (F.col("n") + classes).alias("item_id"))
 
 
 def encode(long: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def inverted_lists(long: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A list is cut into blocks of ``block`` consecutive documents, so no row grows with the number of documents.
     """
-    return long.groupBy("item", F.floor(F.col("doc_idx") / block).cast("int").alias("block")).agg(F.count("*").alias("n"), (F.min("doc_idx") + 1).alias("first_doc"), (F.max("doc_idx") + 1).alias("last_doc"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_idx")), lambda x: (x + 1).cast("string")), ",").alias("doc_list"))
+    return long.groupBy("item", F.floor(F.col("doc_idx") / block).alias("block")).agg(F.count("*").alias("n"), (F.min("doc_idx") + 1).alias("first_doc"), (F.max("doc_idx") + 1).alias("last_doc"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_idx")), lambda x: (x + 1).cast("string")), ",").alias("doc_list"))
 
 
 def class_counts(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.combinatorics import subsets
+from .bitmaps import subset_rows
 
 #: Antecedent sizes for a largest rule size (with the class) from 2 to 4; larger values act as 4, smaller ones as 2.
 def antecedents(max_rule_size: int) -> range:
@@ -28,49 +28,34 @@ def valid_rules(size: Column, n: Column, by_class: list[Column], min_conf: float
     return F.when((n > 0) & ((size == 1) | (n >= min_sup)), passing).otherwise(0)
 
 
-def itemsets(docs: DataFrame, sizes: range) -> DataFrame:
-    """One row for each subset of each document: its columns, size and itemset."""
-    every = F.flatten(F.array(*(F.transform(subsets(F.col("items"), k), lambda s: F.struct(F.size(s).alias("size"), s.alias("itemset"))) for k in sizes)))
-    return docs.withColumn("_set", F.explode(every)).select(*[c for c in docs.columns if c != "items"], "_set.size", "_set.itemset")
+def named(found: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """part, a, b, c (as many as ``size``), n, n_c0, n_c1, ...: the itemsets of ``size`` items of a support table by their names."""
+    rows = found.where(F.col("size") == size)
+    for k in range(size):
+        rows = rows.join(ids.select(F.col("id").alias(f"s{k + 1}"), F.col("item").alias("abc"[k])), f"s{k + 1}")
+    return rows.select("part", *"abc"[:size], "n", *(c for c in found.columns if c.startswith("n_c")))
 
 
-def supports(chosen: DataFrame, sizes: range, classes: int = 2) -> DataFrame:
-    """part, size, itemset, n, n_c0, n_c1, ... over the chosen documents (part, label, items); partial counts first."""
-    per_class = [F.count_if(F.col("label") == c).alias(f"n_c{c}") for c in range(classes)]
-    return itemsets(chosen.select("part", "label", "items"), sizes).groupBy("part", "size", "itemset").agg(F.count("*").alias("n"), *per_class)
-
-
-def rules_size2(found: DataFrame, classes: int = 2) -> DataFrame:
+def rules_size2(found: DataFrame, ids: DataFrame, classes: int = 2) -> DataFrame:
     """part, item, label, n, n_c, conf for single items."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(f"n_c{c}").alias("n_c")) for c in range(classes))))
-    one = found.where("size = 1").select("part", F.col("itemset")[0].alias("item"), "n", each.alias("x"))
+    one = named(found, ids, 1).select("part", F.col("a").alias("item"), "n", each.alias("x"))
     return one.select("part", "item", "x.label", "n", "x.n_c", F.round(F.col("x.n_c") / F.col("n"), 6).alias("conf"))
 
 
-def rule_counts(candidates: DataFrame, found: DataFrame, sizes: range, min_conf: float, min_sup: int, classes: int = 2) -> DataFrame:
-    """part, doc_idx, rules for every candidate (part, doc_idx, items); 0 where nothing matches.
+def rule_counts(every: DataFrame, candidates: DataFrame, found: DataFrame, sizes: range, min_conf: float, min_sup: int, classes: int = 2) -> DataFrame:
+    """part, doc_idx, rules for every document of ``every`` (part, doc_idx); 0 where nothing matches.
 
-    Candidates are first reduced to the items that occur in ``found``, so only subsets that can match are made.
+    ``candidates`` has part, doc_idx and ids, ``found`` is a support table. Subsets and rules meet as rows of numbers; a
+    candidate's item without a rule of its own makes no subsets, which is the projection on the current items.
     """
-    rules = found.where(F.col("size").isin(*sizes)).select("part", "itemset", valid_rules(F.col("size"), F.col("n"), [F.col(f"n_c{c}") for c in range(classes)], min_conf, min_sup).alias("k")).where("k > 0")
-    current = found.where("size = 1").groupBy("part").agg(F.collect_set(F.col("itemset")[0]).alias("current"))
-    cut = candidates.select("part", "doc_idx", "items").join(current, "part").select("part", "doc_idx", F.sort_array(F.array_intersect("items", "current")).alias("items"))
-    matched = itemsets(cut, sizes).join(rules, ["part", "itemset"]).groupBy("part", "doc_idx").agg(F.sum("k").alias("rules"))
-    return candidates.select("part", "doc_idx").join(matched, ["part", "doc_idx"], "left").select("part", "doc_idx", F.coalesce("rules", F.lit(0)).cast("long").alias("rules"))
+    rules = found.where(F.col("size").isin(*sizes)).select("part", "s1", "s2", "s3", valid_rules(F.col("size"), F.col("n"), [F.col(f"n_c{c}") for c in range(classes)], min_conf, min_sup).alias("k")).where("k > 0")
+    # sizes after a Python step are guessed: neither side may be broadcast
+    matched = subset_rows(candidates.select("part", "doc_idx", "ids"), sizes).join(rules.hint("merge"), ["part", "s1", "s2", "s3"]).groupBy("part", "doc_idx").agg(F.sum("k").alias("rules"))
+    return every.select("part", "doc_idx").join(matched, ["part", "doc_idx"], "left").select("part", "doc_idx", F.coalesce("rules", F.lit(0)).cast("long").alias("rules"))
 
 
 def least_representative(counts: DataFrame, sums: DataFrame) -> DataFrame:
     """part, doc_idx, rules, df_sum: fewest rules, then the smaller sum, then the greater document."""
     both = counts.join(sums, ["part", "doc_idx"])
     return both.groupBy("part").agg(F.min_by(F.struct("doc_idx", "rules", "df_sum"), F.struct(F.col("rules"), F.col("df_sum"), -F.col("doc_idx"))).alias("x")).select("part", "x.doc_idx", "x.rules", "x.df_sum")
-
-
-def bitmap_support(chosen: DataFrame) -> DataFrame:
-    """part, a, b, n by bitmaps: 64-bit words over the numbered chosen documents, one row a word, and-ed and counted."""
-    word, bit = F.shiftright("doc_idx", 6), F.col("doc_idx").bitwiseAND(63)
-    each = chosen.select("part", F.explode("items").alias("item"), word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bits"))
-    words = each.groupBy("part", "word", "item").agg(F.bit_or("bits").alias("bits"))
-    left = words.select("part", "word", F.col("item").alias("a"), F.col("bits").alias("x"))
-    right = words.select("part", "word", F.col("item").alias("b"), F.col("bits").alias("y"))
-    both = left.join(right, ["part", "word"]).where("a < b").select("part", "a", "b", F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long").alias("k"))
-    return both.where("k > 0").groupBy("part", "a", "b").agg(F.sum("k").alias("n"))

@@ -9,69 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import row_numbers
-from ..sources.storage import saved
-from .rules import itemsets, reaches, supports
+from .bitmaps import item_ids, matched_rules, segments, with_ids
 
 
 def lazy_rules(train: DataFrame, test: DataFrame, sizes: range, min_conf: float = 0.001, min_sup: int = 1, classes: int = 2) -> DataFrame:
     """test_idx, label, n_rules, sum_conf for every test document and class; 0 where no rule matches.
 
-    ``train`` has doc_idx, label and items, ``test`` has test_idx and items; items that training lacks never match.
+    ``train`` has doc_idx, label and items, ``test`` has test_idx and items; items that training lacks never match. The test
+    documents' itemsets are counted in bitmaps of the training documents, which are cut to the test's items first.
     """
-    ids = _numbered_items(train)
-    if ids is not None:
-        return _lazy_packed(train, test, ids, sizes, min_conf, min_sup, classes)
-    found = supports(train.withColumn("part", F.lit(0)), sizes, classes)
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(f"n_c{c}").alias("n_c")) for c in range(classes))))
-    rules = found.select("itemset", "size", "n", each.alias("x")).where(((F.col("size") == 1) | (F.col("n") >= min_sup)) & reaches(F.col("x.n_c"), F.col("n"), min_conf)).select("itemset", "x.label", (F.col("x.n_c") / F.col("n")).alias("conf"))
-    own = itemsets(test.select("test_idx", F.sort_array("items").alias("items")), sizes)
-    # sizes after explode are guessed too low: neither side may be broadcast
-    matched = own.join(rules.hint("merge"), "itemset").groupBy("test_idx", "label").agg(F.count("*").alias("n_rules"), F.sum("conf").alias("sum_conf"))
+    ids = item_ids(test)
+    whole = F.lit(0).alias("part")
+    parts = segments(with_ids(train, ids, ["doc_idx", "label"]).select(whole, "*"), classes)
+    asking = with_ids(test.select(F.col("test_idx").cast("long").alias("asks"), "items"), ids, ["asks"]).select(whole, "*")
+    found = matched_rules(asking, parts, sizes, min_conf, min_sup, classes).withColumnRenamed("asks", "test_idx")
     grid = test.select("test_idx", F.explode(F.array(*(F.lit(c) for c in range(classes)))).alias("label"))
-    return grid.join(matched, ["test_idx", "label"], "left").select("test_idx", "label", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("sum_conf", F.lit(0.0)).alias("sum_conf"))
-
-
-#: Bits of an item's number in a packed itemset of up to three.
-_BITS = 21
-
-
-def _numbered_items(train: DataFrame) -> DataFrame | None:
-    """item, id (from 1) of the training items; None if their numbers do not fit ``_BITS``."""
-    items_ = saved(train.select(F.explode("items").alias("item")).distinct().withColumn("h", F.xxhash64("item")))
-    if items_.count() >= 1 << _BITS:
-        return None
-    return saved(row_numbers(items_, "id", ["h", "item"]).select("item", (F.col("id") + 1).cast("long").alias("id")))
-
-
-def _packed_sets(rows: DataFrame, ids: DataFrame, keep: list[str], sizes: range) -> DataFrame:
-    """``keep`` (which names a row), size, itemset: each subset of the known items of each row, as one number (0: no item)."""
-    known = rows.select(*keep, F.explode("items").alias("item")).join(ids, "item").groupBy(*keep).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    after = lambda of, i: F.concat(F.slice(of, i + 2, 1 << 30), F.array(F.lit(0).cast("long")))  # noqa: E731  later items, then none
-    none = F.array(F.lit(0).cast("long"))
-    out = known.select(*keep, "ids", F.posexplode("ids").alias("i", "a"))
-    out = out.select(*keep, "a", after(F.col("ids"), F.col("i")).alias("rest")).select(*keep, "a", "rest", F.posexplode(F.col("rest") if max(sizes) > 1 else none).alias("j", "b"))
-    third = F.when((F.col("b") == 0) | F.lit(max(sizes) < 3), none).otherwise(F.slice("rest", F.col("j") + 2, 1 << 30))
-    out = out.select(*keep, "a", "b", F.explode(third).alias("c"))
-    size = F.lit(1) + (F.col("b") > 0).cast("int") + (F.col("c") > 0).cast("int")
-    packed = F.col("a").bitwiseOR(F.shiftleft("b", _BITS)).bitwiseOR(F.shiftleft("c", 2 * _BITS))
-    return out.select(*keep, size.alias("size"), packed.alias("itemset")).where(F.col("size") >= min(sizes))
-
-
-def _lazy_packed(train: DataFrame, test: DataFrame, ids: DataFrame, sizes: range, min_conf: float, min_sup: int, classes: int) -> DataFrame:
-    """``lazy_rules`` over itemsets as numbers, which aggregate and join without arrays."""
-    n_c = [F.count_if(F.col("label") == c).alias(f"n_c{c}") for c in range(classes)]
-    found = _packed_sets(train, ids, ["doc_idx", "label"], sizes).groupBy("itemset", "size").agg(F.count("*").alias("n"), *n_c).where((F.col("size") == 1) | (F.col("n") >= min_sup))
-    own = _packed_sets(test, ids, ["test_idx"], sizes)
-    # sizes after explode are guessed too low: neither side may be broadcast
-    both = own.select("test_idx", "itemset").join(found.drop("size").hint("merge"), "itemset")
-    sums = []
-    for c in range(classes):
-        valid = reaches(F.col(f"n_c{c}"), F.col("n"), min_conf)
-        sums += [F.count_if(valid).alias(f"r{c}"), F.coalesce(F.sum(F.when(valid, F.col(f"n_c{c}") / F.col("n"))), F.lit(0.0)).alias(f"s{c}")]
-    wide = test.select("test_idx").join(both.groupBy("test_idx").agg(*sums), "test_idx", "left")
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.coalesce(f"r{c}", F.lit(0).cast("long")).alias("n_rules"), F.coalesce(f"s{c}", F.lit(0.0)).alias("sum_conf")) for c in range(classes))))
-    return wide.select("test_idx", each.alias("x")).select("test_idx", "x.*")
+    return grid.join(found, ["test_idx", "label"], "left").select("test_idx", "label", F.coalesce("n_rules", F.lit(0).cast("long")).alias("n_rules"), F.coalesce("sum_conf", F.lit(0.0)).alias("sum_conf"))
 
 
 def class_scores(rules: DataFrame, strict_nan: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import MIN_CONF, MIN_SUP, PARTITIONS, SPARSE_PARTITIONS, STOP
+from .queries import LEVEL_SUP, MIN_CONF, MIN_SUP, PARTITIONS, SPARSE_PARTITIONS, STOP
 
 _TILE = "(ntile(10) OVER (ORDER BY {0}, doc_id) - 1)"
 
@@ -33,7 +33,7 @@ def _count(rules: str, where: str = "true") -> str:
 
 
 _BASE = f"""
-WITH RECURSIVE docs AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS doc_idx, vec_id, label % 2 AS label, embedding FROM embeddings),
+WITH RECURSIVE docs AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) AS doc_idx, vec_id, label % 2 AS label, embedding FROM embeddings),
 vals AS (SELECT doc_idx, vec_id, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS v FROM docs),
 tx AS (SELECT doc_idx, label, pos, 'f' || pos || '=' || (ntile(10) OVER (PARTITION BY pos ORDER BY v, vec_id) - 1) AS item FROM vals),
 wide AS (SELECT doc_idx, label, count(*) AS n_items, string_agg(item, ' ' ORDER BY pos) AS items_text, first(item ORDER BY pos) AS first_item FROM tx GROUP BY ALL),
@@ -45,7 +45,7 @@ every AS ({_sets("parted")}),
 support AS ({_SUPPORT.format("every")}),
 rules AS ({_rules("support")}),
 orders_docs AS (
-  SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INT AS doc_idx, (o_orderstatus = 'F')::INT AS label,
+  SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) AS doc_idx, (o_orderstatus = 'F')::INT AS label,
     ['prio=' || o_orderpriority, 'month=' || month(o_orderdate), 'seg=' || c_mktsegment, 'nation=' || n_name] AS items
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ),
@@ -55,7 +55,7 @@ document_rows AS (
   FROM documents JOIN labels USING (doc_id)
 ),
 document_docs AS (
-  SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INT AS doc_idx, label,
+  SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS doc_idx, label,
     ['lang=' || lang, 'source=' || source, 'nchars=' || {_TILE.format("n_chars")}, 'words=' || {_TILE.format("spaces")}, 'lines=' || least(9, ends)] AS items
   FROM document_rows
 ),
@@ -216,6 +216,14 @@ SELECT 0 AS part, x[1] AS doc_idx, x[2] AS df_sum FROM (SELECT arg_max((doc_idx,
     "rule_counts": _count("rules"),
     "rules_min_conf": f", strict AS ({_rules('support', min_conf=0.5)}) {_count('strict')}",
     "rules_min_sup": f", strict AS ({_rules('support', min_sup=3)}) {_count('strict')}",
+    "rules_min_sup_8": f", strict AS ({_rules('support', min_sup=8)}) {_count('strict')}",
+    "itemset_levels": f""", single AS (SELECT part, a, n FROM support WHERE size = 1),
+pair AS (SELECT p.part, p.a, p.b, p.n FROM support p JOIN single x ON x.part = p.part AND x.a = p.a AND x.n >= {LEVEL_SUP} JOIN single y ON y.part = p.part AND y.a = p.b AND y.n >= {LEVEL_SUP} WHERE p.size = 2),
+good AS (SELECT * FROM pair WHERE n >= {LEVEL_SUP}),
+triple AS (SELECT x.part, x.a, x.b, y.b AS c FROM good x JOIN good y ON y.part = x.part AND y.a = x.a AND y.b > x.b SEMI JOIN good z ON z.part = x.part AND z.a = x.b AND z.b = y.b)
+SELECT part::INT AS part, 1 AS size, count(*) AS candidates, count(*) FILTER (n >= {LEVEL_SUP}) AS frequent FROM single GROUP BY part
+UNION ALL SELECT part, 2, count(*), count(*) FILTER (n >= {LEVEL_SUP}) FROM pair GROUP BY part
+UNION ALL SELECT t.part, 3, count(*), count(*) FILTER (s.n >= {LEVEL_SUP}) FROM triple t LEFT JOIN support s ON s.size = 3 AND s.part = t.part AND s.a = t.a AND s.b = t.b AND s.c = t.c GROUP BY t.part""",
     "least_representative": f", found AS ({_count('rules')}) SELECT part, x[1] AS doc_idx, x[2] AS rules, x[3] AS df_sum FROM (SELECT part, arg_min((doc_idx, rules, df_sum), (rules, df_sum, -doc_idx)) AS x FROM found JOIN sums USING (part, doc_idx) GROUP BY part)",
     "bitmap_support": "SELECT part, a, b, n FROM support WHERE size = 2",
     "sampling_step_k": _rounds(),

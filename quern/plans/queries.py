@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.combinatorics import binomial, combinations, primes
 from ..functions.tokens import class_label, items, leading_int, tokens
+from ..operators import bitmaps as B
 from ..operators import items as I
 from ..operators import rules as R
 from ..operators import scoring as S
@@ -20,6 +21,8 @@ from .sampling import diagnostics, partition_summary, reduced_set, selective_sam
 PARTITIONS, SPARSE_PARTITIONS = 5, 2
 MIN_CONF, MIN_SUP, MAX_SIZE = 0.001, 1, 4
 SIZES = R.antecedents(MAX_SIZE)
+#: Support of ``itemset_levels``.
+LEVEL_SUP = 5
 #: Test line whose id ``scan_test_stop`` makes 0.
 STOP = 300
 
@@ -39,7 +42,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines over the embeddings, with the first item given twice: line_no, line."""
     docs = T.documents(T.tx_embeddings(spark, sf_dir))
     line = F.concat_ws(" ", (F.col("doc_idx") + 1).cast("string"), F.concat(F.lit("CLASS="), F.col("label").cast("string")), F.array_join("items", " "), F.col("items")[0])
-    return docs.select(F.col("doc_idx").cast("long").alias("line_no"), line.alias("line"))
+    return docs.select(F.col("doc_idx").alias("line_no"), line.alias("line"))
 
 
 def _parted(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> DataFrame:
@@ -52,10 +55,25 @@ def _df(parted: DataFrame) -> DataFrame:
     return I.item_df(parted)
 
 
+class _Numbered:
+    """All documents by partition with their items as numbers: ``every`` (part, doc_idx), ``docs`` (with label and ids), ``ids``."""
+
+    def __init__(self, parted: DataFrame):
+        docs = saved(I.part_documents(parted))
+        self.every = docs.select("part", "doc_idx")
+        self.ids = B.item_ids(docs)
+        self.docs = saved(B.with_ids(docs, self.ids, ["part", "doc_idx", "label"]))
+
+    def supports(self, sizes: range) -> DataFrame:
+        return B.tree_supports(B.segments(self.docs), sizes)
+
+
 def _counts(parted: DataFrame, sizes: range = SIZES, min_conf: float = MIN_CONF, min_sup: int = MIN_SUP) -> DataFrame:
     """Rule counts of all documents against all, which selective sampling takes on the embeddings."""
-    docs = I.part_documents(parted)
-    return R.rule_counts(docs, R.supports(docs, range(1, sizes.stop)), sizes, min_conf, min_sup)
+    found = _Numbered(parted)
+    rules = B.level_supports(found.docs, range(1, sizes.stop), min_sup) if min_sup > 1 else found.supports(range(1, sizes.stop))
+    wide = rules.select("part", "size", "n", "n_c0", "n_c1", *(F.col(f"s{k}") if k < sizes.stop else F.lit(0).cast("long").alias(f"s{k}") for k in (1, 2, 3)))
+    return R.rule_counts(found.every, found.docs, wide, sizes, min_conf, min_sup)
 
 
 class _Sparse:
@@ -91,19 +109,19 @@ def scan_transactions_orders(spark, sf_dir):
 @query
 def tokenize(spark, sf_dir):
     t = tokens(F.col("line"))
-    return _lines(spark, sf_dir).select(F.col("line_no").cast("int").alias("doc_idx"), leading_int(t[0]).alias("qid"), F.posexplode(t).alias("pos", "token"))
+    return _lines(spark, sf_dir).select(F.col("line_no").alias("doc_idx"), leading_int(t[0]).alias("qid"), F.posexplode(t).alias("pos", "token"))
 
 
 @query
 def class_extract(spark, sf_dir):
     t = tokens(F.col("line"))
-    return _lines(spark, sf_dir).select(F.col("line_no").cast("int").alias("doc_idx"), class_label(t).alias("label"))
+    return _lines(spark, sf_dir).select(F.col("line_no").alias("doc_idx"), class_label(t).alias("label"))
 
 
 @query
 def dedup_items(spark, sf_dir):
     t = tokens(F.col("line"))
-    return _lines(spark, sf_dir).select(F.col("line_no").cast("int").alias("doc_idx"), (F.size(t) - 2).alias("n_before"), F.size(items(t)).alias("n_after"))
+    return _lines(spark, sf_dir).select(F.col("line_no").alias("doc_idx"), (F.size(t) - 2).alias("n_before"), F.size(items(t)).alias("n_after"))
 
 
 @query
@@ -255,8 +273,8 @@ def project_on_current_sparse(spark, sf_dir):
 
 
 def _itemsets(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    found = R.supports(I.part_documents(_parted(spark, sf_dir)), range(size, size + 1))
-    return found.select("part", *(F.col("itemset")[i].alias("abc"[i]) for i in range(size)), "n", "n_c0", "n_c1")
+    found = _Numbered(_parted(spark, sf_dir))
+    return R.named(found.supports(range(size, size + 1)), found.ids, size)
 
 
 @query
@@ -271,7 +289,8 @@ def itemsets3_support(spark, sf_dir):
 
 @query
 def rules_size2(spark, sf_dir):
-    return R.rules_size2(R.supports(I.part_documents(_parted(spark, sf_dir)), range(1, 2)))
+    found = _Numbered(_parted(spark, sf_dir))
+    return R.rules_size2(found.supports(range(1, 2)), found.ids)
 
 
 @query
@@ -304,6 +323,17 @@ def rules_min_sup(spark, sf_dir):
     return _counts(_parted(spark, sf_dir), min_sup=3)
 
 
+@query
+def rules_min_sup_8(spark, sf_dir):
+    return _counts(_parted(spark, sf_dir), min_sup=8)
+
+
+@query
+def itemset_levels(spark, sf_dir):
+    """Candidates and frequent itemsets at every size, for the support 5."""
+    return B.level_counts(_Numbered(_parted(spark, sf_dir)).docs, LEVEL_SUP)
+
+
 @query
 def least_representative(spark, sf_dir):
     parted = _parted(spark, sf_dir)
@@ -312,7 +342,7 @@ def least_representative(spark, sf_dir):
 
 @query
 def bitmap_support(spark, sf_dir):
-    return R.bitmap_support(I.part_documents(_parted(spark, sf_dir)))
+    return _itemsets(spark, sf_dir, 2).select("part", "a", "b", "n")
 
 
 def _sampled(spark: SparkSession, sf_dir: str, rounds: int | None = None) -> DataFrame:
@@ -373,7 +403,7 @@ def reduced_set_lines(spark, sf_dir):
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training and test documents over all positions; every fifth document is a test."""
     docs = saved(T.documents(T.tx_embeddings(spark, sf_dir)))
-    test = docs.where(F.col("doc_idx") % 5 == 0).select((F.col("doc_idx") / 5).cast("int").alias("test_idx"), "label", "items")
+    test = docs.where(F.col("doc_idx") % 5 == 0).select(F.floor(F.col("doc_idx") / 5).alias("test_idx"), "label", "items")
     return docs.where(F.col("doc_idx") % 5 != 0), test
 
 

@@ -32,7 +32,7 @@ def parse_training(lines: DataFrame) -> DataFrame:
     label = class_label(F.col("t"), last=True)
     checked = F.when(label >= 0, label).otherwise(F.raise_error(F.concat(F.lit("no class in line "), F.col("line_no").cast("string"))).cast("int"))
     wide = found.select("line_no", leading_int(F.get("t", F.lit(0))).alias("qid"), checked.alias("label"), items(F.col("t")).alias("items"))
-    return row_numbers(wide, "doc_idx", ["line_no"]).select(F.col("doc_idx").cast("int").alias("doc_idx"), "qid", "label", "items")
+    return row_numbers(wide, "doc_idx", ["line_no"]).select("doc_idx", "qid", "label", "items")
 
 
 def parse_test(lines: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def parse_test(lines: DataFrame) -> DataFrame:
     stop = found.where("qid = 0").agg(F.min("line_no").alias("stop"))
     kept = found.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
     wide = kept.select("line_no", class_label(F.col("t"), last=False).alias("label"), F.array_sort(items(F.col("t"))).alias("items"))
-    return row_numbers(wide, "test_idx", ["line_no"]).select(F.col("test_idx").cast("int").alias("test_idx"), "label", "items")
+    return row_numbers(wide, "test_idx", ["line_no"]).select("test_idx", "label", "items")
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +81,7 @@ def documents(long: DataFrame) -> DataFrame:
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_idx, vec_id, label (even or odd), embedding of ``embeddings``."""
     rows = row_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "doc_idx", ["vec_id"])
-    return rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), "vec_id", (F.col("label") % 2).alias("label"), "embedding")
+    return rows.select("doc_idx", "vec_id", (F.col("label") % 2).alias("label"), "embedding")
 
 
 def tx_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"), F.concat(F.lit("nchars="), tile("a")),
         F.concat(F.lit("words="), tile("b")), F.concat(F.lit("lines="), F.least(F.lit(9), F.col("ends")).cast("string")),
     )
-    return rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), "label", found.alias("items"))
+    return rows.select("doc_idx", "label", found.alias("items"))
 
 
 def tx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = row_numbers(rows, "doc_idx", ["o_orderkey"])
     found = F.array(F.concat(F.lit("prio="), "o_orderpriority"), F.concat(F.lit("month="), F.month("o_orderdate").cast("string")), F.concat(F.lit("seg="), "c_mktsegment"), F.concat(F.lit("nation="), "n_name"))
-    return rows.select(F.col("doc_idx").cast("int").alias("doc_idx"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), found.alias("items"))
+    return rows.select("doc_idx", (F.col("o_orderstatus") == "F").cast("int").alias("label"), found.alias("items"))
 
 
 def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import math
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.combinatorics import combinations, primes
+from quern.functions import combinatorics as C
 from quern.functions.ranking import ntile, row_numbers
+from quern.operators import bitmaps as B
 from quern.operators import items as I
 from quern.operators import rules as R
 from quern.operators import scoring as S
@@ -78,18 +81,88 @@ def test_documents_without_items(spark):
     assert sorted((r["block"], r["doc_list"]) for r in blocks.collect()) == [(0, "1,2"), (1, "3,4"), (2, "5")]
 
 
-def test_lazy_rules_packed_or_not(spark, monkeypatch):
+def _brute(rows, sizes):
+    """(part, itemset) -> documents of each class."""
+    out = {}
+    for part, _, label, items in rows:
+        for k in sizes:
+            for x in combinations(sorted(items), k):
+                out.setdefault((part, x), [0, 0])[label] += 1
+    return out
+
+
+def _random_rows(seed, docs, parts=2, letters="abcdefgh", few=4):
+    rng = random.Random(seed)
+    return [(p, d, rng.randint(0, 1), sorted({f"{rng.choice(letters)}{rng.randint(0, few)}" for _ in range(rng.randint(0, 7))})) for p in range(parts) for d in range(docs)]
+
+
+def _named(found, ids, most=3):
+    names = {r["id"]: r["item"] for r in ids.collect()} | {0: None}
+    return {(r["part"], tuple(names[r[f"s{k}"]] for k in range(1, r["size"] + 1))): [r["n_c0"], r["n_c1"]] for r in found.collect()}
+
+
+@pytest.mark.parametrize("few", [1, 400])
+def test_tree_supports_over_segments(spark, few):
+    """Many documents that share items, and few that do, over more segments than one."""
+    rows = _random_rows(4, 90, few=few)
+    docs = spark.createDataFrame(rows, "part int, doc_idx long, label int, items array<string>")
+    ids = B.item_ids(docs)
+    parts = B.segments(B.with_ids(docs, ids, ["part", "doc_idx", "label"]), size=32)
+    assert parts.count() == 6
+    assert _named(B.tree_supports(parts, range(1, 4)), ids) == _brute(rows, (1, 2, 3))
+
+
+@pytest.mark.parametrize("min_sup", [1, 2, 5, 90])
+def test_levels_prune_what_cannot_be_frequent(spark, min_sup, monkeypatch):
+    monkeypatch.setattr(B, "PIECE", 40)
+    rows = _random_rows(5, 60)
+    docs = spark.createDataFrame(rows, "part int, doc_idx long, label int, items array<string>")
+    ids = B.item_ids(docs)
+    numbered = B.with_ids(docs, ids, ["part", "doc_idx", "label"])
+    want = {k: n for k, n in _brute(rows, (1, 2, 3)).items() if len(k[1]) == 1 or sum(n) >= min_sup}
+    assert _named(B.level_supports(numbered, range(1, 4), min_sup), ids) == want
+    levels = {(r["part"], r["size"]): (r["candidates"], r["frequent"]) for r in B.level_counts(numbered, min_sup).collect()}
+    for part in (0, 1):
+        for size in (2, 3):
+            assert levels.get((part, size), (0, 0))[1] == sum(p == part and len(x) == size for p, x in want)
+
+
+def test_unranked():
+    for n, k in ((6, 1), (7, 3), (9, 4), (5, 5), (40, 2)):
+        assert B.unranked(n, k, np.arange(math.comb(n, k))).tolist() == [list(x) for x in combinations(range(n), k)]
+    last = math.comb(3000, 3) - 1
+    assert B.unranked(3000, 3, np.array([0, last])).tolist() == [[0, 1, 2], [2997, 2998, 2999]]
+
+
+def test_long_documents_are_dealt_out(spark):
+    docs = spark.createDataFrame([(0, 1, list(range(1, 31))), (0, 2, [3]), (0, 3, [])], "part int, doc_idx long, ids array<long>")
+    pieces = B.rank_pieces(docs, range(1, 4), 100)
+    assert pieces.count() == 1 + 5 + 41 + 1 and pieces.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] == 30 + 435 + 4060 + 1
+    rows = [tuple(r) for r in B.subset_rows(docs, range(1, 4), 100).collect()]
+    assert len(rows) == len(set(rows)) == 30 + 435 + 4060 + 1 and (0, 1, 28, 29, 30) in rows and (0, 2, 3, 0, 0) in rows
+
+
+@pytest.mark.parametrize("cells", [(64, 64, 1 << 16), (1, 2, 7)])
+def test_lazy_rules(spark, monkeypatch, cells):
+    """Whatever the number of cells and pieces; test items that training lacks never match, and a test without items has no rule."""
+    for name, value in zip(("SEGMENTS", "PIECES", "PIECE"), cells):
+        monkeypatch.setattr(B, name, value)
+    monkeypatch.setattr(B.rank_pieces, "__defaults__", (cells[2],))
+    monkeypatch.setattr(B.segments, "__defaults__", (2, 16))
     rng = random.Random(9)
     rows = [(d, rng.randint(0, 1), sorted({f"{c}{rng.randint(0, 2)}" for c in "abcdef" if rng.random() < 0.8})) for d in range(60)]
     docs = spark.createDataFrame(rows, "doc_idx int, label int, items array<string>")
-    test = docs.where("doc_idx < 9").select(F.col("doc_idx").alias("test_idx"), "label", F.array_union("items", F.array(F.lit("unseen"))).alias("items"))
-    train = docs.where("doc_idx >= 9")
-    for sizes in (range(1, 4), range(1, 3), range(1, 2)):
-        runs = []
-        for bits in (21, 0):
-            monkeypatch.setattr(S, "_BITS", bits)
-            runs.append(sorted((r[0], r[1], r[2], round(r[3], 6)) for r in S.lazy_rules(train, test, sizes, 0.4, 2).collect()))
-        assert runs[0] == runs[1] and len(runs[0]) == 18
+    test = docs.where("doc_idx < 9").select(F.col("doc_idx").alias("test_idx"), "label", F.when(F.col("doc_idx") == 8, F.array().cast("array<string>")).otherwise(F.array_union("items", F.array(F.lit("unseen")))).alias("items"))
+    for sizes in (range(1, 4), range(1, 2)):
+        counts, want = _brute([(0, *r) for r in rows[9:]], sizes), {}
+        for d, _, items in rows[:9]:
+            for c in (0, 1):
+                found = [counts[0, x] for k in sizes for x in combinations(items if d < 8 else [], k) if (0, x) in counts]
+                conf = [n[c] / sum(n) for n, k in ((n, sum(n)) for n in found) if n[c] / k >= 0.4]
+                want[d, c] = found, conf
+        for r in S.lazy_rules(docs.where("doc_idx >= 9"), test, sizes, 0.4, 1).collect():
+            conf = want[r["test_idx"], r["label"]][1]
+            assert (r["n_rules"], round(r["sum_conf"], 6)) == (len(conf), round(sum(conf), 6))
 
 
 def test_thresholds(spark):
@@ -131,17 +204,30 @@ def test_streaming_counts(spark, tmp_path):
 
 
 def test_numbers(spark):
-    assert [tuple(r)[1:] for r in combinations(spark, 4, 2).orderBy("r").collect()] == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    assert [r["r"] for r in combinations(spark, 7, 3).orderBy("i", "j", "k").collect()] == list(range(35))
-    assert [r[0] for r in primes(spark, 30).collect()] == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
+    assert [tuple(r)[1:] for r in C.combinations(spark, 4, 2).orderBy("r").collect()] == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    assert [r["r"] for r in C.combinations(spark, 7, 3).orderBy("i", "j", "k").collect()] == list(range(35))
+    assert [r[0] for r in C.primes(spark, 30).collect()] == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
     rows = row_numbers(spark.range(37).select((F.col("id") * 7 % 37).alias("x")), "n", ["x"])
     assert all(r["x"] == r["n"] for r in rows.collect())
+    nulls = row_numbers(spark.createDataFrame([("b", 1), (None, 2), ("a", None), ("a", 1)], "x string, y int"), "n", ["x", "y"])
+    assert [(r["x"], r["y"]) for r in nulls.orderBy("n").collect()] == [(None, 2), ("a", None), ("a", 1), ("b", 1)]
+    groups = row_numbers(spark.range(50).select((F.col("id") % 3).alias("g"), (-F.col("id")).alias("x")), "n", ["x"], by=["g"], ranges=7)
+    assert sorted((r["g"], r["n"]) for r in groups.collect()) == [(g, n) for g in range(3) for n in range(17 if g < 2 else 16)]
+    assert [r["x"] for r in groups.where("g = 0").orderBy("n").collect()] == list(range(-48, 1, 3)) and {r["n_size"] for r in groups.where("g = 2").collect()} == {16}
     clash = row_numbers(spark.range(9).select(*(F.col("id").alias(c) for c in ("x", "_range", "_n", "_before", "_own", "n_"))), "n", ["x"], ranges=3)
     assert all(r["x"] == r["n"] == r["_range"] == r["_own"] for r in clash.collect()) and clash.columns[-2:] == ["n_size", "n"]
     tiles = [r[0] for r in rows.orderBy("n").select(ntile(F.col("n"), F.col("n_size"), 10)).collect()]
     assert tiles == [min(t for t in range(10) if n < sum(4 if k < 7 else 3 for k in range(t + 1))) for n in range(37)]
 
 
+def test_lines_and_documents_of_any_length(spark):
+    items = " ".join(f"i{k}" for k in range(1_000_005))
+    rows = T.parse_training(spark.createDataFrame([(0, f"1 CLASS=1 {items} CLASS=0")], "line_no long, line string"))
+    assert rows.select(F.size("items"), "label").first()[:] == (1_000_005, 0)
+    long = spark.createDataFrame([(0, 0, 1 << 20, "late"), (1, 0, 1, "next"), (1 << 40, 0, 1, "far"), (0, 0, 1, "first")], "doc_idx long, label int, pos int, item string")
+    assert [tuple(r) for r in I.item_dictionary(long).orderBy("item_id").collect()] == [("first", 2), ("late", 3), ("next", 4), ("far", 5)]
+
+
 def test_readers(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text("5 CLASS=1  b\ta a\n\nx7 CLASS=0 c\n6 CLASS=0 d\n")
