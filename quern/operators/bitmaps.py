@@ -110,6 +110,13 @@ def subset_rows(docs: DataFrame, sizes: range, piece: int = PIECE) -> DataFrame:
     return dealt.repartition("part", "doc_idx", "size", "first").mapInArrow(run, "part int, doc_idx long, s1 long, s2 long, s3 long")
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all ranges one after the other, where each range begins there)."""
+    n = end - start
+    first = np.cumsum(n) - n
+    return np.repeat(start - first, n) + np.arange(n.sum()), first
+
+
 # -- segments ---------------------------------------------------------------------------------------------------------
 
 

@@ -4,144 +4,238 @@ Every partition starts with its most representative document, the seed, which do
 the last chosen document to the statistics, counts the rules of every document against them, and takes the document with
 the fewest (then with the smaller df sum, then the greater number). A document that was taken before ends the partition.
 
-Where every partition has at most ``local_documents`` documents (a checked count), a partition's rounds run in one task,
-which saves a job for each round. Beyond that one Spark job a round serves all partitions; both give the same picks. The
-statistics of the chosen documents are then on the driver: they grow with the reduced set, which is small where sampling
-is of use, not with the input. A chosen document changes only the statistics of its own subsets, so a round sends the executors the changed rule counts of those subsets (a few hundred for each partition), and every
-document adds up the changes among the items it shares with the chosen one: no shuffle but the final minimum.
+One run of rounds serves all partitions. Its state is two tables in the shared folder, written every ``SAVE_EVERY`` rounds:
+the documents with their rule counts, and the counts of every itemset of the chosen documents by partition and itemset.
+Between two versions a round reads the last one and adds what the documents chosen since then change, so it depends on
+files and on a few chosen documents only. A chosen document changes the rules of its own subsets and no others: the round
+looks those up in the counts, and every document adds up the changes among the items it shares with the chosen one, as
+products of membership matrices. The driver holds one chosen document for each partition and round since the last version.
+
+A round is committed as a file in ``log``; a run that is started again with the same ``log`` goes on behind the last
+committed round.
 """
 
 from __future__ import annotations
 
 import logging
 import time
-from itertools import combinations
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.combinatorics import subsets
+from ..operators import bitmaps as B
 from ..operators.rules import antecedents
-from ..sources.storage import saved
-
-log = logging.getLogger(__name__)
-
-#: Rounds after which the running counts are written, which cuts the lineage.
-SAVE_EVERY = 6
-
-
-class _Statistics:
-    """Counts of the itemsets of the chosen documents of one partition; as large as the chosen set, not the input."""
-
-    def __init__(self, sizes: range, min_conf: float, min_sup: int, classes: int):
-        self.sizes, self.min_conf, self.min_sup, self.classes = sizes, np.float32(min_conf), min_sup, classes
-        self.counts: dict[tuple[str, ...], list[int]] = {}
-
-    def _valid(self, itemset: tuple[str, ...], counts: list[int] | None) -> int:
-        n = sum(counts) if counts else 0
-        if n == 0 or len(itemset) > 1 and n < self.min_sup:
-            return 0
-        return sum(bool(np.float32(c / n) >= self.min_conf) for c in counts)
-
-    def add(self, items: list[str], label: int) -> list[tuple[list[str], int]]:
-        """Add a document; the subsets whose number of rules changed, and by how much."""
-        changed = []
-        for k in self.sizes:
-            for s in combinations(sorted(items), k):
-                own = self.counts.get(s)
-                before = self._valid(s, own)
-                own = self.counts.setdefault(s, [0] * self.classes)
-                own[label] += 1
-                if after := self._valid(s, own) - before:
-                    changed.append((list(s), after))
-        return changed
-
-
-_PICKS = "part int, step int, doc_idx int, rules long, repeated boolean"
-#: Documents of a partition whose rounds may run in one task.
-LOCAL_DOCUMENTS = 20_000
-
-
-def _partition_rounds(rows: pd.DataFrame, statistics: _Statistics, rounds: int | None) -> list[tuple]:
-    """(step, doc_idx, rules, repeated) of one partition of checked size."""
-    docs = {r.doc_idx: (sorted(r.items), int(r.label), int(r.df_sum)) for r in rows.itertuples(index=False, name="Row")}
-    holders: dict[str, list[int]] = {}
-    for doc, (items, _, _) in docs.items():
-        for x in items:
-            holders.setdefault(x, []).append(doc)
-    counts = dict.fromkeys(docs, 0)
-    pick = max(docs, key=lambda d: (docs[d][2], d))
-    out, taken = [(0, pick, 0, False)], set()
-    while rounds is None or len(out) <= rounds:
-        items, label, _ = docs[pick]
-        changed = {tuple(s): d for s, d in statistics.add(items, label)}
-        shared: dict[int, list[str]] = {}
-        for x in items:
-            for doc in holders[x]:
-                shared.setdefault(doc, []).append(x)
-        for doc, own in shared.items():
-            counts[doc] += sum(changed.get(s, 0) for k in statistics.sizes for s in combinations(own, k))
-        pick = min(docs, key=lambda d: (counts[d], docs[d][2], -d))
-        out.append((len(out), pick, counts[pick], pick in taken))
-        if pick in taken:
-            break
-        taken.add(pick)
+from ..sources.storage import Folder, shared_dir
+
+log_ = logging.getLogger(__name__)
+
+#: Rounds after which the tables are written.
+SAVE_EVERY = 12
+
+_PICKS = "part int, step int, doc_idx long, rules long, repeated boolean"
+_STATE = "part int, doc_idx long, label int, ids array<long>, df_sum long, rules long"
+_KEYS = ["part", "s1", "s2", "s3"]
+
+
+def _valid(counts: np.ndarray, size: int, min_conf: float, min_sup: int) -> np.ndarray:
+    """How many classes form a rule with each itemset; ``counts`` has the classes in its first dimension."""
+    n = counts.sum(0)
+    ratio = np.divide(counts, n, out=np.zeros(counts.shape), where=n > 0).astype(np.float32)
+    return ((ratio >= np.float32(min_conf)) & (n > 0) & ((size == 1) | (n >= min_sup))).sum(0)
+
+
+def _ordered(k: int, size: int) -> np.ndarray:
+    """Which places of a k x k x ... array are ascending, so that every subset counts once."""
+    return np.all(np.diff(np.indices((k,) * size), axis=0) > 0, axis=0)
+
+
+def _held(mask: np.ndarray, size: int) -> np.ndarray:
+    """For every subset whether all its members are in ``mask``."""
+    out = mask
+    for _ in range(size - 1):
+        out = np.multiply.outer(out, mask)
     return out
 
 
-def _local(rows: DataFrame, new_statistics, rounds: int | None) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(_partition_rounds(frame, new_statistics(), rounds), columns=["step", "doc_idx", "rules", "repeated"])
-        found.insert(0, "part", frame["part"].iloc[0])
-        return found
+@dataclass
+class Chosen:
+    """A document that was chosen: its items and, for every size of subsets, by how much their rules change."""
+
+    doc_idx: int
+    label: int
+    ids: np.ndarray
+    changes: list[np.ndarray]
+
+    def shared(self, start: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """What it adds to the rules of documents (their ids one after the other): sums over the subsets of shared items."""
+        k, docs = len(self.ids), len(start) - 1
+        if not k or not docs:
+            return np.zeros(docs, np.int64)
+        place = np.minimum(np.searchsorted(self.ids, flat), k - 1)
+        hit = self.ids[place] == flat
+        has = np.zeros((docs, k))
+        has[np.repeat(np.arange(docs), np.diff(start))[hit], place[hit]] = 1
+        out = has @ self.changes[0].astype(float) if len(self.changes) else np.zeros(docs)
+        if len(self.changes) > 1:
+            out += ((has @ self.changes[1].astype(float)) * has).sum(1)
+        if len(self.changes) > 2:
+            for i in range(k):
+                own = has[:, i] > 0
+                if own.any() and self.changes[2][i].any():
+                    out[own] += ((has[own] @ self.changes[2][i].astype(float)) * has[own]).sum(1)
+        return np.rint(out).astype(np.int64)
+
+
+class _Run:
+    def __init__(self, spark: SparkSession, folder: Folder, sizes: range, min_conf: float, min_sup: int, classes: int):
+        self.spark, self.folder, self.sizes, self.min_conf, self.min_sup, self.classes = spark, folder, sizes, min_conf, min_sup, classes
+
+    # -- the two tables
+
+    def open(self, version: int) -> None:
+        """Work on the tables of a version: ``docs`` and ``counts``."""
+        self.version, self.since = version, {}
+        self.docs = self.spark.read.schema(_STATE).parquet(self.folder.path(f"docs-{version}"))
+        self.counts = self.spark.read.schema(self._counts_schema()).parquet(self.folder.path(f"counts-{version}"))
+
+    def _counts_schema(self) -> str:
+        return "part int, s1 long, s2 long, s3 long, " + ", ".join(f"n_c{c} long" for c in range(self.classes))
+
+    def begin(self, docs: DataFrame) -> None:
+        docs.write.mode("overwrite").parquet(self.folder.path("docs-0"))
+        self.spark.createDataFrame([], self._counts_schema()).write.mode("overwrite").parquet(self.folder.path("counts-0"))
+
+    def save(self, step: int) -> None:
+        """Write the tables as they are after ``step`` rounds; the version counts once it is committed."""
+        self._scored().write.mode("overwrite").parquet(self.folder.path(f"docs-{step}"))
+        chosen = self.spark.createDataFrame([(part, x.ids.tolist(), x.label) for part, xs in self.since.items() for x in xs], "part int, ids array<long>, label int")
+        rows = B.subset_rows(chosen.select("part", F.monotonically_increasing_id().alias("doc_idx"), "ids"), self.sizes)
+        label = chosen.select(F.monotonically_increasing_id().alias("doc_idx"), "label")
+        new = rows.join(F.broadcast(label), "doc_idx").select(*_KEYS, *((F.col("label") == c).cast("long").alias(f"n_c{c}") for c in range(self.classes)))
+        names = [f"n_c{c}" for c in range(self.classes)]
+        self.counts.unionByName(new).groupBy(*_KEYS).agg(*(F.sum(c).alias(c) for c in names)).write.mode("overwrite").parquet(self.folder.path(f"counts-{step}"))
+        self.folder.commit(f"version-{step}", {})
+        before = self.version
+        self.open(step)
+        for name in ("docs", "counts"):
+            self.folder.delete(f"{name}-{before}")
+
+    # -- a round
+
+    def add(self, picks: dict[int, tuple[int, int, list[int]]]) -> None:
+        """Chosen documents (by partition: doc_idx, label, ids) with what they change."""
+        found = {part: np.array(ids, np.int64) for part, (_, _, ids) in picks.items()}
+        own = [(F.col("part") == part) & F.col("s1").isin(ids.tolist()) & F.col("s2").isin([0, *ids.tolist()]) & F.col("s3").isin([0, *ids.tolist()]) for part, ids in found.items() if len(ids)]
+        rows: dict[int, list] = {}
+        if own and self.version:
+            met: Column = own[0]
+            for x in own[1:]:
+                met = met | x
+            for r in self.counts.where(met).collect():
+                rows.setdefault(r["part"], []).append(r)
+        for part, (doc, label, _) in picks.items():
+            ids, changes = found[part], []
+            before = rows.get(part, [])
+            for size in self.sizes:
+                n = np.zeros((self.classes, *[len(ids)] * size), np.int64)
+                same = [r for r in before if (r["s2"] > 0) + (r["s3"] > 0) + 1 == size]
+                if same:
+                    at = tuple(np.searchsorted(ids, [r[f"s{k + 1}"] for r in same]) for k in range(size))
+                    for c in range(self.classes):
+                        n[(c, *at)] = [r[f"n_c{c}"] for r in same]
+                for x in self.since.get(part, []):
+                    n[x.label] += _held(np.isin(ids, x.ids).astype(np.int64), size)
+                old = _valid(n, size, self.min_conf, self.min_sup)
+                n[label] += 1
+                changes.append(((_valid(n, size, self.min_conf, self.min_sup) - old) * _ordered(len(ids), size)).astype(np.int8))
+            self.since.setdefault(part, []).append(Chosen(doc, label, ids, changes))
+
+    def _mapped(self, schema: str, best: bool) -> DataFrame:
+        since = self.since
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part, ids = batch.column("part").to_numpy(), batch.column("ids")
+                rules = batch.column("rules").to_numpy().copy()
+                start = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                for p, xs in since.items():
+                    rows = np.flatnonzero(part == p)
+                    spot, first = B.ranges(start[rows], start[rows + 1])
+                    for x in xs:
+                        rules[rows] += x.shared(np.append(first, len(spot)), flat[spot])
+                out = batch.set_column(batch.schema.get_field_index("rules"), "rules", pa.array(rules))
+                if best:  # the first of each partition in this batch
+                    order = np.lexsort((-batch.column("doc_idx").to_numpy(), batch.column("df_sum").to_numpy(), rules, part))
+                    out = out.take(pa.array(order[np.unique(part[order], return_index=True)[1]]))
+                yield out
+
+        return self.docs.mapInArrow(run, schema)
+
+    def _scored(self) -> DataFrame:
+        return self._mapped(_STATE, False)
 
-    return rows.groupBy("part").applyInPandas(run, _PICKS)
+    def best(self, parts: list[int]) -> dict[int, tuple[int, int, list[int], int]]:
+        """By partition doc_idx, label, ids and rules of the document with the fewest rules."""
+        row = F.struct("doc_idx", "label", "ids", "rules")
+        found = self._mapped(_STATE, True).where(F.col("part").isin(parts)).groupBy("part").agg(F.min_by(row, F.struct(F.col("rules"), F.col("df_sum"), -F.col("doc_idx"))).alias("x"))
+        return {r["part"]: (r["x"]["doc_idx"], r["x"]["label"], r["x"]["ids"], r["x"]["rules"]) for r in found.collect()}
 
 
-def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001, min_sup: int = 1, max_rule_size: int = 4, classes: int = 2, rounds: int | None = None, local_documents: int = LOCAL_DOCUMENTS) -> DataFrame:
+def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001, min_sup: int = 1, max_rule_size: int = 4, classes: int = 2, rounds: int | None = None, log: str | None = None) -> DataFrame:
     """part, step, doc_idx, rules, repeated: the documents in the order they were taken; step 0 is the seed.
 
     ``docs`` has part, doc_idx, label, items; ``sums`` part, doc_idx, df_sum. The last row of a converged partition has
-    ``repeated``: the document whose second choice ended it, which is not taken again. ``rounds`` stops early.
+    ``repeated``: the document whose second choice ended it, which is not taken again. ``rounds`` stops early. ``log`` is a
+    folder that all executors share; a run with a log that holds committed rounds goes on from there. Without it, a folder
+    of its own is used and deleted in the end. A document's subsets (of up to three items) are held at once.
     """
     spark: SparkSession = docs.sparkSession
-    sizes = antecedents(max_rule_size)
-    state = saved(docs.join(sums, ["part", "doc_idx"]).select("part", "doc_idx", "label", F.sort_array("items").alias("items"), "df_sum", F.lit(0).cast("long").alias("rules")))
-    largest = state.groupBy("part").count().agg(F.max("count")).first()[0]
-    log.info("%s documents in the largest partition", largest)
-    if largest is None or largest <= local_documents:
-        return _local(state.drop("rules"), lambda: _Statistics(sizes, min_conf, min_sup, classes), rounds)
-    row = F.struct("doc_idx", "label", "items", "rules")
-    picks = {r["part"]: r["x"] for r in state.groupBy("part").agg(F.max_by(row, F.struct("df_sum", "doc_idx")).alias("x")).collect()}
-    out = [(part, 0, x["doc_idx"], 0, False) for part, x in sorted(picks.items())]
+    folder = Folder(spark, log or f"{shared_dir(spark)}/sampling-{uuid.uuid4().hex}")
+    run = _Run(spark, folder, antecedents(max_rule_size), min_conf, min_sup, classes)
+    done = folder.read("begun")
+    if done is None:  # what an earlier start left unfinished is written again
+        own = docs.select("part", "doc_idx", "label", "items")
+        ids = B.with_ids(own, B.item_ids(own), ["part", "doc_idx"])
+        rows = own.drop("items").join(ids, ["part", "doc_idx"], "left").join(sums.select("part", "doc_idx", "df_sum"), ["part", "doc_idx"])
+        run.begin(rows.select(F.col("part").cast("int").alias("part"), F.col("doc_idx").cast("long").alias("doc_idx"), F.col("label").cast("int").alias("label"), F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.col("df_sum").cast("long").alias("df_sum"), F.lit(0).cast("long").alias("rules")))
+        row = F.struct("doc_idx", "label", "ids")
+        run.open(0)
+        seeds = {r["part"]: r["x"] for r in run.docs.groupBy("part").agg(F.max_by(row, F.struct("df_sum", "doc_idx")).alias("x")).collect()}
+        folder.commit("begun", {"seeds": [[part, x["doc_idx"], x["label"], x["ids"]] for part, x in sorted(seeds.items())]})
+        done = folder.read("begun")
+    picks = {part: (doc, label, ids) for part, doc, label, ids in done["seeds"]}
+    out = [(part, 0, doc, 0, False) for part, (doc, _, _) in picks.items()]
     taken: dict[int, set[int]] = {part: set() for part in picks}
-    known = {part: _Statistics(sizes, min_conf, min_sup, classes) for part in picks}
+    run.open(folder.last("version"))
     step, began = 0, time.monotonic()
     while picks and (rounds is None or step < rounds):
         step += 1
-        changed = [(part, list(x["items"]), known[part].add(list(x["items"]), x["label"])) for part, x in picks.items()]
-        sent = spark.createDataFrame([(p, i, [s for s, _ in c], [d for _, d in c]) for p, i, c in changed], "part int, new array<string>, sets array<array<string>>, deltas array<int>")
-        sent = F.broadcast(sent.select("part", "new", F.map_from_arrays("sets", "deltas").alias("change")))
-        own = F.sort_array(F.array_intersect("items", "new"))
-        mine = F.flatten(F.array(*(subsets(F.col("_own"), k) for k in sizes)))
-        delta = F.aggregate(mine, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(F.try_element_at("change", x), F.lit(0)))
-        state = state.join(sent, "part").withColumn("_own", own).withColumn("rules", F.col("rules") + delta).drop("_own", "new", "change")
-        if step % SAVE_EVERY == 0:
-            state = saved(state)
-        best = state.groupBy("part").agg(F.min_by(row, F.struct(F.col("rules"), F.col("df_sum"), -F.col("doc_idx"))).alias("x")).collect()
+        if step > run.version:  # what is before is in the tables
+            run.add(picks)
+        found = folder.read(f"round-{step}")
+        if found is None:
+            best = run.best(sorted(picks))
+            folder.commit(f"round-{step}", {"picks": [[part, *x] for part, x in sorted(best.items())]})
+            found = folder.read(f"round-{step}")
         picks = {}
-        for part, x in sorted((r["part"], r["x"]) for r in best):
-            again = x["doc_idx"] in taken[part]
+        for part, doc, label, ids, rules in found["picks"]:
+            again = doc in taken[part]
             if again:
-                log.info("partition %s converged after %s rounds, %.1f s", part, step, time.monotonic() - began)
-            out.append((part, step, x["doc_idx"], x["rules"], again))
+                log_.info("partition %s converged after %s rounds, %.1f s", part, step, time.monotonic() - began)
+            out.append((part, step, doc, rules, again))
             if not again:
-                taken[part].add(x["doc_idx"])
-                picks[part] = x
-        if len(picks) < len(best):
-            state = state.where(F.col("part").isin(*picks)) if picks else state
+                taken[part].add(doc)
+                picks[part] = (doc, label, ids)
+        if step - run.version >= SAVE_EVERY and picks:
+            run.save(step)
+    if log is None:
+        folder.delete("")
     return spark.createDataFrame(out, _PICKS)
 
 

@@ -14,8 +14,10 @@ from quern.operators import bitmaps as B
 from quern.operators import items as I
 from quern.operators import rules as R
 from quern.operators import scoring as S
+from quern.plans import sampling
 from quern.plans.sampling import partition_summary, reduced_set, selective_sampling
 from quern.sources import transactions as T
+from quern.sources.storage import Folder
 from quern.streaming.evaluation import eval_counts as stream_eval
 from quern.streaming.evaluation import streaming_counts
 
@@ -32,11 +34,10 @@ def _docs(spark, tmp_path, lines):
     return docs, I.part_documents(parted), I.doc_df_sum(parted, I.item_df(long))
 
 
-@pytest.mark.parametrize("local", [0, 100])
-def test_sampling_goldens(spark, tmp_path, local):
+def test_sampling_goldens(spark, tmp_path):
     docs, parts, sums = _docs(spark, tmp_path, G1)
     assert {r["doc_idx"]: r["df_sum"] for r in sums.collect()} == {0: 6, 1: 4, 2: 4, 3: 6}
-    picks = selective_sampling(parts, sums, local_documents=local)
+    picks = selective_sampling(parts, sums)
     rows = [(r["step"], r["doc_idx"], r["rules"], r["repeated"]) for r in picks.orderBy("step").collect()]
     assert rows == [(0, 3, 0, False), (1, 2, 1, False), (2, 1, 1, False), (3, 1, 3, True)]
     assert [tuple(r) for r in partition_summary(picks).collect()] == [(0, 3, 1)]
@@ -44,24 +45,59 @@ def test_sampling_goldens(spark, tmp_path, local):
     assert [r["line"] for r in T.to_lines(taken).orderBy("doc_idx").collect()] == ["2 CLASS=1 a1 b2 ", "3 CLASS=0 a2 b1 ", "4 CLASS=1 a1 b1 "]
 
 
-@pytest.mark.parametrize("local", [0, 100])
-def test_seed_is_counted_twice(spark, tmp_path, local):
+def test_seed_is_counted_twice(spark, tmp_path):
     _, parts, sums = _docs(spark, tmp_path, ["1 CLASS=0 a"])
-    picks = selective_sampling(parts, sums, local_documents=local)
+    picks = selective_sampling(parts, sums)
     assert [r["doc_idx"] for r in picks.orderBy("step").collect()] == [0, 0, 0]
     assert [tuple(r) for r in partition_summary(picks).collect()] == [(0, 2, 0)]
     assert reduced_set(picks).count() == 1
 
 
-def test_distributed_rounds_equal_local_ones(spark):
-    """Both ways to run the rounds, over documents of which some have no item in a partition."""
+def _sampled_by_hand(rows, sums, min_conf=0.001, min_sup=1):
+    """(part, step, doc, rules, repeated), one document after the other."""
+    out = []
+    for part in sorted({r[0] for r in rows}):
+        docs = {d: (label, [x for k in (1, 2, 3) for x in combinations(items, k)]) for p, d, label, items in rows if p == part}
+        pick, counts, taken = max(docs, key=lambda d: (sums[part, d], d)), {}, set()
+        out.append((part, 0, pick, 0, False))
+        while not out[-1][4]:
+            label, subsets = docs[pick]
+            for x in subsets:
+                counts.setdefault(x, [0, 0])[label] += 1
+            good = {x: sum(np.float32(c / sum(n)) >= np.float32(min_conf) for c in n) for x, n in counts.items() if len(x) == 1 or sum(n) >= min_sup}
+            rules = {d: sum(good.get(x, 0) for x in own) for d, (_, own) in docs.items()}
+            pick = min(docs, key=lambda d: (rules[d], sums[part, d], -d))
+            out.append((part, len([r for r in out if r[0] == part]), pick, rules[pick], pick in taken))
+            taken.add(pick)
+    return out
+
+
+@pytest.mark.parametrize(("min_conf", "min_sup"), [(0.001, 1), (0.4, 3)])
+def test_sampling_equals_rounds_by_hand(spark, monkeypatch, tmp_path, min_conf, min_sup):
+    """Documents of which some have no item in a partition; tables are written every four rounds; a run that was stopped, even
+    while it wrote them, goes on from its log and takes the same documents."""
+    monkeypatch.setattr(sampling, "SAVE_EVERY", 4)
     rng = random.Random(8)
-    rows = [(part, d, rng.randint(0, 1), sorted({f"{rng.choice('abcdef')}{rng.randint(0, 3)}" for _ in range(rng.choice([0, 2, 4, 5][1 - part :]))})) for part in (0, 1) for d in range(220)]
+    rows = [(part, d, rng.randint(0, 1), sorted({f"{rng.choice('abcdef')}{rng.randint(0, 3)}" for _ in range(rng.choice([0, 2, 4, 5][1 - part :]))})) for part in (0, 1) for d in range(60)]
     docs = spark.createDataFrame(rows, "part int, doc_idx int, label int, items array<string>")
     sums = docs.select("part", "doc_idx", F.size("items").cast("long").alias("df_sum"))
-    runs = [selective_sampling(docs, sums, rounds=14, local_documents=most) for most in (0, 1000)]
-    both = [sorted(map(tuple, run.collect())) for run in runs]
-    assert both[0] == both[1] and len(both[0]) > 10 and (1, 0) in {(r[0], r[3]) for r in both[0][-2:]}
+    want = sorted(_sampled_by_hand(rows, {(p, d): len(x) for p, d, _, x in rows}, min_conf, min_sup))
+    log = str(tmp_path / "log")
+    first = selective_sampling(docs, sums, min_conf, min_sup, rounds=6, log=log)
+    assert sorted(map(tuple, first.collect())) == [r for r in want if r[1] <= 6]
+    names = {x.name for x in (tmp_path / "log").iterdir()}
+    assert {"round-6.json", "version-4.json", "docs-4", "counts-4"} <= names and "docs-0" not in names
+    (tmp_path / "log" / "docs-8").mkdir()  # a version that was not committed
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(Folder, "delete", stop)
+        with pytest.raises(KeyboardInterrupt):
+            selective_sampling(docs, sums, min_conf, min_sup, log=log)
+    unread = docs.select("part", "doc_idx", "label", F.raise_error(F.lit("the log has them")).cast("array<string>").alias("items"))
+    assert sorted(map(tuple, selective_sampling(unread, sums, min_conf, min_sup, log=log).collect())) == want
 
 
 def test_documents_without_items(spark):
