@@ -179,11 +179,13 @@ class Codec:
         fits = {s: tuple(x) == s for s, x in zip(real, found)}
         return [fits.get(s, True) for s in seams]
 
-    def _long(self, data: bytes) -> list[int]:
-        """The tokens of one long piece."""
-        parts = self._contracted([data[i : i + CHUNK] for i in range(0, len(data), CHUNK)], _CONTRACT_ALL)
-        while len(parts) > 1:
-            pairs = [(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
+    def _long(self, words: list[bytes]) -> list[list[int]]:
+        """The tokens of long pieces, all of them side by side."""
+        cut = [[w[i : i + CHUNK] for i in range(0, len(w), CHUNK)] for w in words]
+        chunks = iter(self._contracted([c for own in cut for c in own], _CONTRACT_ALL))
+        parts = [list(islice(chunks, len(own))) for own in cut]
+        while any(len(own) > 1 for own in parts):
+            pairs = [(own[i], own[i + 1]) for own in parts for i in range(0, len(own) - 1, 2)]
             joined: list[list[int]] = [a + b for a, b in pairs]
             open_ = [i for i, yes in enumerate(self._fit([(a[-1], b[0]) for a, b in pairs])) if not yes]
             reach = 4
@@ -198,8 +200,9 @@ class Codec:
                 fits = self._fit(seams)
                 open_ = [i for i, left, right in zip(open_, fits[::2], fits[1::2]) if not (left and right)]
                 reach *= 4
-            parts = joined + parts[2 * len(pairs) :]
-        return parts[0]
+            left = iter(joined)
+            parts = [[*islice(left, len(own) // 2), *own[len(own) & ~1 :]] for own in parts]
+        return [own[0] for own in parts]
 
     def _learn(self, words: list[str]) -> None:
         """Contract the pieces that are not known yet."""
@@ -213,8 +216,9 @@ class Codec:
                 rest.append((word, data))
         for (word, _), tokens in zip(rest, self._contracted([data for _, data in rest])):
             self.known[word] = ",".join(map(str, tokens))
-        for word, data in long:
-            self.known[word] = ",".join(map(str, self._long(data)))
+        if long:
+            for (word, _), tokens in zip(long, self._long([data for _, data in long])):
+                self.known[word] = ",".join(map(str, tokens))
 
     def encode(self, texts: list[str]) -> list[str]:
         """For each text its ids as decimals joined by commas."""

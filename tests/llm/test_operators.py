@@ -343,6 +343,22 @@ def test_byte_bpe(docs, rows, empty):
     assert byte_bpe.ordered(byte_bpe.VOCABULARY) and not any(len(w) > byte_bpe.LONGEST for w in codec.known)
 
 
+def test_many_long_pieces_in_one_batch():
+    """All of them are contracted side by side, with short ones between."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(kind) for _ in range(n)) for kind in ("ab", "theinandß日", "x") for n in (3, 511, 512, 600, 640, 1025, 5000)] * 2
+    texts += ["".join(rng.choice("etaoin") for _ in range(600)) for _ in range(200)]
+    assert byte_bpe.Codec().encode(texts) == [",".join(map(str, plain.encode_ordinary(t))) for t in texts]
+
+
 def test_byte_bpe_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 20_000)
     monkeypatch.setattr(packing, "REMEMBERED", 20_000)
