@@ -352,7 +352,7 @@ def level_supports(docs: DataFrame, sizes: range, min_sup: int, classes: int = 2
         pairs = saved(tree_supports(parts, range(2, 3), classes).where(F.col("n") >= min_sup).select("part", "s1", "s2", *names, "n"))
         levels.append(shape(pairs, 2))
     if most > 2:
-        levels.append(shape(_triples(pairs.select("part", "s1", "s2"), parts, classes).where(F.col("n") >= min_sup), 3))
+        levels.append(shape(counted_sets(candidate_triples(pairs.select("part", "s1", "s2")), parts, classes).where(F.col("n") >= min_sup), 3))
     out = levels[min(sizes) - 1]
     for level in levels[min(sizes) :]:
         out = out.unionByName(level)
@@ -382,37 +382,40 @@ def candidate_triples(pairs: DataFrame) -> DataFrame:
     return joined.join(pairs.select("part", F.col("s1").alias("s2"), F.col("s2").alias("s3")).hint("merge"), ["part", "s2", "s3"], "left_semi").select("part", "s1", "s2", "s3")
 
 
-def _triples(pairs: DataFrame, parts: DataFrame, classes: int) -> DataFrame:
-    """part, s1, s2, s3, n_c0, ..., n of the candidates, counted in the segments."""
+def counted_sets(sets: DataFrame, parts: DataFrame, classes: int = 2) -> DataFrame:
+    """part, s1, s2, s3, n_c0, ..., n of the given itemsets (part, s1, s2, s3; 0: none, last), counted in the segments."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
 
-        def row(part: int) -> pa.RecordBatch:
+        def row(key: tuple[int, int]) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([pickle.dumps(np.concatenate(held.pop(part)), 5)], pa.binary())], names=["part", "piece", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([number], pa.int64()), pa.array([pickle.dumps(np.concatenate(held.pop(key)), 5)], pa.binary())], names=["part", "piece", "blob"])
 
         for batch in batches:
             part = batch.column("part").to_numpy()
-            sets = np.stack([batch.column(c).to_numpy() for c in ("s1", "s2", "s3")], 1)
-            for p in np.unique(part).tolist():
-                held.setdefault(p, []).append(sets[part == p])
-                if sum(map(len, held[p])) >= PIECE:
-                    yield row(p)
-        for p in list(held):
-            yield row(p)
-
-    candidates = candidate_triples(pairs).repartition("part", "s1", "s2").sortWithinPartitions("part", "s1", "s2", "s3")
-    pieces = saved(candidates.mapInArrow(pack, "part int, piece long, blob binary"))
+            own = np.stack([batch.column(c).to_numpy() for c in ("s1", "s2", "s3")], 1)
+            size = (own > 0).sum(1)
+            for key in sorted(set(zip(part.tolist(), size.tolist()))):
+                held.setdefault(key, []).append(own[(part == key[0]) & (size == key[1]), : key[1]])
+                if sum(map(len, held[key])) >= PIECE:
+                    yield row(key)
+        for key in list(held):
+            yield row(key)
+
+    placed = sets.select("part", "s1", "s2", "s3").repartition("part", "s1", "s2").sortWithinPartitions("part", "s1", "s2", "s3")
+    pieces = saved(placed.mapInArrow(pack, "part int, piece long, blob binary"))
     counts = _counted(pieces, parts, classes, pickle.loads)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, blob, found in zip(batch.column("part").to_pylist(), batch.column("blob"), batch.column("counts")):
-                sets, n = pickle.loads(blob.as_py()), pickle.loads(found.as_py()).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sets), part, np.int32)), *(pa.array(sets[:, j], pa.int64()) for j in range(3)), *(pa.array(n[:, c], pa.int64()) for c in range(classes)), pa.array(n.sum(1), pa.int64())], names=["part", "s1", "s2", "s3", *(f"n_c{c}" for c in range(classes)), "n"])
+                own, n = pickle.loads(blob.as_py()), pickle.loads(found.as_py()).astype(np.int64)
+                wide = np.zeros((3, len(own)), np.int64)
+                wide[: own.shape[1]] = own.T
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), *map(pa.array, wide), *(pa.array(n[:, c], pa.int64()) for c in range(classes)), pa.array(n.sum(1), pa.int64())], names=["part", "s1", "s2", "s3", *(f"n_c{c}" for c in range(classes)), "n"])
 
     schema = "part int, s1 long, s2 long, s3 long, " + ", ".join(f"n_c{c} long" for c in range(classes)) + ", n long"
     return pieces.join(counts, ["part", "piece"]).select("part", "blob", "counts").mapInArrow(rows, schema)

@@ -171,6 +171,8 @@ run(part, step, doc_idx, rules, repeated) USING KEY (part, step) AS (
 _SPARSE_RUN = _sparse() + _run("sparse_part", "sparse_sums")
 _REDUCED = _SPARSE_RUN + ", reduced AS (SELECT * FROM sparse_docs SEMI JOIN (SELECT doc_idx FROM run WHERE NOT repeated) USING (doc_idx))\n"
 
+_ORDER_SETS = f""", order_tx AS (SELECT 0 AS part, doc_idx, label, unnest(items) AS item FROM orders_docs), order_sets AS ({_sets("order_tx")})"""
+
 _NUMBER = "CASE WHEN {0} IS NULL THEN 'nan' ELSE printf('%.6f', {0}) END"
 
 _QUERIES = {
@@ -240,6 +242,17 @@ UNION ALL SELECT 'reduced', -1, count(DISTINCT doc_idx) FROM run WHERE NOT repea
     "reduced_documents": _REDUCED + "SELECT doc_idx, label FROM reduced",
     "reduced_set_lines": _REDUCED + "SELECT doc_idx, (doc_idx + 1) || ' CLASS=' || label || ' ' || array_to_string(list_transform(items, lambda x: x || ' '), '') AS line FROM reduced ORDER BY doc_idx",
     "lazy_rules": "SELECT test_idx, label, n_rules, round(sum_conf, 6) AS sum_conf FROM lazy",
+    "rule_cache_batches": _ORDER_SETS
+    + """, known AS (SELECT DISTINCT item FROM order_tx WHERE doc_idx % 5 != 0),
+asks AS (SELECT DISTINCT a, b, c, doc_idx % 10 = 0 AS early FROM order_sets s WHERE doc_idx % 5 = 0 AND a IN (FROM known) AND (b = '' OR b IN (FROM known)) AND (c = '' OR c IN (FROM known))),
+first AS (SELECT DISTINCT a, b, c FROM asks WHERE early), both_ AS (SELECT DISTINCT a, b, c FROM asks)
+SELECT 1::BIGINT AS batch, count(*) AS asked, 0::BIGINT AS there, count(*) AS counted, count(*) AS kept FROM first
+UNION ALL SELECT 2, (SELECT count(*) FROM both_), (SELECT count(*) FROM first), (SELECT count(*) FROM both_) - (SELECT count(*) FROM first), (SELECT count(*) FROM both_)""",
+    "cached_lazy_rules": _ORDER_SETS
+    + f""", s AS (SELECT size, a, b, c, count(*) AS n, count(*) FILTER (label = 0) AS n_c0, count(*) FILTER (label = 1) AS n_c1 FROM order_sets WHERE doc_idx % 5 != 0 GROUP BY ALL),
+f AS (SELECT o.doc_idx // 5 AS test_idx, l.label, n, CASE l.label WHEN 0 THEN n_c0 ELSE n_c1 END AS n_c FROM order_sets o JOIN s USING (size, a, b, c) CROSS JOIN (SELECT unnest([0, 1]) AS label) l WHERE o.doc_idx % 5 = 0)
+SELECT g.doc_idx // 5 AS test_idx, l.label, count(f.n) AS n_rules, round(coalesce(sum(f.n_c / f.n), 0.0), 6) AS sum_conf
+FROM orders_docs g CROSS JOIN (SELECT unnest([0, 1]) AS label) l LEFT JOIN f ON f.test_idx = g.doc_idx // 5 AND f.label = l.label AND (f.n_c / f.n)::FLOAT >= {MIN_CONF}::FLOAT WHERE g.doc_idx % 5 = 0 GROUP BY ALL""",
     "class_scores": "SELECT test_idx, label, round(score, 6) AS score FROM scores",
     "ordered_labels": """, o AS (SELECT test_idx, label, row_number() OVER (PARTITION BY test_idx ORDER BY score DESC NULLS LAST, label) - 1 AS rank, score FROM scores)
 SELECT test_idx, rank, CASE WHEN score IS NULL THEN rank ELSE label END AS label FROM o""",

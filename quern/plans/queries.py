@@ -14,6 +14,7 @@ from ..operators import bitmaps as B
 from ..operators import items as I
 from ..operators import rules as R
 from ..operators import scoring as S
+from ..operators.cache import RuleCache
 from ..sources import transactions as T
 from ..sources.storage import saved, shared_dir
 from .sampling import diagnostics, partition_summary, reduced_set, selective_sampling
@@ -414,6 +415,28 @@ def _lazy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return test, rules, S.class_scores(rules)
 
 
+def _cached(spark: SparkSession, sf_dir: str) -> tuple[RuleCache, list[DataFrame]]:
+    """The orders as two batches of test documents, every tenth and then every fifth, asking one cache; its answers."""
+    docs = saved(T.order_rows(spark, sf_dir))
+    train = docs.where(F.col("doc_idx") % 5 != 0)
+    cache = RuleCache(spark, f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}", train, "v1", SIZES)
+    test = lambda step: docs.where(F.col("doc_idx") % step == 0).select(F.floor(F.col("doc_idx") / 5).alias("test_idx"), "items")
+    return cache, [saved(cache.rules(test(step))) for step in (10, 5)]
+
+
+@query
+def rule_cache_batches(spark, sf_dir):
+    """What each of two batches asked the cache for: the second one counts only what the first one did not."""
+    cache = _cached(spark, sf_dir)[0]
+    return spark.createDataFrame(cache.batches, "batch long, asked long, there long, counted long, kept long")
+
+
+@query
+def cached_lazy_rules(spark, sf_dir):
+    """Lazy rules of the orders by way of the cache."""
+    return _cached(spark, sf_dir)[1][1].withColumn("sum_conf", F.round("sum_conf", 6))
+
+
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, rules, scores = _lazy(spark, sf_dir)
     return S.predictions(test, rules, S.ordered_labels(scores))

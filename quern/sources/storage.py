@@ -57,10 +57,14 @@ class Folder:
 
     def last(self, prefix: str) -> int:
         """The greatest number n of the committed records ``<prefix>-<n>``, 0 without any."""
-        if not self._fs.exists(self._path("")):
-            return 0
-        names = (x.getPath().getName() for x in self._fs.listStatus(self._path("")))
-        return max((int(x[len(prefix) + 1 : -5]) for x in names if x.startswith(f"{prefix}-") and x.endswith(".json")), default=0)
+        return max((int(x[len(prefix) + 1 : -5]) for x in self.names() if x.startswith(f"{prefix}-") and x.endswith(".json")), default=0)
+
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+
+    def exists(self, name: str) -> bool:
+        """Whether a table was written to its end."""
+        return self._fs.exists(self._path(f"{name}/_SUCCESS"))
 
     def read(self, name: str) -> dict | None:
         """The committed record, if there is one."""

@@ -14,6 +14,7 @@ from quern.operators import bitmaps as B
 from quern.operators import items as I
 from quern.operators import rules as R
 from quern.operators import scoring as S
+from quern.operators.cache import RuleCache
 from quern.plans import sampling
 from quern.plans.sampling import partition_summary, reduced_set, selective_sampling
 from quern.sources import transactions as T
@@ -201,6 +202,30 @@ def test_lazy_rules(spark, monkeypatch, cells):
             assert (r["n_rules"], round(r["sum_conf"], 6)) == (len(conf), round(sum(conf), 6))
 
 
+def test_rule_cache(spark, tmp_path, monkeypatch):
+    """Every batch counts only what is missing and answers as without a cache; the oldest go; another version starts anew."""
+    rows = _random_rows(3, 80, parts=1)
+    docs = spark.createDataFrame([r[1:] for r in rows], "doc_idx long, label int, items array<string>").cache()
+    train = docs.where("doc_idx >= 30")
+    test = lambda lo, hi: docs.where(f"doc_idx between {lo} and {hi}").select(F.col("doc_idx").alias("test_idx"), "items")
+    known = {x for r in rows[30:] for x in r[3]}
+    asked = lambda lo, hi: {x for r in rows[lo : hi + 1] for k in (1, 2, 3) for x in combinations([i for i in r[3] if i in known], k)}
+    counted = []
+    real = B.counted_sets
+    monkeypatch.setattr(B, "counted_sets", lambda sets, *a: (counted.append(sets.count()), real(sets, *a))[1])
+    want = lambda lo, hi: sorted((r[0], r[1], r[2], round(r[3], 6)) for r in S.lazy_rules(train, test(lo, hi), range(1, 4)).collect())
+    got = lambda c, lo, hi: sorted((r[0], r[1], r[2], round(r[3], 6)) for r in c.rules(test(lo, hi)).collect())
+    cache = RuleCache(spark, str(tmp_path), train, "a", range(1, 4))
+    assert got(cache, 0, 9) == want(0, 9) and got(cache, 5, 19) == want(5, 19) and got(cache, 5, 19) == want(5, 19)
+    assert counted == [len(asked(0, 9)), len(asked(5, 19) - asked(0, 9))]
+    again = RuleCache(spark, str(tmp_path), train, "a", range(1, 4), most=len(asked(20, 29)))  # reads what is stored
+    assert got(again, 20, 29) == want(20, 29) and counted[2] == len(asked(20, 29) - asked(0, 19)) and again.batches[-1]["kept"] == len(asked(20, 29))
+    assert got(again, 20, 29) == want(20, 29) and len(counted) == 3  # the latest were kept
+    assert got(again, 0, 9) == want(0, 9) and counted[3] == len(asked(0, 9) - asked(20, 29))
+    other = RuleCache(spark, str(tmp_path), train, "b", range(1, 4))
+    assert other.number == 0 and got(other, 0, 9) == want(0, 9) and {x.name for x in tmp_path.iterdir()} == {"b"}
+
+
 def test_thresholds(spark):
     rows = spark.createDataFrame([(1, 1000), (1, 1001), (0, 0), (0, 5)], "c long, n long")
     assert [r[0] for r in rows.select(R.reaches(F.col("c"), F.col("n"), 0.001)).collect()] == [True, False, False, False]
