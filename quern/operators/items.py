@@ -15,6 +15,17 @@ def item_dictionary(long: DataFrame, classes: int = 2) -> DataFrame:
     return row_numbers(first.select("item", "first.*"), "n", ["doc_idx", "pos"]).select("item", (F.col("n") + classes).alias("item_id"))
 
 
+def extended(dictionary: DataFrame, long: DataFrame) -> DataFrame:
+    """``dictionary`` (item, item_id, ...) and, behind its ids, the items of ``long`` that it lacks, by first appearance.
+
+    Ids that were given never change, so a dictionary can be extended batch by batch; other columns are null for new items.
+    """
+    new = long.join(dictionary.select("item"), "item", "left_anti").groupBy("item").agg(F.min(F.struct("doc_idx", "pos")).alias("first"))
+    top = dictionary.agg(F.coalesce(F.max("item_id") + 1, F.lit(0)).alias("top"))
+    more = row_numbers(new.select("item", "first.*"), "n", ["doc_idx", "pos"]).join(F.broadcast(top))
+    return dictionary.unionByName(more.select("item", (F.col("n") + F.col("top")).cast("long").alias("item_id")), allowMissingColumns=True)
+
+
 def encode(long: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``long`` with item_id in place of the item; items that the dictionary lacks go."""
     return long.join(dictionary, "item").select("doc_idx", "label", "pos", "item_id")

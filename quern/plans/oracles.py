@@ -185,6 +185,10 @@ SELECT doc_idx, doc_idx + 1 AS qid, generate_subscripts(t, 1) - 1 AS pos, unnest
     "dedup_items": "SELECT doc_idx, n_items + 1 AS n_before, n_items AS n_after FROM wide",
     "item_dictionary": "SELECT item, row_number() OVER (ORDER BY f) + 1 AS item_id FROM (SELECT item, min((doc_idx, pos)) AS f FROM tx GROUP BY item)",
     "encode_decode": "SELECT doc_idx, label, pos, item FROM tx",
+    "extended_dictionary": """, o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS doc_idx, ['cust=' || o_custkey, 'day=' || strftime(o_orderdate, '%Y-%m-%d')] AS items FROM orders),
+t AS (SELECT doc_idx, CASE WHEN doc_idx % 5 != 0 THEN 0 WHEN doc_idx % 10 = 0 THEN 1 ELSE 2 END AS turn, generate_subscripts(items, 1) AS pos, unnest(items) AS item FROM o),
+f AS (SELECT item, min((turn, doc_idx, pos)) AS first, count(*) FILTER (turn = 0) AS n FROM t GROUP BY item)
+SELECT item, row_number() OVER (ORDER BY first) + 1 AS item_id, n FROM f""",
     "inverted_lists": "SELECT item, doc_idx // 65536 AS block, count(*) AS n, min(doc_idx) + 1 AS first_doc, max(doc_idx) + 1 AS last_doc, string_agg((doc_idx + 1)::VARCHAR, ',' ORDER BY doc_idx) AS doc_list FROM tx GROUP BY ALL",
     "class_counts": "SELECT label, count(*) AS n FROM docs GROUP BY label",
     "class_counts_orders": "SELECT label, count(*) AS n FROM orders_docs GROUP BY label",
@@ -238,7 +242,10 @@ UNION ALL SELECT 'items', e.part, count(p.item) FROM (SELECT DISTINCT part FROM
 UNION ALL SELECT 'rounds', part, max(step)::BIGINT FROM run GROUP BY part
 UNION ALL SELECT 'taken', part, count(DISTINCT doc_idx) FROM run WHERE NOT repeated GROUP BY part
 UNION ALL SELECT 'documents', -1, count(*) FROM sparse_docs
-UNION ALL SELECT 'reduced', -1, count(DISTINCT doc_idx) FROM run WHERE NOT repeated""",
+UNION ALL SELECT 'reduced', -1, count(DISTINCT doc_idx) FROM run WHERE NOT repeated
+UNION ALL SELECT 'rows_read', -1, count(*) FROM sparse_every
+UNION ALL SELECT 'items_read', -1, count(*) FROM sparse_part
+UNION ALL SELECT 'rounds', -1, max(step)::BIGINT FROM run""",
     "reduced_documents": _REDUCED + "SELECT doc_idx, label FROM reduced",
     "reduced_set_lines": _REDUCED + "SELECT doc_idx, (doc_idx + 1) || ' CLASS=' || label || ' ' || array_to_string(list_transform(items, lambda x: x || ' '), '') AS line FROM reduced ORDER BY doc_idx",
     "lazy_rules": "SELECT test_idx, label, n_rules, round(sum_conf, 6) AS sum_conf FROM lazy",
@@ -265,6 +272,7 @@ FROM predicted p JOIN ranking r USING (test_idx) JOIN entropy e USING (test_idx)
     "eval_per_class": "SELECT label, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM per_class",
     "eval_summary": "SELECT round(sum(correct) / sum(truth), 6) AS acc, round(avg(f1), 6) AS macro_f1 FROM per_class",
     "eval_running": _running(),
+    "eval_running_stream": _running(),
 }
 
 ORACLES = {name: _BASE.rstrip() + (text if text.startswith(",") else "\n" + text) for name, text in _QUERIES.items()} | {

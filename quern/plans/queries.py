@@ -17,7 +17,8 @@ from ..operators import scoring as S
 from ..operators.cache import RuleCache
 from ..sources import transactions as T
 from ..sources.storage import saved, shared_dir
-from .sampling import diagnostics, partition_summary, reduced_set, selective_sampling
+from ..streaming.evaluation import running_metrics
+from .sampling import diagnostics, measured, partition_summary, reduced_set, selective_sampling
 
 PARTITIONS, SPARSE_PARTITIONS = 5, 2
 MIN_CONF, MIN_SUP, MAX_SIZE = 0.001, 1, 4
@@ -88,8 +89,8 @@ class _Sparse:
         self.docs = I.part_documents(self.parted, self.every)
         self.sums = I.doc_df_sum(self.parted, I.item_df(long), self.every)
 
-    def sampled(self) -> DataFrame:
-        return selective_sampling(self.docs, self.sums, MIN_CONF, MIN_SUP, MAX_SIZE)
+    def sampled(self, log: str | None = None) -> DataFrame:
+        return selective_sampling(self.docs, self.sums, MIN_CONF, MIN_SUP, MAX_SIZE, log=log)
 
 
 @query
@@ -137,6 +138,17 @@ def encode_decode(spark, sf_dir):
     return I.decode(I.encode(long, ids), ids)
 
 
+@query
+def extended_dictionary(spark, sf_dir):
+    """Customers and days of the orders: those of the training lines, then new ones of two batches of test lines, with count 0."""
+    long = saved(T.order_days(spark, sf_dir))
+    train = long.where(F.col("doc_idx") % 5 != 0)
+    found = I.item_dictionary(train).join(I.item_df(train), "item")
+    for rest in (0, 5):
+        found = saved(I.extended(found, long.where(F.col("doc_idx") % 10 == rest)))
+    return found.select("item", "item_id", F.coalesce("df", F.lit(0).cast("long")).alias("n"))
+
+
 @query
 def inverted_lists(spark, sf_dir):
     return I.inverted_lists(T.tx_embeddings(spark, sf_dir))
@@ -381,8 +393,11 @@ def partition_summaries(spark, sf_dir):
 
 @query
 def run_diagnostics(spark, sf_dir):
-    found = _Sparse(spark, sf_dir)
-    return diagnostics(found.docs, saved(found.sampled()))
+    """Figures of a run over its documents, and those that were measured while it ran."""
+    found, log = _Sparse(spark, sf_dir), f"{shared_dir(spark)}/sampling-{uuid.uuid4().hex}"
+    own = diagnostics(found.docs, saved(found.sampled(log)))
+    run = measured(spark, log).where("metric != 'seconds'").select("metric", F.lit(-1).alias("part"), F.col("value").cast("long").alias("value"))
+    return own.unionByName(run)
 
 
 def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,6 +516,20 @@ def eval_running(spark, sf_dir):
     return found.select("seq", *(F.round(c, 6).alias(c) for c in ("acc", "macro_f1")))
 
 
+@query
+def eval_running_stream(spark, sf_dir):
+    """``eval_running`` as a stream: predictions come in three micro-batches, one after the other, and every one is answered."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = saved(_predicted(spark, sf_dir).select(F.lit(0).alias("evaluator"), "test_idx", "label", "prediction"))
+    last = found.agg(F.max("test_idx")).first()[0] or 0
+    for k in range(3):
+        found.where((F.col("test_idx") * 3 >= k * (last + 1)) & (F.col("test_idx") * 3 < (k + 1) * (last + 1))).coalesce(1).write.parquet(f"{path}/in/{k}")
+        stream = spark.readStream.schema(found.schema).parquet(f"{path}/in/*")
+        run = running_metrics(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()  # the stream is stopped and started again for every batch, and goes on with its counts
+    return spark.read.schema("seq long, acc double, macro_f1 double").parquet(f"{path}/out").select("seq", F.round("acc", 6).alias("acc"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
 @query
 def combinations_k(spark, sf_dir):
     return combinations(spark, 20, 3)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitmaps as B
@@ -106,9 +106,12 @@ class _Run:
     def _counts_schema(self) -> str:
         return "part int, s1 long, s2 long, s3 long, " + ", ".join(f"n_c{c} long" for c in range(self.classes))
 
-    def begin(self, docs: DataFrame) -> None:
-        docs.write.mode("overwrite").parquet(self.folder.path("docs-0"))
+    def begin(self, docs: DataFrame) -> dict:
+        """Write the first version; what was read, as Spark observed it while it wrote."""
+        seen = Observation()
+        docs.observe(seen, F.count("*").alias("rows_read"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("items_read")).write.mode("overwrite").parquet(self.folder.path("docs-0"))
         self.spark.createDataFrame([], self._counts_schema()).write.mode("overwrite").parquet(self.folder.path("counts-0"))
+        return seen.get
 
     def save(self, step: int) -> None:
         """Write the tables as they are after ``step`` rounds; the version counts once it is committed."""
@@ -203,11 +206,11 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
         own = docs.select("part", "doc_idx", "label", "items")
         ids = B.with_ids(own, B.item_ids(own), ["part", "doc_idx"])
         rows = own.drop("items").join(ids, ["part", "doc_idx"], "left").join(sums.select("part", "doc_idx", "df_sum"), ["part", "doc_idx"])
-        run.begin(rows.select(F.col("part").cast("int").alias("part"), F.col("doc_idx").cast("long").alias("doc_idx"), F.col("label").cast("int").alias("label"), F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.col("df_sum").cast("long").alias("df_sum"), F.lit(0).cast("long").alias("rules")))
+        seen = run.begin(rows.select(F.col("part").cast("int").alias("part"), F.col("doc_idx").cast("long").alias("doc_idx"), F.col("label").cast("int").alias("label"), F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.col("df_sum").cast("long").alias("df_sum"), F.lit(0).cast("long").alias("rules")))
         row = F.struct("doc_idx", "label", "ids")
         run.open(0)
         seeds = {r["part"]: r["x"] for r in run.docs.groupBy("part").agg(F.max_by(row, F.struct("df_sum", "doc_idx")).alias("x")).collect()}
-        folder.commit("begun", {"seeds": [[part, x["doc_idx"], x["label"], x["ids"]] for part, x in sorted(seeds.items())]})
+        folder.commit("begun", {"seen": seen, "seeds": [[part, x["doc_idx"], x["label"], x["ids"]] for part, x in sorted(seeds.items())]})
         done = folder.read("begun")
     picks = {part: (doc, label, ids) for part, doc, label, ids in done["seeds"]}
     out = [(part, 0, doc, 0, False) for part, (doc, _, _) in picks.items()]
@@ -220,8 +223,9 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
             run.add(picks)
         found = folder.read(f"round-{step}")
         if found is None:
+            start = time.monotonic()
             best = run.best(sorted(picks))
-            folder.commit(f"round-{step}", {"picks": [[part, *x] for part, x in sorted(best.items())]})
+            folder.commit(f"round-{step}", {"seconds": time.monotonic() - start, "picks": [[part, *x] for part, x in sorted(best.items())]})
             found = folder.read(f"round-{step}")
         picks = {}
         for part, doc, label, ids, rules in found["picks"]:
@@ -254,6 +258,15 @@ def diagnostics(docs: DataFrame, picks: DataFrame) -> DataFrame:
     return out.unionByName(metric("taken", taken, F.count_distinct("doc_idx"))).unionByName(every("documents", docs)).unionByName(every("reduced", taken))
 
 
+def measured(spark: SparkSession, log: str) -> DataFrame:
+    """metric, value of the run with this log: rows and items that it read, rounds, and the seconds that they took."""
+    folder = Folder(spark, log)
+    rounds = folder.last("round")
+    seconds = sum(folder.read(f"round-{k}")["seconds"] for k in range(1, rounds + 1))
+    seen = folder.read("begun")["seen"]
+    return spark.createDataFrame([*((k, float(v)) for k, v in sorted(seen.items())), ("rounds", float(rounds)), ("seconds", seconds)], "metric string, value double")
+
+
 def reduced_set(picks: DataFrame) -> DataFrame:
     """doc_idx: the documents taken in any partition, each once."""
     return picks.where(~F.col("repeated")).select("doc_idx").distinct()

@@ -133,3 +133,10 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long form of ``order_rows``."""
     return doc_items(order_rows(spark, sf_dir))
+
+
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form over ``orders`` by customer and day: items of which many are rare; label is status F."""
+    rows = row_numbers(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), "doc_idx", ["o_orderkey"])
+    found = F.array(F.concat(F.lit("cust="), F.col("o_custkey").cast("string")), F.concat(F.lit("day="), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return doc_items(rows.select("doc_idx", (F.col("o_orderstatus") == "F").cast("int").alias("label"), found.alias("items")))

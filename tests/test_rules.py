@@ -20,7 +20,7 @@ from quern.plans.sampling import partition_summary, reduced_set, selective_sampl
 from quern.sources import transactions as T
 from quern.sources.storage import Folder
 from quern.streaming.evaluation import eval_counts as stream_eval
-from quern.streaming.evaluation import streaming_counts
+from quern.streaming.evaluation import running_metrics, streaming_counts
 
 G1 = ["1 CLASS=0 a1 b1", "2 CLASS=1 a1 b2", "3 CLASS=0 a2 b1", "4 CLASS=1 a1 b1"]
 
@@ -264,6 +264,31 @@ def test_streaming_counts(spark, tmp_path):
     assert sorted(tuple(r) for r in stream_eval(spark.table("pairs")).collect()) == [(0, 2, 1, 1), (1, 1, 1, 2)]
 
 
+def test_running_metrics_go_on_after_a_restart(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(e, k, rng.choice([-1, 0, 1]), rng.randint(0, 1)) for e in (4, 9) for k in range(40)]
+    schema = "evaluator int, test_idx long, label int, prediction int"
+    for lo in (0, 1, 25):  # the first holds one document, whose other class is never defined
+        hi = {0: 1, 1: 25, 25: 40}[lo]
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).repartition(3).write.parquet(str(tmp_path / f"in/{lo}"))
+        run = running_metrics(spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    for e in (4, 9):
+        own = spark.createDataFrame([r[1:] for r in rows if r[0] == e], "test_idx long, label int, prediction int")
+        want = {r["seq"]: (round(r["acc"], 9), r["macro_f1"] and round(r["macro_f1"], 9)) for r in S.eval_running(own).collect()}
+        assert {r["seq"]: (round(r["acc"], 9), r["macro_f1"] and round(r["macro_f1"], 9)) for r in got.where(F.col("evaluator") == e).collect()} == want
+
+
+def test_dictionary_grows_without_changing_ids(spark):
+    long = lambda rows: spark.createDataFrame(rows, "doc_idx long, label int, pos int, item string")
+    first = I.item_dictionary(long([(0, 0, 1, "b"), (0, 0, 2, "a"), (1, 0, 1, "a")]))
+    second = I.extended(first, long([(3, 0, 2, "z"), (3, 0, 1, "a"), (2, 0, 1, "c"), (9, 0, 1, "c")]))
+    third = I.extended(second, long([(0, 0, 1, "z"), (0, 0, 2, "d")]))
+    assert {r["item"]: r["item_id"] for r in third.collect()} == {"b": 2, "a": 3, "c": 4, "z": 5, "d": 6}
+    assert sorted(map(tuple, I.extended(second, long([])).collect())) == sorted(map(tuple, second.collect()))
+
+
 def test_numbers(spark):
     assert [tuple(r)[1:] for r in C.combinations(spark, 4, 2).orderBy("r").collect()] == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
     assert [r["r"] for r in C.combinations(spark, 7, 3).orderBy("i", "j", "k").collect()] == list(range(35))
