@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch while a step is saved. Rows with blobs are large, and both sides hold whole batches.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch while a step is saved. Rows with blobs are large, and both sides hold whole batches.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextmanager
@@ -46,7 +46,7 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 def saved(df: DataFrame, **more: str) -> DataFrame:
     """``storage.saved`` with small Arrow batches; the settings ``more`` of the session hold while the step runs."""
-    with settings(df.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)} | more):
+    with settings(df.sparkSession, **BATCHES | more):
         return storage.saved(df)
 
 
