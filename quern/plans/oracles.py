@@ -197,6 +197,7 @@ SELECT item, row_number() OVER (ORDER BY first) + 1 AS item_id, n FROM f""",
     "scan_test": "SELECT doc_idx // 5 AS test_idx, label, string_agg(item, ' ' ORDER BY item) AS items_text FROM tx WHERE doc_idx % 5 = 0 GROUP BY ALL",
     "scan_test_stop": f"SELECT doc_idx // 5 AS test_idx, label, string_agg(item, ' ' ORDER BY item) AS items_text FROM tx WHERE doc_idx % 5 = 0 AND doc_idx < {STOP} GROUP BY ALL",
     "text_round_trip": "SELECT doc_idx, doc_idx + 1 AS qid, label, n_items, items_text FROM wide",
+    "text_ranges_round_trip": "SELECT doc_idx, doc_idx + 1 AS qid, label, n_items, items_text FROM wide",
     "line_count": "SELECT count(*) AS n FROM docs",
     "validate_bounds": """SELECT 'lines' AS "check", count(*) <= 1200 AS ok FROM docs UNION ALL SELECT 'features', max(n_items) <= 65 FROM wide UNION ALL SELECT 'items', count(*) <= 651 FROM df""",
     "feature_order": "SELECT rank, pos FROM forder",

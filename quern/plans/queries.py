@@ -16,6 +16,7 @@ from ..operators import rules as R
 from ..operators import scoring as S
 from ..operators.cache import RuleCache
 from ..sources import transactions as T
+from ..sources.lines import read_ranges, write_ordered
 from ..sources.storage import saved, shared_dir
 from ..streaming.evaluation import running_metrics
 from .sampling import diagnostics, measured, partition_summary, reduced_set, selective_sampling
@@ -200,6 +201,14 @@ def text_round_trip(spark, sf_dir):
     return T.read_training(spark, path).select("doc_idx", "qid", "label", F.size("items").alias("n_items"), F.array_join("items", " ").alias("items_text"))
 
 
+@query
+def text_ranges_round_trip(spark, sf_dir):
+    """Lines written by the committing sink and read back in byte ranges that cut lines."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    write_ordered(_lines(spark, sf_dir), path, "line_no")
+    return T.parse_training(read_ranges(spark, path, 10_000)).select("doc_idx", "qid", "label", F.size("items").alias("n_items"), F.array_join("items", " ").alias("items_text"))
+
+
 @query
 def line_count(spark, sf_dir):
     return _lines(spark, sf_dir).agg(F.count("*").alias("n"))

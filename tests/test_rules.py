@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from quern.operators import scoring as S
 from quern.operators.cache import RuleCache
 from quern.plans import sampling
 from quern.plans.sampling import partition_summary, reduced_set, selective_sampling
+from quern.sources import lines
 from quern.sources import transactions as T
 from quern.sources.storage import Folder
 from quern.streaming.evaluation import eval_counts as stream_eval
@@ -314,6 +316,57 @@ def test_lines_and_documents_of_any_length(spark):
     assert [tuple(r) for r in I.item_dictionary(long).orderBy("item_id").collect()] == [("first", 2), ("late", 3), ("next", 4), ("far", 5)]
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_byte_ranges_cut_lines_anywhere(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(lines, "CHUNK", 5)
+    (tmp_path / "in").mkdir()
+    texts = ["ab\n\ncdé\n", "", "x" * 40 + "\ny", "\n", "last\n日本\n"] if size > 1 else ["ab\n\ncdé\n", "", "xy\nz", "\n"]
+    for k, text in enumerate(texts):
+        (tmp_path / "in" / f"{k}.txt").write_text(text)
+    (tmp_path / "in" / "_not").write_text("no\n")
+    want = [line for text in texts for line in (text.removesuffix("\n").split("\n") if text else [])]
+    reader = lines._Reader({"path": str(tmp_path / "in"), "rangebytes": size})
+    assert [line.decode() for x in reader.partitions() for line in reader._lines(x)] == want
+    if size > 1:
+        assert [r["line"] for r in lines.read_ranges(spark, str(tmp_path / "in"), size).orderBy("line_no").collect()] == want
+
+
+def test_sink_commits_each_line_once(spark, tmp_path):
+    """A task that fails after it has written leaves nothing; a run that fails leaves no file that readers see."""
+    sink, out = lines.LineSink(str(tmp_path / "out")), tmp_path / "out"
+
+    class Context:
+        def __init__(self, number):
+            self.number = number
+
+        def partitionId(self):
+            return self.number
+
+    batch = lambda *x: iter([pa.RecordBatch.from_pydict({"line": list(x)})])
+
+    def broken():
+        yield from batch("half")
+        raise OSError("lost")
+
+    with pytest.MonkeyPatch.context() as m:
+        done = []
+        for number, rows in ((2, batch("c")), (0, batch("a", None)), (1, broken()), (1, batch("b")), (3, batch())):
+            m.setattr(lines.TaskContext, "get", lambda number=number: Context(number))
+            try:
+                done.append(sink.write(rows))
+            except OSError:
+                pass
+    sink.commit([*done, None])
+    assert [x.read_text() for x in sorted(out.glob("part-*"))] == ["a\n\n", "b\n", "c\n"] and {x.name for x in out.iterdir()} == {"part-000000.txt", "part-000001.txt", "part-000002.txt", "_MANIFEST.json"}
+    rows = spark.range(1000).select("id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    lines.write_ordered(rows.repartition(5), str(out), "id")
+    assert [r["line"] for r in lines.read_ranges(spark, str(out), 100).orderBy("line_no").collect()] == [f"line {k}" for k in range(1000)]
+    before = {x.name for x in out.iterdir()}
+    with pytest.raises(Exception, match="no such row"):
+        lines.write_ordered(rows.withColumn("line", F.when(F.col("id") == 700, F.raise_error(F.lit("no such row"))).otherwise(F.col("line"))), str(out), "id")
+    assert {x.name for x in out.iterdir()} - {"_MANIFEST.json"} == before - {"_MANIFEST.json"}
+
+
 def test_readers(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text("5 CLASS=1  b\ta a\n\nx7 CLASS=0 c\n6 CLASS=0 d\n")
