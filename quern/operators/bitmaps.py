@@ -110,6 +110,21 @@ def subset_rows(docs: DataFrame, sizes: range, piece: int = PIECE) -> DataFrame:
     return dealt.repartition("part", "doc_idx", "size", "first").mapInArrow(run, "part int, doc_idx long, s1 long, s2 long, s3 long")
 
 
+def ranked_subsets(docs: DataFrame, sizes: range, piece: int = PIECE) -> DataFrame:
+    """part, doc_idx, size, rank, members: every subset of the ids of each document (part, doc_idx, ids), of any sizes, with its
+    lexicographic rank among those of its size. Subsets are dealt out by ranges of ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, doc, ids, size, first, last in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_idx", "ids", "size", "first", "last"))):
+                own, n = np.array(ids, np.int64)[_places(len(ids), size, first, last)], last - first + 1
+                members = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, doc)), pa.array(np.full(n, size, np.int32)), pa.array(np.arange(first, last + 1)), members], names=["part", "doc_idx", "size", "rank", "members"])
+
+    dealt = rank_pieces(docs.select(F.col("part").cast("int").alias("part"), F.col("doc_idx").cast("long").alias("doc_idx"), "ids"), sizes, piece)
+    return dealt.repartition("part", "doc_idx", "size", "first").mapInArrow(run, "part int, doc_idx long, size int, rank long, members array<long>")
+
+
 def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the numbers of all ranges one after the other, where each range begins there)."""
     n = end - start

@@ -171,6 +171,12 @@ run(part, step, doc_idx, rules, repeated) USING KEY (part, step) AS (
 _SPARSE_RUN = _sparse() + _run("sparse_part", "sparse_sums")
 _REDUCED = _SPARSE_RUN + ", reduced AS (SELECT * FROM sparse_docs SEMI JOIN (SELECT doc_idx FROM run WHERE NOT repeated) USING (doc_idx))\n"
 
+_CHI = """, own AS (SELECT pos, item, count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM tx GROUP BY ALL),
+total AS (SELECT pos, count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM tx GROUP BY pos),
+terms AS (SELECT o.pos, o.n * t.n0 / t.n AS e0, o.n * t.n1 / t.n AS e1, o.n0, o.n1 FROM own o JOIN total t USING (pos)),
+chi AS (SELECT pos, round(sum(CASE WHEN e0 > 0 THEN (n0 - e0) * (n0 - e0) / e0 ELSE 0 END + CASE WHEN e1 > 0 THEN (n1 - e1) * (n1 - e1) / e1 ELSE 0 END), 9) AS chi2 FROM terms GROUP BY pos),
+chi_order AS (SELECT row_number() OVER (ORDER BY chi2 DESC, pos) - 1 AS rank, pos::INT AS pos, chi2 FROM chi)
+"""
 _ORDER_SETS = f""", order_tx AS (SELECT 0 AS part, doc_idx, label, unnest(items) AS item FROM orders_docs), order_sets AS ({_sets("order_tx")})"""
 
 _NUMBER = "CASE WHEN {0} IS NULL THEN 'nan' ELSE printf('%.6f', {0}) END"
@@ -201,6 +207,15 @@ SELECT item, row_number() OVER (ORDER BY first) + 1 AS item_id, n FROM f""",
     "line_count": "SELECT count(*) AS n FROM docs",
     "validate_bounds": """SELECT 'lines' AS "check", count(*) <= 1200 AS ok FROM docs UNION ALL SELECT 'features', max(n_items) <= 65 FROM wide UNION ALL SELECT 'items', count(*) <= 651 FROM df""",
     "feature_order": "SELECT rank, pos FROM forder",
+    "feature_order_file": _CHI + "SELECT rank, pos FROM chi_order",
+    "chi_square_order": _CHI + "SELECT rank, pos, round(chi2, 6) AS chi2 FROM chi_order",
+    "ranked_subsets": """, o AS (SELECT doc_idx, unnest(items) AS item FROM orders_docs), num AS (SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT item FROM o)),
+m AS (SELECT doc_idx, id FROM o JOIN num USING (item)),
+two AS (SELECT a.doc_idx, a.id AS a, b.id AS b FROM m a JOIN m b ON b.doc_idx = a.doc_idx AND b.id > a.id),
+three AS (SELECT t.*, c.id AS c FROM two t JOIN m c ON c.doc_idx = t.doc_idx AND c.id > t.b),
+four AS (SELECT t.*, d.id AS d FROM three t JOIN m d ON d.doc_idx = t.doc_idx AND d.id > t.c),
+s AS (SELECT doc_idx, 1 AS size, [id] AS m FROM m UNION ALL SELECT doc_idx, 2, [a, b] FROM two UNION ALL SELECT doc_idx, 3, [a, b, c] FROM three UNION ALL SELECT doc_idx, 4, [a, b, c, d] FROM four)
+SELECT doc_idx, size, row_number() OVER (PARTITION BY doc_idx, size ORDER BY m) - 1 AS rank, array_to_string(m, ',') AS members FROM s""",
     "feature_partitions": "SELECT part, doc_idx, count(*) AS n_items, string_agg(item, ' ' ORDER BY item) AS items_text FROM parted GROUP BY ALL",
     "item_df": "SELECT item, df FROM df",
     "item_df_orders": "SELECT item, count(*) AS df FROM orders_tx GROUP BY item",

@@ -229,6 +229,28 @@ def feature_order(spark, sf_dir):
     return I.feature_order(spark)
 
 
+@query
+def feature_order_file(spark, sf_dir):
+    """Positions by chi-square, written to an order file and read back."""
+    path = f"{shared_dir(spark)}/order-{uuid.uuid4().hex}"
+    T.write_feature_order(I.chi_square_order(T.tx_embeddings(spark, sf_dir)), path)
+    return T.read_feature_order(spark, path)
+
+
+@query
+def chi_square_order(spark, sf_dir):
+    return I.chi_square_order(T.tx_embeddings(spark, sf_dir)).select("rank", "pos", F.round("chi2", 6).alias("chi2"))
+
+
+@query
+def ranked_subsets(spark, sf_dir):
+    """The subsets of one to four items of every order by rank, at most three in a piece."""
+    docs = T.order_rows(spark, sf_dir).select(F.lit(0).alias("part"), "doc_idx", "label", "items")
+    ids = B.item_ids(docs)
+    found = B.ranked_subsets(B.with_ids(docs, ids, ["part", "doc_idx"]), range(1, 5), 3)
+    return found.select("doc_idx", "size", "rank", F.array_join("members", ",").alias("members"))
+
+
 @query
 def feature_partitions(spark, sf_dir):
     docs = I.part_documents(_parted(spark, sf_dir))

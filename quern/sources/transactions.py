@@ -58,6 +58,12 @@ def read_feature_order(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda t: t != "")).alias("rank", "pos")).select("rank", F.col("pos").cast("int").alias("pos"))
 
 
+def write_feature_order(order: DataFrame, path: str) -> None:
+    """Write the positions (rank, pos) as one line, the best first; a row for each feature, so one file."""
+    line = order.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"].cast("string")), " ").alias("value"))
+    line.coalesce(1).write.mode("overwrite").text(path)
+
+
 def to_lines(docs: DataFrame) -> DataFrame:
     """line of each document: row (from 1), class and items, each item followed by a space."""
     return docs.select("doc_idx", F.concat(F.format_string("%d CLASS=%d ", F.col("doc_idx") + 1, F.col("label")), F.array_join(F.transform("items", lambda x: F.concat(x, F.lit(" "))), "")).alias("line"))

@@ -9,7 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["feature_partitions", "rule_counts", "sampling_step_k", "selective_sampling_sparse", "project_on_current_sparse", "text_round_trip", "scan_test_stop", "class_token_counts", "lazy_predictions", "scan_transactions_orders"])
+@pytest.mark.parametrize("name", [
+    "feature_partitions", "rule_counts", "rules_min_sup", "itemset_levels", "itemsets3_support", "sampling_step_k", "selective_sampling_sparse", "run_diagnostics", "project_on_current_sparse", "text_ranges_round_trip",
+    "scan_test_stop", "class_token_counts", "lazy_predictions", "eval_running_stream", "scan_transactions_orders", "scan_transactions_documents", "extended_dictionary", "rule_cache_batches", "ranked_subsets", "feature_order_file",
+])
 def test_query_equals_sql(spark, name):
     import __spark_entry__ as entry
 

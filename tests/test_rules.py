@@ -173,6 +173,12 @@ def test_unranked():
     assert B.unranked(3000, 3, np.array([0, last])).tolist() == [[0, 1, 2], [2997, 2998, 2999]]
 
 
+def test_ranks_of_any_size(spark):
+    docs = spark.createDataFrame([(0, 1, [2, 5, 7, 8, 11, 20]), (1, 2, [3])], "part int, doc_idx long, ids array<long>")
+    got = {(r["doc_idx"], r["size"], r["rank"]): tuple(r["members"]) for r in B.ranked_subsets(docs, range(1, 7), 4).collect()}
+    assert got == {(d, k, n): x for d, ids in ((1, [2, 5, 7, 8, 11, 20]), (2, [3])) for k in range(1, 7) for n, x in enumerate(combinations(ids, k))}
+
+
 def test_long_documents_are_dealt_out(spark):
     docs = spark.createDataFrame([(0, 1, list(range(1, 31))), (0, 2, [3]), (0, 3, [])], "part int, doc_idx long, ids array<long>")
     pieces = B.rank_pieces(docs, range(1, 4), 100)
