@@ -121,6 +121,9 @@ class _Files:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
+            # an earlier attempt of this task may have left the same file, and not every store renames over one
+            if self.fs.get_file_info(f"{self.root}/{self.name}").type != pafs.FileType.NotFound:
+                self.fs.delete_file(f"{self.root}/{self.name}")
             self.fs.move(f"{self.root}/{self.name}.tmp-{self.attempt}", f"{self.root}/{self.name}")
             self.done.append((self.name, self.records, self.size, self.sha.hexdigest()))
             self.out = None
