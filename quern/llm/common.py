@@ -59,7 +59,8 @@ def saved_in_place(df: DataFrame) -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+    """Let Spark delete the shuffle files that nothing refers to any more, and the checkpoints where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 
     Its cleaner acts when the driver collects garbage, which may be hours apart, while executors' disks fill up.
     """
