@@ -11,7 +11,7 @@ for each text and one for each hit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small, table
@@ -88,16 +88,13 @@ def _spots(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, bloc
     return saved(found)
 
 
-def _runs() -> Column:
-    """Merged (first, last) positions of the hit words of a group of spots, in order."""
-    spots = F.array_sort(F.collect_set(F.when(F.col("at") > 0, F.struct("at", (F.col("at") + F.col("n") - 1).alias("to")))))
-    empty = F.array().cast("array<struct<at:int,to:int>>")
-    last = lambda runs: F.element_at(runs, -1)
-    # a run is closed when a spot begins behind it
-    start = F.struct(empty.alias("done"), F.lit(0).alias("at"), F.lit(0).alias("to"))
-    closed = lambda s: F.when(s["at"] > 0, F.concat(s["done"], F.array(F.struct(s["at"].alias("at"), s["to"].alias("to"))))).otherwise(s["done"])
-    step = lambda s, x: F.when((s["at"] > 0) & (x["at"] <= s["to"] + 1), F.struct(s["done"].alias("done"), s["at"].alias("at"), F.greatest(s["to"], x["to"]).alias("to"))).otherwise(F.struct(closed(s).alias("done"), x["at"].alias("at"), x["to"].alias("to")))
-    return F.aggregate(spots, start, step, closed)
+def _runs(hits: DataFrame) -> DataFrame:
+    """doc_id, sha, runs, n_hit from hits (doc_id, sha, at, to): merged (at, to) in order, and how many words they cover."""
+    order = Window.partitionBy("doc_id", "sha").orderBy("at", "to")
+    opens = F.coalesce(F.col("at") > F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    numbered = hits.withColumn("opens", opens.cast("long")).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("doc_id", "sha", "run").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return merged.groupBy("doc_id", "sha").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("runs"), F.sum(F.col("to") - F.col("at") + 1).cast("long").alias("n_hit"))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:
@@ -113,12 +110,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spots = _spots(docs, windows, id_col, text_col, block)
     key = ["doc_id", "sha"]
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.sha").eqNullSafe(F.col(f"{b}.sha"))
-    texts = spots.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), F.count_if(F.col("at") == 0).alias("rows"), _runs().alias("runs"))
-    own = spots.where("at > 0").select(*key, "h", "w").distinct().join(small(items.select("item", F.col("h").alias("q_h"), F.col("w").alias("q_w"))), (F.col("h") == F.col("q_h")) & (F.col("w") == F.col("q_w")))
+    texts = spots.where("at = 0").groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), F.count("*").alias("rows"))
+    hits = spots.where("at > 0")
+    runs = _runs(hits.select(*key, "at", (F.col("at") + F.col("n") - 1).alias("to")).distinct())
+    own = hits.select(*key, "h", "w").distinct().join(small(items.select("item", F.col("h").alias("q_h"), F.col("w").alias("q_w"))), (F.col("h") == F.col("q_h")) & (F.col("w") == F.col("q_w")))
     named = own.select(*key, "item").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    both = texts.alias("t").join(named.alias("i"), same("t", "i"), "left").select("t.*", F.coalesce("i.items", F.array().cast("array<string>")).alias("items"))
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["at"] + 1)
-    out = both.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "runs", F.col("sha").alias("text_sha256"), (F.size("runs") > 0).alias("contaminated"), "rows")
+    both = texts.alias("t").join(runs.alias("r"), same("t", "r"), "left").join(named.alias("i"), same("t", "i"), "left")
+    none = lambda kind: F.array().cast(kind)
+    found = both.select("t.*", F.coalesce("r.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("i.items", none("array<string>")).alias("items"), F.coalesce("r.runs", none("array<struct<at:int,to:int>>")).alias("runs"))
+    out = found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "runs", F.col("sha").alias("text_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "rows")
     return out.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows")
 
 
