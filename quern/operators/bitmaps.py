@@ -271,13 +271,27 @@ def tree_supports(parts: DataFrame, sizes: range, classes: int = 2) -> DataFrame
     """part, size, s1, s2, s3 (item ids; 0: none), n_c0, n_c1, ..., n of all itemsets of the segments ``parts``."""
     most = max(sizes)
 
+    names = [x.split()[0] for x in _columns(most, classes).split(", ")]
+
+    def rows_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every[:, k]), pa.int32() if k < 2 else pa.int64()) for k in range(every.shape[1])], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
                 for sets, counts in pickle.loads(blob.as_py()).tree(sizes):
                     n, k = sets.shape
-                    wide = [pa.array(sets[:, j], pa.int64()) if j < k else pa.array(np.zeros(n, np.int64)) for j in range(most)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, k, np.int32)), *wide, *(pa.array(counts[:, c], pa.int64()) for c in range(classes))], names=[x.split()[0] for x in _columns(most, classes).split(", ")])
+                    wide = np.zeros((n, 2 + most + classes), np.int64)
+                    wide[:, 0], wide[:, 1], wide[:, 2 : 2 + k], wide[:, 2 + most :] = part, k, sets, counts
+                    held.append(wide)
+                    rows += n
+                    if rows >= PIECE:
+                        yield rows_of(held)
+                        held, rows = [], 0
+        if held:
+            yield rows_of(held)
 
     return _summed(parts.select("part", "blob").mapInArrow(run, _columns(most, classes)), most, classes)
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitmaps as B
@@ -35,7 +35,7 @@ from ..sources.storage import Folder, shared_dir
 log_ = logging.getLogger(__name__)
 
 #: Rounds after which the tables are written.
-SAVE_EVERY = 12
+SAVE_EVERY = 32
 
 _PICKS = "part int, step int, doc_idx long, rules long, repeated boolean"
 _STATE = "part int, doc_idx long, label int, ids array<long>, df_sum long, rules long"
@@ -133,13 +133,11 @@ class _Run:
     def add(self, picks: dict[int, tuple[int, int, list[int]]]) -> None:
         """Chosen documents (by partition: doc_idx, label, ids) with what they change."""
         found = {part: np.array(ids, np.int64) for part, (_, _, ids) in picks.items()}
-        own = [(F.col("part") == part) & F.col("s1").isin(ids.tolist()) & F.col("s2").isin([0, *ids.tolist()]) & F.col("s3").isin([0, *ids.tolist()]) for part, ids in found.items() if len(ids)]
         rows: dict[int, list] = {}
-        if own and self.version:
-            met: Column = own[0]
-            for x in own[1:]:
-                met = met | x
-            for r in self.counts.where(met).collect():
+        if self.version:  # as one text: columns of literals are slow to build
+            listed = {part: ", ".join(map(str, ids.tolist())) for part, ids in found.items() if len(ids)}
+            met = " OR ".join(f"part = {part} AND s1 IN ({x}) AND s2 IN (0, {x}) AND s3 IN (0, {x})" for part, x in listed.items())
+            for r in self.counts.where(met or "false").collect():
                 rows.setdefault(r["part"], []).append(r)
         for part, (doc, label, _) in picks.items():
             ids, changes = found[part], []
