@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir), works on every row of ``docs`` and returns a
-DataFrame. All but the last return the columns of ``documents``; the last returns the placed pieces.
+DataFrame. All but the last return the columns of ``docs``, those beyond ``documents`` too, whatever their names; the last
+returns the placed pieces. Texts are taken whole, however long: very long ones are tokenized, packed and compared in parts.
 """
 
 from __future__ import annotations
