@@ -427,7 +427,7 @@ def run_diagnostics(spark, sf_dir):
     """Figures of a run over its documents, and those that were measured while it ran."""
     found, log = _Sparse(spark, sf_dir), f"{shared_dir(spark)}/sampling-{uuid.uuid4().hex}"
     own = diagnostics(found.docs, saved(found.sampled(log)))
-    run = measured(spark, log).where("metric != 'seconds'").select("metric", F.lit(-1).alias("part"), F.col("value").cast("long").alias("value"))
+    run = measured(spark, log).where("metric not in ('seconds', 'looks')").select("metric", F.lit(-1).alias("part"), F.col("value").cast("long").alias("value"))
     return own.unionByName(run)
 
 

@@ -11,6 +11,10 @@ files and on a few chosen documents only. A chosen document changes the rules of
 looks those up in the counts, and every document adds up the changes among the items it shares with the chosen one, as
 products of membership matrices. The driver holds one chosen document for each partition and round since the last version.
 
+Most rounds read no table: a look at the documents brings the ``LEAD`` first of every partition, and the next one's key as a
+bound on all others. The driver keeps the rules of the leading documents up to date; the first of them is the first of all
+as long as it comes before the bound, less what the documents chosen since can have taken from a document's rules.
+
 A round is committed as a file in ``log``; a run that is started again with the same ``log`` goes on behind the last
 committed round.
 """
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bitmaps as B
@@ -36,6 +40,8 @@ log_ = logging.getLogger(__name__)
 
 #: Rounds after which the tables are written.
 SAVE_EVERY = 32
+#: Documents of a partition that a look brings. It changes how often the documents are read, not what is chosen.
+LEAD = 64
 
 _PICKS = "part int, step int, doc_idx long, rules long, repeated boolean"
 _STATE = "part int, doc_idx long, label int, ids array<long>, df_sum long, rules long"
@@ -91,9 +97,34 @@ class Chosen:
         return np.rint(out).astype(np.int64)
 
 
+@dataclass
+class Leaders:
+    """The first documents of a partition, their rules kept up to date, and a bound on the keys of all others."""
+
+    docs: list[tuple[int, int, list[int], int]]  # doc_idx, label, ids, df_sum
+    rules: np.ndarray
+    bound: tuple[int, int, int] | None  # rules, df_sum, -doc_idx of the next one; None: there are no others
+
+    def __post_init__(self) -> None:
+        self.start = np.cumsum([0, *(len(ids) for _, _, ids, _ in self.docs)])
+        self.flat = np.concatenate([np.array(ids, np.int64) for _, _, ids, _ in self.docs])
+        self.lost = 0
+
+    def add(self, x: Chosen) -> None:
+        self.rules += x.shared(self.start, self.flat)
+        self.lost += sum(int(-np.minimum(c.astype(np.int64), 0).sum()) for c in x.changes)
+
+    def first(self) -> tuple[int, int, list[int], int] | None:
+        """doc_idx, label, ids and rules of the partition's first document; None where another may come before it."""
+        (rules, df_sum, doc), at = min(((int(n), df_sum, -doc), i) for i, (n, (doc, _, _, df_sum)) in enumerate(zip(self.rules, self.docs)))
+        if self.bound is not None and not (rules < self.bound[0] - self.lost or self.lost == 0 and (rules, df_sum, doc) <= self.bound):
+            return None
+        return -doc, self.docs[at][1], self.docs[at][2], rules
+
+
 class _Run:
-    def __init__(self, spark: SparkSession, folder: Folder, sizes: range, min_conf: float, min_sup: int, classes: int):
-        self.spark, self.folder, self.sizes, self.min_conf, self.min_sup, self.classes = spark, folder, sizes, min_conf, min_sup, classes
+    def __init__(self, spark: SparkSession, folder: Folder, sizes: range, min_conf: float, min_sup: int, classes: int, lead: int):
+        self.spark, self.folder, self.sizes, self.min_conf, self.min_sup, self.classes, self.lead = spark, folder, sizes, min_conf, min_sup, classes, lead
 
     # -- the two tables
 
@@ -156,7 +187,8 @@ class _Run:
                 changes.append(((_valid(n, size, self.min_conf, self.min_sup) - old) * _ordered(len(ids), size)).astype(np.int8))
             self.since.setdefault(part, []).append(Chosen(doc, label, ids, changes))
 
-    def _mapped(self, schema: str, best: bool) -> DataFrame:
+    def _mapped(self, schema: str, most: int | None = None) -> DataFrame:
+        """The documents with their rules as they are now; of every partition at least the ``most`` first."""
         since = self.since
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,34 +203,44 @@ class _Run:
                     for x in xs:
                         rules[rows] += x.shared(np.append(first, len(spot)), flat[spot])
                 out = batch.set_column(batch.schema.get_field_index("rules"), "rules", pa.array(rules))
-                if best:  # the first of each partition in this batch
+                if most:  # the first of each partition in this batch
                     order = np.lexsort((-batch.column("doc_idx").to_numpy(), batch.column("df_sum").to_numpy(), rules, part))
-                    out = out.take(pa.array(order[np.unique(part[order], return_index=True)[1]]))
+                    _, first, n = np.unique(part[order], return_index=True, return_counts=True)
+                    out = out.take(pa.array(order[np.arange(len(order)) - np.repeat(first, n) < most]))
                 yield out
 
         return self.docs.mapInArrow(run, schema)
 
     def _scored(self) -> DataFrame:
-        return self._mapped(_STATE, False)
-
-    def best(self, parts: list[int]) -> dict[int, tuple[int, int, list[int], int]]:
-        """By partition doc_idx, label, ids and rules of the document with the fewest rules."""
-        row = F.struct("doc_idx", "label", "ids", "rules")
-        found = self._mapped(_STATE, True).where(F.col("part").isin(parts)).groupBy("part").agg(F.min_by(row, F.struct(F.col("rules"), F.col("df_sum"), -F.col("doc_idx"))).alias("x"))
-        return {r["part"]: (r["x"]["doc_idx"], r["x"]["label"], r["x"]["ids"], r["x"]["rules"]) for r in found.collect()}
-
-
-def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001, min_sup: int = 1, max_rule_size: int = 4, classes: int = 2, rounds: int | None = None, log: str | None = None) -> DataFrame:
+        return self._mapped(_STATE)
+
+    def look(self, parts: list[int]) -> dict[int, Leaders]:
+        """The leading documents of every partition."""
+        lead, by = self.lead, Window.partitionBy("part").orderBy("rules", "df_sum", F.desc("doc_idx"))
+        rows = self._mapped(_STATE, lead + 1).where(F.col("part").isin(parts)).withColumn("place", F.row_number().over(by)).where(F.col("place") <= lead + 1)
+        found: dict[int, list] = {}
+        for r in rows.collect():
+            found.setdefault(r["part"], []).append(r)
+        out = {}
+        for part, own in found.items():
+            own.sort(key=lambda r: r["place"])
+            bound = (own[lead]["rules"], own[lead]["df_sum"], -own[lead]["doc_idx"]) if len(own) > lead else None
+            own = own[:lead]
+            out[part] = Leaders([(r["doc_idx"], r["label"], r["ids"], r["df_sum"]) for r in own], np.array([r["rules"] for r in own], np.int64), bound)
+        return out
+
+
+def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001, min_sup: int = 1, max_rule_size: int = 4, classes: int = 2, rounds: int | None = None, log: str | None = None, lead: int = LEAD) -> DataFrame:
     """part, step, doc_idx, rules, repeated: the documents in the order they were taken; step 0 is the seed.
 
     ``docs`` has part, doc_idx, label, items; ``sums`` part, doc_idx, df_sum. The last row of a converged partition has
     ``repeated``: the document whose second choice ended it, which is not taken again. ``rounds`` stops early. ``log`` is a
     folder that all executors share; a run with a log that holds committed rounds goes on from there. Without it, a folder
-    of its own is used and deleted in the end. A document's subsets (of up to three items) are held at once.
+    of its own is used and deleted in the end. ``lead`` (see ``LEAD``) changes only the time. A document's subsets (of up to three items) are held at once.
     """
     spark: SparkSession = docs.sparkSession
     folder = Folder(spark, log or f"{shared_dir(spark)}/sampling-{uuid.uuid4().hex}")
-    run = _Run(spark, folder, antecedents(max_rule_size), min_conf, min_sup, classes)
+    run = _Run(spark, folder, antecedents(max_rule_size), min_conf, min_sup, classes, lead)
     done = folder.read("begun")
     if done is None:  # what an earlier start left unfinished is written again
         own = docs.select("part", "doc_idx", "label", "items")
@@ -215,16 +257,23 @@ def selective_sampling(docs: DataFrame, sums: DataFrame, min_conf: float = 0.001
     taken: dict[int, set[int]] = {part: set() for part in picks}
     run.open(folder.last("version"))
     step, began = 0, time.monotonic()
+    leaders: dict[int, Leaders] = {}
     while picks and (rounds is None or step < rounds):
         step += 1
         if step > run.version:  # what is before is in the tables
             run.add(picks)
+            for part in leaders.keys() & picks.keys():
+                leaders[part].add(run.since[part][-1])
         found = folder.read(f"round-{step}")
         if found is None:
             start = time.monotonic()
-            best = run.best(sorted(picks))
-            folder.commit(f"round-{step}", {"seconds": time.monotonic() - start, "picks": [[part, *x] for part, x in sorted(best.items())]})
-            found = folder.read(f"round-{step}")
+            best = {part: leaders[part].first() if part in leaders else None for part in picks}
+            looked = None in best.values()
+            if looked:
+                leaders = run.look(sorted(picks))
+                best = {part: leaders[part].first() for part in picks}
+            found = {"seconds": time.monotonic() - start, "looked": looked, "picks": [[part, *x] for part, x in sorted(best.items())]}
+            folder.commit(f"round-{step}", found)
         picks = {}
         for part, doc, label, ids, rules in found["picks"]:
             again = doc in taken[part]
@@ -257,12 +306,13 @@ def diagnostics(docs: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def measured(spark: SparkSession, log: str) -> DataFrame:
-    """metric, value of the run with this log: rows and items that it read, rounds, and the seconds that they took."""
+    """metric, value of the run with this log: rows and items that it read, rounds, the seconds that they took, and the
+    rounds that looked at the documents."""
     folder = Folder(spark, log)
-    rounds = folder.last("round")
-    seconds = sum(folder.read(f"round-{k}")["seconds"] for k in range(1, rounds + 1))
+    found = [folder.read(f"round-{k}") for k in range(1, folder.last("round") + 1)]
+    seconds = sum(x["seconds"] for x in found)
     seen = folder.read("begun")["seen"]
-    return spark.createDataFrame([*((k, float(v)) for k, v in sorted(seen.items())), ("rounds", float(rounds)), ("seconds", seconds)], "metric string, value double")
+    return spark.createDataFrame([*((k, float(v)) for k, v in sorted(seen.items())), ("rounds", float(len(found))), ("seconds", seconds), ("looks", float(sum(x.get("looked", True) for x in found)))], "metric string, value double")
 
 
 def reduced_set(picks: DataFrame) -> DataFrame:

@@ -103,6 +103,21 @@ def test_sampling_equals_rounds_by_hand(spark, monkeypatch, tmp_path, min_conf,
     assert sorted(map(tuple, selective_sampling(unread, sums, min_conf, min_sup, log=log).collect())) == want
 
 
+@pytest.mark.parametrize("lead", [1, 3])
+@pytest.mark.parametrize("min_conf,min_sup", [(0.001, 1), (0.6, 2)])
+def test_leaders_change_only_the_time(spark, tmp_path, min_conf, min_sup, lead):
+    """With a confidence of 0.6 chosen documents take rules away, so the bound on the others falls."""
+    rng = random.Random(5)
+    rows = [(part, d, rng.randint(0, 1), sorted({f"{rng.choice('abcdef')}{rng.randint(0, 2)}" for _ in range(3)})) for part in (0, 1) for d in range(40)]
+    docs = spark.createDataFrame(rows, "part int, doc_idx int, label int, items array<string>")
+    sums = docs.select("part", "doc_idx", F.size("items").cast("long").alias("df_sum"))
+    want = sorted(_sampled_by_hand(rows, {(p, d): len(x) for p, d, _, x in rows}, min_conf, min_sup))
+    log = str(tmp_path / "log")
+    assert sorted(map(tuple, selective_sampling(docs, sums, min_conf, min_sup, log=log, lead=lead).collect())) == want
+    found = {r["metric"]: r["value"] for r in sampling.measured(spark, log).collect()}
+    assert 1 <= found["looks"] <= found["rounds"] == max(step for _, step, *_ in want)
+
+
 def test_documents_without_items(spark):
     docs = spark.createDataFrame([(0, 1, ["a", "b"]), (1, 0, []), (2, 0, ["a"])], "doc_idx int, label int, items array<string>")
     long = T.doc_items(docs)
