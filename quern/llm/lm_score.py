@@ -8,13 +8,17 @@ row, with any number of distinct words, and every word has emissions of its own
   rows and answers each piece of text with the sums of the piece's words: the plain counts first, then, after every
   round, the expected counts of all states but the last, which has the rest of the plain count.
 
+The head's vectors are cut into slices and added up in two steps, for groups of tasks first, so no task adds up those of all.
+
 So the size of the head changes only the cost. Words that no training row has share one add-one count. Baum-Welch counts
-are summed over partitions, all training rows in each of ``ROUNDS`` rounds. The score is the exact likelihood of the
+are summed over partitions, all training rows in each round. There are ``ROUNDS`` rounds at most, and no further one once a
+round has gained less than ``LEAST_GAIN`` over the one before. The score is the exact likelihood of the
 whole text by the scaled forward recursion.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 from zlib import crc32
@@ -28,10 +32,14 @@ from pyspark.taskcontext import TaskContext
 from .common import fold, partition_keys, pieces, released, saved, saved_in_place, table, utf8
 from .hmm import Counts, Hmm, log_likelihood
 
+log_ = logging.getLogger(__name__)
+
 #: Words with numbers of their own, at most. A fixed size, whatever the input; it changes the cost, not the result.
 HEAD = 1 << 17
 STATES = 4
 ROUNDS = 2
+#: Gain in the natural logarithm of the likelihood a training token below which training ends.
+LEAST_GAIN = 1e-4
 #: Text bytes of a piece, about, and of the pieces of one task; there are as many fragments as tasks.
 PIECE_BYTES = 8 << 20
 TASK_BYTES = 32 << 20
@@ -210,24 +218,43 @@ def _numbered(asked: DataFrame) -> DataFrame:
     return asked.select("fragment", "piece", "blob").mapInArrow(run, "key long, fragment int, blob binary")
 
 
+def _slice_row(key: int, name: int, total: np.ndarray) -> pa.RecordBatch:
+    blobs = [blob for _, blob in _sliced(total)]
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(blobs), pa.int64()), pa.array([name] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["key", "fragment", "blob"])
+
+
+def _slices(state: DataFrame) -> DataFrame:
+    """key -1, fragment, blob: the head's slices of all groups of tasks added up; as many blobs meet as there are groups."""
+
+    def run(batches):
+        heads: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "blob"))):
+                _add(heads.setdefault(name, np.zeros((SLICE, STATES - 1))), blob)
+        for name, total in heads.items():
+            yield _slice_row(-1, name, total)
+
+    return state.where("key < 0").select("fragment", "blob").repartition("fragment").mapInArrow(run, "key long, fragment int, blob binary")
+
+
 def _answered(sent: DataFrame, parts: int) -> DataFrame:
     """Fragments sum the expected counts that pieces send (numbers, then counts) and answer with the sums of their words.
 
-    Rows of key -1 are slices of the head's counts; they are summed by slice.
+    Rows of negative keys are slices of the head's counts; they are summed by slice and group of tasks (the key).
     """
 
     def run(batches):
         held: dict[int, dict[int, bytes]] = {}
-        heads: dict[int, np.ndarray] = {}
+        heads: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for name, key, blob in zip(*(batch.column(c).to_pylist() for c in ("fragment", "key", "blob"))):
                 if key < 0:
-                    _add(heads.setdefault(name, np.zeros((SLICE, STATES - 1))), blob)
+                    _add(heads.setdefault((key, name), np.zeros((SLICE, STATES - 1))), blob)
                 else:
                     held.setdefault(name, {})[key] = blob
         names = ["key", "fragment", "blob"]
-        for name, total in heads.items():
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([name], pa.int32()), pa.array([_sliced(total)[0][1]], pa.binary())], names=names)
+        for (key, name), total in heads.items():
+            yield _slice_row(key, name, total)
         for name in sorted(held):
             own = sorted(held.pop(name).items())
             words = [len(blob) // (4 * STATES) for _, blob in own]
@@ -294,9 +321,10 @@ class Trained:
 
 
 def _expected(joined: DataFrame, shared, deal: list[int]) -> DataFrame:
-    """Baum-Welch counts of all states but the last. Key -1: those of a task's head, sliced (fragment is the slice; the last
-    one holds moves, first states, visits of tail words and the likelihood); other keys: those of a piece's tail words, by
-    fragment. ``dest`` deals the rows."""
+    """Baum-Welch counts of all states but the last. Negative keys: those of a task's head, sliced (fragment is the slice; the
+    last one holds moves, first states, visits of tail words and the likelihood; the key is -1 less the group of the task);
+    other keys: those of a piece's tail words, by fragment. ``dest`` deals the rows."""
+    groups = math.isqrt(len(deal) - 1) + 1
 
     def run(batches):
         trained: Trained = shared.value
@@ -304,8 +332,8 @@ def _expected(joined: DataFrame, shared, deal: list[int]) -> DataFrame:
         all_counts, tail_visits = Counts(STATES, size), np.zeros(STATES)
         names = ["dest", "key", "fragment", "blob"]
 
-        def rows_of(keys: list[int], fragments: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-            dest = [deal[x % len(deal)] for x in fragments]
+        def rows_of(keys: list[int], fragments: list[int], blobs: list[bytes], shift: int = 0) -> pa.RecordBatch:
+            dest = [deal[(x + shift) % len(deal)] for x in fragments]
             return pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
         for batch in batches:
@@ -328,7 +356,8 @@ def _expected(joined: DataFrame, shared, deal: list[int]) -> DataFrame:
         extra = np.concatenate([all_counts.move.ravel(), all_counts.start, tail_visits, [all_counts.log]])
         extra = np.append(extra, np.zeros(-len(extra) % (STATES - 1))).reshape(-1, STATES - 1)
         own = _sliced(all_counts.emit[:, :-1]) + [(-(-size // SLICE) + k, b) for k, b in _sliced(extra)]
-        yield rows_of([-1] * len(own), [x for x, _ in own], [x for _, x in own])
+        group = TaskContext.get().partitionId() % groups
+        yield rows_of([-1 - group] * len(own), [x for x, _ in own], [x for _, x in own], group * (-(-size // SLICE) + 1))
         released()
 
     return joined.select("key", "blob", "plain", "state").mapInArrow(run, "dest long, key long, fragment int, blob binary")
@@ -358,7 +387,7 @@ def _scored(joined: DataFrame, shared) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN) -> DataFrame:
     """One row per input row: doc_id, held_out (not ``among``), n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts have the end token only. Ids may be null or repeat. Without a training row every count is 0
@@ -379,17 +408,23 @@ def train_and_score(docs: DataFrame, among: Column, id_col: str = "doc_id", text
     del plain
     joined = with_plain.withColumn("state", F.lit(None).cast("array<struct<fragment:int,blob:binary>>"))
     slices = -(-trained.size // SLICE)
-    for _ in range(rounds):
+    likelihood = -math.inf
+    for number in range(rounds):
         state = saved(_answered(_expected(joined, spark.sparkContext.broadcast(trained), deal), parts))
         total = np.zeros((slices + 1, SLICE, STATES - 1))
-        for r in state.where("key < 0").toLocalIterator():
+        for r in _slices(state).toLocalIterator():
             _add(total[r["fragment"]], r["blob"])
         found = Counts(STATES, trained.size)
         found.emit[:, :-1] = total[:-1].reshape(-1, STATES - 1)[: trained.size]
-        move, found.start, visits, _log = np.split(total[-1].ravel()[: STATES * (STATES + 2) + 1], [STATES * STATES, STATES * (STATES + 1), STATES * (STATES + 2)])
+        move, found.start, visits, now = np.split(total[-1].ravel()[: STATES * (STATES + 2) + 1], [STATES * STATES, STATES * (STATES + 1), STATES * (STATES + 2)])
         found.move = move.reshape(STATES, STATES)
         joined = with_plain.join(_by_piece(state, "state", parts), "key", "left")
         trained.improve(found, visits)
+        # of the model before this round
+        before, likelihood = likelihood, float(now[0]) / max(1, trained.tokens)
+        log_.info("round %s: log likelihood a token %.6f", number + 1, likelihood)
+        if likelihood - before < least_gain:
+            break
     return _scored(joined, spark.sparkContext.broadcast(trained)).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
