@@ -181,6 +181,14 @@ def test_levels_prune_what_cannot_be_frequent(spark, min_sup, monkeypatch):
             assert levels.get((part, size), (0, 0))[1] == sum(p == part and len(x) == size for p, x in want)
 
 
+def test_counts_of_cells_add_up_beyond_a_byte(spark, monkeypatch):
+    """Counts travel in as few bytes as they fit; the sum over the cells of a piece needs more."""
+    monkeypatch.setattr(B, "SEGMENTS", 1)
+    monkeypatch.setattr(B.segments, "__defaults__", (2, 150))
+    docs = spark.range(450).selectExpr("0 AS part", "id AS doc_idx", "0 AS label", "array(1L, 2L, 3L) AS ids")
+    assert {(r["size"], r["n_c0"], r["n_c1"], r["n"]) for r in B.level_supports(docs, range(1, 4), 3).collect()} == {(k, 450, 0, 450) for k in (1, 2, 3)}
+
+
 def test_unranked():
     for n, k in ((6, 1), (7, 3), (9, 4), (5, 5), (40, 2)):
         assert B.unranked(n, k, np.arange(math.comb(n, k))).tolist() == [list(x) for x in combinations(range(n), k)]
