@@ -233,6 +233,28 @@ def test_lazy_rules(spark, monkeypatch, cells):
             assert (r["n_rules"], round(r["sum_conf"], 6)) == (len(conf), round(sum(conf), 6))
 
 
+@pytest.mark.parametrize("values", [{}, {"BLOCK": 7, "GROUP": 2, "TABLE_BYTES": 2000}, {"TABLE_ITEMS": 0}])
+def test_matched_rules_by_tables_and_pieces(spark, monkeypatch, values):
+    """Parts with items of their own and shared ones; asked items that no document has; one table or many, in one task or more."""
+    for name, value in values.items():
+        monkeypatch.setattr(B, name, value)
+    rows, asks = _random_rows(12, 90), _random_rows(13, 40, letters="bcdefghx")
+    frame = lambda x: spark.createDataFrame(x, "part int, doc_idx long, label int, items array<string>")
+    docs, asking = frame(rows), frame([(p, d, c, [*items, *(["own"] if p else [])]) for p, d, c, items in asks])
+    ids = B.item_ids(docs.unionByName(asking))
+    known, own = (B.with_ids(x, ids, ["part", "doc_idx", "label"]) for x in (docs, asking))
+    for sizes, min_sup in ((range(1, 4), 1), (range(1, 4), 3), (range(2, 3), 1), (range(3, 4), 2), (range(1, 2), 1)):
+        counts, want = _brute(rows, sizes), {}
+        for p, d, _, items in asks:
+            for c in (0, 1):
+                found = [counts[p, x] for k in sizes for x in combinations(items, k) if (p, x) in counts and (k == 1 or sum(counts[p, x]) >= min_sup)]
+                conf = [n[c] / sum(n) for n in found if n[c] / sum(n) >= 0.3]
+                if conf:
+                    want[p, d, c] = len(conf), round(sum(conf), 6)
+        got = B.matched_rules(own.withColumnRenamed("doc_idx", "asks"), known, sizes, 0.3, min_sup).where("n_rules > 0").collect()
+        assert len(got) == len(want) and {(r["part"], r["asks"], r["label"]): (r["n_rules"], round(r["sum_conf"], 6)) for r in got} == want
+
+
 def test_rule_cache(spark, tmp_path, monkeypatch):
     """Every batch counts only what is missing and answers as without a cache; the oldest go; another version starts anew."""
     rows = _random_rows(3, 80, parts=1)
