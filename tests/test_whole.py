@@ -6,6 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from quern.operators import bitmaps as B
+from quern.operators import rules as R
 from quern.plans.queries import QUERIES
 from quern.sources import transactions as T
 
@@ -59,3 +61,17 @@ def test_rule_counts(spark, sf_dir, documents):
         assert got == {key: tuple(n) for key, n in counts.items() if len(key[1]) == size}
     assert {(r["part"], r["a"], r["b"]): r["n"] for r in QUERIES["bitmap_support"](spark, sf_dir).collect()} == {(k, *s): sum(n) for (k, s), n in counts.items() if len(s) == 2}
     assert all(r["n_projected"] == len(part[r["doc_idx"], r["part"]]) for r in QUERIES["project_on_current"](spark, sf_dir).collect())
+
+
+@pytest.mark.parametrize("name", ["rule_count_size4", "rules_min_conf", "least_representative"])
+def test_no_row_for_each_subset_of_a_document(spark, sf_dir, monkeypatch, name):
+    """Rules meet the documents in tables, not as rows; with more items than tables take, as rows, which gives the same."""
+    with monkeypatch.context() as rows:
+        rows.setattr(B, "TABLE_ITEMS", 0)
+        want = sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+
+    def no_rows(*_):
+        raise AssertionError("a row for each subset")
+
+    monkeypatch.setattr(R, "subset_rows", no_rows)
+    assert sorted(map(tuple, QUERIES[name](spark, sf_dir).collect())) == want
