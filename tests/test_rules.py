@@ -202,6 +202,17 @@ def test_ranks_of_any_size(spark):
     assert got == {(d, k, n): x for d, ids in ((1, [2, 5, 7, 8, 11, 20]), (2, [3])) for k in range(1, 7) for n, x in enumerate(combinations(ids, k))}
 
 
+def test_short_pieces_share_batches():
+    """Pieces of many short documents come out in a batch for each kind of piece, not in one each."""
+    docs = [(d % 2, d, [10 * d + x for x in range(2 + d % 3)]) for d in range(300)]
+    rows = [{"part": p, "doc_idx": d, "ids": ids, "size": 2, "first": a, "last": min(a + 2, math.comb(len(ids), 2) - 1)} for p, d, ids in docs for a in range(0, math.comb(len(ids), 2), 3)]
+    whole = pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("doc_idx", pa.int64()), ("ids", pa.list_(pa.int64())), ("size", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
+    found = list(B._ranked_pieces(iter([whole.slice(0, 170), whole.slice(170)])))
+    assert len(found) <= 8
+    got = sorted((r["part"], r["doc_idx"], r["size"], r["rank"], tuple(r["members"])) for x in found for r in x.to_pylist())
+    assert got == sorted((p, d, 2, n, x) for p, d, ids in docs for n, x in enumerate(combinations(ids, 2)))
+
+
 def test_long_documents_are_dealt_out(spark):
     docs = spark.createDataFrame([(0, 1, list(range(1, 31))), (0, 2, [3]), (0, 3, [])], "part int, doc_idx long, ids array<long>")
     pieces = B.rank_pieces(docs, range(1, 4), 100)
