@@ -118,6 +118,46 @@ def test_leaders_change_only_the_time(spark, tmp_path, min_conf, min_sup, lead):
     assert 1 <= found["looks"] <= found["rounds"] == max(step for _, step, *_ in want)
 
 
+@pytest.mark.parametrize("sets", [None, 20])
+def test_rounds_need_no_job_of_their_own(spark, monkeypatch, tmp_path, sets):
+    """Every round had a Spark job, so 4,800 rounds a partition ended in no time limit; now looks and versions have them."""
+    if sets:  # a look brings two or three documents
+        monkeypatch.setattr(sampling, "SETS", sets)
+    rng = random.Random(3)
+    rows = [(part, d, rng.randint(0, 1), sorted(f"{x}{rng.randint(0, 11)}" for x in "abcd"[: 3 + d % 2])) for part in (0, 1) for d in range(240)]
+    docs = spark.createDataFrame(rows, "part int, doc_idx int, label int, items array<string>")
+    sums = docs.select("part", "doc_idx", F.size("items").cast("long").alias("df_sum"))
+    want = sorted(_sampled_by_hand(rows, {(p, d): len(x) for p, d, _, x in rows}))
+    log, group = str(tmp_path / "log"), f"rounds-{sets}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = selective_sampling(docs, sums, log=log)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(map(tuple, found.collect())) == want
+    run = {r["metric"]: r["value"] for r in sampling.measured(spark, log).collect()}
+    assert run["rounds"] == max(step for _, step, *_ in want) > 100
+    assert jobs < run["rounds"] / 2 if not sets else run["looks"] > 10
+
+
+def test_changes_with_and_without_a_table(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [np.sort(rng.choice(np.arange(1, 40), k, replace=False)) for k in (0, 1, 2, 5, 5, 9) * 4]
+    start, flat = np.cumsum([0, *map(len, docs)]), np.concatenate(docs)
+    every = [x for d in docs[::2] for k in (1, 2, 3) for x in combinations(d.tolist(), k)]
+    deltas = rng.integers(-1, 3, len(every))
+    total: dict = {}
+    for x, d in zip(every, deltas.tolist()):
+        total[x] = total.get(x, 0) + d
+    want = [sum(total.get(x, 0) for k in (1, 2, 3) for x in combinations(d.tolist(), k)) for d in docs]
+    sets = np.array([(*x, 0, 0)[:3] for x in every]).T
+    for table, at_once in ((1 << 25, 1 << 22), (0, 30)):
+        monkeypatch.setattr(sampling, "_TABLE", table)
+        monkeypatch.setattr(sampling, "_AT_ONCE", at_once)
+        changes = sampling.Changes(sets, deltas, range(1, 4))
+        assert changes.sums(start, flat).tolist() == want
+        assert (changes.table is None) == (not table)
+
+
 def test_documents_without_items(spark):
     docs = spark.createDataFrame([(0, 1, ["a", "b"]), (1, 0, []), (2, 0, ["a"])], "doc_idx int, label int, items array<string>")
     long = T.doc_items(docs)
